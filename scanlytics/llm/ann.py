@@ -184,7 +184,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, id_col: str = "vec_id", vect
     known = found.groupBy("query_id").agg(F.count_distinct("vec_id").alias("n")).where(F.col("n") >= need).select(F.col("query_id").alias("id"))
     short = written(clean(queries).join(known, "id", "left_anti"), "short")
     if not short.isEmpty():
-        rest = short.select(F.explode(F.sequence(F.lit(0), F.lit(len(centres) - 1))).cast("int").alias("list"), "id", "v")
+        rest = short.select(F.explode(F.sequence(F.lit(0), F.lit(len(centres) - 1))).alias("list"), "id", "v")
         found = found.unionByName(_scanned(rest, posted, k))
     found = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
