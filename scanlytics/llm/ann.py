@@ -156,14 +156,15 @@ def nearest(vectors: DataFrame, queries: DataFrame, id_col: str = "vec_id", vect
 
     ``score`` is the inner product in double precision; ties go to the smaller id. Vectors that are
     null, zero or hold null or non-finite components, and rows with a null id, take no part on
-    either side. Repeated rows of one id count once. Fewer candidates than ``k`` give fewer rows; an
+    either side. Of several rows of one id the one with the
+    smallest vector counts. Fewer candidates than ``k`` give fewer rows; an
     empty table gives none. All usable vectors must have one dimension (else ValueError). Every
     vector is indexed; only the centroids are fitted on at most ``SAMPLE`` of them.
     """
     spark = vectors.sparkSession
 
     def clean(df: DataFrame) -> DataFrame:
-        return df.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("v")).where(F.col("id").isNotNull() & usable(F.col("v"))).withColumn("v", F.col("v").cast("array<double>"))
+        return df.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("v")).where(F.col("id").isNotNull() & usable(F.col("v"))).groupBy("id").agg(F.min(F.col("v").cast("array<double>")).alias("v"))
 
     rows = clean(vectors)
     facts = rows.agg(F.count("*").alias("n"), F.count_distinct("id").alias("ids"), F.min(F.size("v")).alias("lo"), F.max(F.size("v")).alias("hi"), F.max(F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))).alias("top")).first()
