@@ -29,7 +29,7 @@ from .shared import shuffle_partitions, text_key
 from .textops import BLANK, Words, grams, mix, pieces, runs, sliding_min
 
 SLICE_BYTES = 6 << 20
-BUCKETS_PER_PARTITION = 16
+BUCKETS_PER_PARTITION = 6
 _SPANS = pa.schema([("doc", pa.int64()), ("key", pa.int64()), ("start", pa.int32()), ("stop", pa.int32())])
 _BLOBS = pa.schema([("bucket", pa.int32()), ("packed", pa.binary())])
 
@@ -38,7 +38,7 @@ def _pack(doc, key, start, strings: list[bytes], settled: tuple | None = None) -
     done = settled or (np.zeros(0, "<i8"),) * 4
     parts = [struct.pack("<II", len(strings), len(done[0])), doc.tobytes(), key.tobytes(), start.astype("<i4").tobytes()]
     parts += [done[0].astype("<i8").tobytes(), done[1].astype("<i8").tobytes(), done[2].astype("<i4").tobytes(), done[3].astype("<i4").tobytes()]
-    return zstandard.ZstdCompressor(level=1).compress(b"".join([*parts, b"\n".join(strings)]))
+    return zstandard.ZstdCompressor(level=6).compress(b"".join([*parts, b"\n".join(strings)]))
 
 
 def _unpack(blob: bytes):
@@ -144,7 +144,7 @@ def _sorter(k: int):
     return sort
 
 
-def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 13, m: int = 3, buckets: int | None = None) -> DataFrame:
+def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 13, m: int = 2, buckets: int | None = None) -> DataFrame:
     """Word spans of windows that a document with a smaller id has too.
 
     Returns ``doc, key, start, stop`` (words from 0, stop exclusive); ``key`` is a hash of the
@@ -195,7 +195,7 @@ def _cleaner(names: list[str], text_col: str, replace: bool, out: pa.Schema):
     return clean
 
 
-def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 13, m: int = 3, keep: list[str] | None = None, buckets: int | None = None) -> DataFrame:
+def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 13, m: int = 2, keep: list[str] | None = None, buckets: int | None = None) -> DataFrame:
     """Every document without the words of windows that a smaller document has.
 
     A window is ``k`` consecutive words ``[^\\x20\\x09-\\x0D]+``; windows are judged on the input.
