@@ -67,12 +67,13 @@ def _run(span: int) -> Column:
     return F.array_join(F.slice("words", F.col("pos") + 1, span), " ")
 
 
+# posexplode_outer: of an inner one Catalyst makes a filter on the array and copies its whole expression
 def _hits(docs: DataFrame, items: DataFrame, span: int) -> tuple[DataFrame, DataFrame]:
     """Occurrences ``doc, key, pos, run`` in ``docs`` and the ``run, item`` table; both from rows with ``words``."""
-    runs = fingerprints(items, span).select("item", "words", F.posexplode("prints").alias("pos", "print"))
-    runs = written(runs.select("item", "print", _run(span).alias("run")).distinct(), "runs")
+    runs = fingerprints(items, span).select("item", "words", F.posexplode_outer("prints").alias("pos", "print"))
+    runs = written(runs.select("item", "print", _run(span).alias("run")).where("print is not null").distinct(), "runs")
     prints = runs.select("print").distinct()
-    places = fingerprints(docs, span).select("doc", "key", "words", F.posexplode("prints").alias("pos", "print"))
+    places = fingerprints(docs, span).select("doc", "key", "words", F.posexplode_outer("prints").alias("pos", "print"))
     if prints.count() <= SEND_FINGERPRINTS:
         near = places.join(F.broadcast(prints), "print", "left_semi").select("doc", "key", "pos", "print", _run(span).alias("run"))
     else:

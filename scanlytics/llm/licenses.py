@@ -146,8 +146,8 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     phrases = table([(-1, label, phrase, f"(?<= ){phrase}(?= )", 0) for phrase, label in BASE.items()])
     both = gated.withColumn("rules", F.concat(phrases, table(rules())))
-    both = both.select("doc", "key", "norm", F.explode(F.filter("rules", lambda r: F.contains(F.col("norm"), F.concat(F.lit(" "), r["word"])) | F.contains(F.col("norm"), r["word"]))).alias("r"))
-    found = both.select("doc", "key", "r.rank", "r.label", "r.level", F.explode(_places(F.col("norm"), F.col("r.pattern"))).alias("at")).select("doc", "key", "rank", "label", "level", "at.start", "at.stop")
+    both = both.select("doc", "key", "norm", F.explode_outer(F.filter("rules", lambda r: F.contains(F.col("norm"), F.concat(F.lit(" "), r["word"])) | F.contains(F.col("norm"), r["word"]))).alias("r"))
+    found = both.select("doc", "key", "r.rank", "r.label", "r.level", F.explode_outer(_places(F.col("norm"), F.col("r.pattern"))).alias("at")).select("doc", "key", "rank", "label", "level", "at.start", "at.stop").where("start is not null")
     # a third of the places may be one document's copies, never one document's own: its length bounds them
     places = Window.partitionBy("doc", "key").orderBy("start", F.desc("stop"), F.desc("level"), "rank").rowsBetween(Window.unboundedPreceding, -1)
     levels = range(1, 6)

@@ -28,36 +28,56 @@ def _span(first: Column, last: Column) -> Column:
     return F.when(last >= first, F.sequence(first, last)).otherwise(F.expr("cast(array() as array<bigint>)"))
 
 
+def _let(value: Column, body) -> Column:
+    """``body`` of a value that is worked out once, not at each place where it stands."""
+    return F.transform(F.array(value), body)[0]
+
+
 def hypergeometric(u: Column, total: Column, good: Column, draws: Column) -> Column:
     """The number of good ones among ``draws`` of ``total``, by inversion of ``u`` in [0, 1).
 
     Weights are relative to the mode's and run outward from it for 9 standard deviations and 10
     more: what lies beyond is below double precision.
     """
-    n, k, d = (x.cast("double") for x in (total, good, draws))
-    low, high = F.greatest(F.lit(0).cast("long"), draws - (total - good)), F.least(draws, good)
-    mode = F.greatest(low, F.least(high, F.floor((d + 1) * (k + 1) / (n + 2)).cast("long")))
-    n1 = F.greatest(n, F.lit(1.0))
-    reach = F.ceil(9 * F.sqrt(d * k / n1 * (n1 - k) / n1 * (n1 - d) / F.greatest(n1 - 1, F.lit(1.0)))).cast("long") + 10
-    up, down = _span(mode + 1, F.least(high, mode + reach)), F.reverse(_span(F.greatest(low, mode - reach), mode - 1))
-    rise = lambda w, x: w * (k - x + 1) * (d - x + 1) / (x * (n - k - d + x))
-    fall = lambda w, x: w * (x + 1) * (n - k - d + x + 1) / ((k - x) * (d - x))
-    one, none = F.lit(1.0), F.lit(0.0)
-
-    def tally(places: Column, step) -> Column:
-        return F.aggregate(places, F.struct(one.alias("w"), none.alias("s")), lambda a, x: F.struct(step(a["w"], x).alias("w"), (a["s"] + step(a["w"], x)).alias("s")), lambda a: a["s"])
-
-    def search(places: Column, step, goal: Column) -> Column:
-        start = F.struct(one.alias("w"), none.alias("s"), F.lit(-1).cast("long").alias("at"))
-        return F.aggregate(
-            places, start, lambda a, x: F.struct(step(a["w"], x).alias("w"), (a["s"] + step(a["w"], x)).alias("s"), F.when((a["at"] < 0) & (a["s"] + step(a["w"], x) > goal), x).otherwise(a["at"]).alias("at")), lambda a: F.struct(a["at"], a["s"])
-        )
-
-    goal = u * (1 + tally(up, rise) + tally(down, fall)) - 1
-    above = search(up, rise, goal)
-    below = search(down, fall, goal - above["s"])
-    last = F.coalesce(F.try_element_at(down, F.lit(-1)), F.try_element_at(up, F.lit(-1)), mode)
-    return F.when(goal < 0, mode).when(above["at"] >= 0, above["at"]).when(below["at"] >= 0, below["at"]).otherwise(last)
+    zero = F.lit(0).cast("long")
+    start = F.struct(total.cast("double").alias("n"), good.cast("double").alias("k"), draws.cast("double").alias("d"), F.greatest(zero, draws - (total - good)).alias("low"), F.least(draws, good).alias("high"))
+
+    def centre(v: Column) -> Column:
+        n, k, d, n1 = v["n"], v["k"], v["d"], F.greatest(v["n"], F.lit(1.0))
+        mode = F.greatest(v["low"], F.least(v["high"], F.floor((d + 1) * (k + 1) / (n + 2)).cast("long")))
+        reach = F.ceil(9 * F.sqrt(d * k / n1 * (n1 - k) / n1 * (n1 - d) / F.greatest(n1 - 1, F.lit(1.0)))).cast("long") + 10
+        return F.struct(mode.alias("mode"), reach.alias("reach"))
+
+    def pick(v: Column, c: Column) -> Column:
+        n, k, d, mode = v["n"], v["k"], v["d"], c["mode"]
+        up = _span(mode + 1, F.least(v["high"], mode + c["reach"]))
+        down = F.reverse(_span(F.greatest(v["low"], mode - c["reach"]), mode - 1))
+        rise = lambda w, x: w * (k - x + 1) * (d - x + 1) / (x * (n - k - d + x))
+        fall = lambda w, x: w * (x + 1) * (n - k - d + x + 1) / ((k - x) * (d - x))
+
+        def weights(places: Column, step) -> Column:
+            """Value, weight and running sum of weights, outward."""
+            first = F.struct(F.lit(1.0).alias("w"), F.lit(0.0).alias("s"))
+            return F.aggregate(places, first, lambda a, x: _let(step(a["w"], x), lambda w: F.struct(w.alias("w"), (a["s"] + w).alias("s"))), lambda a: a["s"])
+
+        def search(places: Column, step, goal: Column) -> Column:
+            first = F.struct(F.lit(1.0).alias("w"), F.lit(0.0).alias("s"), F.lit(-1).cast("long").alias("at"))
+
+            def walk(a: Column, x: Column) -> Column:
+                return _let(step(a["w"], x), lambda w: F.struct(w.alias("w"), (a["s"] + w).alias("s"), F.when((a["at"] < 0) & (a["s"] + w > goal), x).otherwise(a["at"]).alias("at")))
+
+            return F.aggregate(places, first, walk, lambda a: a["at"])
+
+        def choose(p: Column, sums: Column, goal: Column) -> Column:
+            end = F.coalesce(F.try_element_at(p["down"], F.lit(-1)), F.try_element_at(p["up"], F.lit(-1)), mode)
+            # beyond the mode's own weight: first upward, then downward
+            above = F.when(goal < sums["up"], search(p["up"], rise, goal)).otherwise(search(p["down"], fall, goal - sums["up"]))
+            return F.when(goal < 0, mode).otherwise(_let(above, lambda x: F.when(x >= 0, x).otherwise(end)))
+
+        places = F.struct(up.alias("up"), down.alias("down"))
+        return _let(places, lambda p: _let(F.struct(weights(p["up"], rise).alias("up"), weights(p["down"], fall).alias("down")), lambda t: _let(u * (1 + t["up"] + t["down"]) - 1, lambda goal: choose(p, t, goal))))
+
+    return _let(start, lambda v: _let(centre(v), lambda c: pick(v, c)))
 
 
 def _draw(places: Column, amount: Column, seed: Column) -> Column:
@@ -66,7 +86,7 @@ def _draw(places: Column, amount: Column, seed: Column) -> Column:
 
     def step(a: Column, x: Column) -> Column:
         got = hypergeometric(_uniform(seed, F.size(a["out"])), a["total"], x, a["left"])
-        return F.transform(F.array(got), lambda g: F.struct((a["total"] - x).alias("total"), (a["left"] - g).alias("left"), F.concat(a["out"], F.array(g)).alias("out")))[0]
+        return _let(got, lambda g: F.struct((a["total"] - x).alias("total"), (a["left"] - g).alias("left"), F.concat(a["out"], F.array(g)).alias("out")))
 
     return F.aggregate(places, start, step, lambda a: a["out"])
 
