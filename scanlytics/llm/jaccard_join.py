@@ -19,8 +19,13 @@ are therefore made in two steps.
    only those whose distances to the pivot differ by at most eps are compared.
    Large regions are divided again, with new pivots.
 
-Every pair that is left is verified on the whole sets. Equal sets are one node
-throughout, so groups of copies never make pairs.
+Of the pairs that are left, those go whose 1024 parity bits (each the parity of
+the number of shingles hashed to it) differ in more places than the symmetric
+difference of linked sets may have: no linked pair is lost. The rest are
+verified on the whole sets, in rounds: every node's pair with its least
+neighbour, then again the pairs between classes that are still apart. So a round
+moves each set a few times at most, however dense a group is. Equal sets are one
+node throughout, so groups of copies never make pairs.
 """
 
 from __future__ import annotations
@@ -39,12 +44,12 @@ from .textops import LOWER, Words, grams, mix, pieces, runs
 SLICE_BYTES = 4 << 20
 LOCALLY_FREQUENT = 4  # shingles in this many sets of one slice are reported as frequent
 FREQUENT_KEPT = 200_000  # so many of the most frequent shingles come last in the order
-REGION_PAIRS = 4096  # regions with more pairs than this are divided by document pivots
+REGION_PAIRS = 1 << 20  # regions with more pairs than this are divided by document pivots
 PIVOTS = 8
-DEPTH = 3
+DEPTH = 2
 SEND_NODES = 500_000  # node lists up to this length are broadcast, longer ones are joined by shuffle
 
-_SIGNS = pa.schema([("doc", pa.int64()), ("key", pa.int64()), ("size", pa.int32()), ("node", pa.int64()), ("proof", pa.int64()), ("gram", pa.int64()), ("n", pa.int64())])
+_SIGNS = pa.schema([("doc", pa.int64()), ("key", pa.int64()), ("size", pa.int32()), ("node", pa.int64()), ("proof", pa.int64()), ("bits", pa.list_(pa.int64())), ("gram", pa.int64()), ("n", pa.int64())])
 _CELLS = pa.schema([("cell", pa.int64()), ("node", pa.int64()), ("size", pa.int32()), ("pos", pa.int32())])
 _SETS = pa.schema([("node", pa.int64()), ("grams", pa.list_(pa.int64()))])
 
@@ -75,6 +80,16 @@ def _nodes(row: np.ndarray, gram: np.ndarray, rows: int) -> tuple[np.ndarray, np
     return size, mix(first + size.astype(np.uint64)).view(np.int64), mix(second).view(np.int64)
 
 
+def _parity(row: np.ndarray, gram: np.ndarray, rows: int) -> pa.Array:
+    """1024 bits of each set: the parity of how many shingles are hashed to each."""
+    place = mix(gram ^ np.uint64(0x5DEECE66D)) % np.uint64(1024)
+    at, count = np.unique(row * 1024 + place.astype(np.int64), return_counts=True)
+    at = at[count % 2 == 1]
+    words = np.zeros(rows * 16, np.uint64)
+    np.bitwise_or.at(words, at // 64, np.uint64(1) << (at % 64).astype(np.uint64))
+    return pa.ListArray.from_arrays(pa.array(np.arange(0, rows * 16 + 1, 16, dtype=np.int32)), pa.array(words.view(np.int64)))
+
+
 def _signer(n: int):
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, "text", SLICE_BYTES):
@@ -89,10 +104,10 @@ def _signer(n: int):
             often = count >= LOCALLY_FREQUENT
             k, m = batch.num_rows, int(often.sum())
             null = lambda size, kind: pa.nulls(size, kind)
-            left = [batch.column("doc"), batch.column("key"), pa.array(size.astype(np.int32)), pa.array(node), pa.array(proof), null(k, pa.int64()), null(k, pa.int64())]
+            left = [batch.column("doc"), batch.column("key"), pa.array(size.astype(np.int32)), pa.array(node), pa.array(proof), _parity(row, gram, k), null(k, pa.int64()), null(k, pa.int64())]
             yield pa.RecordBatch.from_arrays(left, schema=_SIGNS)
             if m:
-                right = [*[null(m, t) for t in _SIGNS.types[:5]], pa.array(seen[edge[often]].view(np.int64)), pa.array(count[often].astype(np.int64))]
+                right = [*[null(m, t) for t in _SIGNS.types[:6]], pa.array(seen[edge[often]].view(np.int64)), pa.array(count[often].astype(np.int64))]
                 yield pa.RecordBatch.from_arrays(right, schema=_SIGNS)
 
     return sign
@@ -165,24 +180,24 @@ def _measured(pairs: DataFrame, docs: DataFrame, reps: DataFrame, n: int) -> Dat
     return two.select("a", "b", F.size("ga").alias("na"), F.size("gb").alias("nb"), F.size(F.array_intersect("ga", "gb")).alias("both"))
 
 
-def jaccard_links(docs: DataFrame, signs: DataFrame, n: int, percent: int) -> DataFrame:
-    """Verified links ``a, b`` between nodes: they connect exactly what all links connect.
+def linked_nodes(docs: DataFrame, signs: DataFrame, nodes: DataFrame, n: int, percent: int) -> DataFrame:
+    """``node, component`` of every node with a link: exactly what all links connect.
 
-    ``docs`` has ``doc, text``; ``signs`` is the table of ``_signer``.
+    ``docs`` has ``doc, text``; ``signs`` is the table of ``_signer``; ``nodes`` has each node's ``least`` document, ``size`` and ``bits``.
     """
     spark = docs.sparkSession
     frequent = signs.where(F.col("gram").isNotNull()).groupBy("gram").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "gram").limit(FREQUENT_KEPT).toArrow()
     gram, count = frequent.column("gram").to_numpy().astype(np.int64).view(np.uint64), frequent.column("n").to_numpy().astype(np.int64)
     order = np.argsort(gram)
     last = spark.sparkContext.broadcast((gram[order], count[order]))
-    reps = signs.where(F.col("size") > 0).groupBy("node").agg(F.min("doc").alias("doc"))
+    reps = nodes.select("node", F.col("least").alias("doc"))
 
     members = docs.select("text").mapInArrow(_spreader(n, percent, last), "cell long, node long, size int, pos int")
     live = members.groupBy("cell").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi").select("cell")
     cells = members.join(live, "cell", "left_semi").dropDuplicates(["cell", "node"])
     cells = written(cells.select("*", F.lit(0.0).alias("d"), F.lit(False).alias("ball")), "regions")
 
-    eps, links = 1 - percent / 100, []
+    eps, links, maybe = 1 - percent / 100, [], []
     for depth in range(DEPTH + 1):
         counts = cells.groupBy("cell").agg(F.count("*").alias("all"), F.count_if(~F.col("ball")).alias("outer")).where("all > 1 and outer > 0")
         counts = written(counts.withColumn("large", F.lit(depth < DEPTH) & (F.col("all") * F.col("outer") > REGION_PAIRS)), "counts")
@@ -194,21 +209,57 @@ def jaccard_links(docs: DataFrame, signs: DataFrame, n: int, percent: int) -> Da
             salt = F.pmod(F.xxhash64("node", F.lit(depth)), F.lit(PIVOTS))
             pivots = written(large.where("not ball").groupBy("cell", salt.alias("salt")).agg(F.min("node").alias("pivot")).select("cell", "pivot"), "pivots")
             seen = large.join(pivots, "cell")
-            pairs = pairs.unionByName(seen.where("node != pivot").select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")))
-        measured = written(_measured(written(pairs.distinct(), "pairs"), docs, reps, n), "measured")
-        links.append(measured.where(100 * F.col("both") >= percent * (F.col("na") + F.col("nb") - F.col("both"))).select("a", "b"))
+            to_pivots = seen.where("node != pivot").select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b"))
+        maybe.append(written(_alike(pairs.distinct(), nodes, percent), "pairs"))
         if not deeper:
             break
+        measured = written(_measured(written(to_pivots.distinct(), "to-pivots"), docs, reps, n), "measured")
+        links.append(_linked(measured, percent))
         away = measured.select("a", "b", (1 - F.col("both") / (F.col("na") + F.col("nb") - F.col("both"))).alias("dist"))
         far = seen.withColumns({"a": F.least("node", "pivot"), "b": F.greatest("node", "pivot")}).join(away, ["a", "b"], "left")
         far = far.withColumn("dist", F.when(F.col("node") == F.col("pivot"), 0.0).otherwise(F.coalesce("dist", F.lit(1.0))))
         near = far.groupBy("cell", "node", "size", "pos").agg(F.min("dist").alias("least"), F.collect_list(F.struct("pivot", "dist")).alias("to"))
         near = near.select("*", F.explode("to").alias("p")).where(F.col("p.dist") <= F.col("least") + 2 * eps + 1e-9)
         cells = written(near.select(F.xxhash64("cell", "p.pivot").alias("cell"), "node", "size", "pos", F.col("p.dist").alias("d"), (F.col("p.dist") <= eps + 1e-12).alias("ball")), "regions")
-    out = links[0]
-    for more in links[1:]:
+    return _classes(_union(links) if links else None, _union(maybe).distinct(), docs, reps, n, percent)
+
+
+def _union(parts: list[DataFrame]) -> DataFrame:
+    out = parts[0]
+    for more in parts[1:]:
         out = out.unionByName(more)
-    return out.distinct()
+    return out
+
+
+def _linked(measured: DataFrame, percent: int) -> DataFrame:
+    return measured.where(100 * F.col("both") >= percent * (F.col("na") + F.col("nb") - F.col("both"))).select("a", "b")
+
+
+def _alike(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """Pairs whose parity bits differ in no more places than linked sets may."""
+    one = pairs.join(nodes.select(F.col("node").alias("a"), F.col("bits").alias("x"), F.col("size").alias("na")), "a")
+    two = one.join(nodes.select(F.col("node").alias("b"), F.col("bits").alias("y"), F.col("size").alias("nb")), "b")
+    differ = F.aggregate(F.zip_with("x", "y", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda a, x: a + x)
+    return two.where((100 + percent) * differ <= (100 - percent) * (F.col("na") + F.col("nb"))).select("a", "b")
+
+
+def _classes(links: DataFrame | None, maybe: DataFrame, docs: DataFrame, reps: DataFrame, n: int, percent: int) -> DataFrame:
+    """``node, component`` of all links: those given and those among the pairs ``maybe``."""
+    maybe = written(maybe, "maybe")
+    while True:
+        named = written(components(links), "classes") if links is not None else None
+        if named is not None:
+            one = maybe.join(named.select(F.col("node").alias("a"), F.col("component").alias("ca")), "a", "left")
+            two = one.join(named.select(F.col("node").alias("b"), F.col("component").alias("cb")), "b", "left")
+            maybe = written(two.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b"), "maybe")
+        if maybe.isEmpty():
+            return named if named is not None else maybe.select(F.col("a").alias("node"), F.col("b").alias("component"))
+        ends = maybe.unionByName(maybe.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        first = ends.groupBy("a").agg(F.min("b").alias("b")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        first = written(first, "first")
+        found = written(_linked(_measured(first, docs, reps, n), percent), "links")
+        maybe = written(maybe.join(first, ["a", "b"], "left_anti"), "maybe")
+        links = found if links is None else links.unionByName(found)
 
 
 def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 3, percent: int = 90) -> DataFrame:
@@ -223,13 +274,13 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     one class. ``key`` is a hash of the text. Other columns are ignored. Rows of an empty table: none.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc"), text_key(F.col(text_col)).alias("key"), F.col(text_col).alias("text"))
-    signs = written(rows.mapInArrow(_signer(n), "doc long, key long, size int, node long, proof long, gram long, n long"), "signs")
+    signs = written(rows.mapInArrow(_signer(n), "doc long, key long, size int, node long, proof long, bits array<long>, gram long, n long"), "signs")
     own = signs.where(F.col("gram").isNull())
-    nodes = own.where("size > 0").groupBy("node").agg(F.min("doc").alias("least"), F.min("proof").alias("lo"), F.max("proof").alias("hi"))
+    nodes = own.where("size > 0").groupBy("node").agg(F.max("size").alias("size"), F.min("doc").alias("least"), F.min("proof").alias("lo"), F.max("proof").alias("hi"), F.min("bits").alias("bits"))
     nodes = written(nodes, "nodes")
     if not nodes.where("lo != hi").isEmpty():
         raise ValueError("two different shingle sets share a 64-bit hash")
-    parts = components(jaccard_links(rows.select("doc", "text"), signs, n, percent))
+    parts = linked_nodes(rows.select("doc", "text"), signs, nodes, n, percent)
     named = parts.join(nodes, "node").groupBy("component").agg(F.min("least").alias("name"))
     parts = parts.join(named, "component").select("node", "name")
     classes = nodes.join(parts, "node", "left").select("node", F.coalesce("name", "least").alias("name"))
