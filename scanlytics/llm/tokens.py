@@ -14,7 +14,7 @@ import re
 
 import numpy as np
 
-CACHE_PIECES = 400_000
+CACHE_PIECES = 1_200_000  # about 250 MB a worker
 _GROUP = 2000
 _WHOLE = re.compile(r" (?:\s|\Z)")
 _MADE: dict[str, Encoder] = {}
@@ -38,10 +38,10 @@ class Encoder:
         return [np.array(e.ids, self.kind) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _learn(self, cache: dict[str, bytes], wanted: set[str], before: str) -> None:
-        new = [p for p in wanted if p not in cache]
+        new = wanted.difference(cache)
         if len(cache) + len(new) > CACHE_PIECES:
             cache.clear()
-            new = list(wanted)
+            new = wanted
         plain = [p for p in new if p.split() == [p]]
         for a in range(0, len(plain), _GROUP):
             group = plain[a : a + _GROUP]
@@ -62,9 +62,10 @@ class Encoder:
             return [x.tobytes() for x in self._raw(texts)]
         cut = [None if _WHOLE.search(t) else t.split(" ") for t in texts]
         whole = iter(self._raw([t for t, p in zip(texts, cut, strict=True) if p is None]))
-        self._learn(self.leading, {p[0] for p in cut if p}, "")
-        self._learn(self.inner, set().union(*[p[1:] for p in cut if p]), " ")
-        return [next(whole).tobytes() if p is None else self.leading[p[0]] + b"".join(map(self.inner.__getitem__, p[1:])) for p in cut]
+        first = [p.pop(0) if p else None for p in cut]
+        self._learn(self.leading, {x for x in first if x is not None}, "")
+        self._learn(self.inner, set().union(*[p for p in cut if p]), " ")
+        return [next(whole).tobytes() if p is None else self.leading[x] + b"".join(map(self.inner.__getitem__, p)) for x, p in zip(first, cut, strict=True)]
 
 
 def encoder(path: str) -> Encoder:
