@@ -61,3 +61,39 @@ def test_attempt_cases(spark):
     assert labels(E.STARTED, E.STOPPED, E.COMPLETED) == [("CLEAN", 1)]
     assert labels(E.STARTED, E.CANCELLED, "roomScanError") == [("CANCELLED", 0)]
     assert labels("roomScanError", E.STARTED, E.REINIT, E.COMPLETED) == [("RECOVERED", 0)]
+
+
+def test_polygon_cases(spark):
+    from pyspark.sql import functions as F
+
+    from scanlytics.functions import geometry as G
+
+    square = [(0.0, 1.0, 0.0), (0.0, 1.0, 2.0), (2.0, 1.0, 2.0), (2.0, 1.0, 0.0)]
+    rows = [(0, square), (1, square[:2]), (2, []), (3, None), (4, [square[0]] * 4)]
+    c = F.col("c")
+    df = spark.createDataFrame(rows, "i int, c array<struct<x:double,y:double,z:double>>")
+    out = df.select("i", G.area_xz(c), G.area_3d(c), G.unit_normal(c)["y"], G.high(c), G.net_area(c, F.array(c, c))).orderBy("i").collect()
+    assert [tuple(r)[1:] for r in out] == [(4.0, 4.0, 1.0, 1.0, 0.0), (0.0, 0.0, None, 1.0, 0.0), (0.0, 0.0, None, None, 0.0), (0.0, 0.0, None, None, 0.0), (0.0, 0.0, None, 1.0, 0.0)]
+
+
+def test_locator_cases(spark):
+    from pyspark.sql import functions as F
+
+    from scanlytics.functions import geometry as G
+
+    df = spark.createDataFrame([(0, "a::wall::1:2"), (1, "a::wall::"), (2, "a::wall"), (3, ""), (4, None), (5, "a::b::c::d:e")], "i int, t string")
+    out = df.select(G.locator_kind(F.col("t")), G.locator_parts(F.col("t"))).collect()
+    assert [tuple(r) for r in out] == [("wall", ["1", "2"]), ("wall", []), ("", []), ("", []), ("", []), ("b", ["c", "", "d", "e"])]
+
+
+def test_cutout_cases(spark):
+    from scanlytics.operators import surfaces as S
+
+    def upright(low, high):
+        return [(0.0, low, 0.0), (1.0, low, 0.0), (1.0, high, 0.0), (0.0, high, 0.0)]
+
+    rows = [("u", 0, "a", "wall", upright(0.0, 1.5), [upright(0.5, 2.0), upright(0.5, 1.5)]), ("u", 1, "b", "wall", None, None), ("u", 2, "c", "wall", upright(0.0, 1.0), [])]
+    polygon = "array<struct<x:double,y:double,z:double>>"
+    df = spark.createDataFrame(rows, f"uuid string, seq int, locator_id string, category string, corners {polygon}, openings array<{polygon}>")
+    assert [(r.seq, r.cutout, r.evidence) for r in S.cutouts_outside(df).collect()] == [(0, 0, 0.5)]
+    assert [r.seq for r in S.silent_drops(df).collect()] == [1]
