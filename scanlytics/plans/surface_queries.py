@@ -83,11 +83,11 @@ def f9(spark, sf_dir):
     return rows.select("uuid", "seq", "y_low", "y_high", "b.x0", F.round("b.x1", 6).alias("x1"), "b.z0", "b.z1")
 
 
-@query("f10_plane_heights", _SF + " SELECT uuid, seq, CASE WHEN b > 1e-6 THEN round(y + (3 - x0) * h / w + shift * size / w, 5) + 0.0 END AS y_at, CAST(round(shift, 6) AS DOUBLE) AS residual FROM pl")
+@query("f10_plane_heights", _SF + " SELECT uuid, seq, CASE WHEN b > 1e-6 THEN round(y + (3 - x0) * h / w + shift * size / w, 8) + 0.0 END AS y_at, CAST(round(shift, 6) AS DOUBLE) AS residual FROM pl")
 def f10(spark, sf_dir):
     p = F.col("plane")
     rows = surfaces(spark, sf_dir).where(p.isNotNull())
-    return rows.select("uuid", "seq", (F.round(G.plane_y_at(p, F.lit(3.0), F.lit(1.0)), 5) + 0.0).alias("y_at"), F.round(G.worst_residual(p, F.col("corners")), 6).alias("residual"))
+    return rows.select("uuid", "seq", (F.round(G.plane_y_at(p, F.lit(3.0), F.lit(1.0)), 8) + 0.0).alias("y_at"), F.round(G.worst_residual(p, F.col("corners")), 6).alias("residual"))
 
 
 _SLOPE = "CASE WHEN incl < 5 THEN 'nearly_flat' WHEN incl < 15 THEN 'shallow' WHEN incl < 60 THEN 'architectural' WHEN incl < 80 THEN 'steep' ELSE 'nearly_vertical' END"
