@@ -12,17 +12,17 @@ def _apart(axes: str, a: str = "a", b: str = "b") -> Column:
     return F.sqrt(sum(((F.col(f"{a}.{k}") - F.col(f"{b}.{k}")) ** 2 for k in axes), F.lit(0.0)))
 
 
-def session_pair_alignment(sessions: DataFrame) -> DataFrame:
-    """For each two sessions of a building: difference of mean yaw, distance of the nearest rooms and of the mean positions."""
+def session_pair_alignment(sessions: DataFrame, digits: int = 2) -> DataFrame:
+    """For each two sessions of a building: difference of mean yaw, distance of the nearest rooms and of the mean positions, rounded."""
     rows = sessions.select("uuid", "session", "x", "y", "z")
     a, b = rows.alias("a"), rows.alias("b")
     near = a.join(b, F.expr("a.uuid = b.uuid and a.session < b.session")).groupBy(F.col("a.uuid").alias("uuid"), F.col("a.session").alias("session_a"), F.col("b.session").alias("session_b"))
-    near = near.agg(F.round(F.min(_apart("xyz")), 2).alias("min_dist_m"))
+    near = near.agg(F.round(F.min(_apart("xyz")), digits).alias("min_dist_m"))
     mean = sessions.groupBy("uuid", "session").agg(*[F.avg(c).alias(c) for c in ("yaw", "x", "y", "z")])
     p, q = mean.alias("p"), mean.alias("q")
     both = near.alias("n").join(p, F.expr("n.uuid = p.uuid and n.session_a = p.session")).join(q, F.expr("n.uuid = q.uuid and n.session_b = q.session"))
     turn = F.abs(F.col("p.yaw") - F.col("q.yaw"))
-    return both.select("n.uuid", "session_a", "session_b", F.round(F.least(turn, 360 - turn), 2).alias("yaw_diff_deg"), "min_dist_m", F.round(_apart("xyz", "p", "q"), 2).alias("center_dist_m"))
+    return both.select("n.uuid", "session_a", "session_b", F.round(F.least(turn, 360 - turn), digits).alias("yaw_diff_deg"), "min_dist_m", F.round(_apart("xyz", "p", "q"), digits).alias("center_dist_m"))
 
 
 def shared_wall_disagreement(walls: DataFrame, move_m: float = 0.01, turn_deg: float = 0.5, most: int = 10) -> DataFrame:

@@ -29,11 +29,11 @@ _WALLS = f""", wp AS (SELECT a.uuid, CAST(a.x AS INTEGER) % 2 AS wall_id, a.seq
 wd AS (SELECT * FROM (SELECT uuid, wall_id, seq_a, seq_b, round(m, 4) AS move_m, round(least(t, 360 - t), 2) AS turn_deg, row_number() OVER (PARTITION BY uuid ORDER BY wall_id, seq_a, seq_b) AS place FROM wp WHERE m > 0.01 OR least(t, 360 - t) > 0.5) WHERE place <= 10)"""
 
 
-@query("c5_session_alignment", _SESSIONS + f""", n AS (SELECT a.uuid, a.session AS session_a, b.session AS session_b, round(min({_D3}), 2) AS min_dist_m FROM s a JOIN s b ON a.uuid = b.uuid AND a.session < b.session GROUP BY ALL),
+@query("c5_session_alignment", _SESSIONS + f""", n AS (SELECT a.uuid, a.session AS session_a, b.session AS session_b, round(min({_D3}), 6) AS min_dist_m FROM s a JOIN s b ON a.uuid = b.uuid AND a.session < b.session GROUP BY ALL),
 c AS (SELECT uuid, session, avg(yaw) AS yaw, avg(x) AS x, avg(y) AS y, avg(z) AS z FROM s GROUP BY uuid, session)
-SELECT n.*, round(least(abs(a.yaw - b.yaw), 360 - abs(a.yaw - b.yaw)), 2) AS yaw_diff_deg, round({_D3}, 2) AS center_dist_m FROM n JOIN c a ON n.uuid = a.uuid AND session_a = a.session JOIN c b ON n.uuid = b.uuid AND session_b = b.session""")
+SELECT n.*, round(least(abs(a.yaw - b.yaw), 360 - abs(a.yaw - b.yaw)), 6) AS yaw_diff_deg, round({_D3}, 6) AS center_dist_m FROM n JOIN c a ON n.uuid = a.uuid AND session_a = a.session JOIN c b ON n.uuid = b.uuid AND session_b = b.session""")
 def c5(spark, sf_dir):
-    return P.session_pair_alignment(_sessions(spark, sf_dir))
+    return P.session_pair_alignment(_sessions(spark, sf_dir), digits=6)
 
 
 @query("c6_wall_disagreement", _ROOMS + _WALLS + " SELECT uuid, wall_id, seq_a, seq_b, move_m, turn_deg FROM wd")

@@ -97,3 +97,22 @@ def test_cutout_cases(spark):
     df = spark.createDataFrame(rows, f"uuid string, seq int, locator_id string, category string, corners {polygon}, openings array<{polygon}>")
     assert [(r.seq, r.cutout, r.evidence) for r in S.cutouts_outside(df).collect()] == [(0, 0, 0.5)]
     assert [r.seq for r in S.silent_drops(df).collect()] == [1]
+
+
+def test_upper_quartile_cases(spark):
+    import statistics
+
+    from scanlytics.operators import reports as T
+
+    groups = {"a": [3, 1, 2, 10, 7, 7], "b": [5, 1], "c": [4], "d": [1, 2, 3, 4, 5], "e": [2, 2, 2, 9, 1, 1, 1, 1]}
+    df = spark.createDataFrame([(k, v) for k, vs in groups.items() for v in vs] + [("a", None), (None, 1)], "label string, v int")
+    out = {r.label: (r.n, r["median"], r.p75) for r in T.compare_numbers(df, "label", "v").collect()}
+    assert out == {k: (len(v), statistics.median(v), statistics.quantiles(v, n=4)[2] if len(v) > 4 else max(v)) for k, v in groups.items()}
+
+
+def test_tier_cases(spark):
+    from scanlytics.operators import surfaces as S
+
+    rows = [(1, 0, 2, None, None), (4, 0, 0, False, False), (2, 0, 0, True, True), (2, 2, 0, False, True), (2, 2, 1, False, True), (1, 1, 0, False, True), (2, 3, 1, True, False)]
+    df = spark.createDataFrame(rows, "n_stories int, n_oblique int, n_flat int, has_half_height boolean, has_gable boolean")
+    assert [r.tier for r in S.building_tier(df).collect()] == [1, 8, 4, 6, 7, 5, 8]
