@@ -173,9 +173,9 @@ def plan(histogram: dict[int, int], capacity: int = 1024, groups: int = GROUPS)
     return rows
 
 
-def _cutter(tokenizer: str, end_id: int, capacity: int, with_ids: bool):
+def _cutter(tokenizer: str, end_id: int, capacity: int, with_ids: bool, added_tokens: bool):
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tool = encoder(tokenizer)
+        tool = encoder(tokenizer, added_tokens)
         end = np.array([end_id], tool.kind).tobytes()
         schema = _PIECES.append(pa.field("ids", pa.list_(pa.int64()))) if with_ids else _PIECES
         for batch in pieces(batches, "text", SLICE_BYTES):
@@ -191,11 +191,11 @@ def _cutter(tokenizer: str, end_id: int, capacity: int, with_ids: bool):
     return cut
 
 
-def token_pieces(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 2, capacity: int = 1024, with_ids: bool = False) -> DataFrame:
-    """Pieces ``doc, key, piece, start, length, ids_crc32`` of at most ``capacity`` ids; of a longer text the first may be shorter."""
+def token_pieces(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 2, capacity: int = 1024, with_ids: bool = False, added_tokens: bool = False) -> DataFrame:
+    """Pieces ``doc, key, piece, start, length, ids_crc32`` of at most ``capacity`` ids; of a longer text the first may be shorter. ``added_tokens`` as in ``Encoder``."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc"), text_key(F.col(text_col)).alias("key"), F.col(text_col).alias("text"))
     kind = "doc long, key long, piece int, start long, length long, ids_crc32 long" + ", ids array<long>" * with_ids
-    return rows.mapInArrow(_cutter(tokenizer, end_id, capacity, with_ids), kind)
+    return rows.mapInArrow(_cutter(tokenizer, end_id, capacity, with_ids, added_tokens), kind)
 
 
 def pack(cut: DataFrame, capacity: int = 1024, groups: int = GROUPS) -> DataFrame:
@@ -221,9 +221,9 @@ def pack(cut: DataFrame, capacity: int = 1024, groups: int = GROUPS) -> DataFram
     return placed.select(*[F.col(f"p.{c}") for c in cut.columns], (F.col("t.__base") + F.col("p.__rank") - F.col("t.__lo")).alias("sequence_id"), F.col("t.offset").alias("offset"))
 
 
-def pack_documents(docs: DataFrame, tokenizer: str, end_id: int = 2, capacity: int = 1024, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer: str, end_id: int = 2, capacity: int = 1024, id_col: str = "doc_id", text_col: str = "text", added_tokens: bool = False) -> DataFrame:
     """Cuts and packs all texts (null: empty): ``doc, piece, start, length, ids_crc32, sequence_id, offset``."""
-    cut = written(token_pieces(docs, tokenizer, id_col, text_col, end_id, capacity), "pieces")
+    cut = written(token_pieces(docs, tokenizer, id_col, text_col, end_id, capacity, added_tokens=added_tokens), "pieces")
     return pack(cut, capacity).select("doc", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 

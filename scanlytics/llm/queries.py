@@ -49,7 +49,7 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The life of a corpus in batches: inserts by part, one of them sent twice; counts revised for an end
     token; and deletes of exact copies of a document with a smaller id. Returns the totals."""
     docs = _read(spark, sf_dir, "documents").select("doc_id", "source", "lang", text_key(F.col("text")).alias("key"), "text")
-    counted = written(token_counts.count_tokens(docs, public_tokenizer()), "counts")
+    counted = written(token_counts.count_tokens(docs, public_tokenizer(), added_tokens=True), "counts")
     rollup = token_counts.TokenRollup(spark)
     for part in (0, 1, 2, 3, 1):
         rollup.commit(f"load-{part}", token_counts.inserts(counted.where(F.pmod("doc_id", F.lit(4)) == part), VERSION))
@@ -62,7 +62,7 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = token_records.tokenized_files(_read(spark, sf_dir, "documents"), public_tokenizer())
+    out = token_records.tokenized_files(_read(spark, sf_dir, "documents"), public_tokenizer(), added_tokens=True)
     return out.select(F.col("doc").alias("doc_id"), "start", "n_tokens", "ids_crc32")
 
 
@@ -77,7 +77,7 @@ def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = packing.pack_documents(_read(spark, sf_dir, "documents"), public_tokenizer())
+    out = packing.pack_documents(_read(spark, sf_dir, "documents"), public_tokenizer(), added_tokens=True)
     return out.select(F.col("doc").alias("doc_id"), "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 

@@ -27,11 +27,11 @@ SLICE_BYTES = 2 << 20
 _DELTA = "source string, lang string, tokenizer string, n_docs long, n_tokens long"
 
 
-def _counter(tokenizer: str, others: list[str], column: str):
+def _counter(tokenizer: str, others: list[str], column: str, added_tokens: bool):
     size = encoder
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tool = size(tokenizer)
+        tool = size(tokenizer, added_tokens)
         for batch in pieces(batches, column, SLICE_BYTES):
             n = [len(x) // tool.kind.itemsize for x in tool.encode([t or "" for t in batch.column(column).to_pylist()])]
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in others], pa.array(n, pa.int64())], names=[*others, "n_tokens"])
@@ -39,11 +39,11 @@ def _counter(tokenizer: str, others: list[str], column: str):
     return count
 
 
-def count_tokens(docs: DataFrame, tokenizer: str, text_col: str = "text") -> DataFrame:
-    """All columns but the text, and ``n_tokens`` of it (null: 0)."""
+def count_tokens(docs: DataFrame, tokenizer: str, text_col: str = "text", added_tokens: bool = False) -> DataFrame:
+    """All columns but the text, and ``n_tokens`` of it (null: 0); ``added_tokens`` as in ``Encoder``."""
     others = [c for c in docs.columns if c != text_col]
     kind = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in others)
-    return docs.mapInArrow(_counter(tokenizer, others, text_col), f"{kind}, n_tokens long")
+    return docs.mapInArrow(_counter(tokenizer, others, text_col, added_tokens), f"{kind}, n_tokens long")
 
 
 def _fs(spark: SparkSession, path: str):

@@ -68,9 +68,9 @@ def _filesystem(path: str):
     return FileSystem.from_uri(path if "://" in path or path.startswith("file:") else f"file://{path}")
 
 
-def _writer(tokenizer: str, end_id: int, path: str):
+def _writer(tokenizer: str, end_id: int, path: str, added_tokens: bool):
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tool, context = encoder(tokenizer), TaskContext.get()
+        tool, context = encoder(tokenizer, added_tokens), TaskContext.get()
         part, attempt = context.partitionId(), context.taskAttemptId()
         store, base = _filesystem(path)
         end, out, name, at, number, rows = np.array([end_id], tool.kind).tobytes(), None, "", 0, 0, []
@@ -103,15 +103,16 @@ def _writer(tokenizer: str, end_id: int, path: str):
     return write
 
 
-def write_token_records(docs: DataFrame, tokenizer: str, path: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 0) -> DataFrame:
+def write_token_records(docs: DataFrame, tokenizer: str, path: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 0, added_tokens: bool = False) -> DataFrame:
     """Writes the ids of every text, and ``end_id`` after each, in ascending order of the ids of the documents; returns the index.
 
     Null texts are empty, null ids come first, rows of one id are ordered by a hash of their texts,
     and equal rows are each written. Other columns are ignored; an empty table writes no file.
+    ``added_tokens`` as in ``Encoder``.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc"), text_key(F.col(text_col)).alias("key"), F.col(text_col).alias("text"))
     rows = rows.repartitionByRange(shuffle_partitions(docs.sparkSession), "doc", "key").sortWithinPartitions("doc", "key")
-    index = rows.select("doc", "text").mapInArrow(_writer(tokenizer, end_id, f"{path}/data"), "part int, file string, offset long, size long, doc long")
+    index = rows.select("doc", "text").mapInArrow(_writer(tokenizer, end_id, f"{path}/data", added_tokens), "part int, file string, offset long, size long, doc long")
     index.write.parquet(f"{path}/index")
     return read_index(docs.sparkSession, path)
 
@@ -159,7 +160,7 @@ def with_starts(records: DataFrame) -> DataFrame:
     return records.join(before, ["part", "file"]).withColumn("start", F.col("base") + F.coalesce(F.sum("n_tokens").over(inside), F.lit(0)))
 
 
-def tokenized_files(docs: DataFrame, tokenizer: str, path: str | None = None) -> DataFrame:
+def tokenized_files(docs: DataFrame, tokenizer: str, path: str | None = None, added_tokens: bool = False) -> DataFrame:
     """Writes ``docs``, reads the files back: ``doc, start, n_tokens, ids_crc32``."""
     path = path or new_path(docs.sparkSession, "token-records")
-    return with_starts(read_token_records(write_token_records(docs, tokenizer, path), path)).select("doc", "start", "n_tokens", "ids_crc32")
+    return with_starts(read_token_records(write_token_records(docs, tokenizer, path, added_tokens=added_tokens), path)).select("doc", "start", "n_tokens", "ids_crc32")

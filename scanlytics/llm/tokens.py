@@ -4,7 +4,8 @@ Byte-level BPE cuts a text into pre-tokens and encodes each alone. A pre-token
 never goes on across a space that a non-space follows (that space begins the
 next one), so texts are cut there, each distinct piece is encoded once by the
 library, and the ids are put together again. Texts with a space that white
-space or nothing follows are encoded whole.
+space or nothing follows, or with the string of an added token, are encoded
+whole.
 """
 
 from __future__ import annotations
@@ -17,18 +18,21 @@ import numpy as np
 CACHE_PIECES = 1_200_000  # about 250 MB a worker
 _GROUP = 2000
 _WHOLE = re.compile(r" (?:\s|\Z)")
-_MADE: dict[str, Encoder] = {}
+_MADE: dict[tuple[str, bool], Encoder] = {}
 
 
 class Encoder:
-    def __init__(self, path: str) -> None:
+    """With ``added_tokens`` the string of a special token in a text becomes its id, as in the library; without, it is ordinary text."""
+
+    def __init__(self, path: str, added_tokens: bool = False) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.tokenizer.encode_special_tokens = not added_tokens
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values() if added_tokens or not t.special]
         self.kind = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
-        self.byte_level = '"ByteLevel"' in self.tokenizer.to_str()[:20000] and self.tokenizer.normalizer is None
+        self.byte_level = '"ByteLevel"' in self.tokenizer.to_str()[:20000] and self.tokenizer.normalizer is None and all(t.split() == [t] for t in self.added)
         line = self._raw(["\n"])[0]
         self.line = int(line[0]) if len(line) == 1 else None
         self.inner: dict[str, bytes] = {}
@@ -60,7 +64,7 @@ class Encoder:
         """Ids of each text as little-endian integers of ``kind``."""
         if self.line is None or not self.byte_level:
             return [x.tobytes() for x in self._raw(texts)]
-        cut = [None if _WHOLE.search(t) else t.split(" ") for t in texts]
+        cut = [None if _WHOLE.search(t) or any(a in t for a in self.added) else t.split(" ") for t in texts]
         whole = iter(self._raw([t for t, p in zip(texts, cut, strict=True) if p is None]))
         first = [p.pop(0) if p else None for p in cut]
         self._learn(self.leading, {x for x in first if x is not None}, "")
@@ -68,11 +72,11 @@ class Encoder:
         return [next(whole).tobytes() if p is None else self.leading[x] + b"".join(map(self.inner.__getitem__, p)) for x, p in zip(first, cut, strict=True)]
 
 
-def encoder(path: str) -> Encoder:
+def encoder(path: str, added_tokens: bool = False) -> Encoder:
     """One per worker process; it is kept between tasks."""
-    if path not in _MADE:
-        _MADE[path] = Encoder(path)
-    return _MADE[path]
+    if (path, added_tokens) not in _MADE:
+        _MADE[path, added_tokens] = Encoder(path, added_tokens)
+    return _MADE[path, added_tokens]
 
 
 def public_tokenizer(name: str = "byte_bpe_50k.json") -> str:
