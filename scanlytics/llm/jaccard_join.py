@@ -169,10 +169,10 @@ def _near(percent: int) -> Column:
 
 def _measured(pairs: DataFrame, docs: DataFrame, reps: DataFrame, n: int) -> DataFrame:
     """Pairs ``a, b`` with ``na, nb, both``: sizes of the sets and of their intersection."""
-    wanted = written(pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct().join(reps, "node").select("node", "doc"), "wanted")
+    wanted = written(pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct().join(reps, "node").select("node", "ref"), "wanted")
     few = wanted.count() <= SEND_NODES
-    ids = wanted.select("doc")
-    texts = docs.join(F.broadcast(ids) if few else ids, "doc", "left_semi")
+    refs = wanted.select("ref")
+    texts = docs.join(F.broadcast(refs) if few else refs, "ref", "left_semi")
     sets = texts.select("text").mapInArrow(_lister(n), "node long, grams array<long>").join(F.broadcast(wanted.select("node")) if few else wanted.select("node"), "node", "left_semi")
     sets = written(sets, "sets").dropDuplicates(["node"])
     one = pairs.join(sets.select(F.col("node").alias("a"), F.col("grams").alias("ga")), "a")
@@ -183,14 +183,14 @@ def _measured(pairs: DataFrame, docs: DataFrame, reps: DataFrame, n: int) -> Dat
 def linked_nodes(docs: DataFrame, signs: DataFrame, nodes: DataFrame, n: int, percent: int) -> DataFrame:
     """``node, component`` of every node with a link: exactly what all links connect.
 
-    ``docs`` has ``doc, text``; ``signs`` is the table of ``_signer``; ``nodes`` has each node's ``least`` document, ``size`` and ``bits``.
+    ``docs`` has ``ref, text``; ``signs`` is the table of ``_signer``; ``nodes`` has the ``ref`` of a text of each node, ``size`` and ``bits``.
     """
     spark = docs.sparkSession
     frequent = signs.where(F.col("gram").isNotNull()).groupBy("gram").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "gram").limit(FREQUENT_KEPT).toArrow()
     gram, count = frequent.column("gram").to_numpy().astype(np.int64).view(np.uint64), frequent.column("n").to_numpy().astype(np.int64)
     order = np.argsort(gram)
     last = spark.sparkContext.broadcast((gram[order], count[order]))
-    reps = nodes.select("node", F.col("least").alias("doc"))
+    reps = nodes.select("node", "ref")
 
     members = docs.select("text").mapInArrow(_spreader(n, percent, last), "cell long, node long, size int, pos int")
     live = members.groupBy("cell").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi").select("cell")
@@ -263,26 +263,30 @@ def _classes(links: DataFrame | None, maybe: DataFrame, docs: DataFrame, reps: D
 
 
 def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 3, percent: int = 90) -> DataFrame:
-    """One row per document: ``doc, key, n_shingles, component``.
+    """One row per document: ``doc, key, n_shingles, component, group``.
 
     Texts are lower-cased (A-Z) and cut into words ``[^\\x20\\x09-\\x0D]+``; a set holds the distinct
     ``n``-word shingles (a shorter text is one shingle). Sets are linked where
     100 * intersection >= ``percent`` * union; ``component`` is the least id reachable by links.
 
     Null and blank texts have no shingles, are linked with nothing and form a class of their own.
-    A null id never names a class; a class of nothing else is named null. Equal rows fall into
-    one class. ``key`` is a hash of the text. Other columns are ignored. Rows of an empty table: none.
+    A null id never names a class; a class of nothing else is named null. ``group`` tells such classes
+    apart too (null for texts without shingles). Equal rows fall into one class. ``key`` is a hash of the text. Other columns are ignored. Rows of an empty table: none.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc"), text_key(F.col(text_col)).alias("key"), F.col(text_col).alias("text"))
     signs = written(rows.mapInArrow(_signer(n), "doc long, key long, size int, node long, proof long, bits array<long>, gram long, n long"), "signs")
     own = signs.where(F.col("gram").isNull())
-    nodes = own.where("size > 0").groupBy("node").agg(F.max("size").alias("size"), F.min("doc").alias("least"), F.min("proof").alias("lo"), F.max("proof").alias("hi"), F.min("bits").alias("bits"))
+    nodes = own.where("size > 0").groupBy("node").agg(F.max("size").alias("size"), F.min("doc").alias("least"), F.min("proof").alias("lo"), F.max("proof").alias("hi"), F.min("bits").alias("bits"), F.coalesce(F.min("doc"), F.min("key")).alias("ref"))
     nodes = written(nodes, "nodes")
     if not nodes.where("lo != hi").isEmpty():
         raise ValueError("two different shingle sets share a 64-bit hash")
-    parts = linked_nodes(rows.select("doc", "text"), signs, nodes, n, percent)
+    texts = rows.select(F.coalesce("doc", "key").alias("ref"), "text")  # more than the wanted text may have a ref, never less
+    if not nodes.where("least is null").isEmpty():  # copies without an id share a ref: one of each
+        unnamed = written(rows.where("doc is null").select(F.col("key").alias("ref"), "text").distinct(), "unnamed")
+        texts = rows.where("doc is not null").select(F.col("doc").alias("ref"), "text").unionByName(unnamed)
+    parts = linked_nodes(texts, signs, nodes, n, percent)
     named = parts.join(nodes, "node").groupBy("component").agg(F.min("least").alias("name"))
-    parts = parts.join(named, "component").select("node", "name")
-    classes = nodes.join(parts, "node", "left").select("node", F.coalesce("name", "least").alias("name"))
+    parts = parts.join(named, "component").select("node", "name", "component")
+    classes = nodes.join(parts, "node", "left").select("node", F.coalesce("name", "least").alias("name"), F.coalesce("component", "node").alias("group"))
     out = own.join(classes, "node", "left")
-    return out.select("doc", "key", F.col("size").cast("long").alias("n_shingles"), F.when(F.col("size") > 0, F.col("name")).otherwise(F.col("doc")).alias("component"))
+    return out.select("doc", "key", F.col("size").cast("long").alias("n_shingles"), F.when(F.col("size") > 0, F.col("name")).otherwise(F.col("doc")).alias("component"), "group")

@@ -8,6 +8,7 @@ import pytest
 import corpus_pipeline
 from scanlytics.llm import queries
 from scanlytics.llm.tokens import Encoder, public_tokenizer
+from tests.llm.test_jaccard_join import brute, ours
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -41,3 +42,19 @@ def test_added_tokens_are_encoded_as_by_the_library(spark, tmp_path, library):
     for out in (queries.op10_best_fit_packing(spark, d), corpus_pipeline.packed(spark, spark.read.parquet(f"{d}/documents.parquet"), d)):
         assert [r.ids_crc32 for r in out.orderBy("doc_id").collect()] == crcs
     assert [r.n_tokens for r in queries.op6_token_counts(spark, d).collect()] == [sum(len(library(t)) + 1 for t in texts)]
+
+
+def test_near_copies_without_an_id_are_linked(spark):
+    def near(k):  # a chain: only neighbours are linked
+        return " ".join(f"{'x' if i < 2 * k + 2 else 'w'}{i}" for i in range(80))
+
+    def alone(k):
+        return " ".join(f"y{i}" for i in range(80)) + f" z{k}" * (k > 0)
+
+    rows = [(1, near(0)), (None, near(1)), (2, near(2)), (None, near(3)), (None, alone(0)), (None, alone(1)), (None, alone(1)), (3, "other text here"), (None, ""), (None, None)]
+    assert ours(spark, rows, 3, 90) == brute(rows, 3, 90)
+    assert [r[2] for r in ours(spark, rows[:4], 3, 90)] == [1] * 4
+    docs = spark.createDataFrame([(d, t, "en", "s", 1) for d, t in rows], DOCS)
+    kept = [(r.doc_id, r.text) for r in corpus_pipeline.one_of_each_class(spark, docs, "").collect()]
+    assert sorted(x for x in kept if x[0] is not None) == [(1, near(0)), (3, "other text here")]
+    assert sum("y1 " in (t or "") for _, t in kept) == 1 and len(kept) == 5
