@@ -47,15 +47,15 @@ def op5_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The life of a corpus in batches: inserts by part, one of them sent twice; counts revised for an end
-    token; and deletes of exact copies of a document with a smaller id. Returns the totals."""
-    docs = _read(spark, sf_dir, "documents").select("doc_id", "source", "lang", text_key(F.col("text")).alias("key"), "text")
+    token; and deletes of exact copies of a document with a smaller id. Null texts are no copies. Returns the totals."""
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "source", "lang", F.when(F.col("text").isNotNull(), text_key(F.col("text"))).alias("key"), "text")
     counted = written(token_counts.count_tokens(docs, public_tokenizer(), added_tokens=True), "counts")
     rollup = token_counts.TokenRollup(spark)
     for part in (0, 1, 2, 3, 1):
         rollup.commit(f"load-{part}", token_counts.inserts(counted.where(F.pmod("doc_id", F.lit(4)) == part), VERSION))
     rollup.commit("load-unnamed", token_counts.inserts(counted.where("doc_id is null"), VERSION))
     rollup.commit("end-token", token_counts.revisions(counted.withColumn("new_tokens", F.col("n_tokens") + 1), VERSION))
-    first = counted.groupBy("key").agg(F.min("doc_id").alias("first"))
+    first = counted.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("first"))
     copies = counted.join(first.select(F.col("first").alias("doc_id")), "doc_id", "left_anti").where("doc_id is not null and key is not null")
     rollup.commit("copies", token_counts.deletes(copies.withColumn("n_tokens", F.col("n_tokens") + 1), VERSION))
     return rollup.totals()

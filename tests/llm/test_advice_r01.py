@@ -58,3 +58,9 @@ def test_near_copies_without_an_id_are_linked(spark):
     kept = [(r.doc_id, r.text) for r in corpus_pipeline.one_of_each_class(spark, docs, "").collect()]
     assert sorted(x for x in kept if x[0] is not None) == [(1, near(0)), (3, "other text here")]
     assert sum("y1 " in (t or "") for _, t in kept) == 1 and len(kept) == 5
+
+
+def test_null_texts_are_no_copies(spark, tmp_path, library):
+    rows = [(1, None, "en", "s", 0), (2, None, "en", "s", 0), (None, None, "en", "s", 0), (3, "a b", "en", "s", 3), (4, "a b", "en", "s", 3), (4, None, "en", "s", 0)]
+    got = queries.op6_token_counts(spark, table(spark, tmp_path, rows)).collect()
+    assert [(r.n_docs, r.n_tokens) for r in got] == [(5, 5 + len(library("a b")))]
