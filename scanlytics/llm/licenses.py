@@ -87,8 +87,9 @@ FAMILIES = [
     ("proprietary", "proprietary", r"proprietary and confidential|confidential and proprietary", []),
 ]
 _BEFORE = r"(?:licen[cs]ed|released|distributed|available|published|provided|covered) under (?:the )?(?:terms of (?:the )?)?"
+_BETWEEN = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 # what a text must hold to be looked at: one of the words that every rule and base phrase needs
-GATE = r"(?i)licen[cs]e|cc0|cc[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+by|creative|public[\x00-\x2F]+domain|rights|proprietary|same[\x00-\x2F]+terms|spdx|mulan|rail|bsd|no[\x00-\x2F]+attribution"
+GATE = rf"(?i)licen[cs]e|cc0|cc{_BETWEEN}by|creative|public{_BETWEEN}domain|rights|proprietary|same{_BETWEEN}terms|spdx|mulan|rail|bsd|no{_BETWEEN}attribution"
 
 
 def rules() -> list[tuple[int, str, str, str, int]]:

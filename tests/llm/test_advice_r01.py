@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
-from scanlytics.llm import queries
+from scanlytics.llm import licenses, queries
 from scanlytics.llm.tokens import Encoder, public_tokenizer
 from tests.llm.test_jaccard_join import brute, ours
 
@@ -64,3 +64,11 @@ def test_null_texts_are_no_copies(spark, tmp_path, library):
     rows = [(1, None, "en", "s", 0), (2, None, "en", "s", 0), (None, None, "en", "s", 0), (3, "a b", "en", "s", 3), (4, "a b", "en", "s", 3), (4, None, "en", "s", 0)]
     got = queries.op6_token_counts(spark, table(spark, tmp_path, rows)).collect()
     assert [(r.n_docs, r.n_tokens) for r in got] == [(5, 5 + len(library("a b")))]
+
+
+def test_license_gate_takes_every_separator(spark):
+    words = [c for c in map(chr, range(128)) if not c.isalnum()]
+    phrases = {"in the public{}domain": "public-domain", "same{}terms as perl itself": "perl", "mit no{}attribution": "mit-0"}
+    rows = [(i, p.format(c), x) for i, (c, (p, x)) in enumerate((c, px) for c in words for px in phrases.items())]
+    got = {r.doc: r.labels for r in licenses.scan_licenses(spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")).collect()}
+    assert [r for r in rows if got[r[0]] != r[2]] == []
