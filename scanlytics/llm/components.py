@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from .shared import written
+from .shared import discard, written
+
+SALTS = 16  # the edges of one centre are dealt to so many tasks
 
 
 def _stars(edges: DataFrame, large: bool) -> DataFrame:
@@ -15,7 +17,8 @@ def _stars(edges: DataFrame, large: bool) -> DataFrame:
     else:
         near = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
     least = near.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-    both = near.join(least, "a")
+    salted = least.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    both = near.withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(SALTS)).cast("int")).join(salted, ["a", "salt"])
     if large:
         out = both.where(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b"))
     else:
@@ -25,13 +28,15 @@ def _stars(edges: DataFrame, large: bool) -> DataFrame:
 
 def components(edges: DataFrame) -> DataFrame:
     """``node, component``: every node of an edge and the least node it reaches. Edges are ``a, b``, in any order."""
-    edges = written(edges.where(F.col("a") != F.col("b")).select("a", "b").distinct(), "edges")
-    before = None
+    table, before = None, None
+    edges = edges.where(F.col("a") != F.col("b")).select("a", "b").distinct()
     while True:
-        state = edges.agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("a", "b")).alias("x")).first()
-        if before == tuple(state):
-            return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
-        before = tuple(state)
-        if not state["n"]:
-            continue
-        edges = written(_stars(_stars(edges, True), False), "edges")
+        seen = Observation()
+        following = written(edges.observe(seen, F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("a", "b")).alias("x")), "edges")
+        discard(table)
+        table, state = following, seen.get
+        if state == before or not state["n"]:
+            ends = table.select(F.col("a").alias("node"), F.col("b").alias("component"))
+            return ends.unionByName(table.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
+        before = state
+        edges = _stars(_stars(table, True), False)

@@ -1,31 +1,34 @@
 """Exact Jaccard join of word-shingle sets in their metric space, and its classes.
 
-d(A, B) = 1 - |A n B| / |A u B| is a metric. Unrelated documents all stand at a
-distance of about 1 from each other, so a few document pivots cannot divide a
-corpus: every document would be a boundary document of every region. Regions
-are therefore made in two steps.
+d(A, B) = 1 - |A n B| / |A u B| is a metric, and |A ^ B| (the symmetric difference)
+is another; sets are linked where (100 + p) |A ^ B| <= (100 - p) (|A| + |B|).
+Unrelated documents all stand at a distance of about 1 from each other, so a few
+document pivots cannot divide a corpus: every document would be a boundary
+document of every region. The pivots are therefore chosen as follows.
 
-1. Single shingles are the first pivots. d(A, {s}) is 1 - 1/|A| where s is in A
+1. The first pivots are single shingles: d(A, {s}) is 1 - 1/|A| where s is in A
    and 1 elsewhere; of the equally near pivots, a document's own region is that
-   of its first shingle in one global order (very frequent ones last). Two sets
-   within eps of each other can only miss each other in the regions of their
-   first few shingles, so a document is replicated to the regions of its first
-   |A| - ceil(t |A|) + 1 shingles and to no others.
-2. A region with many members is divided by document pivots into Voronoi
-   regions: a member goes to its nearest pivot's region and to every region
-   whose pivot is at most 2 eps further away; by the triangle inequality every
-   linked pair then meets in one region. Members within eps of the pivot are
-   linked through it and need no pairs among themselves; of the other pairs
-   only those whose distances to the pivot differ by at most eps are compared.
-   Large regions are divided again, with new pivots.
-
-Of the pairs that are left, those go whose 1024 parity bits (each the parity of
-the number of shingles hashed to it) differ in more places than the symmetric
-difference of linked sets may have: no linked pair is lost. The rest are
-verified on the whole sets, in rounds: every node's pair with its least
-neighbour, then again the pairs between classes that are still apart. So a round
-moves each set a few times at most, however dense a group is. Equal sets are one
-node throughout, so groups of copies never make pairs.
+   of its first shingle in one global order (very frequent ones last). Two linked
+   sets can only miss each other in the regions of their first few shingles, so a
+   document is replicated to the regions of its first |A| - ceil(t |A|) + 1
+   shingles and to no others (a prefix filter). Members of a region are compared
+   only inside the windows that their sizes (their distances to the empty set)
+   and their places in the order allow.
+2. A region of more than ``REGION`` members gets its median set c as its pivot: the
+   shingles of more than half of the members. With D = A ^ c, the distance to the
+   pivot is |D|. By the triangle inequality A and B are linked where
+   f(A) + f(B) <= 0 with f(A) = (100 + p) |D| - (100 - p) |A|: this ball round the
+   pivot is linked through its member of least f, without any pairs. All other
+   linked pairs share at least (f(A) + f(B)) / (2 (100 + p)) elements of their
+   D, so the region is divided again: the new pivots are the sets c ^ {e}, and a
+   member is replicated to those of its first few e, rarest in the region first.
+   This goes on until every region is small or all of it lies in a ball. It
+   ends: all members of the region of e have e in common, which the next pivot
+   takes out of every D.
+
+Small regions get the sets of their members, once each, and are joined whole in
+one task each, exactly. Equal sets are one node throughout, so groups of copies
+never make pairs.
 """
 
 from __future__ import annotations
@@ -36,22 +39,24 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .components import components
-from .shared import text_key, written
+from .shared import discard, text_key, written
 from .textops import LOWER, Words, grams, mix, pieces, runs
 
 SLICE_BYTES = 4 << 20
 LOCALLY_FREQUENT = 4  # shingles in this many sets of one slice are reported as frequent
 FREQUENT_KEPT = 200_000  # so many of the most frequent shingles come last in the order
-REGION_PAIRS = 1 << 20  # regions with more pairs than this are divided by document pivots
-PIVOTS = 8
-DEPTH = 2
-SEND_NODES = 500_000  # node lists up to this length are broadcast, longer ones are joined by shuffle
+REGION = 128  # regions with more members than this are divided again
+SEND_NODES = 1_000_000  # lists of wanted texts up to this length (8 bytes each) are broadcast, longer ones are joined by shuffle
+SEND_REGIONS = 10_000  # facts of so many divided regions are broadcast, of more joined by shuffle
 
-_SIGNS = pa.schema([("doc", pa.int64()), ("key", pa.int64()), ("size", pa.int32()), ("node", pa.int64()), ("proof", pa.int64()), ("bits", pa.list_(pa.int64())), ("gram", pa.int64()), ("n", pa.int64())])
-_CELLS = pa.schema([("cell", pa.int64()), ("node", pa.int64()), ("size", pa.int32()), ("pos", pa.int32())])
+_SIGNS = pa.schema([("doc", pa.int64()), ("key", pa.int64()), ("size", pa.int32()), ("node", pa.int64()), ("proof", pa.int64()), ("gram", pa.int64()), ("n", pa.int64())])
+_CELLS = pa.schema([("cell", pa.int64()), ("node", pa.int64()), ("at", pa.int64())])
+_PAIRS = pa.schema([("cell", pa.int64()), ("a", pa.int64()), ("b", pa.int64()), ("m", pa.int32())])
 _SETS = pa.schema([("node", pa.int64()), ("grams", pa.list_(pa.int64()))])
+_LINKS = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
 
 def _sets(words: Words, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -71,198 +76,280 @@ def _sets(words: Words, n: int) -> tuple[np.ndarray, np.ndarray]:
     return row[new], gram[new]
 
 
-def _nodes(row: np.ndarray, gram: np.ndarray, rows: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Per row: set size and two independent 64-bit hashes of the set."""
+def _nodes(row: np.ndarray, gram: np.ndarray, rows: int, bits: int, shared: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Per row: set size, a hash of the set, and an independent one that takes its place where ``shared`` has the first."""
     size = np.bincount(row, minlength=rows)
     first, second = np.zeros(rows, np.uint64), np.zeros(rows, np.uint64)
     np.add.at(first, row, mix(gram + np.uint64(1)))
     np.add.at(second, row, mix(gram ^ np.uint64(0xA5A5A5A5DEADBEEF)))
-    return size, mix(first + size.astype(np.uint64)).view(np.int64), mix(second).view(np.int64)
+    node, proof = (mix(first + size.astype(np.uint64)) >> np.uint64(64 - bits)).view(np.int64), mix(second).view(np.int64)
+    return size, np.where(np.isin(node, shared), proof, node), proof
 
 
-def _parity(row: np.ndarray, gram: np.ndarray, rows: int) -> pa.Array:
-    """1024 bits of each set: the parity of how many shingles are hashed to each."""
-    place = mix(gram ^ np.uint64(0x5DEECE66D)) % np.uint64(1024)
-    at, count = np.unique(row * 1024 + place.astype(np.int64), return_counts=True)
-    at = at[count % 2 == 1]
-    words = np.zeros(rows * 16, np.uint64)
-    np.bitwise_or.at(words, at // 64, np.uint64(1) << (at % 64).astype(np.uint64))
-    return pa.ListArray.from_arrays(pa.array(np.arange(0, rows * 16 + 1, 16, dtype=np.int32)), pa.array(words.view(np.int64)))
+def _once(node: np.ndarray) -> np.ndarray:
+    one = np.zeros(len(node), bool)
+    one[np.unique(node, return_index=True)[1]] = True
+    return one
 
 
-def _signer(n: int):
+def _signer(n: int, bits: int):
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, "text", SLICE_BYTES):
             row, gram = _sets(Words(batch.column("text"), fold=LOWER), n)
-            size, node, proof = _nodes(row, gram, batch.num_rows)
-            _, once = np.unique(node, return_index=True)
-            one = np.zeros(batch.num_rows, bool)
-            one[once] = True
-            seen = np.sort(gram[one[row]])
+            size, node, proof = _nodes(row, gram, batch.num_rows, bits, np.zeros(0, np.int64))
+            seen = np.sort(gram[_once(node)[row]])
             edge = runs(seen)
             count = np.diff(np.r_[edge, len(seen)])
             often = count >= LOCALLY_FREQUENT
             k, m = batch.num_rows, int(often.sum())
             null = lambda size, kind: pa.nulls(size, kind)
-            left = [batch.column("doc"), batch.column("key"), pa.array(size.astype(np.int32)), pa.array(node), pa.array(proof), _parity(row, gram, k), null(k, pa.int64()), null(k, pa.int64())]
+            left = [batch.column("doc"), batch.column("key"), pa.array(size.astype(np.int32)), pa.array(node), pa.array(proof), null(k, pa.int64()), null(k, pa.int64())]
             yield pa.RecordBatch.from_arrays(left, schema=_SIGNS)
             if m:
-                right = [*[null(m, t) for t in _SIGNS.types[:6]], pa.array(seen[edge[often]].view(np.int64)), pa.array(count[often].astype(np.int64))]
+                right = [*[null(m, t) for t in _SIGNS.types[:5]], pa.array(seen[edge[often]].view(np.int64)), pa.array(count[often].astype(np.int64))]
                 yield pa.RecordBatch.from_arrays(right, schema=_SIGNS)
 
     return sign
 
 
-def _spreader(n: int, percent: int, frequent):
-    """To every region that a set must be replicated to."""
+def _spreader(n: int, percent: int, bits: int, known):
+    """To every region that a set must be replicated to; ``at`` holds its size and the shingle's place."""
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last = frequent.value  # sorted
+        often, count, shared = known.value
         for batch in pieces(batches, "text", SLICE_BYTES):
             row, gram = _sets(Words(batch.column("text"), fold=LOWER), n)
-            size, node, _ = _nodes(row, gram, batch.num_rows)
-            _, once = np.unique(node, return_index=True)
-            one = np.zeros(batch.num_rows, bool)
-            one[once] = True
-            keep = one[row]
+            size, node, _ = _nodes(row, gram, batch.num_rows, bits, shared)
+            keep = _once(node)[row]
             row, gram = row[keep], gram[keep]
             if not len(row):
                 continue
-            if len(last[0]):
-                at = np.minimum(np.searchsorted(last[0], gram), len(last[0]) - 1)
-                rank = np.where(last[0][at] == gram, last[1][at], 0)
+            if len(often):
+                at = np.minimum(np.searchsorted(often, gram), len(often) - 1)
+                rank = np.where(often[at] == gram, count[at], 0)
                 order = np.lexsort((gram, rank, row))
                 row, gram = row[order], gram[order]
             edge = runs(row)
             pos = np.arange(len(row)) - np.repeat(edge, np.diff(np.r_[edge, len(row)]))
             whole = size[row]
             sent = pos < whole - (percent * whole + 99) // 100 + 1
-            arrays = [pa.array(gram[sent].view(np.int64)), pa.array(node[row[sent]]), pa.array(whole[sent].astype(np.int32)), pa.array(pos[sent].astype(np.int32))]
-            yield pa.RecordBatch.from_arrays(arrays, schema=_CELLS)
+            yield pa.RecordBatch.from_arrays([pa.array(gram[sent].view(np.int64)), pa.array(node[row[sent]]), pa.array((whole[sent] << 32) | pos[sent])], schema=_CELLS)
 
     return spread
 
 
-def _lister(n: int):
+def _pairer(percent: int, most: int):
+    """Rows sorted by cell and node to pairs inside the windows; of cells with over ``most`` nodes, the members (``b`` null)."""
+
+    def within(cell: np.ndarray, node: np.ndarray, at: np.ndarray) -> Iterator[pa.RecordBatch]:
+        edge = runs(cell)
+        m = np.repeat(np.diff(np.r_[edge, len(cell)]), np.diff(np.r_[edge, len(cell)]))
+        size, rest = at >> 32, (at >> 32) - (at & 0xFFFFFFFF)
+        k, i = 1, np.flatnonzero(cell[1:] == cell[:-1])
+        while len(i):
+            j = i + k
+            low, high = np.minimum(size[i], size[j]), np.maximum(size[i], size[j])
+            near = (100 * low >= percent * high) & ((100 + percent) * np.minimum(rest[i], rest[j]) >= percent * (low + high))
+            if near.any():
+                x, y = i[near], j[near]
+                yield pa.RecordBatch.from_arrays([pa.array(cell[x]), pa.array(node[x]), pa.array(node[y]), pa.array(m[x].astype(np.int32))], schema=_PAIRS)
+            k += 1
+            i = i[i + k < len(cell)]
+            i = i[cell[i + k] == cell[i]]
+
+    def pair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[list[np.ndarray]] = [[], [], []]  # the last cell of what has been read
+        waiting, large, last = 0, None, None
+        for batch in batches:
+            cell, node, at = (c.to_numpy() for c in batch.columns)
+            if not len(cell):
+                continue
+            new = np.r_[last != (cell[0], node[0]), (cell[1:] != cell[:-1]) | (node[1:] != node[:-1])]
+            last = (cell[-1], node[-1])
+            cell, node, at = cell[new], node[new], at[new]
+            if large is not None:  # members of a large cell go on at once
+                of = int(np.searchsorted(cell != large, True)) if len(cell) else 0
+                yield pa.RecordBatch.from_arrays([pa.array(cell[:of]), pa.array(node[:of]), pa.nulls(of, pa.int64()), pa.nulls(of, pa.int32())], schema=_PAIRS)
+                cell, node, at = cell[of:], node[of:], at[of:]
+                if not len(cell):
+                    continue
+                large = None
+            for h, x in zip(held, (cell, node, at), strict=True):
+                h.append(x)
+            waiting += len(cell)
+            if len(cell) and len(cell) < 4096 and waiting < 4096:
+                continue
+            cell, node, at = (np.concatenate(h) for h in held)
+            if not len(cell):
+                continue
+            tail = int(np.flatnonzero(cell != cell[-1])[-1]) + 1 if cell[0] != cell[-1] else 0
+            yield from sift(cell[:tail], node[:tail], at[:tail])
+            if len(cell) - tail > most:
+                large, of = cell[-1], len(cell) - tail
+                yield pa.RecordBatch.from_arrays([pa.array(cell[tail:]), pa.array(node[tail:]), pa.nulls(of, pa.int64()), pa.nulls(of, pa.int32())], schema=_PAIRS)
+                tail = len(cell)
+            held = [[cell[tail:]], [node[tail:]], [at[tail:]]]
+            waiting = len(cell) - tail
+        yield from sift(*(np.concatenate(h) if h else np.zeros(0, np.int64) for h in held))
+
+    def sift(cell: np.ndarray, node: np.ndarray, at: np.ndarray) -> Iterator[pa.RecordBatch]:
+        edge = runs(cell)
+        m = np.repeat(np.diff(np.r_[edge, len(cell)]), np.diff(np.r_[edge, len(cell)]))
+        some, many = (m > 1) & (m <= most), m > most
+        yield from within(cell[some], node[some], at[some])
+        of = int(many.sum())
+        if of:
+            yield pa.RecordBatch.from_arrays([pa.array(cell[many]), pa.array(node[many]), pa.nulls(of, pa.int64()), pa.nulls(of, pa.int32())], schema=_PAIRS)
+
+    return pair
+
+
+def _lister(n: int, bits: int, known):
     def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, "text", SLICE_BYTES):
             row, gram = _sets(Words(batch.column("text"), fold=LOWER), n)
-            size, node, _ = _nodes(row, gram, batch.num_rows)
-            edges = np.r_[0, np.cumsum(size)].astype(np.int32)
-            yield pa.RecordBatch.from_arrays([pa.array(node), pa.ListArray.from_arrays(pa.array(edges), pa.array(gram.view(np.int64)))], schema=_SETS)
+            size, node, _ = _nodes(row, gram, batch.num_rows, bits, known.value[2])
+            keep = _once(node)
+            edges = np.r_[0, np.cumsum(size[keep])].astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(node[keep]), pa.ListArray.from_arrays(pa.array(edges), pa.array(gram[keep[row]].view(np.int64)))], schema=_SETS)
 
     return listed
 
 
-def _near(percent: int) -> Column:
-    """Whether x and y of one region can be linked and have not met through its pivot."""
-    smaller, larger = F.least("x.size", "y.size"), F.greatest("x.size", "y.size")
-    rest = F.least(F.col("x.size") - F.col("x.pos"), F.col("y.size") - F.col("y.pos"))
-    return (
-        (F.col("x.node") < F.col("y.node"))
-        & ~(F.col("x.ball") & F.col("y.ball"))
-        & (100 * smaller >= percent * larger)
-        & ((100 + percent) * rest >= percent * (F.col("x.size") + F.col("y.size")))
-        & (F.abs(F.col("x.d") - F.col("y.d")) <= 1 - percent / 100 + 1e-9)
-    )
-
-
-def _measured(pairs: DataFrame, docs: DataFrame, reps: DataFrame, n: int) -> DataFrame:
-    """Pairs ``a, b`` with ``na, nb, both``: sizes of the sets and of their intersection."""
-    wanted = written(pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct().join(reps, "node").select("node", "ref"), "wanted")
-    few = wanted.count() <= SEND_NODES
-    refs = wanted.select("ref")
-    texts = docs.join(F.broadcast(refs) if few else refs, "ref", "left_semi")
-    sets = texts.select("text").mapInArrow(_lister(n), "node long, grams array<long>").join(F.broadcast(wanted.select("node")) if few else wanted.select("node"), "node", "left_semi")
-    sets = written(sets, "sets").dropDuplicates(["node"])
-    one = pairs.join(sets.select(F.col("node").alias("a"), F.col("grams").alias("ga")), "a")
-    two = one.join(sets.select(F.col("node").alias("b"), F.col("grams").alias("gb")), "b")
-    return two.select("a", "b", F.size("ga").alias("na"), F.size("gb").alias("nb"), F.size(F.array_intersect("ga", "gb")).alias("both"))
-
-
-def linked_nodes(docs: DataFrame, signs: DataFrame, nodes: DataFrame, n: int, percent: int) -> DataFrame:
-    """``node, component`` of every node with a link: exactly what all links connect.
-
-    ``docs`` has ``ref, text``; ``signs`` is the table of ``_signer``; ``nodes`` has the ``ref`` of a text of each node, ``size`` and ``bits``.
-    """
-    spark = docs.sparkSession
-    frequent = signs.where(F.col("gram").isNotNull()).groupBy("gram").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "gram").limit(FREQUENT_KEPT).toArrow()
-    gram, count = frequent.column("gram").to_numpy().astype(np.int64).view(np.uint64), frequent.column("n").to_numpy().astype(np.int64)
-    order = np.argsort(gram)
-    last = spark.sparkContext.broadcast((gram[order], count[order]))
-    reps = nodes.select("node", "ref")
-
-    members = docs.select("text").mapInArrow(_spreader(n, percent, last), "cell long, node long, size int, pos int")
-    live = members.groupBy("cell").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi").select("cell")
-    cells = members.join(live, "cell", "left_semi").dropDuplicates(["cell", "node"])
-    cells = written(cells.select("*", F.lit(0.0).alias("d"), F.lit(False).alias("ball")), "regions")
-
-    eps, links, maybe = 1 - percent / 100, [], []
-    for depth in range(DEPTH + 1):
-        counts = cells.groupBy("cell").agg(F.count("*").alias("all"), F.count_if(~F.col("ball")).alias("outer")).where("all > 1 and outer > 0")
-        counts = written(counts.withColumn("large", F.lit(depth < DEPTH) & (F.col("all") * F.col("outer") > REGION_PAIRS)), "counts")
-        small = cells.join(counts.where("not large").select("cell"), "cell", "left_semi")
-        pairs = small.alias("x").join(small.alias("y"), F.col("x.cell") == F.col("y.cell")).where(_near(percent)).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
-        large = cells.join(counts.where("large").select("cell"), "cell", "left_semi")
-        deeper = depth < DEPTH and not counts.where("large").isEmpty()
-        if deeper:
-            salt = F.pmod(F.xxhash64("node", F.lit(depth)), F.lit(PIVOTS))
-            pivots = written(large.where("not ball").groupBy("cell", salt.alias("salt")).agg(F.min("node").alias("pivot")).select("cell", "pivot"), "pivots")
-            seen = large.join(pivots, "cell")
-            to_pivots = seen.where("node != pivot").select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b"))
-        maybe.append(written(_alike(pairs.distinct(), nodes, percent), "pairs"))
-        if not deeper:
-            break
-        measured = written(_measured(written(to_pivots.distinct(), "to-pivots"), docs, reps, n), "measured")
-        links.append(_linked(measured, percent))
-        away = measured.select("a", "b", (1 - F.col("both") / (F.col("na") + F.col("nb") - F.col("both"))).alias("dist"))
-        far = seen.withColumns({"a": F.least("node", "pivot"), "b": F.greatest("node", "pivot")}).join(away, ["a", "b"], "left")
-        far = far.withColumn("dist", F.when(F.col("node") == F.col("pivot"), 0.0).otherwise(F.coalesce("dist", F.lit(1.0))))
-        near = far.groupBy("cell", "node", "size", "pos").agg(F.min("dist").alias("least"), F.collect_list(F.struct("pivot", "dist")).alias("to"))
-        near = near.select("*", F.explode("to").alias("p")).where(F.col("p.dist") <= F.col("least") + 2 * eps + 1e-9)
-        cells = written(near.select(F.xxhash64("cell", "p.pivot").alias("cell"), "node", "size", "pos", F.col("p.dist").alias("d"), (F.col("p.dist") <= eps + 1e-12).alias("ball")), "regions")
-    return _classes(_union(links) if links else None, _union(maybe).distinct(), docs, reps, n, percent)
-
-
-def _union(parts: list[DataFrame]) -> DataFrame:
-    out = parts[0]
-    for more in parts[1:]:
-        out = out.unionByName(more)
+def _joined(node: np.ndarray, size: np.ndarray, own: np.ndarray, element: np.ndarray, percent: int) -> list[tuple[int, int]]:
+    """Links that connect what all links among the members of one region connect; ``own`` are places in ``node``."""
+    count = np.bincount(own, minlength=len(node))
+    _, code, many = np.unique(element, return_inverse=True, return_counts=True)
+    common = many[code] > 1
+    _, code = np.unique(code[common], return_inverse=True)
+    table = np.zeros((len(node), int(code.max(initial=-1)) + 1), np.float32)
+    table[own[common], code] = 1
+    both = (table @ table.T).astype(np.int64)
+    away = count[:, None] + count[None, :] - 2 * both
+    near = (100 + percent) * away <= (100 - percent) * (size[:, None] + size[None, :])
+    left, out = np.ones(len(node), bool), []
+    for i in range(len(node)):
+        front = [i] if left[i] else []
+        left[i] = False
+        while front:
+            more = np.flatnonzero(near[front.pop()] & left)
+            left[more] = False
+            out += [(int(node[i]), int(node[j])) for j in more]
+            front += more.tolist()
     return out
 
 
-def _linked(measured: DataFrame, percent: int) -> DataFrame:
-    return measured.where(100 * F.col("both") >= percent * (F.col("na") + F.col("nb") - F.col("both"))).select("a", "b")
-
-
-def _alike(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
-    """Pairs whose parity bits differ in no more places than linked sets may."""
-    one = pairs.join(nodes.select(F.col("node").alias("a"), F.col("bits").alias("x"), F.col("size").alias("na")), "a")
-    two = one.join(nodes.select(F.col("node").alias("b"), F.col("bits").alias("y"), F.col("size").alias("nb")), "b")
-    differ = F.aggregate(F.zip_with("x", "y", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda a, x: a + x)
-    return two.where((100 + percent) * differ <= (100 - percent) * (F.col("na") + F.col("nb"))).select("a", "b")
-
-
-def _classes(links: DataFrame | None, maybe: DataFrame, docs: DataFrame, reps: DataFrame, n: int, percent: int) -> DataFrame:
-    """``node, component`` of all links: those given and those among the pairs ``maybe``."""
-    maybe = written(maybe, "maybe")
-    while True:
-        named = written(components(links), "classes") if links is not None else None
-        if named is not None:
-            one = maybe.join(named.select(F.col("node").alias("a"), F.col("component").alias("ca")), "a", "left")
-            two = one.join(named.select(F.col("node").alias("b"), F.col("component").alias("cb")), "b", "left")
-            maybe = written(two.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b"), "maybe")
-        if maybe.isEmpty():
-            return named if named is not None else maybe.select(F.col("a").alias("node"), F.col("b").alias("component"))
-        ends = maybe.unionByName(maybe.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        first = ends.groupBy("a").agg(F.min("b").alias("b")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        first = written(first, "first")
-        found = written(_linked(_measured(first, docs, reps, n), percent), "links")
-        maybe = written(maybe.join(first, ["a", "b"], "left_anti"), "maybe")
-        links = found if links is None else links.unionByName(found)
+def _joiner(percent: int):
+    """Rows ``region, node, size, d`` sorted by region to links."""
+
+    def whole(rows: list[pa.RecordBatch]) -> list[tuple[int, int]]:
+        rows = pa.Table.from_batches(rows).combine_chunks()
+        d = rows.column("d").combine_chunks()
+        count = pa.compute.list_value_length(d).to_numpy()
+        if rows.num_rows < 2:
+            return []
+        node, at = np.unique(rows.column("node").to_numpy(), return_index=True)
+        own = np.repeat(np.arange(rows.num_rows), count)
+        keep = np.zeros(rows.num_rows, bool)
+        keep[at] = True
+        to = np.zeros(rows.num_rows, np.int64)
+        to[at] = np.arange(len(at))
+        element = d.flatten().to_numpy()[keep[own]]
+        return _joined(node, rows.column("size").to_numpy().astype(np.int64)[at], to[own[keep[own]]], element, percent)
+
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import pyarrow.compute  # noqa: F401
+
+        held: list[pa.RecordBatch] = []
+        last = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            region = batch.column("region").to_pandas().to_numpy()
+            edge = [*runs(region).tolist(), len(region)]
+            out: list[tuple[int, int]] = []
+            for a, b in zip(edge, edge[1:], strict=False):
+                if held and region[a] != last:
+                    out += whole(held)
+                    held = []
+                last = region[a]
+                held.append(batch.slice(a, b - a))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.int64()), pa.array([y for _, y in out], pa.int64())], schema=_LINKS)
+        out = whole(held) if held else []
+        yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.int64()), pa.array([y for _, y in out], pa.int64())], schema=_LINKS)
+
+    return join
+
+
+def _regions_joined(members: DataFrame, percent: int) -> DataFrame:
+    """Links ``a, b`` of regions with at most ``REGION`` members each."""
+    return members.select("region", "node", "size", "d").repartition("region").sortWithinPartitions("region").mapInArrow(_joiner(percent), "a long, b long")
+
+
+def _few(table: DataFrame, most: int) -> DataFrame:
+    """A table for a broadcast if it is not longer than ``most``."""
+    return F.broadcast(table) if table.count() <= most else table
+
+
+def _divided(large: DataFrame, percent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """One round of recursion over ``region, node, size, d``: links through the pivots, and the members of the next regions, small and large."""
+    total = large.groupBy("region").agg(F.count("*").alias("m"))
+    count = large.select("region", F.explode("d").alias("e")).groupBy("region", "e").agg(F.count("*").alias("c"))
+    total = written(total, "totals")
+    count = written(count.join(_few(total, SEND_REGIONS), "region"), "counts")
+    median = written(count.where("2 * c > m").groupBy("region").agg(F.collect_list("e").alias("pivot")), "pivots")
+    moved = large.join(_few(median, SEND_REGIONS), "region", "left").withColumn("pivot", F.coalesce("pivot", F.array().cast("array<long>")))
+    d = F.concat(F.array_except("d", "pivot"), F.array_except("pivot", "d"))
+    moved = moved.select("region", "node", "size", d.alias("d"))
+    moved = written(moved.withColumn("f", (100 + percent) * F.size("d") - (100 - percent) * F.col("size")), "moved")
+    centre = written(moved.groupBy("region").agg(F.min(F.struct("f", "node")).alias("l")), "centres")
+    seen = moved.join(_few(centre, SEND_REGIONS), "region")
+    ball = seen.where("f + l.f <= 0 and node != l.node").select(F.col("l.node").alias("a"), F.col("node").alias("b"))
+
+    shared = F.greatest(F.ceil((F.col("f") + F.col("l.f")) / (2 * (100 + percent))), F.lit(1))
+    parts = seen.select("region", "node", (F.size("d") - shared + 1).alias("sent"), F.explode("d").alias("e")).where("sent > 0")
+    parts = parts.join(count, ["region", "e"]).withColumn("c", F.when(2 * F.col("c") > F.col("m"), F.col("m") - F.col("c")).otherwise(F.col("c")))
+    place = F.row_number().over(Window.partitionBy("region", "node").orderBy("c", "e"))
+    parts = parts.withColumn("place", place).where("place <= sent and c > 1").select("region", "node", F.concat_ws("/", "region", "e").alias("to"))
+    parts = written(parts, "parts")
+    sizes = parts.groupBy("to").agg(F.count("*").alias("members")).where("members > 1")
+    parts = written(parts.join(sizes, "to"), "parts")
+    following = parts.join(moved, ["region", "node"]).select(F.col("to").alias("region"), "node", "size", "d", "members")
+    following = written(following, "members")
+    ball = written(ball, "ball")
+    discard(total, count, median, centre)
+    return ball, following.where(F.col("members") <= REGION), following.where(F.col("members") > REGION).drop("members")
+
+
+def linked_nodes(docs: DataFrame, nodes: DataFrame, known, n: int, percent: int, bits: int) -> DataFrame:
+    """``a, b`` so that exactly what all links connect is connected. ``docs`` has ``ref, text``; ``nodes`` the ``ref`` of a text of each node and its ``size``."""
+    spread = docs.select("text").mapInArrow(_spreader(n, percent, bits, known), "cell long, node long, at long")
+    near = spread.repartition("cell").sortWithinPartitions("cell", "node").mapInArrow(_pairer(percent, REGION), "cell long, a long, b long, m int")
+    near = written(near, "near")
+    # a pair meets in the largest of its small regions, so that few regions get the sets of a group
+    met = near.where("b is not null").groupBy("a", "b").agg(F.max(F.struct("m", "cell")).alias("at")).select("a", "b", F.col("at.cell").alias("region"))
+    met = written(met, "met")
+    small = met.select("region", F.col("a").alias("node")).unionByName(met.select("region", F.col("b").alias("node"))).distinct().withColumn("large", F.lit(False))
+    large = near.where("b is null").select(F.col("cell").alias("region"), F.col("a").alias("node"), F.lit(True).alias("large"))
+    members = written(small.unionByName(large).join(nodes.select("node", "size", "ref"), "node"), "members")
+    wanted = _few(members.select("ref").distinct(), SEND_NODES)
+    texts = docs.join(wanted, "ref", "left_semi").select("text")
+    sets = texts.mapInArrow(_lister(n, bits, known), "node long, grams array<long>").groupBy("node").agg(F.first("grams").alias("d"))
+    filled = written(members.join(sets, "node").select(F.col("region").cast("string").alias("region"), "node", "size", "d", "large"), "filled")
+    links = [written(_regions_joined(filled.where("not large"), percent), "links")]
+    discard(near, met, members)
+    rest = filled.where("large").drop("large")
+    while not rest.isEmpty():
+        ball, few, rest = _divided(rest, percent)
+        links += [ball, written(_regions_joined(few, percent), "links")]
+    out = links[0]
+    for more in links[1:]:
+        out = out.unionByName(more)
+    return out
 
 
-def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 3, percent: int = 90) -> DataFrame:
+def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 3, percent: int = 90, node_bits: int = 64) -> DataFrame:
     """One row per document: ``doc, key, n_shingles, component, group``.
 
     Texts are lower-cased (A-Z) and cut into words ``[^\\x20\\x09-\\x0D]+``; a set holds the distinct
@@ -271,22 +358,33 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     Null and blank texts have no shingles, are linked with nothing and form a class of their own.
     A null id never names a class; a class of nothing else is named null. ``group`` tells such classes
-    apart too (null for texts without shingles). Equal rows fall into one class. ``key`` is a hash of the text. Other columns are ignored. Rows of an empty table: none.
+    apart too (null for texts without shingles). Equal rows fall into one class. ``key`` is a hash of the
+    text. Very long texts are shingled whole, in a slice of their own. Other columns are ignored, whatever
+    their names. Rows of an empty table: none. Sets are told apart by a hash of ``node_bits`` bits, and by a second one
+    where two sets share the first.
     """
+    spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("doc"), text_key(F.col(text_col)).alias("key"), F.col(text_col).alias("text"))
-    signs = written(rows.mapInArrow(_signer(n), "doc long, key long, size int, node long, proof long, bits array<long>, gram long, n long"), "signs")
+    signs = written(rows.mapInArrow(_signer(n, node_bits), "doc long, key long, size int, node long, proof long, gram long, n long"), "signs")
     own = signs.where(F.col("gram").isNull())
-    nodes = own.where("size > 0").groupBy("node").agg(F.max("size").alias("size"), F.min("doc").alias("least"), F.min("proof").alias("lo"), F.max("proof").alias("hi"), F.min("bits").alias("bits"), F.coalesce(F.min("doc"), F.min("key")).alias("ref"))
-    nodes = written(nodes, "nodes")
-    if not nodes.where("lo != hi").isEmpty():
-        raise ValueError("two different shingle sets share a 64-bit hash")
-    texts = rows.select(F.coalesce("doc", "key").alias("ref"), "text")  # more than the wanted text may have a ref, never less
-    if not nodes.where("least is null").isEmpty():  # copies without an id share a ref: one of each
-        unnamed = written(rows.where("doc is null").select(F.col("key").alias("ref"), "text").distinct(), "unnamed")
-        texts = rows.where("doc is not null").select(F.col("doc").alias("ref"), "text").unionByName(unnamed)
-    parts = linked_nodes(texts, signs, nodes, n, percent)
-    named = parts.join(nodes, "node").groupBy("component").agg(F.min("least").alias("name"))
+    # sets that share a hash: about (number of sets)^2 / 2^65 of them
+    shared = own.where("size > 0").groupBy("node").agg(F.min("proof").alias("lo"), F.max("proof").alias("hi")).where("lo != hi").select("node").toArrow().column("node").to_numpy()
+    if len(shared):
+        hashes = spark.createDataFrame([(int(x),) for x in shared], "shared long")
+        own = own.join(F.broadcast(hashes), F.col("node") == F.col("shared"), "left").withColumn("node", F.when(F.col("shared").isNull(), F.col("node")).otherwise(F.col("proof"))).drop("shared")
+    nodes = written(own.where("size > 0").groupBy("node").agg(F.max("size").alias("size"), F.min("doc").alias("least"), F.min(_ref()).alias("ref")), "nodes")
+    frequent = signs.where(F.col("gram").isNotNull()).groupBy("gram").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "gram").limit(FREQUENT_KEPT).toArrow()
+    gram, count = frequent.column("gram").to_numpy().astype(np.int64).view(np.uint64), frequent.column("n").to_numpy().astype(np.int64)
+    order = np.argsort(gram)
+    known = spark.sparkContext.broadcast((gram[order], count[order], np.sort(shared)))
+    links = linked_nodes(rows.select(_ref().alias("ref"), "text"), nodes, known, n, percent, node_bits)
+    parts = components(links)
+    named = written(parts.join(nodes, "node").groupBy("component").agg(F.min("least").alias("name")), "names")
     parts = parts.join(named, "component").select("node", "name", "component")
     classes = nodes.join(parts, "node", "left").select("node", F.coalesce("name", "least").alias("name"), F.coalesce("component", "node").alias("group"))
-    out = own.join(classes, "node", "left")
+    out = own.join(written(classes, "classes"), "node", "left")
     return out.select("doc", "key", F.col("size").cast("long").alias("n_shingles"), F.when(F.col("size") > 0, F.col("name")).otherwise(F.col("doc")).alias("component"), "group")
+
+
+def _ref() -> Column:
+    return F.xxhash64("key", "doc")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -12,9 +13,11 @@ _OWN: dict[str, str] = {}
 
 
 def work_dir(spark: SparkSession) -> str:
-    """The shared folder named by ``spark.checkpoint.dir``; a folder of our own only where it is unset."""
+    """The shared folder named by ``spark.checkpoint.dir``; a folder of our own only where it is unset and all work is on one machine."""
     base = spark.conf.get("spark.checkpoint.dir", "") or ""
     if not base:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir is unset: executors and driver need a shared folder for intermediate tables")
         app = spark.sparkContext.applicationId
         if app not in _OWN:
             _OWN[app] = "file://" + tempfile.mkdtemp(prefix="spark-work-")
@@ -30,7 +33,19 @@ def written(df: DataFrame, label: str) -> DataFrame:
     """Writes ``df`` to the shared folder and reads it back: lineage is cut and lost executors cost nothing."""
     path = new_path(df.sparkSession, label)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    table = df.sparkSession.read.schema(df.schema).parquet(path)
+    table.written_at = path
+    return table
+
+
+def discard(*tables: DataFrame | None) -> None:
+    """Deletes tables that ``written`` made and nothing reads any more."""
+    for table in tables:
+        path = getattr(table, "written_at", None)
+        if path:
+            jvm = table.sparkSession._jvm
+            folder = jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(table.sparkSession._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def shuffle_partitions(spark: SparkSession) -> int:
