@@ -26,8 +26,9 @@ document of every region. The pivots are therefore chosen as follows.
    ends: all members of the region of e have e in common, which the next pivot
    takes out of every D.
 
-Small regions get the sets of their members, once each, and are joined whole in
-one task each, exactly. Equal sets are one node throughout, so groups of copies
+Small regions are sifted by 1024 parity bits of each set, which differ in no more
+places than |A ^ B|; they get the sets of the members that are left, once each, and
+are joined whole in one task each, exactly. Equal sets are one node throughout, so groups of copies
 never make pairs.
 """
 
@@ -52,9 +53,10 @@ REGION = 128  # regions with more members than this are divided again
 SEND_NODES = 1_000_000  # lists of wanted texts up to this length (8 bytes each) are broadcast, longer ones are joined by shuffle
 SEND_REGIONS = 10_000  # facts of so many divided regions are broadcast, of more joined by shuffle
 
-_SIGNS = pa.schema([("doc", pa.int64()), ("key", pa.int64()), ("size", pa.int32()), ("node", pa.int64()), ("proof", pa.int64()), ("gram", pa.int64()), ("n", pa.int64())])
+_SIGNS = pa.schema([("doc", pa.int64()), ("key", pa.int64()), ("size", pa.int32()), ("node", pa.int64()), ("proof", pa.int64()), ("bits", pa.list_(pa.int64())), ("gram", pa.int64()), ("n", pa.int64())])
 _CELLS = pa.schema([("cell", pa.int64()), ("node", pa.int64()), ("at", pa.int64())])
 _PAIRS = pa.schema([("cell", pa.int64()), ("a", pa.int64()), ("b", pa.int64()), ("m", pa.int32())])
+_KEPT = pa.schema([("region", pa.int64()), ("node", pa.int64()), ("size", pa.int32()), ("ref", pa.int64())])
 _SETS = pa.schema([("node", pa.int64()), ("grams", pa.list_(pa.int64()))])
 _LINKS = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
@@ -86,6 +88,16 @@ def _nodes(row: np.ndarray, gram: np.ndarray, rows: int, bits: int, shared: np.n
     return size, np.where(np.isin(node, shared), proof, node), proof
 
 
+def _parity(row: np.ndarray, gram: np.ndarray, rows: int) -> pa.Array:
+    """1024 bits of each set: the parity of how many shingles are hashed to each. Those of linked sets differ in few places."""
+    place = mix(gram ^ np.uint64(0x5DEECE66D)) % np.uint64(1024)
+    at, count = np.unique(row * 1024 + place.astype(np.int64), return_counts=True)
+    at = at[count % 2 == 1]
+    words = np.zeros(rows * 16, np.uint64)
+    np.bitwise_or.at(words, at // 64, np.uint64(1) << (at % 64).astype(np.uint64))
+    return pa.ListArray.from_arrays(pa.array(np.arange(0, rows * 16 + 1, 16, dtype=np.int32)), pa.array(words.view(np.int64)))
+
+
 def _once(node: np.ndarray) -> np.ndarray:
     one = np.zeros(len(node), bool)
     one[np.unique(node, return_index=True)[1]] = True
@@ -103,10 +115,10 @@ def _signer(n: int, bits: int):
             often = count >= LOCALLY_FREQUENT
             k, m = batch.num_rows, int(often.sum())
             null = lambda size, kind: pa.nulls(size, kind)
-            left = [batch.column("doc"), batch.column("key"), pa.array(size.astype(np.int32)), pa.array(node), pa.array(proof), null(k, pa.int64()), null(k, pa.int64())]
+            left = [batch.column("doc"), batch.column("key"), pa.array(size.astype(np.int32)), pa.array(node), pa.array(proof), _parity(row, gram, k), null(k, pa.int64()), null(k, pa.int64())]
             yield pa.RecordBatch.from_arrays(left, schema=_SIGNS)
             if m:
-                right = [*[null(m, t) for t in _SIGNS.types[:5]], pa.array(seen[edge[often]].view(np.int64)), pa.array(count[often].astype(np.int64))]
+                right = [*[null(m, t) for t in _SIGNS.types[:6]], pa.array(seen[edge[often]].view(np.int64)), pa.array(count[often].astype(np.int64))]
                 yield pa.RecordBatch.from_arrays(right, schema=_SIGNS)
 
     return sign
@@ -204,6 +216,42 @@ def _pairer(percent: int, most: int):
     return pair
 
 
+def _sifter(percent: int):
+    """Rows ``region, node, size, ref, bits`` sorted by region: those that may be linked with another of their region, by their parity bits."""
+
+    def sift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            held.append(batch)
+            rows = pa.Table.from_batches(held).combine_chunks()
+            region = rows.column("region").to_numpy()
+            tail = int(np.flatnonzero(region != region[-1])[-1]) + 1 if len(region) and region[0] != region[-1] else 0
+            yield chosen(rows.slice(0, tail))
+            held = rows.slice(tail).to_batches()
+        if held:
+            yield chosen(pa.Table.from_batches(held).combine_chunks())
+
+    def chosen(rows: pa.Table) -> pa.RecordBatch:
+        region, size = rows.column("region").to_numpy(), rows.column("size").to_numpy().astype(np.int64)
+        bits = rows.column("bits").combine_chunks().flatten().to_numpy().view(np.uint64).reshape(-1, 16) if len(rows) else np.zeros((0, 16), np.uint64)
+        keep = np.zeros(len(region), bool)
+        k, i = 1, np.flatnonzero(region[1:] == region[:-1])
+        while len(i):
+            for part in np.array_split(i, len(i) // 20_000 + 1):
+                differ = np.bitwise_count(bits[part] ^ bits[part + k]).sum(1)
+                near = part[(100 + percent) * differ.astype(np.int64) <= (100 - percent) * (size[part] + size[part + k])]
+                keep[near] = keep[near + k] = True
+            k += 1
+            i = i[i + k < len(region)]
+            i = i[region[i + k] == region[i]]
+        out = rows.select(["region", "node", "size", "ref"]).filter(pa.array(keep)).combine_chunks()
+        return pa.RecordBatch.from_arrays([c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in out.columns], schema=_KEPT)
+
+    return sift
+
+
 def _lister(n: int, bits: int, known):
     def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, "text", SLICE_BYTES):
@@ -330,17 +378,23 @@ def linked_nodes(docs: DataFrame, nodes: DataFrame, known, n: int, percent: int,
     # a pair meets in the largest of its small regions, so that few regions get the sets of a group
     met = near.where("b is not null").groupBy("a", "b").agg(F.max(F.struct("m", "cell")).alias("at")).select("a", "b", F.col("at.cell").alias("region"))
     met = written(met, "met")
-    small = met.select("region", F.col("a").alias("node")).unionByName(met.select("region", F.col("b").alias("node"))).distinct().withColumn("large", F.lit(False))
-    large = near.where("b is null").select(F.col("cell").alias("region"), F.col("a").alias("node"), F.lit(True).alias("large"))
-    members = written(small.unionByName(large).join(nodes.select("node", "size", "ref"), "node"), "members")
-    wanted = _few(members.select("ref").distinct(), SEND_NODES)
-    texts = docs.join(wanted, "ref", "left_semi").select("text")
-    sets = texts.mapInArrow(_lister(n, bits, known), "node long, grams array<long>").groupBy("node").agg(F.first("grams").alias("d"))
-    filled = written(members.join(sets, "node").select(F.col("region").cast("string").alias("region"), "node", "size", "d", "large"), "filled")
-    links = [written(_regions_joined(filled.where("not large"), percent), "links")]
-    discard(near, met, members)
-    rest = filled.where("large").drop("large")
-    while not rest.isEmpty():
+    small = met.select("region", F.col("a").alias("node")).unionByName(met.select("region", F.col("b").alias("node"))).distinct()
+    small = small.join(nodes.select("node", "size", "ref", "bits"), "node").select("region", "node", "size", "ref", "bits").repartition("region").sortWithinPartitions("region")
+    small = written(small.mapInArrow(_sifter(percent), "region long, node long, size int, ref long"), "members")
+
+    def with_sets(members: DataFrame) -> DataFrame:
+        wanted = _few(members.select("ref").distinct(), SEND_NODES)
+        texts = docs.join(wanted, "ref", "left_semi").select("text")
+        sets = texts.mapInArrow(_lister(n, bits, known), "node long, grams array<long>").groupBy("node").agg(F.first("grams").alias("d"))
+        return members.join(sets, "node").select(F.col("region").cast("string").alias("region"), "node", "size", "d")
+
+    links = [written(_regions_joined(with_sets(small), percent), "links")]
+    large = near.where("b is null").select(F.col("cell").alias("region"), F.col("a").alias("node"))
+    rest = None
+    if not large.isEmpty():
+        rest = written(with_sets(written(large.join(nodes.select("node", "size", "ref"), "node"), "members")), "filled")
+    discard(near, met, small)
+    while rest is not None and not rest.isEmpty():
         ball, few, rest = _divided(rest, percent)
         links += [ball, written(_regions_joined(few, percent), "links")]
     out = links[0]
@@ -365,14 +419,14 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("doc"), text_key(F.col(text_col)).alias("key"), F.col(text_col).alias("text"))
-    signs = written(rows.mapInArrow(_signer(n, node_bits), "doc long, key long, size int, node long, proof long, gram long, n long"), "signs")
+    signs = written(rows.mapInArrow(_signer(n, node_bits), "doc long, key long, size int, node long, proof long, bits array<long>, gram long, n long"), "signs")
     own = signs.where(F.col("gram").isNull())
     # sets that share a hash: about (number of sets)^2 / 2^65 of them
     shared = own.where("size > 0").groupBy("node").agg(F.min("proof").alias("lo"), F.max("proof").alias("hi")).where("lo != hi").select("node").toArrow().column("node").to_numpy()
     if len(shared):
         hashes = spark.createDataFrame([(int(x),) for x in shared], "shared long")
         own = own.join(F.broadcast(hashes), F.col("node") == F.col("shared"), "left").withColumn("node", F.when(F.col("shared").isNull(), F.col("node")).otherwise(F.col("proof"))).drop("shared")
-    nodes = written(own.where("size > 0").groupBy("node").agg(F.max("size").alias("size"), F.min("doc").alias("least"), F.min(_ref()).alias("ref")), "nodes")
+    nodes = written(own.where("size > 0").groupBy("node").agg(F.max("size").alias("size"), F.min("doc").alias("least"), F.min(_ref()).alias("ref"), F.first("bits").alias("bits")), "nodes")
     frequent = signs.where(F.col("gram").isNotNull()).groupBy("gram").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "gram").limit(FREQUENT_KEPT).toArrow()
     gram, count = frequent.column("gram").to_numpy().astype(np.int64).view(np.uint64), frequent.column("n").to_numpy().astype(np.int64)
     order = np.argsort(gram)
