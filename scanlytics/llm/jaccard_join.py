@@ -49,7 +49,7 @@ from .textops import LOWER, Words, grams, mix, pieces, runs
 SLICE_BYTES = 4 << 20
 LOCALLY_FREQUENT = 4  # shingles in this many sets of one slice are reported as frequent
 FREQUENT_KEPT = 200_000  # so many of the most frequent shingles come last in the order
-REGION = 128  # regions with more members than this are divided again
+REGION = 1024  # regions with more members than this are divided again
 SEND_NODES = 1_000_000  # lists of wanted texts up to this length (8 bytes each) are broadcast, longer ones are joined by shuffle
 SEND_REGIONS = 10_000  # facts of so many divided regions are broadcast, of more joined by shuffle
 
