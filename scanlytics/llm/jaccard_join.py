@@ -26,7 +26,7 @@ document of every region. The pivots are therefore chosen as follows.
    ends: all members of the region of e have e in common, which the next pivot
    takes out of every D.
 
-Small regions are sifted by 1024 parity bits of each set, which differ in no more
+Small regions are sifted by parity bits of each set, which differ in no more
 places than |A ^ B|; they get the sets of the members that are left, once each, and
 are joined whole in one task each, exactly. Equal sets are one node throughout, so groups of copies
 never make pairs.
@@ -88,14 +88,24 @@ def _nodes(row: np.ndarray, gram: np.ndarray, rows: int, bits: int, shared: np.n
     return size, np.where(np.isin(node, shared), proof, node), proof
 
 
-def _parity(row: np.ndarray, gram: np.ndarray, rows: int) -> pa.Array:
-    """1024 bits of each set: the parity of how many shingles are hashed to each. Those of linked sets differ in few places."""
-    place = mix(gram ^ np.uint64(0x5DEECE66D)) % np.uint64(1024)
-    at, count = np.unique(row * 1024 + place.astype(np.int64), return_counts=True)
+def _width(size: np.ndarray) -> np.ndarray:
+    """How many 64-bit words of parity bits a set has: a power of two, at least a bit for each shingle and at least 8 words."""
+    return 1 << np.ceil(np.log2(np.maximum(size, 512) / 64)).astype(np.int64)
+
+
+def _parity(row: np.ndarray, gram: np.ndarray, size: np.ndarray) -> pa.Array:
+    """Bits of each set: the parity of how many shingles are hashed to each. Those of linked sets differ in few places.
+
+    Bits fold: the exclusive or of both halves is the set's parity bits of half the width.
+    """
+    wide = _width(size)
+    edges = np.r_[0, np.cumsum(wide)]
+    place = mix(gram ^ np.uint64(0x5DEECE66D)).view(np.int64) & (wide * 64 - 1)[row]
+    at, count = np.unique(edges[row] * 64 + place, return_counts=True)
     at = at[count % 2 == 1]
-    words = np.zeros(rows * 16, np.uint64)
+    words = np.zeros(edges[-1], np.uint64)
     np.bitwise_or.at(words, at // 64, np.uint64(1) << (at % 64).astype(np.uint64))
-    return pa.ListArray.from_arrays(pa.array(np.arange(0, rows * 16 + 1, 16, dtype=np.int32)), pa.array(words.view(np.int64)))
+    return pa.ListArray.from_arrays(pa.array(edges.astype(np.int32)), pa.array(words.view(np.int64)))
 
 
 def _once(node: np.ndarray) -> np.ndarray:
@@ -115,7 +125,7 @@ def _signer(n: int, bits: int):
             often = count >= LOCALLY_FREQUENT
             k, m = batch.num_rows, int(often.sum())
             null = lambda size, kind: pa.nulls(size, kind)
-            left = [batch.column("doc"), batch.column("key"), pa.array(size.astype(np.int32)), pa.array(node), pa.array(proof), _parity(row, gram, k), null(k, pa.int64()), null(k, pa.int64())]
+            left = [batch.column("doc"), batch.column("key"), pa.array(size.astype(np.int32)), pa.array(node), pa.array(proof), _parity(row, gram, size), null(k, pa.int64()), null(k, pa.int64())]
             yield pa.RecordBatch.from_arrays(left, schema=_SIGNS)
             if m:
                 right = [*[null(m, t) for t in _SIGNS.types[:6]], pa.array(seen[edge[often]].view(np.int64)), pa.array(count[often].astype(np.int64))]
@@ -235,19 +245,31 @@ def _sifter(percent: int):
 
     def chosen(rows: pa.Table) -> pa.RecordBatch:
         region, size = rows.column("region").to_numpy(), rows.column("size").to_numpy().astype(np.int64)
-        bits = rows.column("bits").combine_chunks().flatten().to_numpy().view(np.uint64).reshape(-1, 16) if len(rows) else np.zeros((0, 16), np.uint64)
-        keep = np.zeros(len(region), bool)
+        bits = rows.column("bits").combine_chunks().flatten().to_numpy().view(np.uint64) if len(rows) else np.zeros(0, np.uint64)
+        wide = _width(size)
+        first, keep, folded = np.cumsum(wide) - wide, np.zeros(len(region), bool), {}
+        for w in np.unique(wide).tolist():  # sets in one window differ by one width at most
+            same, double = np.flatnonzero(wide == w), np.flatnonzero(wide == 2 * w)
+            place = np.full(len(wide), -1)
+            place[same], place[double] = np.arange(len(same)), len(same) + np.arange(len(double))
+            ahead = bits[first[double][:, None] + np.arange(2 * w)]
+            folded[w] = place, np.concatenate([bits[first[same][:, None] + np.arange(w)], ahead[:, :w] ^ ahead[:, w:]])
         k, i = 1, np.flatnonzero(region[1:] == region[:-1])
         while len(i):
-            for part in np.array_split(i, len(i) // 20_000 + 1):
-                differ = np.bitwise_count(bits[part] ^ bits[part + k]).sum(1)
-                near = part[(100 + percent) * differ.astype(np.int64) <= (100 - percent) * (size[part] + size[part + k])]
-                keep[near] = keep[near + k] = True
+            fits = i[100 * np.minimum(size[i], size[i + k]) >= percent * np.maximum(size[i], size[i + k])]
+            narrow = np.minimum(wide[fits], wide[fits + k])
+            for w in np.unique(narrow).tolist():
+                place, table = folded[w]
+                these = fits[narrow == w]
+                for part in np.array_split(these, len(these) * w // 400_000 + 1):
+                    differ = np.bitwise_count(table[place[part]] ^ table[place[part + k]]).sum(1, dtype=np.int64)
+                    near = part[(100 + percent) * differ <= (100 - percent) * (size[part] + size[part + k])]
+                    keep[near] = keep[near + k] = True
             k += 1
             i = i[i + k < len(region)]
             i = i[region[i + k] == region[i]]
         out = rows.select(["region", "node", "size", "ref"]).filter(pa.array(keep)).combine_chunks()
-        return pa.RecordBatch.from_arrays([c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in out.columns], schema=_KEPT)
+        return pa.RecordBatch.from_arrays([c.combine_chunks() for c in out.columns], schema=_KEPT)
 
     return sift
 
