@@ -32,7 +32,7 @@ from .shared import text_key, written
 from .textops import pieces
 from .tokens import encoder
 
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 4 << 20
 GROUPS = 64
 RANK_BUCKETS = 256
 _PIECES = pa.schema([("doc", pa.int64()), ("key", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
@@ -176,12 +176,14 @@ def plan(histogram: dict[int, int], capacity: int = 1024, groups: int = GROUPS)
 def _cutter(tokenizer: str, end_id: int, capacity: int, with_ids: bool, added_tokens: bool):
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tool = encoder(tokenizer, added_tokens)
-        end = np.array([end_id], tool.kind).tobytes()
+        end = np.array([end_id], "<u4")
         schema = _PIECES.append(pa.field("ids", pa.list_(pa.int64()))) if with_ids else _PIECES
         for batch in pieces(batches, "text", SLICE_BYTES):
             rows = []
-            for doc, key, raw in zip(batch.column("doc").to_pylist(), batch.column("key").to_pylist(), tool.encode([x or "" for x in batch.column("text").to_pylist()]), strict=True):
-                ids = np.frombuffer(raw + end, tool.kind).astype("<u4")
+            whole, edges = tool.encode_column(batch.column("text"))
+            whole = whole.astype("<u4")
+            for doc, key, raw in zip(batch.column("doc").to_pylist(), batch.column("key").to_pylist(), np.split(whole, edges[1:-1]), strict=True):
+                ids = np.r_[raw, end]
                 first = len(ids) % capacity or capacity
                 edges = [0, *range(first, len(ids) + 1, capacity)]
                 for i, (a, b) in enumerate(zip(edges, edges[1:], strict=False)):
@@ -191,7 +193,7 @@ def _cutter(tokenizer: str, end_id: int, capacity: int, with_ids: bool, added_to
     return cut
 
 
-def token_pieces(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 2, capacity: int = 1024, with_ids: bool = False, added_tokens: bool = False) -> DataFrame:
+def token_pieces(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 2, capacity: int = 1024, with_ids: bool = False, added_tokens: bool = True) -> DataFrame:
     """Pieces ``doc, key, piece, start, length, ids_crc32`` of at most ``capacity`` ids; of a longer text the first may be shorter. ``added_tokens`` as in ``Encoder``."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc"), text_key(F.col(text_col)).alias("key"), F.col(text_col).alias("text"))
     kind = "doc long, key long, piece int, start long, length long, ids_crc32 long" + ", ids array<long>" * with_ids
@@ -221,7 +223,7 @@ def pack(cut: DataFrame, capacity: int = 1024, groups: int = GROUPS) -> DataFram
     return placed.select(*[F.col(f"p.{c}") for c in cut.columns], (F.col("t.__base") + F.col("p.__rank") - F.col("t.__lo")).alias("sequence_id"), F.col("t.offset").alias("offset"))
 
 
-def pack_documents(docs: DataFrame, tokenizer: str, end_id: int = 2, capacity: int = 1024, id_col: str = "doc_id", text_col: str = "text", added_tokens: bool = False) -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer: str, end_id: int = 2, capacity: int = 1024, id_col: str = "doc_id", text_col: str = "text", added_tokens: bool = True) -> DataFrame:
     """Cuts and packs all texts (null: empty): ``doc, piece, start, length, ids_crc32, sequence_id, offset``."""
     cut = written(token_pieces(docs, tokenizer, id_col, text_col, end_id, capacity, added_tokens=added_tokens), "pieces")
     return pack(cut, capacity).select("doc", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")

@@ -43,6 +43,14 @@ def pieces(batches: Iterator[pa.RecordBatch], column: str, limit: int) -> Iterat
             at = end
 
 
+def _bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    column = pc.fill_null(column.cast(pa.large_binary()), b"")
+    edges = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
+    raw = column.buffers()[2]
+    data = np.frombuffer(raw, np.uint8)[edges[0] : edges[-1]] if raw is not None and len(raw) else np.zeros(0, np.uint8)
+    return data, edges - edges[0]
+
+
 class Words:
     """The words of a text column: byte spans, owners and positions.
 
@@ -51,11 +59,23 @@ class Words:
     """
 
     def __init__(self, column: pa.Array, table: np.ndarray = SPACES, fold: np.ndarray | None = None) -> None:
-        column = pc.fill_null(column.cast(pa.large_binary()), b"")
-        edges = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
-        raw = column.buffers()[2]
-        data = np.frombuffer(raw, np.uint8)[edges[0] : edges[-1]] if raw is not None and len(raw) else np.zeros(0, np.uint8)
-        self.scan(data, edges - edges[0], table, fold)
+        self.scan(*_bytes(column), table, fold)
+
+    @classmethod
+    def cut(cls, column: pa.Array, starts) -> Words:
+        """Not words but all bytes of each text, cut where ``starts`` of the bytes says and between texts."""
+        new = cls.__new__(cls)
+        data, new.edges = _bytes(column)
+        new.buf = np.concatenate([data, np.zeros(8, np.uint8)])
+        begin = np.append(starts(data), False)
+        begin[new.edges] = True
+        begin[-1] = False
+        new.start = np.flatnonzero(begin)
+        new.end = np.append(new.start[1:], len(data)) if len(new.start) else new.start
+        new.first = np.searchsorted(new.start, new.edges)
+        new.count = np.diff(new.first)
+        new.row = np.repeat(np.arange(len(new.edges) - 1), new.count)
+        return new
 
     @classmethod
     def of_bytes(cls, data: np.ndarray, edges: np.ndarray, table: np.ndarray = SPACES) -> Words:
@@ -83,6 +103,11 @@ class Words:
     def __len__(self) -> int:
         return len(self.start)
 
+    def heads(self) -> np.ndarray:
+        """The first eight bytes of each word, as a number."""
+        load = np.ndarray((max(len(self.buf) - 7, 0),), "<u8", self.buf.data, strides=(1,))
+        return load[self.start] & _MASK[np.minimum(self.end - self.start, 8)]
+
     def hashes(self) -> np.ndarray:
         """A 64-bit hash of each word's bytes."""
         size = self.end - self.start

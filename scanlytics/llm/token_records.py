@@ -35,7 +35,7 @@ from .textops import pieces
 from .tokens import encoder
 
 FILE_BYTES = 64 << 20
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 4 << 20
 _NONE = -(2**63)
 _INDEX = pa.schema([("part", pa.int32()), ("file", pa.string()), ("offset", pa.int64()), ("size", pa.int64()), ("doc", pa.int64())])
 _READ = pa.schema([("part", pa.int32()), ("file", pa.string()), ("offset", pa.int64()), ("doc", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64())])
@@ -83,14 +83,15 @@ def _writer(tokenizer: str, end_id: int, path: str, added_tokens: bool):
             return index
 
         for batch in pieces(batches, "text", SLICE_BYTES):
-            texts = [x or "" for x in batch.column("text").to_pylist()]
-            for doc, ids in zip(batch.column("doc").to_pylist(), tool.encode(texts), strict=True):
+            ids_of, edges = tool.encode_column(batch.column("text"))
+            raw, width = ids_of.tobytes(), tool.kind.itemsize
+            for doc, a, b in zip(batch.column("doc").to_pylist(), (edges[:-1] * width).tolist(), (edges[1:] * width).tolist(), strict=True):
                 if out is None:
                     name, at = f"tokens-{part:06d}-{number:04d}.bin", 0
                     store.create_dir(base, recursive=True)
                     out = store.open_output_stream(f"{base}/_{name}.{attempt}")
-                ids += end
-                record = frame(struct.pack("<qII", _NONE if doc is None else doc, tool.kind.itemsize, len(ids) // tool.kind.itemsize) + ids)
+                ids = raw[a:b] + end
+                record = frame(struct.pack("<qII", _NONE if doc is None else doc, width, len(ids) // width) + ids)
                 out.write(record)
                 rows.append((part, name, at, len(record), doc))
                 at += len(record)
@@ -103,7 +104,7 @@ def _writer(tokenizer: str, end_id: int, path: str, added_tokens: bool):
     return write
 
 
-def write_token_records(docs: DataFrame, tokenizer: str, path: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 0, added_tokens: bool = False) -> DataFrame:
+def write_token_records(docs: DataFrame, tokenizer: str, path: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 0, added_tokens: bool = True) -> DataFrame:
     """Writes the ids of every text, and ``end_id`` after each, in ascending order of the ids of the documents; returns the index.
 
     Null texts are empty, null ids come first, rows of one id are ordered by a hash of their texts,
@@ -160,7 +161,7 @@ def with_starts(records: DataFrame) -> DataFrame:
     return records.join(before, ["part", "file"]).withColumn("start", F.col("base") + F.coalesce(F.sum("n_tokens").over(inside), F.lit(0)))
 
 
-def tokenized_files(docs: DataFrame, tokenizer: str, path: str | None = None, added_tokens: bool = False) -> DataFrame:
+def tokenized_files(docs: DataFrame, tokenizer: str, path: str | None = None, added_tokens: bool = True) -> DataFrame:
     """Writes ``docs``, reads the files back: ``doc, start, n_tokens, ids_crc32``."""
     path = path or new_path(docs.sparkSession, "token-records")
     return with_starts(read_token_records(write_token_records(docs, tokenizer, path, added_tokens=added_tokens), path)).select("doc", "start", "n_tokens", "ids_crc32")

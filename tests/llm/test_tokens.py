@@ -8,7 +8,7 @@ from scanlytics.llm import packing, token_records
 from scanlytics.llm.shared import new_path, written
 from scanlytics.llm.tokens import Encoder, public_tokenizer
 
-ODD = ["", " ", "a", " a", "a ", "a  b", "a \n b", "a\n b", "a\n\n b", "x  y", "x  y", "don't we'll 's", "é Ünï 中文 テスト", "\n", "\n\na", "a\tb c", "1 22 333,4", "a | b | c", "<|endoftext|> x", " x 　y", "w" * 3000, "a  " * 40, "\x1c \x85"]
+ODD = ["", " ", "a", " a", "a ", "a  b", "a \n b", "a\n b", "a\n\n b", "x  y", "x  y", "don't we'll 's", "é Ünï 中文 テスト", "\n", "\n\na", "\u3000\na", ",\n\tb", "x,\ny;\r\nz", "it's't 9th (a)b, 'tis", "a1b2", "\na", "a\tb c", "1 22 333,4", "a | b | c", "<|endoftext|> x", "a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|><|endoftext|>", "end <|endoftext|>", " lead", "“ quoted ” text", "a \u2003b", "a \u205f", "a \u3000 c \xa0", "x \x85y", " x 　y", "w" * 3000, "a  " * 40, "\x1c \x85"]
 
 
 @pytest.fixture(scope="module")
@@ -16,7 +16,6 @@ def plain():
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(public_tokenizer())
-    t.encode_special_tokens = True
     return lambda x: t.encode(x or "", add_special_tokens=False).ids
 
 
@@ -26,6 +25,14 @@ def test_encoder_equals_library(spark, plain):
     assert [np.frombuffer(x, own.kind).tolist() for x in own.encode(texts)] == [plain(x) for x in texts]
 
 
+def test_encoder_on_random_texts(plain):
+    rng = random.Random(4)
+    parts = ["a", "Word", " ", " ", "  ", "\n", "\t", ",", "'", "'s", "'ll", "1", "é", "中", "\u00a0", "\u3000", "(", "...", "<|endoftext|>", "\x1c", "x1"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randrange(1, 30))) for _ in range(5000)]
+    own = Encoder(public_tokenizer())
+    assert [np.frombuffer(x, own.kind).tolist() for x in own.encode(texts)] == [plain(x) for x in texts]
+
+
 def test_records_round_trip(spark, plain, monkeypatch):
     monkeypatch.setattr(token_records, "FILE_BYTES", 4000)
     rows = [(i * 7 % 31, t) for i, t in enumerate(ODD)] + [(None, "null id"), (500, None), (500, "twice"), (500, "twice")]
