@@ -1,12 +1,14 @@
 """Approximate nearest neighbours by inner product over balanced posting lists.
 
-Centroids are fitted on a bounded sample by k-means whose assignment costs grow
-with a list's size, so lists stay balanced. Vectors get one more component that
-makes all norms equal; the nearest by Euclidean distance is then the largest by
-inner product. Every vector is written to its nearest list and, near a border,
-to up to ``copies`` lists. Centroids are searched by best-first walks on a
-neighbour graph held in memory by each task. A query scans the lists whose
-centroids are within ``ratio`` of the nearest one's distance, ``probes`` at most.
+The number of lists grows with the table, so that a list keeps its length.
+Centroids are fitted on a bounded sample by k-means in two levels, whose
+assignment costs grow with a list's size, so lists stay balanced. Vectors get one
+more component that makes all norms equal; the nearest by Euclidean distance is
+then the largest by inner product. A vector is written to its nearest list and,
+near a border, to those whose centroids are at most ``closeness`` times as far
+as the nearest one, ``copies`` at most. Centroids are searched by best-first walks on a neighbour
+graph held in memory by each task. A query scans the lists whose centroids are
+within ``ratio`` of the nearest one's distance, ``probes`` at most.
 
 Lists are cut into blocks of bounded size, and so are the queries of a list, so
 neither a hot list nor a repeated vector meets in one task.
@@ -21,9 +23,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import written
+from .shared import discard, written
 
-SAMPLE = 16_384
+LIST_ROWS = 200  # rows for each list, before copies
+MOST_LISTS = 65_536  # 34 MB of centroids in 64 dimensions
+SAMPLE = 16_384  # or four for each list, if that is more
 BLOCK = 2048
 QUERY_BLOCK = 1024
 DEGREE = 24
@@ -36,61 +40,100 @@ def usable(vector: Column) -> Column:
     return F.coalesce(vector.isNotNull() & (F.size(vector) > 0) & ~odd & F.exists(vector, lambda x: x != 0), F.lit(False))
 
 
-def fit_centroids(sample: np.ndarray, lists: int, seed: int = 7, rounds: int = 12) -> np.ndarray:
-    rng = np.random.default_rng(seed)
+def _balanced(sample: np.ndarray, lists: int, rng: np.random.Generator, rounds: int) -> tuple[np.ndarray, np.ndarray]:
+    """Centroids, and the one of each row."""
     lists = min(lists, len(sample))
     centres = sample[rng.choice(len(sample), lists, replace=False)].copy()
-    extra = np.zeros(lists)
+    extra, own = np.zeros(lists), np.zeros(len(sample), np.int64)
     for _ in range(rounds):
-        cost = (centres**2).sum(1) - 2 * sample @ centres.T
-        own = (cost + extra).argmin(1)
+        norm, spread = (centres**2).sum(1), 0.0
+        for a in range(0, len(sample), 8192):
+            cost = norm - 2 * sample[a : a + 8192] @ centres.T
+            own[a : a + 8192], spread = (cost + extra).argmin(1), cost.std()
         count = np.bincount(own, minlength=lists)
         total = np.zeros_like(centres)
         np.add.at(total, own, sample)
         centres = np.where(count[:, None] > 0, total / np.maximum(count, 1)[:, None], centres)
-        extra += 0.1 * cost.std() * (count / max(count.mean(), 1e-9) - 1) / 4
-    return centres
+        extra += 0.1 * spread * (count / max(count.mean(), 1e-9) - 1) / 4
+    return centres, own
+
+
+def fit_centroids(sample: np.ndarray, lists: int, seed: int = 7, rounds: int = 12) -> np.ndarray:
+    rng = np.random.default_rng(seed)
+    lists = min(lists, len(sample))
+    if lists <= 512:
+        return _balanced(sample, lists, rng, rounds)[0]
+    top = int(np.sqrt(lists))
+    _, own = _balanced(sample, top, rng, rounds)
+    parts = [sample[own == c] for c in range(top)]
+    return np.concatenate([_balanced(p, max(1, round(lists * len(p) / len(sample))), rng, rounds)[0] for p in parts if len(p)])
 
 
 def neighbour_graph(centres: np.ndarray, seed: int = 7) -> np.ndarray:
     """The nearest centroids of each, and a few random ones so that the graph hangs together."""
     rng = np.random.default_rng(seed)
-    away = (centres**2).sum(1) - 2 * centres @ centres.T
-    np.fill_diagonal(away, np.inf)
-    near = np.argsort(away, axis=1)[:, : min(DEGREE, len(centres) - 1)]
-    return np.concatenate([near, rng.integers(0, len(centres), (len(centres), 4))], axis=1)
+    norm, k, near = (centres**2).sum(1), len(centres), []
+    for a in range(0, k, 1024):
+        away = norm - 2 * centres[a : a + 1024] @ centres.T
+        away[np.arange(len(away)), a + np.arange(len(away))] = np.inf
+        degree = min(DEGREE, k - 1)
+        near.append(np.argpartition(away, degree - 1, axis=1)[:, :degree] if degree else np.zeros((len(away), 0), np.int64))
+    return np.concatenate([np.concatenate(near), rng.integers(0, k, (k, 4))], axis=1)
 
 
-def graph_search(x: np.ndarray, centres: np.ndarray, graph: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """Best-first search for all rows of ``x`` at once: lists and distances, nearest first."""
+def graph_search(x: np.ndarray, centres: np.ndarray, graph: np.ndarray, width: int, wide: int = 4) -> tuple[np.ndarray, np.ndarray]:
+    """Best-first search for all rows of ``x`` at once: lists and distances, nearest first.
+
+    Each row keeps the ``width`` nearest lists it has met; a step walks from the ``wide`` nearest of them it has not
+    walked from, so only their neighbours are measured. A row ends when it has walked from all it keeps.
+    """
     n, k = len(x), len(centres)
     width = min(width, k)
     norm = (centres**2).sum(1)
-    away, walked = np.full((n, k), np.inf), np.zeros((n, k), bool)
-    entry = np.arange(0, k, max(1, k // ENTRIES))
-    away[:, entry] = norm[entry] - 2 * x @ centres[entry].T
+    entry = np.unique(np.linspace(0, k - 1, ENTRIES).astype(np.int64))
+    met = np.full((n, max(width, len(entry))), -1, np.int64)
+    away = np.full(met.shape, np.inf)
+    met[:, : len(entry)] = entry
+    away[:, : len(entry)] = norm[entry] - 2 * x @ centres[entry].T
+    walked = met < 0
     live = np.arange(n)
     while len(live):
         open_ = np.where(walked[live], np.inf, away[live])
-        best = open_.argmin(1)
-        limit = np.partition(away[live], width - 1, axis=1)[:, width - 1]
-        go = open_[np.arange(len(live)), best] <= limit
-        go &= np.isfinite(open_[np.arange(len(live)), best])
-        live, best = live[go], best[go]
-        walked[live, best] = True
-        to = graph[best]
-        away[live[:, None], to] = norm[to] - 2 * np.einsum("nd,nmd->nm", x[live], centres[to])
+        best = np.argsort(open_, axis=1)[:, :wide]
+        go = np.take_along_axis(open_, best, 1) < np.inf
+        live, best, go = live[go[:, 0]], best[go[:, 0]], go[go[:, 0]]
+        if not len(live):
+            break
+        row = np.broadcast_to(live[:, None], best.shape)
+        walked[row[go], best[go]] = True
+        to = np.where(go[:, :, None], graph[np.maximum(met[live[:, None], best], 0)], -1).reshape(len(live), -1)
+        new = np.where(to >= 0, norm[to] - 2 * np.einsum("nd,nmd->nm", x[live], centres[to]), np.inf)
+        ids, d = np.concatenate([met[live], to], axis=1), np.concatenate([away[live], new], axis=1)
+        done = np.concatenate([walked[live], np.zeros(to.shape, bool)], axis=1)
+        order = np.lexsort((~done, ids), axis=1)  # of one list met twice, the walked one first
+        ids, d, done = (np.take_along_axis(v, order, 1) for v in (ids, d, done))
+        d[:, 1:][ids[:, 1:] == ids[:, :-1]] = np.inf
+        order = np.argsort(d, axis=1, kind="stable")[:, : met.shape[1]]
+        met[live], away[live] = np.take_along_axis(ids, order, 1), np.take_along_axis(d, order, 1)
+        walked[live] = np.take_along_axis(done, order, 1) | ~np.isfinite(away[live])
     order = np.argsort(away, axis=1, kind="stable")[:, :width]
     d2 = np.take_along_axis(away, order, 1) + (x**2).sum(1)[:, None]
-    return order, np.sqrt(np.maximum(d2, 0))
+    return np.take_along_axis(met, order, 1), np.sqrt(np.maximum(d2, 0))
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
 
 
-def _to_lists(index, most: int, ratio: float, query: bool):
-    kind = pa.schema([("list", pa.int32()), ("id", pa.int64()), ("v", pa.list_(pa.float64()))])
+def chosen_lists(away: np.ndarray, most: int, limit: float) -> np.ndarray:
+    """Which of the lists found, nearest first, a query asks or a vector is written to: ``most``, within ``limit`` times the nearest one's distance."""
+    keep = (away <= limit * away[:, :1] + 1e-12) & np.isfinite(away)
+    keep[:, most:] = False
+    return keep
+
+
+def _to_lists(index, most: int, limit: float, query: bool):
+    kind = pa.schema([("list", pa.int32()), ("id", pa.int64()), ("key", pa.int64()), ("c", pa.int64()), ("v", pa.list_(pa.float64()))])
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         centres, graph, top = index.value
@@ -100,28 +143,31 @@ def _to_lists(index, most: int, ratio: float, query: bool):
                 v = _matrix(batch.column("v"))
                 more = np.zeros(len(v)) if query else np.sqrt(np.maximum(top * top - (v**2).sum(1), 0))
                 near, away = graph_search(np.c_[v, more], centres, graph, most + 8)
-                near, away = near[:, :most], away[:, :most]
-                keep = (away <= ratio * away[:, :1] + 1e-12) & np.isfinite(away)
-                row, rank = np.nonzero(keep)
+                row, rank = np.nonzero(chosen_lists(away, most, limit))
                 edges = np.arange(0, len(row) * v.shape[1] + 1, v.shape[1], dtype=np.int32)
-                yield pa.RecordBatch.from_arrays([pa.array(near[row, rank].astype(np.int32)), batch.column("id").take(pa.array(row)), pa.ListArray.from_arrays(pa.array(edges), pa.array(v[row].ravel()))], schema=kind)
+                same = [batch.column(c).take(pa.array(row)) for c in ("id", "key", "c")]
+                yield pa.RecordBatch.from_arrays([pa.array(near[row, rank].astype(np.int32)), *same, pa.ListArray.from_arrays(pa.array(edges), pa.array(v[row].ravel()))], schema=kind)
 
     return assign
 
 
+_FOUND = "query_id long, query_key long, query_c long, vec_id long, key long, c long, score double"
+
+
 def _scan(k: int):
-    kind = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
+    kind = pa.schema([(x.split()[0], pa.float64() if x.endswith("double") else pa.int64()) for x in _FOUND.split(", ")])
 
     def scan(queries: pa.Table, rows: pa.Table) -> pa.Table:
         if not queries.num_rows or not rows.num_rows:
             return kind.empty_table()
         queries, rows = queries.combine_chunks(), rows.combine_chunks()
         q, v = (_matrix(t.column("v").combine_chunks()) for t in (queries, rows))
-        qid, vid = (t.column("id").to_numpy() for t in (queries, rows))
-        out_q, out_v, out_s = [], [], []
+        (qid, qkey, qc), (vid, vkey, vc) = ([t.column(c).to_numpy() for c in ("id", "key", "c")] for t in (queries, rows))
+        out: list[list[np.ndarray]] = [[] for _ in kind]
         for a in range(0, len(q), 128):
             score = q[a : a + 128] @ v.T
-            score[qid[a : a + 128, None] == vid[None, :]] = -np.inf
+            own = (qid[a : a + 128, None] == vid[None, :]) & (qkey[a : a + 128, None] == vkey[None, :])
+            score[own & (vc == 1)[None, :]] = -np.inf
             n = min(k, score.shape[1])
             least = np.partition(score, score.shape[1] - n, axis=1)[:, score.shape[1] - n]
             slack = 1e-12 * np.sqrt((q[a : a + 128] ** 2).sum(1)) * np.sqrt((v**2).sum(1).max())
@@ -129,64 +175,80 @@ def _scan(k: int):
                 some = np.flatnonzero((score[i] >= least[i] - slack[i]) & (score[i] > -np.inf))
                 exact = (q[a + i] * v[some]).sum(1)  # the same for equal vectors, wherever they stand
                 some = some[order := np.lexsort((vid[some], -exact))[:k]]
-                out_q.append(np.full(len(some), qid[a + i]))
-                out_v.append(vid[some])
-                out_s.append(exact[order])
-        return pa.Table.from_arrays([pa.array(np.concatenate(x)) for x in (out_q, out_v, out_s)], schema=kind)
+                parts = [np.full(len(some), x[a + i]) for x in (qid, qkey, qc)] + [vid[some], vkey[some], vc[some] - own[i, some], exact[order]]
+                for o, x in zip(out, parts, strict=True):
+                    o.append(x)
+        return pa.Table.from_arrays([pa.array(np.concatenate(x)) for x in out], schema=kind)
 
     return scan
 
 
 def _scanned(asked: DataFrame, posted: DataFrame, k: int) -> DataFrame:
-    """The best ``k`` of each query in each block of its lists: ``query_id, vec_id, score``."""
+    """The best ``k`` of each query in each block of its lists."""
     cuts = posted.groupBy("list").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
     cuts = written(cuts.join(asked.groupBy("list").agg(F.ceil(F.count("*") / QUERY_BLOCK).cast("int").alias("parts")), "list"), "cuts")
-    # one row for each list: the parameter bounds it
+    # one row for each list: MOST_LISTS bounds it
     cut = F.broadcast(cuts)
-    block, part = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"), F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")
+    block, part = F.pmod(F.xxhash64("id", "key"), F.col("blocks")).cast("int"), F.pmod(F.xxhash64("id", "key"), F.col("parts")).cast("int")
     upto = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
-    left = asked.join(cut, "list").select("list", part.alias("part"), upto("blocks").alias("block"), "id", "v")
-    right = posted.join(cut, "list").select("list", upto("parts").alias("part"), block.alias("block"), "id", "v")
+    left = asked.join(cut, "list").select("list", part.alias("part"), upto("blocks").alias("block"), "id", "key", "c", "v")
+    right = posted.join(cut, "list").select("list", upto("parts").alias("part"), block.alias("block"), "id", "key", "c", "v")
     keys = ["list", "part", "block"]
-    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(_scan(k), "query_id long, vec_id long, score double")
+    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(_scan(k), _FOUND)
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 20, lists: int = 256, copies: int = 4, probes: int = 56, ratio: float = 1.3, closeness: float = 1.3) -> DataFrame:
-    """The ``k`` nearest found of each query among all vectors but those of its own id: ``query_id, rank, vec_id, score``.
+def nearest(vectors: DataFrame, queries: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 20, lists: int | None = None, copies: int = 4, probes: int = 96, ratio: float = 1.15, closeness: float = 1.03) -> DataFrame:
+    """The ``k`` nearest found of each row of ``queries`` among all rows of ``vectors`` but its own: ``query_id, rank, vec_id, score``.
 
     ``score`` is the inner product in double precision; ties go to the smaller id. Vectors that are
-    null, zero or hold null or non-finite components, and rows with a null id, take no part on
-    either side. Of several rows of one id the one with the
-    smallest vector counts. Fewer candidates than ``k`` give fewer rows; an
-    empty table gives none. All usable vectors must have one dimension (else ValueError). Every
-    vector is indexed; only the centroids are fitted on at most ``SAMPLE`` of them.
+    null, zero or hold null or non-finite components, those of another than the most frequent dimension, and rows
+    with a null id, take no part on either side. A query's own row is one of its id and vector; further rows of them, and rows of its id with other
+    vectors, are candidates, and rows that are repeated in ``queries`` are answered each. Fewer candidates than ``k`` give fewer rows; an
+    empty table gives none. Other columns are ignored, whatever their names. Every vector is indexed; only the centroids are fitted,
+    on at most ``SAMPLE`` vectors or four for each list.
     """
     spark = vectors.sparkSession
+    kind = "query_id long, rank int, vec_id long, score double"
 
     def clean(df: DataFrame) -> DataFrame:
-        return df.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("v")).where(F.col("id").isNotNull() & usable(F.col("v"))).groupBy("id").agg(F.min(F.col("v").cast("array<double>")).alias("v"))
+        rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("v")).where(F.col("id").isNotNull() & usable(F.col("v")))
+        return rows.select("id", F.col("v").cast("array<double>").alias("v"))
 
-    rows = clean(vectors)
-    facts = rows.agg(F.count("*").alias("n"), F.count_distinct("id").alias("ids"), F.min(F.size("v")).alias("lo"), F.max(F.size("v")).alias("hi"), F.max(F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))).alias("top")).first()
-    kind = "query_id long, rank int, vec_id long, score double"
-    if not facts["n"]:
+    common = clean(vectors).groupBy(F.size("v").alias("size")).count().orderBy(F.desc("count"), "size").first()
+    if common is None:
         return spark.createDataFrame([], kind)
-    if facts["lo"] != facts["hi"]:
-        raise ValueError("vectors have different dimensions")
-    sample = rows.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).select("v").toArrow()
+
+    def counted(df: DataFrame) -> DataFrame:
+        rows = clean(df).where(F.size("v") == common["size"])
+        return rows.groupBy("id", "v").agg(F.count("*").alias("c")).select("id", F.xxhash64("v").alias("key"), "c", "v")
+
+    rows = written(counted(vectors), "vectors")
+    norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))
+    facts = rows.agg(F.count("*").alias("n"), F.sum("c").alias("rows"), F.max(norm).alias("top")).first()
+    count = lists or min(MOST_LISTS, max(1, facts["n"] // LIST_ROWS))
+    sample = rows.orderBy(F.xxhash64("id", "key"), "id").limit(max(SAMPLE, 4 * count)).select(F.col("v").cast("array<float>").alias("v")).toArrow()
     base = _matrix(sample.column("v").combine_chunks())
-    centres = fit_centroids(np.c_[base, np.sqrt(np.maximum(facts["top"] ** 2 - (base**2).sum(1), 0))], min(lists, max(1, facts["n"] // 64)))
+    centres = fit_centroids(np.c_[base, np.sqrt(np.maximum(facts["top"] ** 2 - (base**2).sum(1), 0))], count)
     index = spark.sparkContext.broadcast((centres, neighbour_graph(centres), facts["top"]))
-    posted = written(rows.mapInArrow(_to_lists(index, copies, closeness, False), "list int, id long, v array<double>"), "postings")
-    asked = written(clean(queries).mapInArrow(_to_lists(index, probes, ratio, True), "list int, id long, v array<double>"), "probes")
+    kinds = "list int, id long, key long, c long, v array<double>"
+    posted = written(rows.mapInArrow(_to_lists(index, copies, closeness, False), kinds), "postings")
+    wanted = written(counted(queries), "queries")
+    asked = written(wanted.mapInArrow(_to_lists(index, probes, ratio, True), kinds), "probes")
     found = written(_scanned(asked, posted, k), "found")
     # queries whose lists held too few candidates: all lists, in the same blocks
-    need = min(k, facts["ids"])
-    known = found.groupBy("query_id").agg(F.count_distinct("vec_id").alias("n")).where(F.col("n") >= need).select(F.col("query_id").alias("id"))
-    short = written(clean(queries).join(known, "id", "left_anti"), "short")
+    need = min(k, facts["rows"] - 1)
+    different = found.groupBy("query_id", "query_key", "vec_id", "key").agg(F.max("c").alias("c"))
+    known = different.groupBy("query_id", "query_key").agg(F.sum("c").alias("n")).where(F.col("n") >= need).select(F.col("query_id").alias("id"), F.col("query_key").alias("key"))
+    short = written(wanted.join(known, ["id", "key"], "left_anti"), "short")
     if not short.isEmpty():
-        rest = short.select(F.explode(F.sequence(F.lit(0), F.lit(len(centres) - 1))).alias("list"), "id", "v")
+        rest = short.select(F.explode(F.sequence(F.lit(0), F.lit(len(centres) - 1))).alias("list"), "id", "key", "c", "v")
         found = found.unionByName(_scanned(rest, posted, k))
-    found = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    best = found.groupBy("query_id", "query_key", "vec_id", "key").agg(F.max("score").alias("score"), F.max("c").alias("c"), F.max("query_c").alias("query_c"))
+    window = Window.partitionBy("query_id", "query_key").orderBy(F.desc("score"), "vec_id", "key")
+    best = best.withColumn("before", F.row_number().over(window)).where(F.col("before") <= k)
+    # repeated rows are so many candidates, and so many queries
+    best = best.withColumn("copy", F.explode(F.sequence(F.lit(1), F.least("c", F.lit(k).cast("long")).cast("int"))))
+    again = Window.partitionBy("query_id", "query_key").orderBy(F.desc("score"), "vec_id", "key", "copy")
+    best = best.withColumn("rank", F.row_number().over(again)).where(F.col("rank") <= k)
+    discard(asked)
+    return best.withColumn("asked", F.explode(F.sequence(F.lit(1), F.col("query_c").cast("int")))).select("query_id", "rank", "vec_id", "score")

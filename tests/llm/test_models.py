@@ -1,3 +1,5 @@
+import os
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -6,6 +8,7 @@ from scanlytics.llm import ann, quality, token_counts
 from scanlytics.llm.tokens import public_tokenizer
 
 D = "/root/testdata/sf0.01"
+LARGE = "/root/testdata/check_l/embeddings.parquet"
 
 
 def exact(rows, k):
@@ -36,10 +39,35 @@ def test_nearest_edges(spark):
     rows = [(0, [1.0, 0.0]), (20, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [0.0, 0.0]), (3, None), (4, [None, 1.0]), (5, [float("nan"), 1.0]), (6, [float("inf"), 1.0]), (7, [-3.0, 1.0]), (8, [2.0, 5.0]), (8, [2.0, 5.0]), (None, [9.0, 9.0]), (40, None), (9, [])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
     got = [(r.query_id, r.rank, r.vec_id, r.score) for r in ann.nearest(df, df.where("vec_id % 20 = 0"), k=3).orderBy("query_id", "rank").collect()]
-    assert got == [(0, 1, 8, 2.0), (0, 2, 1, 1.0), (0, 3, 20, 1.0), (20, 1, 8, 2.0), (20, 2, 0, 1.0), (20, 3, 1, 1.0)]
+    assert got == [(0, 1, 8, 2.0), (0, 2, 8, 2.0), (0, 3, 1, 1.0), (20, 1, 8, 2.0), (20, 2, 8, 2.0), (20, 3, 0, 1.0)]
     assert ann.nearest(df.limit(0), df).collect() == []
-    with pytest.raises(ValueError):
-        ann.nearest(spark.createDataFrame([(0, [1.0]), (1, [1.0, 2.0])], df.schema), df)
+    # an odd dimension takes no part; other rows of a query's id do, and so do clashing columns
+    odd = spark.createDataFrame([(0, [1.0], 1), (0, [1.0, 2.0], 2), (0, [1.0, 3.0], 3), (1, [0.5, 2.0], 4)], "vec_id long, embedding array<double>, score int").withColumns({"list": F.lit(1), "v": F.lit("x"), "rank": F.lit(2)})
+    got = [(r.query_id, r.vec_id, r.score) for r in ann.nearest(odd, odd.where("vec_id = 0"), k=5).collect()]
+    assert sorted(got) == [(0, 0, 7.0), (0, 0, 7.0), (0, 1, 4.5), (0, 1, 6.5)]
+
+
+@pytest.mark.skipif(not os.path.isdir(LARGE), reason="needs a table of 50,000 vectors")
+def test_recall_where_lists_are_pruned(spark):
+    df = spark.read.parquet(LARGE)
+    x = {r.vec_id: r.embedding for r in df.collect()}
+    ids, x = np.array(list(x)), np.array(list(x.values()), float)
+    asked = df.where("vec_id % 400 = 0")
+    got: dict = {}
+    for r in ann.nearest(df, asked).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    right = []
+    for i in np.flatnonzero(ids % 400 == 0):
+        s = x[i] @ x.T
+        s[i] = -np.inf
+        right.append(len(got[int(ids[i])] & set(ids[np.argsort(-s)[:20]].tolist())) / 20)
+    assert len(ids) > 50_000 and np.mean(right) >= 0.9
+    top = np.sqrt((x**2).sum(1).max())
+    part = x[:: max(1, len(x) // 16_384)]
+    centres = ann.fit_centroids(np.c_[part, np.sqrt(np.maximum(top**2 - (part**2).sum(1), 0))], len(x) // ann.LIST_ROWS)
+    some = x[ids % 400 == 0]
+    _, away = ann.graph_search(np.c_[some, np.zeros(len(some))], centres, ann.neighbour_graph(centres), 104)
+    assert ann.chosen_lists(away, 96, 1.15).sum(1).mean() < 0.4 * len(centres)
 
 
 def test_held_out_accuracy(spark):
