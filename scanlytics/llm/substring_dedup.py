@@ -6,6 +6,11 @@ travels once, as one packed string, to the bucket of its minimiser; equal
 windows have equal minimisers, so a bucket sees all occurrences of its windows
 and finds repeats by sorting them. Equal hashes are compared word by word.
 
+Windows of a minimiser with more than half a bucket's share of all runs, as
+counted on a sample, are told apart by a second, longer minimiser; so a frequent
+pair of words does not fill one bucket. What is found does not depend on the
+sample.
+
 Heavy repetition is met before the shuffle: a run that occurs several times in
 one slice of a task's input is sent for its smallest document only, and the
 others are settled on the spot. A passage that a third of all documents share
@@ -25,11 +30,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import shuffle_partitions, text_key
+from .shared import shuffle_partitions, text_key, written
 from .textops import BLANK, Words, grams, mix, pieces, runs, sliding_min
 
 SLICE_BYTES = 6 << 20
 BUCKETS_PER_PARTITION = 6
+SAMPLE_EACH = 4  # minimisers are counted in one document of so many for each partition
 _SPANS = pa.schema([("doc", pa.int64()), ("key", pa.int64()), ("start", pa.int32()), ("stop", pa.int32())])
 _BLOBS = pa.schema([("bucket", pa.int32()), ("packed", pa.binary())])
 
@@ -51,7 +57,41 @@ def _unpack(blob: bytes):
     return (*out, raw[at:])
 
 
-def _cutter(k: int, m: int, buckets: int):
+def _windows(words: Words, k: int, m: int, known: np.ndarray, heavy: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Word hashes, and where windows begin and their minimisers."""
+    hashes = words.hashes()
+    least = sliding_min(grams(hashes, m), k - m + 1)
+    begin = np.flatnonzero((words.row[: len(least)] == words.row[k - 1 :]) & known[words.row[: len(least)]])
+    low = least[begin]
+    often = np.isin(low, heavy)
+    if often.any():
+        wide = min(2 * m, k)
+        second = sliding_min(grams(hashes, wide), k - wide + 1)
+        low[often] = mix(low[often] ^ mix(second[begin[often]] + np.uint64(1)))
+    return hashes, begin, low
+
+
+def _run_starts(words: Words, begin: np.ndarray, low: np.ndarray) -> np.ndarray:
+    return np.flatnonzero(np.r_[True, (begin[1:] != begin[:-1] + 1) | (low[1:] != low[:-1]) | (words.row[begin[1:]] != words.row[begin[:-1]])])
+
+
+def _counter(k: int, m: int):
+    """Runs by minimiser."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in pieces(batches, "text", SLICE_BYTES):
+            words = Words(batch.column("text"), fold=BLANK)
+            if len(words) < k:
+                continue
+            _, begin, low = _windows(words, k, m, np.ones(batch.num_rows, bool), np.zeros(0, np.uint64))
+            if len(begin):
+                least, n = np.unique(low[_run_starts(words, begin, low)], return_counts=True)
+                yield pa.RecordBatch.from_pydict({"least": least.view(np.int64), "n": n.astype(np.int64)})
+
+    return count
+
+
+def _cutter(k: int, m: int, buckets: int, heavy: np.ndarray):
     """Documents to packed super-k-mers, by bucket."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -63,13 +103,10 @@ def _cutter(k: int, m: int, buckets: int):
             words = Words(batch.column("text"), fold=BLANK)
             if len(words) < k:
                 continue
-            hashes = words.hashes()
-            least = sliding_min(grams(hashes, m), k - m + 1)
-            begin = np.flatnonzero((words.row[: len(least)] == words.row[k - 1 :]) & known[words.row[: len(least)]])
+            hashes, begin, low = _windows(words, k, m, known, heavy)
             if not len(begin):
                 continue
-            low = least[begin]
-            new = np.flatnonzero(np.r_[True, (begin[1:] != begin[:-1] + 1) | (low[1:] != low[:-1]) | (words.row[begin[1:]] != words.row[begin[:-1]])])
+            new = _run_starts(words, begin, low)
             lead, tail, low = begin[new], begin[np.r_[new[1:], len(begin)] - 1] + k, low[new]
             row = words.row[lead]
             text, byte, stop = words.buf.tobytes(), words.start[lead], words.end[tail - 1]
@@ -153,7 +190,13 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
     n = buckets or BUCKETS_PER_PARTITION * shuffle_partitions(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc"), text_key(F.col(text_col)).alias("key"), F.col(text_col).alias("text"))
-    blobs = rows.mapInArrow(_cutter(k, min(m, k), n), "bucket int, packed binary")
+    m = min(m, k)
+    sample = rows.where(F.pmod(F.xxhash64("doc"), F.lit(SAMPLE_EACH * shuffle_partitions(docs.sparkSession))) == 0).select("text")
+    counts = sample.mapInArrow(_counter(k, m), "least long, n long").groupBy("least").agg(F.sum("n").alias("n"))
+    counts = written(counts, "minimisers")
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    heavy = counts.where(2 * n * F.col("n") > total).select("least").toArrow()  # fewer than 2 n rows
+    blobs = rows.mapInArrow(_cutter(k, m, n, heavy.column("least").to_numpy().astype(np.int64).view(np.uint64)), "bucket int, packed binary")
     return blobs.groupBy("bucket").applyInArrow(_sorter(k), "doc long, key long, start int, stop int")
 
 
