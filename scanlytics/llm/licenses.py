@@ -9,6 +9,8 @@ or a higher priority is suppressed, unless both have the same priority and span
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -89,11 +91,47 @@ FAMILIES = [
 _BEFORE = r"(?:licen[cs]ed|released|distributed|available|published|provided|covered) under (?:the )?(?:terms of (?:the )?)?"
 _BETWEEN = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 # what a text must hold to be looked at: one of the words that every rule and base phrase needs
-GATE = rf"(?i)licen[cs]e|cc0|cc{_BETWEEN}by|creative|public{_BETWEEN}domain|rights|proprietary|same{_BETWEEN}terms|spdx|mulan|rail|bsd|no{_BETWEEN}attribution"
+GATE = rf"(?i)licen[cs]e|cc0|cc{_BETWEEN}by|creative|public{_BETWEEN}domain|rights|proprietary|same{_BETWEEN}terms|spdx|mulan|rail|bsd|no{_BETWEEN}attribution|permission{_BETWEEN}(?:is|to)|redistribution{_BETWEEN}and|endorse{_BETWEEN}or|advertising{_BETWEEN}materials|altered{_BETWEEN}source|held{_BETWEEN}liable|do{_BETWEEN}what{_BETWEEN}the{_BETWEEN}fuck|a{_BETWEEN}beer|not{_BETWEEN}evil|without{_BETWEEN}warranty"
+
+
+#: Written signatures of license texts: label, keyword, pattern.
+BODIES = [
+    ("mit", "permission is hereby granted", r"permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files"),
+    ("mit", "permission is hereby granted", r"permission is hereby granted free of charge to any person obtaining a copy(?! of the software and accompanying)"),
+    ("bsl", "permission is hereby granted", r"permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation"),
+    ("bsd", "redistribution and use", r"redistribution and use in source and binary forms with or without modification are permitted(?: provided that the following conditions are met)?"),
+    ("bsd-3-clause", "endorse or promote", r"neither the names? of (?:\S+ ){1,12}(?:nor the names of (?:its|their|any) (?:\S+ )?contributors )?may be used to endorse or promote products"),
+    ("bsd-4-clause", "advertising materials", r"all advertising materials mentioning features or use of this software must display"),
+    ("isc", "with or without fee", r"permission to use copy modify (?:and or |and )?distribute this software (?:and its documentation )?for any purpose with or without fee is hereby granted"),
+    ("apache-2.0", "apache", r"licensed under the apache license version 2 0 the license you may not use this file except in compliance"),
+    ("apache", "as is basis", r"unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis"),
+    ("gpl", "gnu general public", r"you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation"),
+    ("gpl-2.0", "gnu general public", r"gnu general public license as published by the free software foundation either version 2 of the license or"),
+    ("gpl-3.0", "gnu general public", r"gnu general public license as published by the free software foundation either version 3 of the license or"),
+    ("lgpl", "lesser general public", r"you can redistribute it and or modify it under the terms of the gnu lesser general public license"),
+    ("agpl", "affero", r"you should have received a copy of the gnu affero general public license"),
+    ("mpl-2.0", "mozilla", r"this source code form is subject to the terms of the mozilla public license v 2 0"),
+    ("epl", "eclipse", r"this program and the accompanying materials are made available under the terms of the eclipse public license"),
+    ("zlib", "altered source", r"altered source versions must be plainly marked as such and must not be misrepresented as being the original software"),
+    ("zlib", "held liable for any damages", r"in no event will the authors be held liable for any damages arising from the use of this software"),
+    ("unlicense", "unencumbered", r"this is free and unencumbered software released into the public domain"),
+    ("wtfpl", "do what the fuck", r"do what the fuck you want to(?: public license)?"),
+    ("artistic", "artistic", r"you may distribute (?:this|it) under the (?:same )?terms of the artistic license"),
+    ("ofl", "font software", r"this font software is licensed under the sil open font license"),
+    ("psf", "psf hereby grants", r"psf hereby grants licensee a nonexclusive royalty free world wide license"),
+    ("cc", "creative commons", r"this work is licensed under (?:a|the) creative commons"),
+    ("cc0", "waived all copyright", r"has waived all copyright and related or neighboring rights"),
+    ("gfdl", "free documentation", r"permission is granted to copy distribute and or modify this document under the terms of the gnu free documentation license"),
+    ("beerware", "buy me a beer", r"you can buy me a beer in return"),
+    ("json", "used for good", r"the software shall be used for good not evil"),
+    ("no-warranty", "without warranty of any kind", r"the software is provided as is without warranty of any kind"),
+]
+# single words of the gate: without any of them, in lower case, a text is not matched against it
+GATE_WORDS = ["licens", "licenc", "cc", "creative", "public", "rights", "proprietary", "same", "spdx", "mulan", "rail", "bsd", "attribution", "permi", "advertising", "endorse", "altered", "liable", "beer", "evil", "warranty", "redistribut", "fuck"]
 
 
 def rules() -> list[tuple[int, str, str, str, int]]:
-    """``order, label, keyword, pattern, priority``: titles 1, titles with a version 2, notices 3, identifiers 4."""
+    """``order, label, keyword, pattern, priority``: titles 1, titles with a version 2, notices 3 and 4 with a version, identifiers and written signatures 5."""
     out = []
     for label, keyword, name, versions in FAMILIES:
         keys = ["creative commons", "cc"] if keyword == "cc" else [keyword]
@@ -113,6 +151,7 @@ def rules() -> list[tuple[int, str, str, str, int]]:
         for v in versions or [""]:
             tag = f"{label} {v}".strip().replace("-", " ").replace(".", " ")
             out.append((f"{label}-{v}" if v else label, "spdx", f"spdx licen[cs]e identifier {tag}(?: only| or later)?", 5))
+    out += [(label, key, pattern, 5) for label, key, pattern in BODIES]
     return [(i, label, key, rf"(?<= )(?:{pattern})(?= )", priority) for i, (label, key, pattern, priority) in enumerate(out)]
 
 
@@ -139,16 +178,20 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """
     base = docs.select(F.col(id_col).cast("long").alias("doc"), text_key(F.col(text_col)).alias("key"), F.col(text_col).alias("text"))
     counted = base.select("doc", "key", F.coalesce(F.regexp_count("text", F.lit(WORDS_ANY_CASE)), F.lit(0)).cast("long").alias("n_words"))
-    gated = base.where(F.col("text").rlike(GATE)).select("doc", "key", F.concat(F.lit(" "), F.array_join(folded_words(F.col("text")), " "), F.lit(" ")).alias("norm"))
-    gated = gated.dropDuplicates(["doc", "key"])
+    low = F.lower("text")
+    looked = functools.reduce(lambda a, w: a | F.contains(low, F.lit(w)), GATE_WORDS[1:], F.contains(low, F.lit(GATE_WORDS[0])))
+    gated = base.where(looked & F.col("text").rlike(GATE)).select("doc", "key", F.concat(F.lit(" "), F.array_join(folded_words(F.col("text")), " "), F.lit(" ")).alias("norm"))
 
     def table(rows: list[tuple]) -> Column:
         return F.array(*[F.struct(F.lit(i).alias("rank"), F.lit(label).alias("label"), F.lit(key).alias("word"), F.lit(p).alias("pattern"), F.lit(n).alias("level")) for i, label, key, p, n in rows])
 
     phrases = table([(-1, label, phrase, f"(?<= ){phrase}(?= )", 0) for phrase, label in BASE.items()])
     both = gated.withColumn("rules", F.concat(phrases, table(rules())))
-    both = both.select("doc", "key", "norm", F.explode_outer(F.filter("rules", lambda r: F.contains(F.col("norm"), F.concat(F.lit(" "), r["word"])) | F.contains(F.col("norm"), r["word"]))).alias("r"))
-    found = both.select("doc", "key", "r.rank", "r.label", "r.level", F.explode_outer(_places(F.col("norm"), F.col("r.pattern"))).alias("at")).select("doc", "key", "rank", "label", "level", "at.start", "at.stop").where("start is not null")
+    named = F.filter("rules", lambda r: F.contains(F.col("norm"), r["word"]))
+    place = lambda r: F.transform(_places(F.col("norm"), r["pattern"]), lambda p: F.struct(r["rank"].alias("rank"), r["label"].alias("label"), r["level"].alias("level"), p["start"].alias("start"), p["stop"].alias("stop")))
+    # all matching is done before the first shuffle; of repeated rows one is kept
+    found = both.select("doc", "key", F.flatten(F.transform(named, place)).alias("found")).groupBy("doc", "key").agg(F.first("found").alias("found"))
+    found = found.select("doc", "key", F.explode("found").alias("at")).select("doc", "key", "at.*")
     # a third of the places may be one document's copies, never one document's own: its length bounds them
     places = Window.partitionBy("doc", "key").orderBy("start", F.desc("stop"), F.desc("level"), "rank").rowsBetween(Window.unboundedPreceding, -1)
     levels = range(1, 6)

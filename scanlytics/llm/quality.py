@@ -6,8 +6,10 @@ and length. Over rounds each view labels the unlabelled documents of which it
 is sure, and the other view learns from them. Both are then calibrated on
 held-out labels and their calibrated outputs are combined.
 
-Fitting uses bounded samples: at most ``labelled`` labelled and ``pool``
-unlabelled documents, chosen by a hash of the id. Every document is scored.
+At most ``labelled`` labelled documents, chosen by a hash of the id, are used.
+The exchange sees every document: a table of features is written once, each
+round scores all of it in Spark, and only the surest documents come back, at
+most ``pseudo`` for a view and a round. Every document is scored.
 """
 
 from __future__ import annotations
@@ -18,10 +20,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .shared import discard, text_key, written
 from .textops import LOWER, SPACES, Words, pieces
 
 SLICE_BYTES = 4 << 20
@@ -64,10 +67,15 @@ def plain_words(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return row[new], hashes[new]
 
 
-def metadata(lang: list, source: list, size: np.ndarray) -> np.ndarray:
-    out = np.zeros((len(lang), BUCKETS + 4), np.float32)
-    for j, values in enumerate((lang, source)):
-        out[np.arange(len(lang)), [zlib.crc32(f"{j}{x}".encode()) % BUCKETS for x in values]] = 1
+def buckets(lang: list, source: list) -> list[np.ndarray]:
+    return [np.array([zlib.crc32(f"{j}{x}".encode()) % BUCKETS for x in values], np.int32) for j, values in enumerate((lang, source))]
+
+
+def metadata(lang: np.ndarray, source: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The metadata view, from the buckets of language and source, and the length."""
+    out = np.zeros((len(size), BUCKETS + 4), np.float32)
+    for values in (lang, source):
+        out[np.arange(len(size)), values] = 1
     length = np.log1p(np.maximum(size, 0))
     out[:, BUCKETS:] = np.c_[length, length**2 / 10, size < 60, size > 20_000]
     return out
@@ -110,27 +118,14 @@ class CoTrained:
     calibration: list[Logistic]
 
     @classmethod
-    def fit(cls, content: np.ndarray, meta: np.ndarray, y: np.ndarray, more_content: np.ndarray, more_meta: np.ndarray, rounds: int = 3, sure: float = 0.97, most: float = 0.1) -> CoTrained:
-        hold = np.arange(len(y)) % 4 == 0  # for calibration only
-        x, pool, target = (content[~hold], meta[~hold]), (more_content, more_meta), y[~hold]
-        added: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros(0, int), np.zeros(0))] * 2
-        free = np.ones(len(more_meta), bool)
-        views = [Logistic.fit(a, target) for a in x]
-        for _ in range(rounds if len(more_meta) else 0):
-            for me, other in ((0, 1), (1, 0)):
-                p = 1 / (1 + np.exp(-views[me].logit(pool[me])))
-                rest = np.flatnonzero(free)
-                for label, q in ((1, p), (0, 1 - p)):
-                    limit = int(most * len(free) * (y == label).mean()) + 1
-                    best = rest[np.argsort(-q[rest])][:limit]
-                    best = best[(q[best] >= sure) & free[best]]
-                    free[best] = False
-                    added[other] = (np.r_[added[other][0], best], np.r_[added[other][1], np.full(len(best), label)])
-            views = [Logistic.fit(np.r_[x[i], pool[i][added[i][0]]], np.r_[target, added[i][1]], np.r_[np.ones(len(target)), np.full(len(added[i][0]), 0.5)]) for i in (0, 1)]
-        raw = [views[0].logit(content[hold]), views[1].logit(meta[hold])]
-        calibration = [Logistic.fit(r[:, None], y[hold], penalty=1e-4) for r in raw]
+    def fit(cls, content: np.ndarray, meta: np.ndarray, y: np.ndarray, views: list[Logistic]) -> CoTrained:
+        """Calibrates ``views`` on held-out rows and combines them."""
+        raw = [views[0].logit(content), views[1].logit(meta)]
+        calibration = [Logistic.fit(r[:, None], y, penalty=1e-4) for r in raw]
+        for c in calibration:  # a surer view never lowers the probability
+            c.weight = np.maximum(c.weight, 0)
         both = np.c_[calibration[0].logit(raw[0][:, None]), calibration[1].logit(raw[1][:, None])]
-        return cls(views[0], views[1], Logistic.fit(both, y[hold], penalty=1e-4), calibration)
+        return cls(views[0], views[1], Logistic.fit(both, y, penalty=1e-4), calibration)
 
     def score(self, content: np.ndarray, meta: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         a = self.calibration[0].logit(self.content.logit(content)[:, None])
@@ -138,14 +133,75 @@ class CoTrained:
         return tuple(1 / (1 + np.exp(-x)) for x in (a, b, self.joint.logit(np.c_[a, b])))
 
 
-def _sampler(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    kind = pa.schema([("doc", pa.int64()), ("shape", pa.list_(pa.float32())), ("words", pa.list_(pa.int64())), ("meta", pa.list_(pa.float32()))])
+_FEATURES = "key long, shape array<float>, present binary, lang int, source int, size long"
+
+
+def _featured(chosen):
+    """The features of each text, as a short row."""
+    kind = pa.schema([("key", pa.int64()), ("shape", pa.list_(pa.float32())), ("present", pa.binary()), ("lang", pa.int32()), ("source", pa.int32()), ("size", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in pieces(batches, "text", SLICE_BYTES):
+            row, words = plain_words(batch.column("text"))
+            present = np.packbits(_presence(row, words, chosen.value, batch.num_rows).astype(bool), axis=1)
+            shape = shapes(batch.column("text"))
+            edges = np.arange(0, shape.size + 1, shape.shape[1], dtype=np.int32)
+            lang, source = buckets(batch.column("lang").to_pylist(), batch.column("source").to_pylist())
+            arrays = [batch.column("key"), pa.ListArray.from_arrays(pa.array(edges), pa.array(shape.ravel())), pa.array([x.tobytes() for x in present], pa.binary()), pa.array(lang), pa.array(source), batch.column("size")]
+            yield pa.RecordBatch.from_arrays(arrays, schema=kind)
+
+    return run
+
+
+def _views(table: pa.Table | pa.RecordBatch, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """Content and metadata of rows of features."""
+    column = lambda c: table.column(c).combine_chunks() if isinstance(table, pa.Table) else table.column(c)
+    n = table.num_rows
+    shape = column("shape").flatten().to_numpy().reshape(n, -1)
+    width = (words + 7) // 8
+    present = np.frombuffer(b"".join(column("present").to_pylist()), np.uint8).reshape(n, width)
+    content = np.c_[shape, np.unpackbits(present, axis=1)[:, :words].astype(np.float32)]
+    return content, metadata(column("lang").to_numpy(), column("source").to_numpy(), column("size").to_numpy())
+
+
+def _sure(models, words: int, most: int, sure: float):
+    """Of each batch the surest ``most`` texts for every target, view and label."""
+    kind = pa.schema([("target", pa.int32()), ("view", pa.int32()), ("label", pa.int32()), ("p", pa.float64()), ("key", pa.int64()), ("shape", pa.list_(pa.float32())), ("present", pa.binary()), ("lang", pa.int32()), ("source", pa.int32()), ("size", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fitted, used = models.value
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            key = batch.column("key").to_numpy()
+            once = np.zeros(len(key), bool)
+            once[np.unique(key, return_index=True)[1]] = True
+            both = _views(batch, words)
+            for target, views in fitted.items():
+                free = once & ~np.isin(key, used[target])
+                for view in (0, 1):
+                    p = 1 / (1 + np.exp(-views[view].logit(both[view])))
+                    for label, q in ((1, p), (0, 1 - p)):
+                        some = np.flatnonzero(free & (q >= sure))
+                        some = some[np.lexsort((key[some], -q[some]))[:most]]
+                        n = len(some)
+                        head = [pa.array(np.full(n, x, np.int32)) for x in (target, view, label)]
+                        yield pa.RecordBatch.from_arrays([*head, pa.array(q[some]), *[c.take(pa.array(some)) for c in batch.columns]], schema=kind)
+
+    return run
+
+
+def _worded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """In how many texts of each kind each word is."""
     for batch in pieces(batches, "text", SLICE_BYTES):
         row, words = plain_words(batch.column("text"))
-        edges = np.r_[0, np.cumsum(np.bincount(row, minlength=batch.num_rows))].astype(np.int32)
-        meta = metadata(batch.column("lang").to_pylist(), batch.column("source").to_pylist(), batch.column("size").to_numpy())
-        rows = [pa.array(list(x), pa.list_(pa.float32())) for x in (shapes(batch.column("text")), meta)]
-        yield pa.RecordBatch.from_arrays([batch.column("doc"), rows[0], pa.ListArray.from_arrays(pa.array(edges), pa.array(words.view(np.int64))), rows[1]], schema=kind)
+        names, at = np.unique(words, return_inverse=True)
+        out = {"word": names.view(np.int64)}
+        for name in ("quality", "toxic"):
+            y = batch.column(name).fill_null(-1).to_numpy()[row]
+            for end, value in (("yes", 1), ("no", 0)):
+                out[f"{name}_{end}"] = np.bincount(at[y == value], minlength=len(names))
+        yield pa.RecordBatch.from_pydict(out)
 
 
 def _presence(row: np.ndarray, words: np.ndarray, chosen: np.ndarray, rows: int) -> np.ndarray:
@@ -157,15 +213,13 @@ def _presence(row: np.ndarray, words: np.ndarray, chosen: np.ndarray, rows: int)
     return out
 
 
-def _telling(row: np.ndarray, words: np.ndarray, y: np.ndarray, many: int) -> np.ndarray:
+def _telling(counts: DataFrame, name: str, yes: int, no: int, many: int) -> np.ndarray:
     """The words whose presence tells the classes apart best, by a smoothed log-odds ratio over its error."""
-    names, at = np.unique(words, return_inverse=True)
-    yes, no = np.bincount(at, weights=y[row], minlength=len(names)), np.bincount(at, weights=1 - y[row], minlength=len(names))
-    a, b = yes + 0.5, no + 0.5
-    c, d = y.sum() - yes + 0.5, (1 - y).sum() - no + 0.5
-    value = np.abs(np.log(a * d / (b * c))) / np.sqrt(1 / a + 1 / b + 1 / c + 1 / d)
-    value[yes + no < 3] = 0
-    return names[np.argsort(-value, kind="stable")[:many]]
+    a, b = F.col(f"{name}_yes") + 0.5, F.col(f"{name}_no") + 0.5
+    c, d = yes - F.col(f"{name}_yes") + 0.5, no - F.col(f"{name}_no") + 0.5
+    value = F.abs(F.ln(a * d / (b * c))) / F.sqrt(1 / a + 1 / b + 1 / c + 1 / d)
+    best = counts.where(F.col(f"{name}_yes") + F.col(f"{name}_no") >= 3).orderBy(F.desc(value), "word").limit(many)
+    return best.select("word").toArrow().column("word").to_numpy().astype(np.int64).view(np.uint64)
 
 
 @dataclass
@@ -187,46 +241,66 @@ def _rows(docs: DataFrame, id_col: str, text_col: str, lang_col: str, source_col
     return docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"), F.col(source_col).cast("string").alias("source"), F.coalesce(F.length(text_col), F.lit(0)).cast("long").alias("size"))
 
 
-def fit_quality_model(docs: DataFrame, labels: DataFrame, labelled: int = 6000, pool: int = 4000, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", rounds: int = 3) -> QualityModel:
-    """Fits both targets of ``labels`` (``doc_id, quality, toxic``) on the bounded samples.
+def fit_quality_model(docs: DataFrame, labels: DataFrame, labelled: int = 6000, pseudo: int = 400, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", rounds: int = 3, sure: float = 0.97) -> QualityModel:
+    """Fits both targets of ``labels`` (``doc_id, quality, toxic``) on the bounded sample and all documents.
 
-    Labels without an id or a value are left out; of several for one id the smallest counts. A target
-    with fewer than 10 documents in a class is not learned: then all are good, or none toxic.
+    Labels without an id are left out, and for a target those without its value; of several for one id the smallest counts. A target
+    with fewer than 10 documents in a class is not learned: then all are good, or none toxic. In each round each view hands
+    the other at most ``pseudo`` documents of which it is at least ``sure``, by class as the labels are; copies of a text count once.
+    Very long texts enter whole. Other columns are ignored.
     """
-    rows = _rows(docs, id_col, text_col, lang_col, source_col)
-    known = labels.select(F.col("doc_id").cast("long").alias("doc"), F.col("quality").cast("int").alias("quality"), F.col("toxic").cast("int").alias("toxic")).dropna().groupBy("doc").agg(F.min("quality").alias("quality"), F.min("toxic").alias("toxic"))
+    rows = _rows(docs, id_col, text_col, lang_col, source_col).withColumn("key", F.xxhash64(F.coalesce(text_key(F.col("text")), F.lit(0)), "lang", "source"))
+    known = labels.select(F.col("doc_id").cast("long").alias("doc"), F.col("quality").cast("int").alias("quality"), F.col("toxic").cast("int").alias("toxic")).where("doc is not null and coalesce(quality, toxic) is not null").groupBy("doc").agg(F.min("quality").alias("quality"), F.min("toxic").alias("toxic"))
     taken = known.join(rows.select("doc").distinct(), "doc", "left_semi").orderBy(F.xxhash64("doc"), "doc").limit(labelled)
-    truth = {r["doc"]: (r["quality"], r["toxic"]) for r in taken.collect()}
-    fresh = rows.select("doc").where("doc is not null").join(known, "doc", "left_anti").distinct().orderBy(F.xxhash64("doc"), "doc").limit(pool)
-    spark = docs.sparkSession
-    ids = spark.createDataFrame([(d,) for d in [*truth, *[r[0] for r in fresh.collect()]]], "doc long")
-    # bounded by the two sample sizes
-    table = rows.join(F.broadcast(ids), "doc", "left_semi").mapInArrow(_sampler, "doc long, shape array<float>, words array<long>, meta array<float>").toArrow().sort_by("doc")
-    if not table.num_rows:
+    truth = written(taken, "labels")  # ``labelled`` rows at most
+    one = rows.join(F.broadcast(truth), "doc").groupBy("doc", "quality", "toxic").agg(F.min_by(F.struct("text", "lang", "source", "size", "key"), "key").alias("r"))
+    sample = written(one.select("doc", "quality", "toxic", "r.*"), "sample")
+    counts = ", ".join(f"{t}_{e} long" for t in ("quality", "toxic") for e in ("yes", "no"))
+    words = sample.select("text", F.signum("quality").cast("int").alias("quality"), F.signum("toxic").cast("int").alias("toxic")).mapInArrow(_worded, f"word long, {counts}")
+    words = written(words.groupBy("word").agg(*[F.sum(f"{t}_{e}").alias(f"{t}_{e}") for t in ("quality", "toxic") for e in ("yes", "no")]), "words")
+    size = sample.agg(*[F.count_if(F.col(t) > 0 if e else F.col(t) <= 0).alias(f"{t}{e}") for t in ("quality", "toxic") for e in (1, 0)]).first()
+    learned = [t for t in ("quality", "toxic") if min(size[f"{t}1"], size[f"{t}0"]) >= 10]
+    if not learned:
         return QualityModel(np.zeros(0, np.uint64), None, None)
-    doc = table.column("doc").to_numpy()
-    first = np.flatnonzero(np.r_[True, doc[1:] != doc[:-1]])
-    table, doc = table.take(pa.array(first)), doc[first]
-    shape, meta = (np.array(table.column(c).to_pylist(), np.float32) for c in ("shape", "meta"))
-    lists = table.column("words").to_pylist()
-    row, words = np.repeat(np.arange(len(lists)), [len(x) for x in lists]), np.array([w for x in lists for w in x], np.int64).view(np.uint64)
-    has = np.array([d in truth for d in doc])
-    labels_of = np.array([truth.get(d, (0, 0)) for d in doc])
-    spread = np.random.default_rng(1).permutation(int(has.sum()))  # so that held-out rows are random ones
-    place = np.flatnonzero(has)[spread]
-    found, wanted = [], {}
+    chosen = np.unique(np.concatenate([_telling(words, t, size[f"{t}1"], size[f"{t}0"], WORDS_CHOSEN // 2) for t in learned]))
+    spark = docs.sparkSession
+    shared = spark.sparkContext.broadcast(chosen)
+    table = sample.select("text", "lang", "source", "size", F.col("doc").alias("key")).mapInArrow(_featured(shared), _FEATURES).toArrow().sort_by("key")
+    facts = sample.select("doc", "quality", "toxic", "key").toArrow().sort_by("doc")
+    content, meta = _views(table, len(chosen))
+    order = np.random.default_rng(1).permutation(len(content))  # so that held-out rows are random ones
+    parts, views, added, used = {}, {}, {}, {}
     for i, name in enumerate(("quality", "toxic")):
-        y = (labels_of[:, i] > 0).astype(float)
-        if min(y[has].sum(), (1 - y[has]).sum()) >= 10:
-            wanted[name] = y
-            local = np.full(len(doc), -1)
-            local[np.flatnonzero(has)] = np.arange(int(has.sum()))
-            mine = has[row]
-            found.append(_telling(local[row[mine]], words[mine], y[has], WORDS_CHOSEN // 2))
-    chosen = np.unique(np.concatenate(found)) if found else np.zeros(0, np.uint64)
-    content = np.c_[shape, _presence(row, words, chosen, len(doc))]
-    models = {name: CoTrained.fit(content[place], meta[place], y[place], content[~has], meta[~has], rounds) for name, y in wanted.items()}
-    return QualityModel(chosen, models.get("quality"), models.get("toxic"))
+        if name in learned:
+            y = facts.column(name).to_pylist()
+            place = np.array([j for j in order if y[j] is not None])
+            y, hold = np.array([y[j] > 0 for j in place], float), np.arange(len(place)) % 4 == 0  # for calibration only
+            parts[i] = content[place[~hold]], meta[place[~hold]], y[~hold], (content[place[hold]], meta[place[hold]], y[hold])
+            views[i] = [Logistic.fit(x, y[~hold]) for x in parts[i][:2]]
+            added[i] = [(np.zeros((0, x.shape[1]), np.float32), np.zeros(0)) for x in parts[i][:2]]
+            used[i] = facts.column("key").to_numpy()
+    pool = written(rows.select("text", "lang", "source", "size", "key").mapInArrow(_featured(shared), _FEATURES), "features") if rounds else None
+    for _ in range(rounds):
+        state = spark.sparkContext.broadcast((views, used))
+        found = pool.mapInArrow(_sure(state, len(chosen), pseudo, sure), f"target int, view int, label int, p double, {_FEATURES}")
+        found = found.dropDuplicates(["target", "view", "label", "key"])
+        place = F.row_number().over(Window.partitionBy("target", "view", "label").orderBy(F.desc("p"), "key"))
+        best = found.withColumn("place", place).where(F.col("place") <= pseudo).toArrow().sort_by([("target", "ascending"), ("view", "ascending"), ("label", "descending"), ("place", "ascending")])
+        if not best.num_rows:
+            break
+        more = _views(best, len(chosen))
+        target, view, label, key, at = (best.column(c).to_numpy() for c in ("target", "view", "label", "key", "place"))
+        for i in views:
+            for me, other in ((0, 1), (1, 0)):
+                for value in (1, 0):
+                    limit = int(pseudo * (parts[i][2] == value).mean()) + 1
+                    mine = np.flatnonzero((target == i) & (view == me) & (label == value) & (at <= limit) & ~np.isin(key, used[i]))
+                    used[i] = np.r_[used[i], key[mine]]
+                    added[i][other] = np.r_[added[i][other][0], more[other][mine]], np.r_[added[i][other][1], np.full(len(mine), value)]
+            views[i] = [Logistic.fit(np.r_[x, extra], np.r_[parts[i][2], label_], np.r_[np.ones(len(x)), np.full(len(extra), 0.5)]) for x, (extra, label_) in zip(parts[i][:2], added[i], strict=True)]
+    discard(pool, words, sample, truth)
+    models = {i: CoTrained.fit(*parts[i][3], views[i]) for i in views}
+    return QualityModel(chosen, models.get(0), models.get(1))
 
 
 _SCORES = ["p_content", "p_meta", "quality", "t_content", "t_meta", "toxic"]
@@ -235,7 +309,7 @@ _SCORES = ["p_content", "p_meta", "quality", "t_content", "t_meta", "toxic"]
 def _scorer(model, at: float, toxic_at: float, others: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, "text", SLICE_BYTES):
-            meta = metadata(batch.column("lang").to_pylist(), batch.column("source").to_pylist(), batch.column("size").to_numpy())
+            meta = metadata(*buckets(batch.column("lang").to_pylist(), batch.column("source").to_pylist()), batch.column("size").to_numpy())
             got = model.value.score(batch.column("text"), meta)
             keep = (got[2] >= at) & (got[5] < toxic_at)
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in others], *[pa.array(x.astype(float)) for x in got], pa.array(keep)], names=[*others, *_SCORES, "keep"])

@@ -84,6 +84,28 @@ def test_held_out_accuracy(spark):
     assert np.mean(clean) >= 0.97
 
 
+def test_views_teach_each_other(spark):
+    """Labelled documents have no source, so only the exchange can teach the metadata view what sources say."""
+    rng = np.random.default_rng(2)
+    words = [f"w{i}" for i in range(60)]
+    rows = []
+    for i in range(1200):
+        good = i % 2
+        text = " ".join([*rng.choice(words, 30), *(["fine", "clear"] if good else ["junk", "dirty"])])
+        rows.append((i, text, "en", None if i < 200 else ("library" if good else "farm")))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    labels = spark.createDataFrame([(i, i % 2, None if i % 3 else 0) for i in range(200)], "doc_id long, quality int, toxic int")
+    gap = []
+    for rounds in (0, 3):
+        model = quality.fit_quality_model(docs, labels, rounds=rounds)
+        said = model.quality.meta.logit(quality.metadata(*quality.buckets(["en", "en"], ["library", "farm"]), np.array([200, 200])))
+        gap.append(said[0] - said[1])
+    assert abs(gap[0]) < 0.1 and gap[1] > 1
+    few = quality.fit_quality_model(docs, labels, rounds=1, pseudo=4)  # the same exchange, whatever the partitions
+    again = quality.fit_quality_model(docs.repartition(7), labels, rounds=1, pseudo=4)
+    assert np.allclose(few.quality.meta.weight, again.quality.meta.weight)
+
+
 def test_quality_edges(spark):
     docs = spark.createDataFrame([(1, None, None, None, "x"), (None, "", "en", "s", "y"), (2, "w " * 9000, "en", "s", "z"), (2, "w " * 9000, "en", "s", "z")], "doc_id long, text string, lang string, source string, q_keep string")
     model = quality.fit_quality_model(docs, spark.createDataFrame([(1, None, 0), (2, 1, 0)], "doc_id long, quality int, toxic int"))
