@@ -2,9 +2,10 @@
 
 Every run of ``span`` words keeps its least k-gram hash as a fingerprint, with
 k about half the span; equal runs keep equal fingerprints, so each shared run
-of that length is met in a join on fingerprints, wherever it stands. A hit is
-then extended: the whole run around it is compared word by word. Items shorter
-than a run are one run of their own length, with its hash as fingerprint.
+of that length is met in a join on fingerprints, wherever it stands. Consecutive
+runs that keep the same one give it once. A hit is then extended to all the runs
+of its fingerprint, and each is compared word by word. Items shorter than a run
+are one run of their own length; documents are cut and hashed once for all lengths.
 
 Built-in functions only. The fingerprints of the benchmark are broadcast if
 they are counted to be few, and joined by shuffle otherwise.
@@ -49,38 +50,55 @@ def _over(rows: DataFrame, source: str, width: int, prefix: str, step) -> DataFr
     return rows.withColumn(f"{prefix}{width}", F.col(have[width] if width in have else f"{prefix}_{width}")) if width not in have or have[width] != f"{prefix}{width}" else rows
 
 
-def fingerprints(rows: DataFrame, span: int) -> DataFrame:
-    """Adds ``prints``: for each run of ``span`` entries of ``words`` its fingerprint."""
+def _prints(rows: DataFrame, span: int) -> DataFrame:
+    """Adds ``prints<span>``: for each run of ``span`` entries of ``__h`` its fingerprint."""
     kept = rows.columns
     k = span // 2 if span > 3 else span
-    rows = rows.withColumn("__h", F.transform("words", lambda w: F.xxhash64(w)))
     rows = _over(rows, "__h", k, "__g", lambda a, b: F.xxhash64(a, b)) if k > 1 else rows.withColumn("__g1", F.col("__h"))
     rows = _over(rows.select(*kept, F.col(f"__g{k}").alias("__g")), "__g", span - k + 1, "__m", lambda a, b: F.least(a, b)) if span > k else rows.withColumn("__m1", F.col(f"__g{k}"))
-    return rows.select(*kept, F.col(f"__m{span - k + 1}").alias("prints"))
+    return rows.select(*kept, F.col(f"__m{span - k + 1}").alias(f"prints{span}"))
 
 
-def _same_row() -> Column:
-    return F.col("doc").eqNullSafe(F.col("hd")) & F.col("key").eqNullSafe(F.col("hk"))
+def _winnowed(prints: str, span: int) -> Column:
+    """``span, pos, n, print`` of each stretch of ``n`` runs from ``pos`` that keep one fingerprint."""
+    all_ = F.transform(prints, lambda x, i: F.struct(i.alias("pos"), x.alias("print")))
+    first = F.filter(all_, lambda x: (x["pos"] == 0) | (F.get(F.col(prints), x["pos"] - 1) != x["print"]))
+    ends = F.concat(F.transform(F.slice(first, F.lit(2), F.greatest(F.size(first) - 1, F.lit(0))), lambda x: x["pos"]), F.array(F.size(prints)))
+    return F.zip_with(first, ends, lambda x, e: F.when(x.isNotNull(), F.struct(F.lit(span).alias("span"), x["pos"].alias("pos"), (e - x["pos"]).alias("n"), x["print"].alias("print"))))
 
 
-def _run(span: int) -> Column:
-    return F.array_join(F.slice("words", F.col("pos") + 1, span), " ")
+def fingerprints(rows: DataFrame, spans: list[int]) -> DataFrame:
+    """One row for each fingerprint of ``words`` that winnowing keeps, for every length of ``spans``: the other columns and ``span, pos, n, print``."""
+    kept = rows.columns
+    rows = rows.withColumn("__h", F.transform("words", lambda w: F.xxhash64(w)))
+    for span in spans:
+        rows = _prints(rows, span)
+    # posexplode_outer and explode_outer: of inner ones Catalyst makes a filter on the array and copies its whole expression
+    rows = rows.select(*kept, F.explode_outer(F.concat(*[_winnowed(f"prints{x}", x) for x in spans])).alias("p"))
+    return rows.select(*kept, "p.span", "p.pos", "p.n", "p.print").where("print is not null")
+
+
+def _same_row() -> Column:
+    return F.col("doc").eqNullSafe(F.col("hd")) & F.col("key").eqNullSafe(F.col("hk"))
 
 
-# posexplode_outer: of an inner one Catalyst makes a filter on the array and copies its whole expression
 def _hits(docs: DataFrame, items: DataFrame, span: int) -> tuple[DataFrame, DataFrame]:
-    """Occurrences ``doc, key, pos, run`` in ``docs`` and the ``run, item`` table; both from rows with ``words``."""
-    runs = fingerprints(items, span).select("item", "words", F.posexplode_outer("prints").alias("pos", "print"))
-    runs = written(runs.select("item", "print", _run(span).alias("run")).where("print is not null").distinct(), "runs")
-    prints = runs.select("print").distinct()
-    places = fingerprints(docs, span).select("doc", "key", "words", F.posexplode_outer("prints").alias("pos", "print"))
+    """Occurrences ``doc, key, pos, span, run`` in ``docs`` and the ``run, item`` table; both from rows with ``words``."""
+    spans = sorted(r[0] for r in items.select(F.least(F.size("words"), F.lit(span))).distinct().collect())  # ``span`` lengths at most
+    run = F.array_join(F.slice("words", F.col("at") + 1, F.col("span")), " ").alias("run")
+    each = F.explode(F.sequence(F.col("pos"), F.col("pos") + F.col("n") - 1)).alias("at")
+    runs = fingerprints(items, spans).where(F.col("span") == F.least(F.size("words"), F.lit(span)))
+    runs = written(runs.select("item", "words", "span", "print", each).select("item", "span", "print", run).distinct(), "runs")
+    prints = runs.select("span", "print").distinct()
+    places = fingerprints(docs, spans)
     if prints.count() <= SEND_FINGERPRINTS:
-        near = places.join(F.broadcast(prints), "print", "left_semi").select("doc", "key", "pos", "print", _run(span).alias("run"))
+        near = places.join(F.broadcast(prints), ["span", "print"], "left_semi")
     else:
-        at = places.select("doc", "key", "pos", "print").join(prints, "print", "left_semi").groupBy("doc", "key").agg(F.collect_set(F.struct("pos", "print")).alias("at"))
+        at = places.select("doc", "key", "span", "pos", "n", "print").join(prints, ["span", "print"], "left_semi").groupBy("doc", "key").agg(F.collect_set(F.struct("span", "pos", "n", "print")).alias("at"))
         at = at.select(F.col("doc").alias("hd"), F.col("key").alias("hk"), "at")
-        near = docs.join(at, _same_row()).select("doc", "key", "words", F.explode("at").alias("p")).select("doc", "key", "words", "p.pos", "p.print").select("doc", "key", "pos", "print", _run(span).alias("run"))
-    hits = near.join(runs.select("print", "run").distinct(), ["print", "run"], "left_semi").select("doc", "key", "pos", F.lit(span).alias("span"), "run")
+        near = docs.join(at, _same_row()).select("doc", "key", "words", F.explode("at").alias("p")).select("doc", "key", "words", "p.*")
+    near = near.select("doc", "key", "words", "span", "print", each).select("doc", "key", F.col("at").alias("pos"), "span", "print", run)
+    hits = near.join(runs.select("span", "print", "run").distinct(), ["span", "print", "run"], "left_semi").select("doc", "key", "pos", "span", "run")
     return hits, runs.select("run", "item").distinct()
 
 
@@ -100,11 +118,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     rows = base.where("text is not null").select("doc", "key", folded_words(F.col("text")).alias("words"))
     items = benchmark.select(F.col(item_col).cast("string").alias("item"), folded_words(F.col(item_text)).alias("words")).where("item is not null and size(words) > 0")
     items = written(items, "items")
-    short = sorted(r[0] for r in items.where(F.size("words") < span).select(F.size("words")).distinct().collect())
-    found, named = _hits(rows, items.where(F.size("words") >= span), span)
-    for length in short:
-        more, also = _hits(rows, items.where(F.size("words") == length), length)
-        found, named = found.unionByName(more), named.unionByName(also)
+    empty = items.isEmpty()
+    found, named = _hits(rows, items, span) if not empty else (rows.select("doc", "key", F.lit(0).alias("pos"), F.lit(0).alias("span"), F.lit("").alias("run")).limit(0), items.select(F.lit("").alias("run"), "item"))
     found = written(found, "hits")
     covered = F.flatten(F.collect_set(F.sequence(F.col("pos"), F.col("pos") + F.col("span") - 1)))
     hit = found.groupBy("doc", "key").agg(F.size(F.array_distinct(covered)).cast("long").alias("n_hit"))
