@@ -17,7 +17,8 @@ from pyspark.sql import functions as F
 
 from .shared import written
 
-RANK_BUCKETS = 256
+RANK_BUCKETS = 256  # at least; more where buckets would hold over BLOCK_ROWS rows
+BLOCK_ROWS = 1 << 18
 
 
 def _uniform(*of: Column) -> Column:
@@ -126,7 +127,7 @@ def ranked(rows: DataFrame, group: str, order: list[Column], chance: Column, nam
     return rows.join(counts, [group, "__bucket"]).withColumn(name, F.col("__before") + F.row_number().over(inside) - 1).drop("__bucket", "__before")
 
 
-def shuffle_into_shards(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shards: int = 24, seed: int = 20, blocks: int = 256) -> DataFrame:
+def shuffle_into_shards(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shards: int = 24, seed: int = 20, blocks: int | None = None) -> DataFrame:
     """Puts every document into one of ``shards`` shards: ``doc, size, text_crc32, shard, slot``.
 
     Shard sizes in documents differ by one at most; which documents go where, and their order
@@ -137,11 +138,17 @@ def shuffle_into_shards(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.col(id_col).cast("long").alias("doc"), (F.octet_length(text) + 8).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"))
-    of = [F.col("doc"), F.col("size"), F.col("text_crc32")]
-    rows = written(rows.withColumn("block", F.pmod(F.xxhash64(F.lit(seed), *of), F.lit(blocks)).cast("int")), "sizes")
+    # repeated rows are told apart by a number, so that they too are spread
+    rows = rows.groupBy("doc", "size", "text_crc32").agg(F.count("*").alias("n")).select("doc", "size", "text_crc32", F.explode(F.sequence(F.lit(1).cast("long"), "n")).alias("copy"))
+    of = [F.col("doc"), F.col("size"), F.col("text_crc32"), F.col("copy")]
+    rows = written(rows, "sizes")
+    count = rows.count()
+    blocks = blocks or 1 << min(15, max(8, (count // BLOCK_ROWS).bit_length()))
+    rows = rows.withColumn("block", F.pmod(F.xxhash64(F.lit(seed), *of), F.lit(blocks)).cast("int"))
     matrix = written(communication_matrix(rows.groupBy("block").agg(F.count("*").alias("n")), shards, blocks, seed), "matrix")
-    dealt = ranked(rows, "block", [F.xxhash64(F.lit(seed + 1), *of), *of], F.xxhash64(F.lit(seed + 2), *of), "place")
-    # one row for each block: the parameter bounds it
+    dealt = ranked(rows, "block", [F.xxhash64(F.lit(seed + 1), *of), *of], F.xxhash64(F.lit(seed + 2), *of), "place", max(RANK_BUCKETS, count // blocks // BLOCK_ROWS))
+    # one row for each block: 2^15 at most
     dealt = dealt.join(F.broadcast(matrix), "block").withColumn("shard", F.size(F.filter("upto", lambda c: c <= F.col("place"))))
-    dealt = written(dealt.select("doc", "size", "text_crc32", "shard"), "dealt")
-    return ranked(dealt, "shard", [F.xxhash64(F.lit(seed + 3), *of), *of], F.xxhash64(F.lit(seed + 4), *of), "slot")
+    dealt = written(dealt.select("doc", "size", "text_crc32", "copy", "shard"), "dealt")
+    out = ranked(dealt, "shard", [F.xxhash64(F.lit(seed + 3), *of), *of], F.xxhash64(F.lit(seed + 4), *of), "slot", max(RANK_BUCKETS, count // shards // BLOCK_ROWS))
+    return out.drop("copy")

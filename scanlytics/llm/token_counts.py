@@ -5,17 +5,21 @@ takes them away, a revised count takes the old and adds the new. Totals are
 sums of changes, so a batch is folded into a few rows per key before it is
 committed, and batches can come in any order.
 
-A batch is committed by renaming a finished folder to ``batch=<id>``. A batch id
-that exists is left as it is, so a batch sent twice counts once, and a commit
-that failed leaves nothing that is read.
+A batch's rows are written to a folder of the attempt, and the batch is committed by
+creating the file ``<id>.commit`` with that folder's name, which only one attempt can do.
+So a batch sent twice, or by two drivers at once, counts once, and a commit that
+failed leaves nothing that is read.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
+from urllib.parse import quote, unquote
 
 import numpy as np
 import pyarrow as pa
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -41,8 +45,12 @@ def _counter(tokenizer: str, others: list[str], column: str, added_tokens: bool)
 
 
 def count_tokens(docs: DataFrame, tokenizer: str, text_col: str = "text", added_tokens: bool = True) -> DataFrame:
-    """All columns but the text, and ``n_tokens`` of it (null: 0); ``added_tokens`` as in ``Encoder``."""
-    others = [c for c in docs.columns if c != text_col]
+    """All columns but the text, and ``n_tokens`` of it (null: 0), in the place of a column of that name; ``added_tokens`` as in ``Encoder``.
+
+    Repeated rows are counted each, very long texts whole; an empty table gives none.
+    """
+    others = [c for c in docs.columns if c not in (text_col, "n_tokens")]
+    docs = docs.select(*[F.col(f"`{c}`") for c in [*others, text_col]])
     kind = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in others)
     return docs.mapInArrow(_counter(tokenizer, others, text_col, added_tokens), f"{kind}, n_tokens long")
 
@@ -53,6 +61,10 @@ def _fs(spark: SparkSession, path: str):
     return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), jvm.org.apache.hadoop.fs.Path
 
 
+def _named(batch: str) -> str:
+    return quote(batch, safe="").replace(".", "%2E")
+
+
 class TokenRollup:
     """Totals in a folder that all executors share."""
 
@@ -65,25 +77,42 @@ class TokenRollup:
         Null keys are keys of their own; a null count is 0; rows that cancel out leave no trace.
         """
         fs, place = _fs(self.spark, self.path)
-        final = place(f"{self.path}/batch={batch}")
+        final = place(f"{self.path}/{_named(batch)}.commit")
         if fs.exists(final):
             return False
         folded = changes.groupBy(*KEYS).agg(F.sum(F.coalesce("n_docs", F.lit(0))).alias("n_docs"), F.sum(F.coalesce("n_tokens", F.lit(0))).alias("n_tokens"))
-        made = new_path(self.spark, "pending")
-        folded.where("n_docs != 0 or n_tokens != 0").write.parquet(made)
-        fs.mkdirs(place(self.path))
-        return bool(fs.rename(place(made), final))
+        folder = f"rows-{uuid.uuid4().hex}"
+        folded.where("n_docs != 0 or n_tokens != 0").write.parquet(f"{self.path}/{folder}")
+        try:
+            out = fs.create(final, False)
+        except Py4JJavaError:
+            if fs.exists(final):  # another driver was first
+                fs.delete(place(f"{self.path}/{folder}"), True)
+                return False
+            raise
+        out.write(bytearray(folder.encode()))
+        out.close()
+        return True
+
+    def _committed(self) -> dict[str, str]:
+        fs, place = _fs(self.spark, self.path)
+        if not fs.exists(place(self.path)):
+            return {}
+        files = [s.getPath() for s in fs.listStatus(place(self.path)) if s.getPath().getName().endswith(".commit")]
+        if not files:
+            return {}
+        rows = self.spark.read.text([f.toString() for f in files], wholetext=True).select(F.col("_metadata.file_name").alias("file"), "value").collect()
+        return {unquote(unquote(r["file"]).removesuffix(".commit")): r["value"] for r in rows}
 
     def batches(self) -> list[str]:
-        fs, place = _fs(self.spark, self.path)
-        return sorted(s.getPath().getName()[6:] for s in fs.listStatus(place(self.path))) if fs.exists(place(self.path)) else []
+        return sorted(self._committed())
 
     def totals(self) -> DataFrame:
         """``source, lang, tokenizer, n_docs, n_tokens`` over all committed batches; keys whose sums are 0 are gone."""
-        names = self.batches()
-        if not names:
+        folders = sorted(self._committed().values())
+        if not folders:
             return self.spark.createDataFrame([], _DELTA)
-        rows = self.spark.read.schema(_DELTA).parquet(*[f"{self.path}/batch={b}" for b in names])
+        rows = self.spark.read.schema(_DELTA).parquet(*[f"{self.path}/{f}" for f in folders])
         sums = rows.groupBy(*KEYS).agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"))
         return sums.where("n_docs != 0 or n_tokens != 0")
 

@@ -125,9 +125,20 @@ def test_rollup(spark):
     assert rollup.commit("none", changes.limit(0))
     back = changes.where("source = 'b'").withColumns({"n_docs": -F.col("n_docs"), "n_tokens": -F.col("n_tokens")})
     assert rollup.commit("two", back)
+    assert rollup.commit("odd/name.. %2F é", changes.limit(0)) and not rollup.commit("odd/name.. %2F é", changes)
+    assert rollup.batches() == ["none", "odd/name.. %2F é", "one", "two"]
     assert sorted(map(tuple, rollup.totals().collect()), key=str) == [("a", "en", "t1", 2, 15), (None, "en", "t1", 1, 0)]
 
 
+def test_versions_are_counted_apart(spark):
+    docs = spark.createDataFrame([("s", "en", "a b", 9), ("s", "en", "c <|endoftext|>", 9)], "source string, lang string, text string, n_tokens int")
+    rollup = token_counts.TokenRollup(spark)
+    for version, added in (("v1", True), ("v2", False)):
+        rollup.commit(version, token_counts.inserts(token_counts.count_tokens(docs, public_tokenizer(), added_tokens=added), version))
+    got = {r.tokenizer: (r.n_docs, r.n_tokens) for r in rollup.totals().collect()}
+    assert got["v1"] == (2, 5) and got["v2"][0] == 2 and got["v2"][1] > 5
+
+
 def test_counts_query_against_brute_force(spark):
     from tokenizers import Tokenizer
 
