@@ -43,10 +43,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .components import components
-from .shared import discard, text_key, written
+from .shared import discard, small_batches, text_key, written
 from .textops import LOWER, Words, grams, mix, pieces, runs
 
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 LOCALLY_FREQUENT = 4  # shingles in this many sets of one slice are reported as frequent
 FREQUENT_KEPT = 200_000  # so many of the most frequent shingles come last in the order
 REGION = 1024  # regions with more members than this are divided again
@@ -292,9 +292,16 @@ def _joined(node: np.ndarray, size: np.ndarray, own: np.ndarray, element: np.nda
     _, code, many = np.unique(element, return_inverse=True, return_counts=True)
     common = many[code] > 1
     _, code = np.unique(code[common], return_inverse=True)
-    table = np.zeros((len(node), int(code.max(initial=-1)) + 1), np.float32)
-    table[own[common], code] = 1
-    both = (table @ table.T).astype(np.int64)
+    row, both = own[common], np.zeros((len(node), len(node)), np.float32)
+    order = np.argsort(code, kind="stable")
+    row, code = row[order], code[order]
+    step = max(1, 2_000_000 // len(node))  # so many elements at once
+    for first in range(0, int(code.max(initial=-1)) + 1, step):
+        a, b = np.searchsorted(code, [first, first + step])
+        table = np.zeros((len(node), step), np.float32)
+        table[row[a:b], code[a:b] - first] = 1
+        both += table @ table.T
+    both = both.astype(np.int64)
     away = count[:, None] + count[None, :] - 2 * both
     near = (100 + percent) * away <= (100 - percent) * (size[:, None] + size[None, :])
     left, out = np.ones(len(node), bool), []
@@ -440,6 +447,7 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     where two sets share the first.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     rows = docs.select(F.col(id_col).cast("long").alias("doc"), text_key(F.col(text_col)).alias("key"), F.col(text_col).alias("text"))
     signs = written(rows.mapInArrow(_signer(n, node_bits), "doc long, key long, size int, node long, proof long, bits array<long>, gram long, n long"), "signs")
     own = signs.where(F.col("gram").isNull())

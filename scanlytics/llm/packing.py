@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import text_key, written
+from .shared import small_batches, text_key, written
 from .textops import pieces
 from .tokens import encoder
 
@@ -195,6 +195,7 @@ def _cutter(tokenizer: str, end_id: int, capacity: int, with_ids: bool, added_to
 
 def token_pieces(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 2, capacity: int = 1024, with_ids: bool = False, added_tokens: bool = True) -> DataFrame:
     """Pieces ``doc, key, piece, start, length, ids_crc32`` of at most ``capacity`` ids; of a longer text the first may be shorter. ``added_tokens`` as in ``Encoder``."""
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc"), text_key(F.col(text_col)).alias("key"), F.col(text_col).alias("text"))
     kind = "doc long, key long, piece int, start long, length long, ids_crc32 long" + ", ids array<long>" * with_ids
     return rows.mapInArrow(_cutter(tokenizer, end_id, capacity, with_ids, added_tokens), kind)

@@ -24,10 +24,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import discard, text_key, written
+from .shared import discard, small_batches, text_key, written
 from .textops import LOWER, SPACES, Words, pieces
 
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 WORDS_CHOSEN = 256
 BUCKETS = 48  # of hashed languages and sources
 _LETTERS = np.zeros(256, bool)
@@ -249,6 +249,7 @@ def fit_quality_model(docs: DataFrame, labels: DataFrame, labelled: int = 6000,
     the other at most ``pseudo`` documents of which it is at least ``sure``, by class as the labels are; copies of a text count once.
     Very long texts enter whole. Other columns are ignored.
     """
+    small_batches(docs.sparkSession)
     rows = _rows(docs, id_col, text_col, lang_col, source_col).withColumn("key", F.xxhash64(F.coalesce(text_key(F.col("text")), F.lit(0)), "lang", "source"))
     known = labels.select(F.col("doc_id").cast("long").alias("doc"), F.col("quality").cast("int").alias("quality"), F.col("toxic").cast("int").alias("toxic")).where("doc is not null and coalesce(quality, toxic) is not null").groupBy("doc").agg(F.min("quality").alias("quality"), F.min("toxic").alias("toxic"))
     taken = known.join(rows.select("doc").distinct(), "doc", "left_semi").orderBy(F.xxhash64("doc"), "doc").limit(labelled)
@@ -324,6 +325,7 @@ def score_quality(docs: DataFrame, model: QualityModel, at: float = 0.5, toxic_a
     scored as empty ones, null languages and sources are values of their own, equal rows get equal
     scores. An empty table gives no rows.
     """
+    small_batches(docs.sparkSession)
     carry = [id_col] if carry is None else carry
     shared = docs.sparkSession.sparkContext.broadcast(model)
     inner = [f"__c{i}" for i in range(len(carry))]

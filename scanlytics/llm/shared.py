@@ -9,6 +9,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+BATCH_BYTES = 4 << 20
 _OWN: dict[str, str] = {}
 
 
@@ -48,6 +49,11 @@ def discard(*tables: DataFrame | None) -> None:
             folder.getFileSystem(table.sparkSession._jsc.hadoopConfiguration()).delete(folder, True)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """From now on Spark hands texts to Python tasks in batches of a few MB, not of 10,000 rows of any size."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 

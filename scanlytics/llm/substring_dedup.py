@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import shuffle_partitions, text_key, written
+from .shared import shuffle_partitions, small_batches, text_key, written
 from .textops import BLANK, Words, grams, mix, pieces, runs, sliding_min
 
 SLICE_BYTES = 6 << 20
@@ -188,6 +188,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     text, so that rows of one id with different texts stay apart. Spans may overlap. Rows
     without an id or a text take no part: an unknown id is neither smaller nor larger.
     """
+    small_batches(docs.sparkSession)
     n = buckets or BUCKETS_PER_PARTITION * shuffle_partitions(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc"), text_key(F.col(text_col)).alias("key"), F.col(text_col).alias("text"))
     m = min(m, k)

@@ -23,7 +23,7 @@ from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import new_path
+from .shared import new_path, small_batches
 from .textops import pieces
 from .tokens import encoder
 
@@ -49,6 +49,7 @@ def count_tokens(docs: DataFrame, tokenizer: str, text_col: str = "text", added_
 
     Repeated rows are counted each, very long texts whole; an empty table gives none.
     """
+    small_batches(docs.sparkSession)
     others = [c for c in docs.columns if c not in (text_col, "n_tokens")]
     docs = docs.select(*[F.col(f"`{c}`") for c in [*others, text_col]])
     kind = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in others)

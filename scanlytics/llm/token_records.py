@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .shared import new_path, shuffle_partitions, text_key, written
+from .shared import new_path, shuffle_partitions, small_batches, text_key, written
 from .textops import pieces
 from .tokens import encoder
 
@@ -111,6 +111,7 @@ def write_token_records(docs: DataFrame, tokenizer: str, path: str, id_col: str
     and equal rows are each written. Other columns are ignored; an empty table writes no file.
     ``added_tokens`` as in ``Encoder``.
     """
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc"), text_key(F.col(text_col)).alias("key"), F.col(text_col).alias("text"))
     rows = rows.repartitionByRange(shuffle_partitions(docs.sparkSession), "doc", "key").sortWithinPartitions("doc", "key")
     index = rows.select("doc", "text").mapInArrow(_writer(tokenizer, end_id, f"{path}/data", added_tokens), "part int, file string, offset long, size long, doc long")
