@@ -7,8 +7,6 @@ it gives no row. Work is dealt by building; no group is gathered in one value bu
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -65,9 +63,32 @@ def corners_not_planar(surfaces: DataFrame, tolerance: float = 0.005) -> DataFra
 
 
 def all_rules(surfaces: DataFrame) -> DataFrame:
-    """The flags of every rule here, with ``cutout`` where there is one."""
-    flags = [f(surfaces) for f in (ceiling_inverted, ceiling_yspan, silent_drops, cutouts_outside, corners_not_planar)]
-    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), flags)
+    """The flags of every rule above, with ``cutout`` where there is one, in one pass over the surfaces."""
+    kind = "struct<rule:string,severity:string,evidence:double,cutout:int>"
+    corners, ceiling = F.col("corners"), F.col("category") == "ceiling"
+
+    def flag(when: Column, rule: str, severity: Column | str, evidence: Column, cutout: Column | None = None) -> Column:
+        level = F.lit(severity) if isinstance(severity, str) else severity
+        return F.when(when, F.struct(F.lit(rule).alias("rule"), level.alias("severity"), evidence.cast("double").alias("evidence"), (F.lit(None) if cutout is None else cutout).cast("int").alias("cutout")).cast(kind))
+
+    few = F.coalesce(F.size(corners) < 3, F.lit(True))
+    rows = surfaces.withColumns({"__few": few, "__area": F.when(~few, G.area_3d(corners)), "__low": G.low(corners), "__high": G.high(corners)})
+    rows = rows.withColumns({"__up": F.when(ceiling, G.unit_normal(corners)["y"]), "__off": F.when(ceiling & (F.col("kind") == "oblique"), G.worst_residual(F.col("plane"), corners))})
+    span = F.col("__high") - F.col("__low")
+    single = F.array(
+        flag(F.col("__up") < 0.10, "ceiling_orientation_inverted", "high", F.round(F.col("__up") + 0.0, 6)),
+        flag(ceiling & (span > 2.0), "ceiling_yspan_excessive", F.when(span >= 5, "high").when(span >= 3, "medium").otherwise("low"), F.round(span, 6)),
+        flag(F.col("__few") | (F.col("__area") < 1e-4), "silent_drop", "low", F.round("__area", 6)),
+        flag(F.col("__off") > 0.005, "roof_corners_not_planar", "medium", F.round("__off", 6)),
+    )
+
+    def cut(hole: Column, i: Column) -> Column:
+        over = F.greatest(F.lit(0.0), F.col("__low") - G.low(hole)) + F.greatest(F.lit(0.0), G.high(hole) - F.col("__high"))
+        return G.once(F.when(F.col("__low").isNotNull() & G.low(hole).isNotNull(), over), lambda x: flag(x > 1e-3, "wall_cutout_outside_outline", "medium", F.round(x, 4), i))
+
+    holes = F.when(F.col("category") == "wall", F.transform("openings", cut))
+    found = F.filter(F.concat(single, F.coalesce(holes, F.array().cast(f"array<{kind}>"))), lambda x: x.isNotNull())
+    return rows.select("uuid", "seq", "locator_id", F.explode(found).alias("f")).select("uuid", "seq", "locator_id", "f.*")
 
 
 def rule_frequency(flags: DataFrame) -> DataFrame:
