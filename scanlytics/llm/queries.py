@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, decontaminate, jaccard_join, licenses, packing, quality, sharding, substring_dedup, token_counts, token_records
+from . import ann, decontaminate, jaccard_join, licenses, packing, periodic_runs, quality, sharding, substring_dedup, token_counts, token_records
 from .shared import text_key, written
 from .tokens import public_tokenizer
 
@@ -81,6 +81,11 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("doc").alias("doc_id"), "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = periodic_runs.periodic_runs(_read(spark, sf_dir, "documents"), alter=True)
+    return out.select(F.col("doc").alias("doc_id"), "n_runs", "start", "length", "period", "exponent_milli", "runs_sha256", "collapsed_sha256")
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -88,7 +93,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    made = [op1_substring_dedup, op2_nearest_vectors, op3_quality, op4_decontaminate, op5_shards, op6_token_counts, op7_token_records, op8_licenses, op9_jaccard_join, op10_best_fit_packing]
+    made = [op1_substring_dedup, op2_nearest_vectors, op3_quality, op4_decontaminate, op5_shards, op6_token_counts, op7_token_records, op8_licenses, op9_jaccard_join, op10_best_fit_packing, op13_periodic_runs]
     return {f.__name__: f for f in made} | {"pipeline": pipeline}
 
 
