@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, decontaminate, jaccard_join, licenses, packing, periodic_runs, quality, sharding, substring_dedup, token_counts, token_records
+from . import ann, decontaminate, jaccard_join, licenses, packing, periodic_runs, prefix_trie, quality, sharding, substring_dedup, token_counts, token_records
 from .shared import text_key, written
 from .tokens import public_tokenizer
 
@@ -81,6 +81,10 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("doc").alias("doc_id"), "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.conversation_trie(_read(spark, sf_dir, "conversations"))
+
+
 def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = periodic_runs.periodic_runs(_read(spark, sf_dir, "documents"), alter=True)
     return out.select(F.col("doc").alias("doc_id"), "n_runs", "start", "length", "period", "exponent_milli", "runs_sha256", "collapsed_sha256")
@@ -93,13 +97,13 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    made = [op1_substring_dedup, op2_nearest_vectors, op3_quality, op4_decontaminate, op5_shards, op6_token_counts, op7_token_records, op8_licenses, op9_jaccard_join, op10_best_fit_packing, op13_periodic_runs]
+    made = [op1_substring_dedup, op2_nearest_vectors, op3_quality, op4_decontaminate, op5_shards, op6_token_counts, op7_token_records, op8_licenses, op9_jaccard_join, op10_best_fit_packing, op11_prefix_trie, op13_periodic_runs]
     return {f.__name__: f for f in made} | {"pipeline": pipeline}
 
 
 def oracle_sql() -> dict[str, str]:
     """SQL for the operators that it can express on whole tables in a reasonable time; the others have brute-force tests."""
-    return {"op4_decontaminate": _OP4}
+    return {"op4_decontaminate": _OP4, "op11_prefix_trie": _OP11}
 
 
 _OP4 = r"""
@@ -114,3 +118,19 @@ held AS (SELECT r, count(DISTINCT item_id) AS n_items, string_agg(DISTINCT CAST(
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(items, '')) AS items_sha256, n_hit IS NOT NULL AS contaminated
 FROM d LEFT JOIN hit USING (r) LEFT JOIN held USING (r)
 """
+
+_OP11 = r"""
+WITH own AS (SELECT conv_id AS c, coalesce(role, '') AS role, coalesce(text, '') AS text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) - 1 AS i FROM conversations WHERE conv_id IS NOT NULL),
+ids AS (SELECT c, count(*) AS n, c - c % 20 AS lead, xor(list_reduce([4294967295] || flatten(list_transform(string_split(CAST(c AS VARCHAR), ''), lambda x: [CAST(ascii(x) AS BIGINT), -1, -1, -1, -1, -1, -1, -1, -1])),
+  lambda a, x: CASE WHEN x >= 0 THEN xor(a, x) WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END), 4294967295) % 4 AS h FROM own GROUP BY c),
+turns AS (SELECT ids.c, i AS p, role, text FROM ids JOIN own ON own.c = lead AND i < h
+  UNION ALL SELECT ids.c, i - h + least(h, coalesce(l.n, 0)), role, text FROM ids JOIN own ON own.c = ids.c AND i >= h LEFT JOIN (SELECT c AS head, n FROM ids) l ON head = lead),
+seqs AS (SELECT ids.c, coalesce(t, []) AS t FROM ids LEFT JOIN (SELECT c, list({'key': sha256(length(role) || ':' || role || text), 'words': len(list_filter(regexp_split_to_array(text, '[\x20\x09-\x0D]+'), lambda x: x <> ''))} ORDER BY p) AS t FROM turns GROUP BY c) s ON s.c = ids.c),
+pre AS (SELECT c, d, sha256(array_to_string(list_transform(t[1:d], lambda x: x.key), ',')) AS node, CASE WHEN d > 0 THEN sha256(array_to_string(list_transform(t[1:d - 1], lambda x: x.key), ',')) END AS up, CASE WHEN d > 0 THEN t[d].words ELSE 0 END AS words, d = len(t) AS ends FROM (SELECT c, t, unnest(range(0, len(t) + 1)) AS d FROM seqs)),
+nodes AS (SELECT node, d, any_value(up) AS up, min(c) AS c, count(*) AS n, (count(*) - 1) * any_value(words) AS worth, sha256(coalesce(string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) FILTER (WHERE ends), '')) AS sha FROM pre GROUP BY node, d),
+kids AS (SELECT up, d - 1 AS d, count(*) AS n FROM nodes WHERE d > 0 GROUP BY up, d),
+whole AS (SELECT nodes.*, coalesce(kids.n, 0) AS kids FROM nodes LEFT JOIN kids ON kids.up = nodes.node AND kids.d = nodes.d),
+sums AS (SELECT p.node, p.d, count(*) FILTER (WHERE w.kids = 0) AS leaves, sum(w.worth) AS saved FROM whole w JOIN pre p ON p.c = w.c AND p.d <= w.d GROUP BY p.node, p.d)
+SELECT w.c AS conv_id, w.d AS depth, u.c AS parent_conv_id, w.n AS n_convs, w.kids AS n_children, leaves AS n_leaves, CAST(saved AS BIGINT) AS saved_tokens, w.sha AS ends_sha256
+FROM whole w JOIN sums USING (node, d) LEFT JOIN whole u ON u.node = w.up AND u.d = w.d - 1
+"""
