@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, decontaminate, jaccard_join, licenses, packing, periodic_runs, prefix_trie, quality, sharding, substring_dedup, token_counts, token_records
+from . import ann, decontaminate, jaccard_join, licenses, packing, periodic_runs, prefix_trie, quality, sharding, substring_dedup, suffix_dedup, token_counts, token_records
 from .shared import text_key, written
 from .tokens import public_tokenizer
 
@@ -85,6 +85,11 @@ def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie.conversation_trie(_read(spark, sf_dir, "conversations"))
 
 
+def op12_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = suffix_dedup.dedup_suffixes(_read(spark, sf_dir, "documents"))
+    return out.select(F.col("doc").alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = periodic_runs.periodic_runs(_read(spark, sf_dir, "documents"), alter=True)
     return out.select(F.col("doc").alias("doc_id"), "n_runs", "start", "length", "period", "exponent_milli", "runs_sha256", "collapsed_sha256")
@@ -97,7 +102,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    made = [op1_substring_dedup, op2_nearest_vectors, op3_quality, op4_decontaminate, op5_shards, op6_token_counts, op7_token_records, op8_licenses, op9_jaccard_join, op10_best_fit_packing, op11_prefix_trie, op13_periodic_runs]
+    made = [op1_substring_dedup, op2_nearest_vectors, op3_quality, op4_decontaminate, op5_shards, op6_token_counts, op7_token_records, op8_licenses, op9_jaccard_join, op10_best_fit_packing, op11_prefix_trie, op12_suffix_dedup, op13_periodic_runs]
     return {f.__name__: f for f in made} | {"pipeline": pipeline}
 
 
