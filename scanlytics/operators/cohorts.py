@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import columns as K
 from ..functions import geometry as G
+from ..sources.scratch import new_folder
 from .reviews import LIMITS, combined_severity
 
 # fixed values: how a reconciliation says that it saw several sessions, and the order of severities
@@ -49,8 +50,14 @@ def impacted_scans(local: DataFrame, *exports: DataFrame) -> DataFrame:
 
 
 def ranked(rows: DataFrame, order: list[Column], name: str = "rank") -> DataFrame:
-    """Numbers all rows from 1 in an order: ranges are sorted apart and start after the counts of those before."""
-    table = rows.orderBy(*order).withColumn("__part", F.spark_partition_id()).withColumn("__at", F.monotonically_increasing_id())
+    """Numbers all rows from 1 in an order: ranges are sorted apart and start after the counts of those before.
+
+    The sorted rows are written once, to the shared folder, and both the counts and the rows are read from there: a second
+    evaluation of the sort may cut its ranges elsewhere.
+    """
+    path = new_folder(rows.sparkSession, "ranked")
+    rows.orderBy(*order).withColumn("__part", F.spark_partition_id()).withColumn("__at", F.monotonically_increasing_id()).write.parquet(path)
+    table = rows.sparkSession.read.parquet(path)
     first = table.groupBy("__part").agg(F.count("*").alias("n"), F.min("__at").alias("__low"))
     first = first.withColumn("__before", F.sum("n").over(Window.orderBy("__part")) - F.col("n")).drop("n")  # a row for each partition
     return table.join(F.broadcast(first), "__part").withColumn(name, F.col("__at") - F.col("__low") + F.col("__before") + 1).drop("__part", "__at", "__low", "__before")
