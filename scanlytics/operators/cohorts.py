@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import columns as K
 from ..functions import geometry as G
 from ..sources.scratch import new_folder
+from .spatial import story_bands
 from .reviews import LIMITS, combined_severity
 
 # fixed values: how a reconciliation says that it saw several sessions, and the order of severities
@@ -254,14 +255,9 @@ def irregular_footprint(walls: DataFrame, least: float = 0.70) -> DataFrame:
     return principal_axis(walls).where(F.col("coverage") < least).select("uuid", F.lit("roof_irregular_footprint").alias("rule"), F.round("coverage", 6).alias("evidence"))
 
 
-def _bands(surfaces: DataFrame) -> DataFrame:
-    walls = surfaces.where("category = 'wall' and story is not null").select("uuid", "story", G.low(F.col("corners")).alias("low"), G.high(F.col("corners")).alias("high"))
-    return walls.where("low is not null").groupBy("uuid", "story").agg(F.min("low").alias("low"), F.max("high").alias("high"))
-
-
 def knee_wall_misplaced(surfaces: DataFrame, tolerance: float = 1.0) -> DataFrame:
     """Knee walls whose middle is further from the top of all stories' walls than allowed."""
-    top = _bands(surfaces).groupBy("uuid").agg(F.max("high").alias("top"))
+    top = story_bands(surfaces).groupBy("uuid").agg(F.max("high").alias("top"))
     middle = (G.low(F.col("corners")) + G.high(F.col("corners"))) / 2
     rows = surfaces.where("category = 'knee_wall'").join(top, "uuid").withColumn("evidence", F.abs(middle - F.col("top")))
     return rows.where(F.col("evidence") > tolerance).select("uuid", "seq", "locator_id", F.lit("knee_wall_misplaced").alias("rule"), F.lit("med").alias("severity"), F.round("evidence", 6).alias("evidence"))
@@ -271,7 +267,7 @@ def story_ceiling_overcount(surfaces: DataFrame, rooms: DataFrame, few: int = 2,
     """Stories (of ``rooms``: ``uuid, story``) with too many ceiling pieces for their rooms; a piece belongs to the first story whose walls' height, and half a metre, holds its middle."""
     middle = (G.low(F.col("corners")) + G.high(F.col("corners"))) / 2
     pieces = surfaces.where("category = 'ceiling'").select("uuid", "seq", middle.alias("mid")).where("mid is not null")
-    held = pieces.join(_bands(surfaces), "uuid").where("mid between low - 0.5 and high + 0.5").groupBy("uuid", "seq").agg(F.min("story").alias("story"))
+    held = pieces.join(story_bands(surfaces), "uuid").where("mid between low - 0.5 and high + 0.5").groupBy("uuid", "seq").agg(F.min("story").alias("story"))
     ceilings = held.groupBy("uuid", "story").agg(F.count("*").alias("n_ceilings"))
     stories = rooms.where("story is not null").groupBy("uuid", "story").agg(F.count("*").alias("n_rooms"))
     top = stories.groupBy("uuid").agg(F.max("story").alias("top"))

@@ -1,8 +1,7 @@
-"""Joins of surfaces in space: points in polygons, cells, edges of neighbouring rooms, coplanar groups.
+"""Joins of surfaces in space: points in polygons, areas that overlap, envelopes, edges of neighbouring rooms, coplanar groups.
 
-Areas that overlap are measured on a grid: a surface covers the cells whose centres it holds, unions are distinct
-cells, intersections are joins on cells and differences anti joins. The error is at most the perimeter times the
-cell's side; it is none where edges lie on the grid. All joins are inside a building; none crosses buildings.
+Surfaces of a building meet in the squares of a coarse grid (``SIDE`` metres) that their boxes touch, not all with all. Areas are exact
+(``functions.overlay``); unions are measured in each square apart. All joins are inside a building; none crosses buildings.
 """
 
 from __future__ import annotations
@@ -12,7 +11,20 @@ from pyspark.sql import functions as F
 
 from ..functions import columns as K
 from ..functions import geometry as G
-from ..sources.scratch import new_folder
+from ..functions import overlay as O
+from .graph import connected
+
+SIDE = 4.0
+SLIVER = 1e-9  # m2: what is smaller comes from rounding
+# fixed values: edges of the histograms of uncovered floor
+GAP_SHARES = [0.0, 0.001, 0.005, 0.01, 0.02, 0.05, 0.10, 0.25, 0.50]
+GAP_AREAS = [0.05, 0.25, 1.0, 5.0, 20.0]
+
+
+def story_bands(surfaces: DataFrame) -> DataFrame:
+    """``uuid, story, low, high``: the heights of the walls of each story."""
+    walls = surfaces.where("category = 'wall' and story is not null").select("uuid", "story", G.low(F.col("corners")).alias("low"), G.high(F.col("corners")).alias("high"))
+    return walls.where("low is not null").groupBy("uuid", "story").agg(F.min("low").alias("low"), F.max("high").alias("high"))
 
 
 def point_in_polygon(corners: Column, x: Column, z: Column) -> Column:
@@ -26,63 +38,190 @@ def point_in_polygon(corners: Column, x: Column, z: Column) -> Column:
     return F.coalesce((F.size(corners) >= 3) & (F.size(F.filter(sides, lambda s: F.coalesce(crossed(s), F.lit(False)))) % 2 == 1), F.lit(False))
 
 
-def cells(surfaces: DataFrame, side: float = 0.1, keys: tuple[str, ...] = ("uuid", "seq")) -> DataFrame:
-    """``keys, ix, iz`` of every cell whose centre a surface holds, without those in its openings."""
-    at = lambda f, axis: F.floor(f(F.transform("corners", lambda p: p[axis])) / side)
-    rows = surfaces.where("size(corners) >= 3").select(*keys, "corners", "openings", *[at(f, a).alias(f"{n}_{a}") for n, f in (("low", F.array_min), ("high", F.array_max)) for a in ("x", "z")])
-    rows = rows.withColumn("ix", F.explode(F.sequence("low_x", "high_x"))).withColumn("iz", F.explode(F.sequence("low_z", "high_z")))
-    x, z = (F.col("ix") + 0.5) * side, (F.col("iz") + 0.5) * side
-    outside = ~F.exists(F.coalesce("openings", F.array().cast("array<array<struct<x:double,y:double,z:double>>>")), lambda h: point_in_polygon(h, x, z))
-    return rows.where(point_in_polygon(F.col("corners"), x, z) & outside).select(*keys, "ix", "iz")
+def tiles(rows: DataFrame, corners: Column | None = None, side: float = SIDE) -> DataFrame:
+    """A row for every square ``ix, iz`` of a grid that the box of a polygon (or of its points) touches, with the box as ``x0, x1, z0, z1``."""
+    box = G.box(F.col("corners") if corners is None else corners)
+    rows = rows.withColumn("__box", box).withColumns({k: F.col(f"__box.{k}") for k in ("x0", "x1", "z0", "z1")}).drop("__box").where("x0 is not null and z0 is not null")
+    for k in "xz":
+        low, high = F.floor(F.col(f"{k}0") / side), F.floor(F.col(f"{k}1") / side)
+        rows = rows.withColumn(f"i{k}", F.explode(F.sequence(low, high)))
+    return rows
+
+
+def regions(surfaces: DataFrame, *keep: str) -> DataFrame:
+    """``keep`` and ``corners, region`` of surfaces with three corners and more; openings are holes of the region where there are any."""
+    openings = F.col("openings") if "openings" in surfaces.columns else None
+    return surfaces.where("size(corners) >= 3").select(*keep, "corners", F.array(O.rings(F.col("corners"), openings)).alias("region"))
+
+
+def _outline(region: Column) -> Column:
+    """All corners of a region's outlines."""
+    return F.flatten(F.transform(region, lambda p: p[0]))
+
 
+def near_pairs(left: DataFrame, right: DataFrame, side: float = SIDE) -> DataFrame:
+    """Pairs of rows of one building whose regions' boxes touch, each once: structs ``l`` and ``r`` of all columns.
 
-def overlay_area(left: DataFrame, right: DataFrame, side: float = 0.1) -> DataFrame:
+    Both sides are dealt to squares of a grid and meet there; a pair counts in the square of the least corner that the boxes share.
+    """
+    def dealt(rows, name):
+        dealt = tiles(rows, _outline(F.col("region")), side)
+        return dealt.select("uuid", "ix", "iz", F.struct(*rows.columns).alias(name), F.struct("x0", "x1", "z0", "z1").alias(f"{name}box"))
+
+    both = dealt(left, "l").join(dealt(right, "r"), ["uuid", "ix", "iz"])
+    low = {k: F.greatest(F.col(f"lbox.{k}0"), F.col(f"rbox.{k}0")) for k in "xz"}
+    high = {k: F.least(F.col(f"lbox.{k}1"), F.col(f"rbox.{k}1")) for k in "xz"}
+    for k in "xz":
+        both = both.where((low[k] <= high[k]) & (F.floor(low[k] / side) == F.col(f"i{k}")))
+    return both.select("uuid", "l", "r")
+
+
+def held_by(points: DataFrame, polygons: DataFrame, side: float = SIDE) -> DataFrame:
+    """Points (``uuid, x, z``) with every polygon (``uuid, corners``) that holds them; points and boxes meet in squares of a grid."""
+    place = points.withColumns({f"i{k}": F.floor(F.col(k) / side) for k in "xz"})
+    own = [c for c in polygons.columns if c not in ("uuid", "corners")]
+    boxes = tiles(polygons.where("size(corners) >= 3"), side=side).select("uuid", "ix", "iz", "x0", "x1", "z0", "z1", "corners", *own)
+    near = place.join(boxes, ["uuid", "ix", "iz"]).where("x between x0 and x1 and z between z0 and z1")
+    return near.where(point_in_polygon(F.col("corners"), F.col("x"), F.col("z"))).select(*points.columns, *own)
+
+
+def shared_area(left: DataFrame, right: DataFrame | None, keys: list[str], where: Column | None = None, side: float = SIDE) -> DataFrame:
+    """``uuid, keys, area, shared``: the area of the union of the regions of a key, and how much of it the union of ``right`` covers.
+
+    ``right`` is ``uuid, region`` and what ``where`` needs to say which of its rows count for which of ``left``; without it nothing is shared.
+    Areas are measured in each square of a grid apart and added up, so no task needs all surfaces of a building.
+    """
+    ground = tiles(left, _outline(F.col("region")), side).groupBy("uuid", *keys, "ix", "iz").agg(F.flatten(F.collect_list("region")).alias("own"))
+    if right is None:
+        ground = ground.withColumn("over", F.array().cast(f"array<{O.RINGS}>"))
+    else:
+        others = [c for c in right.columns if c not in ("uuid", "region")]
+        cover = tiles(right, _outline(F.col("region")), side).select("uuid", "ix", "iz", *others, F.col("region").alias("over"))
+        both = ground.join(cover, ["uuid", "ix", "iz"], "left").withColumn("over", F.when(F.col("over").isNotNull() & (F.lit(True) if where is None else where), F.col("over")))
+        ground = both.groupBy("uuid", *keys, "ix", "iz").agg(F.first("own").alias("own"), F.flatten(F.collect_list("over")).alias("over"))
+    part = O.overlaid(F.col("own"), F.col("over"), O.square(F.col("ix") * side, F.col("iz") * side, side))
+    return ground.select("uuid", *keys, part.alias("part")).groupBy("uuid", *keys).agg(F.sum("part.left").alias("area"), F.sum("part.both").alias("shared"))
+
+
+def overlay_area(left: DataFrame, right: DataFrame, side: float = SIDE) -> DataFrame:
     """``uuid, left, right, area`` of every pair of surfaces (``uuid, seq``) of a building that overlap seen from above."""
-    a, b = cells(left, side).withColumnRenamed("seq", "left"), cells(right, side).withColumnRenamed("seq", "right")
-    return a.join(b, ["uuid", "ix", "iz"]).groupBy("uuid", "left", "right").agg((F.count("*") * side * side).alias("area"))
+    both = near_pairs(regions(left, "uuid", "seq"), regions(right, "uuid", "seq"), side)
+    both = both.select("uuid", F.col("l.seq").alias("left"), F.col("r.seq").alias("right"), O.overlaid(F.col("l.region"), F.col("r.region"))["both"].alias("area"))
+    return both.where(F.col("area") > SLIVER)
 
 
-def covered(floors: DataFrame, covers: DataFrame, side: float = 0.1) -> DataFrame:
+def covered(floors: DataFrame, covers: DataFrame, side: float = SIDE) -> DataFrame:
     """Per floor (``uuid, seq``): its area and the share that any of ``covers`` in the building lies over."""
-    over = cells(covers, side).select("uuid", "ix", "iz").distinct().withColumn("over", F.lit(1))
-    both = cells(floors, side).join(over, ["uuid", "ix", "iz"], "left")
-    return both.groupBy("uuid", "seq").agg((F.count("*") * side * side).alias("area"), (F.count("over") / F.count("*")).alias("share"))
+    own, over = regions(floors, "uuid", "seq"), regions(covers, "uuid").select("uuid", "region")
+    return shared_area(own, over, ["seq"], side=side).where(F.col("area") > SLIVER).select("uuid", "seq", "area", (F.col("shared") / F.col("area")).alias("share"))
 
 
-def coverage_gaps(floors: DataFrame, ceilings: DataFrame, side: float = 0.1, least: float = 0.5, smallest: float = 1.0) -> DataFrame:
-    """Floors of at least ``smallest`` m2 of which less than ``least`` has a ceiling: high under a fifth."""
-    rows = covered(floors, ceilings, side).where((F.col("area") >= smallest) & (F.col("share") < least))
-    return rows.select("uuid", "seq", F.lit("ceiling_coverage_gap").alias("rule"), F.when(F.col("share") < 0.2, "high").otherwise("medium").alias("severity"), F.round("share", 6).alias("evidence"))
+def coverage_report(covers: DataFrame) -> DataFrame:
+    """Of the rows that ``covered`` gives: rooms by the share and by the area that nothing covers (over 0.05 m2), and the share of all floor area, as ``kind, bin, n, value``."""
+    gap = covers.withColumn("gap", F.col("area") * (1 - F.col("share")))
+    gappy = gap.where("gap > 0.05").withColumns({"by_share": K.bin_right_closed(F.round(1 - F.col("share"), 9), GAP_SHARES), "by_area": K.bin_right_closed(F.round("gap", 9), GAP_AREAS)})
+    bins = [gappy.groupBy(F.lit(kind).alias("kind"), F.col(c).alias("bin")).agg(F.count("*").alias("n"), F.sum("gap").alias("value")) for kind, c in (("share", "by_share"), ("area", "by_area"))]
+    whole = gap.agg(F.lit("all").alias("kind"), F.lit("").alias("bin"), F.count("*").alias("n"), (F.sum("gap") / F.sum("area")).alias("value"))
+    return bins[0].unionByName(bins[1]).unionByName(whole)
 
 
-def out_of_envelope(surfaces: DataFrame, floors: DataFrame, reach: int = 1, side: float = 0.5, area: float = 0.25, ratio: float = 0.05) -> DataFrame:
-    """Surfaces that stand out of the floors of their building, widened by ``reach`` cells, by an area and a share of their own."""
-    near = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in range(-reach, reach + 1) for j in range(-reach, reach + 1)]))
-    inside = cells(floors, side).select("uuid", "ix", "iz", near.alias("n")).select("uuid", (F.col("ix") + F.col("n.i")).alias("ix"), (F.col("iz") + F.col("n.j")).alias("iz")).distinct()
-    both = cells(surfaces, side).join(inside.withColumn("inside", F.lit(1)), ["uuid", "ix", "iz"], "left")
-    sizes = both.groupBy("uuid", "seq").agg((F.count_if(F.col("inside").isNull()) * side * side).alias("outside"), (F.count_if(F.col("inside").isNull()) / F.count("*")).alias("share"))
-    return sizes.where((F.col("outside") >= area) & (F.col("share") >= ratio)).select("uuid", "seq", F.lit("out_of_envelope").alias("rule"), "outside", F.round("share", 6).alias("share"))
+def parts(rows: DataFrame, keys: list[str], reach: float = 1e-6, side: float = SIDE) -> DataFrame:
+    """``uuid, keys, seq, component``: which surfaces (``corners``) of a key hang together, when widened by ``reach``, by least ``seq``."""
+    wide = rows.where("size(corners) >= 3").select("uuid", *keys, "seq", O.buffered(F.col("corners"), reach).alias("pieces"))
+    flat = wide.select("uuid", *keys, "seq", F.explode("pieces").alias("p")).withColumn("region", F.array("p")).drop("p")
+    both = near_pairs(flat, flat, side).where(F.col("l.seq") < F.col("r.seq"))
+    for k in keys:
+        both = both.where(F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}")))
+    both = both.where(O.overlaid(F.col("l.region"), F.col("r.region"))["both"] > SLIVER).select("uuid", F.col("l.seq").alias("a"), F.col("r.seq").alias("b"))
+    labels = connected(wide.select("uuid", F.col("seq").alias("node")), both)
+    return wide.select("uuid", *keys, "seq").join(labels.withColumnRenamed("node", "seq"), ["uuid", "seq"])
 
 
-def point_lookup(points: DataFrame, polygons: DataFrame) -> DataFrame:
+def coverage_gaps(floors: DataFrame, ceilings: DataFrame, walls: DataFrame | None = None, least: float = 0.5, smallest: float = 1.0, slack: float = 0.5, side: float = SIDE) -> DataFrame:
+    """Rooms whose floor, of at least ``smallest`` m2, is covered by less than ``least``: high under a fifth, else med.
+
+    A ceiling counts where its top comes within ``slack`` of the top of the room's walls, or the room has none. The floors of a room are one; a room whose floors do not hang
+    together is left out. Surfaces are ``uuid, seq, room, corners``.
+    """
+    tops = (floors.limit(0) if walls is None else walls).groupBy("uuid", "room").agg(F.max(G.high(F.col("corners"))).alias("wall_top"))
+    own = regions(floors.where("room is not null"), "uuid", "seq", "room")
+    apart = parts(own, ["room"], side=side).groupBy("uuid", "room").agg(F.count_distinct("component").alias("n")).where("n > 1")
+    own = own.join(apart, ["uuid", "room"], "left_anti").join(tops, ["uuid", "room"], "left")
+    over = regions(ceilings, "uuid").select("uuid", "region", G.high(F.col("corners")).alias("top"))
+    reaches = F.col("wall_top").isNull() | (F.col("top") >= F.col("wall_top") - slack)
+    rows = shared_area(own, over, ["room", "wall_top"], reaches, side).withColumns({"area": F.round("area", 9), "share": F.round(F.col("shared") / F.col("area"), 9)})
+    rows = rows.where((F.col("area") >= smallest) & (F.col("share") < least))
+    return rows.select("uuid", "room", F.lit("ceiling_coverage_gap").alias("rule"), F.when(F.col("share") < 0.2, "high").otherwise("med").alias("severity"), F.round("area", 6).alias("floor_area"), F.round("share", 6).alias("evidence"))
+
+
+def envelope(floors: DataFrame, reach: float = 0.5, side: float = SIDE) -> DataFrame:
+    """``uuid, region``: the largest part of a building's floors, each widened by ``reach`` with mitred corners. Of equal parts the one with the least ``seq``."""
+    label = parts(floors, [], reach, side)
+    wide = floors.where("size(corners) >= 3").select("uuid", "seq", O.buffered(F.col("corners"), reach).alias("region")).join(label, ["uuid", "seq"])
+    size = shared_area(wide, None, ["component"], side=side)
+    largest = size.groupBy("uuid").agg(F.min_by("component", F.struct(-F.round("area", 6), F.col("component"))).alias("component"))
+    return wide.join(largest, ["uuid", "component"], "left_semi").select("uuid", "region")
+
+
+def out_of_envelope(surfaces: DataFrame, floors: DataFrame, reach: float = 0.5, area: float = 0.25, ratio: float = 0.05, side: float = SIDE) -> DataFrame:
+    """Surfaces that stand out of the envelope of their building by an area and a share of their own: high by more than half or 5 m2, else med.
+
+    Buildings without floors have no envelope and no flags. The rule is for walls, ceilings, gaps, knee walls and dormer faces.
+    """
+    own = surfaces.where("size(corners) >= 3").select("uuid", "seq", F.array(O.rings(F.col("corners"))).alias("region"))
+    edge = envelope(floors, reach, side)
+    rows = shared_area(own, edge, ["seq"], side=side).join(floors.where("size(corners) >= 3").select("uuid").distinct(), "uuid", "left_semi").where(F.col("area") >= SLIVER)
+    rows = rows.withColumns({"outside": F.greatest(F.lit(0.0), F.col("area") - F.col("shared"))}).withColumn("share", F.col("outside") / F.col("area"))
+    rows = rows.where((F.round("outside", 9) >= area) & (F.round("share", 9) >= ratio))
+    level = F.when((F.round("share", 9) > 0.5) | (F.round("outside", 9) > 5.0), "high").otherwise("med")
+    return rows.select("uuid", "seq", F.lit("out_of_envelope").alias("rule"), level.alias("severity"), F.round("outside", 6).alias("outside"), F.round("share", 6).alias("share"))
+
+
+def inside_point(corners: Column) -> Column:
+    """A point inside a polygon: the middle of the widest stretch of the line along x that runs midway between the corners next above and next below the middle of its box."""
+    def between(b):
+        middle = (b["low"] + b["high"]) / 2
+        return F.struct(((F.array_max(F.filter(b["zs"], lambda z: z <= middle)) + F.array_min(F.filter(b["zs"], lambda z: z > middle))) / 2).alias("z"), b["corners"].alias("corners"))
+
+    def crossings(line):
+        sides = F.transform(line["corners"], lambda p, i: F.struct(p.alias("p"), F.get(line["corners"], (i + 1) % F.size(line["corners"])).alias("q")))
+        cut = F.filter(sides, lambda s: (s["p"]["z"] > line["z"]) != (s["q"]["z"] > line["z"]))
+        xs = F.transform(cut, lambda s: s["p"]["x"] + (line["z"] - s["p"]["z"]) * (s["q"]["x"] - s["p"]["x"]) / (s["q"]["z"] - s["p"]["z"]))
+        return F.struct(line["z"].alias("z"), F.array_sort(xs).alias("xs"))
+
+    def widest(line):
+        spans = F.transform(line["xs"], lambda x, i: F.when((i % 2 == 0) & (i + 1 < F.size(line["xs"])), F.struct((F.get(line["xs"], i + 1) - x).alias("size"), (-i).alias("first"), ((F.get(line["xs"], i + 1) + x) / 2).alias("x"), line["z"].alias("z"))))
+        return F.array_max(spans)
+
+    flat = F.transform(corners, lambda p: F.struct(p["x"].alias("x"), p["z"].alias("z")))
+    box = lambda f: F.struct(f.alias("corners"), F.transform(f, lambda p: p["z"]).alias("zs"), F.array_min(F.transform(f, lambda p: p["z"])).alias("low"), F.array_max(F.transform(f, lambda p: p["z"])).alias("high"))
+    best = G.once(flat, lambda f: G.once(box(f), lambda b: G.once(between(b), lambda line: G.once(crossings(line), widest))))
+    return F.when(F.size(corners) >= 3, best)
+
+
+def _middle(axis: str) -> Column:
+    return F.aggregate("corners", F.lit(0.0), lambda s, p: s + p[axis]) / F.size("corners")
+
+
+def point_lookup(points: DataFrame, polygons: DataFrame, side: float = SIDE) -> DataFrame:
     """The polygon (``uuid, seq, corners``) that holds each point (``uuid, point, x, z``): of several the one with the nearest centre, then the least ``seq``."""
-    at = lambda f, axis: f(F.transform("corners", lambda p: p[axis]))
-    box = polygons.where("size(corners) >= 3").select("uuid", "seq", "corners", *[at(f, a).alias(f"{n}_{a}") for n, f in (("low", F.array_min), ("high", F.array_max)) for a in ("x", "z")])
-    mean = lambda a: F.aggregate("corners", F.lit(0.0), lambda s, p: s + p[a]) / F.size("corners")
-    box = box.withColumns({"cx": mean("x"), "cz": mean("z")})
-    near = points.join(box, "uuid").where("x between low_x and high_x and z between low_z and high_z").where(point_in_polygon(F.col("corners"), F.col("x"), F.col("z")))
+    near = held_by(points, polygons.withColumns({"cx": _middle("x"), "cz": _middle("z")}).select("uuid", "seq", "cx", "cz", "corners"), side)
     away = F.struct(F.round((F.col("x") - F.col("cx")) ** 2 + (F.col("z") - F.col("cz")) ** 2, 9), F.col("seq"))
     return near.groupBy("uuid", "point").agg(F.min_by("seq", away).alias("seq"))
 
 
-def ceiling_below_floor(ceilings: DataFrame, floors: DataFrame, slack: float = 0.05) -> DataFrame:
-    """Ceilings whose top is under the floor that holds their centre: the floor of their story if one does, else the first."""
-    mean = lambda a: F.aggregate("corners", F.lit(0.0), lambda s, p: s + p[a]) / F.size("corners")
-    points = ceilings.where("size(corners) >= 3").select("uuid", "seq", "story", "locator_id", G.high(F.col("corners")).alias("top"), mean("x").alias("x"), mean("z").alias("z"))
-    beds = floors.where("size(corners) >= 3").select("uuid", F.col("seq").alias("bed"), F.col("story").alias("bed_story"), G.low(F.col("corners")).alias("floor_y"), F.col("corners").alias("outline"))
-    held = points.join(beds, "uuid").where(point_in_polygon(F.col("outline"), F.col("x"), F.col("z")))
-    first = held.groupBy("uuid", "seq", "locator_id", "top").agg(F.min_by("floor_y", F.struct(~F.col("story").eqNullSafe(F.col("bed_story")), F.col("bed"))).alias("floor_y"))
-    return first.where(F.col("top") < F.col("floor_y") - slack).select("uuid", "seq", "locator_id", F.lit("ceiling_below_floor").alias("rule"), F.round(F.col("floor_y") - F.col("top"), 6).alias("evidence"))
+def ceiling_below_floor(ceilings: DataFrame, floors: DataFrame, walls: DataFrame, slack: float = 0.05, side: float = SIDE) -> DataFrame:
+    """Ceilings whose top is under the top of the floor that holds a point inside them.
+
+    Of several floors, the first (by ``seq``) of a story whose walls' height, and half a metre, holds the middle of the ceiling's height; if there is none, the first.
+    """
+    points = ceilings.where("size(corners) >= 3").select("uuid", "seq", "locator_id", G.low(F.col("corners")).alias("low"), G.high(F.col("corners")).alias("top"), inside_point(F.col("corners")).alias("p"))
+    points = points.select("uuid", "seq", "locator_id", "top", ((F.col("low") + F.col("top")) / 2).alias("middle"), "p.x", "p.z")
+    beds = floors.where("size(corners) >= 3").select("uuid", F.col("seq").alias("bed"), "story", G.high(F.col("corners")).alias("floor_y"), "corners")
+    held = held_by(points, beds, side).join(story_bands(walls).select("uuid", "story", F.col("low").alias("band_low"), F.col("high").alias("band_high")), ["uuid", "story"], "left")
+    own = F.coalesce(F.col("middle").between(F.col("band_low") - 0.5, F.col("band_high") + 0.5), F.lit(False))
+    first = held.groupBy("uuid", "seq", "locator_id", "top").agg(F.min_by("floor_y", F.struct(~own, F.col("bed"))).alias("floor_y"))
+    return first.where(F.col("top") < F.col("floor_y") - slack).select("uuid", "seq", "locator_id", F.lit("ceiling_below_floor").alias("rule"), F.lit("high").alias("severity"), F.round(F.col("floor_y") - F.col("top"), 6).alias("evidence"))
 
 
 def edges(surfaces: DataFrame, keys: tuple[str, ...] = ("uuid", "story", "room", "seq")) -> DataFrame:
@@ -129,21 +268,6 @@ def edge_pairs(floors: DataFrame, most: float = 0.4, angle: float = 15.0, overla
     return both.withColumns({"thickness_cm": F.round(F.col("gap") * 100, 1), "confidence": sure})
 
 
-def connected(nodes: DataFrame, links: DataFrame) -> DataFrame:
-    """``uuid, node, component`` (the least node reached) by handing on least labels along ``links`` (``uuid, a, b``) until none changes."""
-    if not links.sparkSession.sparkContext.getCheckpointDir():
-        links.sparkSession.sparkContext.setCheckpointDir(new_folder(links.sparkSession, "labels"))
-    both = links.select("uuid", "a", "b").unionByName(links.select("uuid", F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
-    labels = nodes.select("uuid", "node", F.col("node").alias("component"))
-    while True:
-        heard = both.join(labels.select("uuid", F.col("node").alias("a"), "component"), ["uuid", "a"]).groupBy("uuid", F.col("b").alias("node")).agg(F.min("component").alias("heard"))
-        after = labels.join(heard, ["uuid", "node"], "left").select("uuid", "node", F.least("component", F.coalesce("heard", "component")).alias("component"), (F.col("heard") < F.col("component")).alias("changed"))
-        after = after.checkpoint()
-        if after.where("changed").isEmpty():
-            return after.drop("changed")
-        labels = after.drop("changed")
-
-
 def coplanar_groups(pieces: DataFrame, component: float = 0.05, offset: float = 0.5) -> DataFrame:
     """Pieces (``uuid, seq, plane``) in groups of planes that are equal within a tolerance, or linked by such: ``uuid, node, component``."""
     rows = pieces.where("plane is not null").select("uuid", F.col("seq").alias("node"), "plane", F.floor(F.col("plane.d") / (2 * offset)).alias("band"))

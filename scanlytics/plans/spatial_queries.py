@@ -1,4 +1,5 @@
-"""Queries over surfaces in space, bound to ``lineitem``: rectangles with sides along the axes, so that SQL has them in closed form."""
+"""Queries over surfaces in space, bound to ``lineitem``: rectangles that are turned about the origin, each building by another
+angle, so that areas and what holds what stay as they are and SQL has them in closed form."""
 
 from __future__ import annotations
 
@@ -9,10 +10,21 @@ from .registry import query
 from .surface_queries import _SF, surfaces
 
 
-def _boxes(spark, sf_dir):
-    """The surfaces, with sides on a grid of half metres."""
-    half = lambda a: F.transform("corners", lambda p: F.struct((F.floor(p["x"] * 2) / 2).alias("x"), p["y"].alias("y"), p["z"].alias("z")))
-    return surfaces(spark, sf_dir).withColumns({"corners": half("corners"), "openings": F.array().cast("array<array<struct<x:double,y:double,z:double>>>")})
+def turned(corners, by):
+    """Corners turned about the y axis by an angle."""
+    c, s = F.cos(by), F.sin(by)
+    return F.transform(corners, lambda p: F.struct((p["x"] * c - p["z"] * s).alias("x"), p["y"].alias("y"), (p["x"] * s + p["z"] * c).alias("z")))
+
+
+ANGLE = F.col("uuid") % 17 * 0.37
+
+
+def _boxes(spark, sf_dir, turn=True):
+    """The surfaces without openings, with sides on a grid of half metres, turned by building; ``room`` holds all of a story."""
+    half = F.transform("corners", lambda p: F.struct((F.floor(p["x"] * 2) / 2).alias("x"), p["y"].alias("y"), p["z"].alias("z")))
+    rows = surfaces(spark, sf_dir).withColumns({"corners": half, "openings": F.array().cast("array<array<struct<x:double,y:double,z:double>>>")})
+    rows = rows.where("size(corners) < 3 or corners[0].x < greatest(corners[1].x, corners[2].x)")
+    return rows.withColumn("corners", turned(F.col("corners"), ANGLE)) if turn else rows
 
 
 _BOX = _SF + ", bx AS (SELECT *, x0 AS xa, floor((x0 + w) * 2) / 2 AS xb, z0 AS za, z0 + d AS zb FROM sf WHERE NOT few AND w > 0)"
@@ -21,20 +33,22 @@ _OVER = "greatest(0, least(a.xb, b.xb) - greatest(a.xa, b.xa)) * greatest(0, lea
 
 @query("f13_point_in_polygon", _BOX + " SELECT uuid, seq, 3.25 > xa AND 3.25 < xb AND 4.25 > za AND 4.25 < zb AS inside FROM bx")
 def f13(spark, sf_dir):
-    rows = _boxes(spark, sf_dir).where("size(corners) >= 3 and corners[0].x < greatest(corners[1].x, corners[2].x)")
-    return rows.select("uuid", "seq", P.point_in_polygon(F.col("corners"), F.lit(3.25), F.lit(4.25)).alias("inside"))
+    rows = _boxes(spark, sf_dir).where("size(corners) >= 3")
+    x, z = 3.25 * F.cos(ANGLE) - 4.25 * F.sin(ANGLE), 3.25 * F.sin(ANGLE) + 4.25 * F.cos(ANGLE)
+    return rows.select("uuid", "seq", P.point_in_polygon(F.col("corners"), x, z).alias("inside"))
 
 
 @query("p1_overlay_area", _BOX + f" SELECT a.uuid, a.seq AS left, b.seq AS right, round({_OVER}, 6) AS area FROM bx a JOIN bx b ON a.uuid = b.uuid WHERE a.category = 'floor' AND b.category = 'ceiling' AND {_OVER} > 0".replace("AS left", 'AS "left"').replace("AS right", 'AS "right"'))
 def p1(spark, sf_dir):
     rows = _boxes(spark, sf_dir)
-    return P.overlay_area(rows.where("category = 'floor'"), rows.where("category = 'ceiling'"), 0.5).withColumn("area", F.round("area", 6))
+    return P.overlay_area(rows.where("category = 'floor'"), rows.where("category = 'ceiling'")).withColumn("area", F.round("area", 6))
 
 
 @query("p2_point_lookup", _BOX + ", pt AS (SELECT uuid, seq AS point, x0 + 0.25 AS x, z0 + 0.25 AS z FROM sf WHERE category = 'wall') SELECT p.uuid, point, arg_min(b.seq, (round(pow(x - (xa + xb) / 2, 2) + pow(z - (za + zb) / 2, 2), 9), b.seq)) AS seq FROM pt p JOIN bx b ON p.uuid = b.uuid AND b.category = 'floor' AND x >= xa AND x < xb AND z >= za AND z < zb GROUP BY p.uuid, point")
 def p2(spark, sf_dir):
     rows = _boxes(spark, sf_dir)
-    points = surfaces(spark, sf_dir).where("category = 'wall'").select("uuid", F.col("seq").alias("point"), (F.col("corners")[0]["x"] + 0.25).alias("x"), (F.col("corners")[0]["z"] + 0.25).alias("z"))
+    at = lambda p: F.struct((p["x"] + 0.25).alias("x"), p["y"].alias("y"), (p["z"] + 0.25).alias("z"))
+    points = surfaces(spark, sf_dir).where("category = 'wall'").withColumn("p", turned(F.array(at(F.col("corners")[0])), ANGLE)[0]).select("uuid", F.col("seq").alias("point"), "p.x", "p.z")
     return P.point_lookup(points, rows.where("category = 'floor'"))
 
 
@@ -46,21 +60,50 @@ cv AS (SELECT p.uuid, p.seq, any_value(area) AS area, any_value(coalesce(n, 0))
 @query("g4_ceiling_cover", _COVER + " SELECT uuid, seq, round(area, 6) AS area, round(share, 6) AS share FROM cv")
 def g4(spark, sf_dir):
     rows = _boxes(spark, sf_dir)
-    return P.covered(rows.where("category = 'floor'"), rows.where("category = 'ceiling'"), 0.5).select("uuid", "seq", F.round("area", 6).alias("area"), F.round("share", 6).alias("share"))
+    return P.covered(rows.where("category = 'floor'"), rows.where("category = 'ceiling'")).select("uuid", "seq", F.round("area", 6).alias("area"), F.round("share", 6).alias("share"))
 
 
-@query("r8_ceiling_coverage_gap", _COVER + " SELECT uuid, seq, 'ceiling_coverage_gap' AS rule, CASE WHEN share < 0.2 THEN 'high' ELSE 'medium' END AS severity, round(share, 6) AS evidence FROM cv WHERE area >= 1 AND share < 0.5")
+def _bins(column, edges):
+    return f"CASE " + " ".join(f"WHEN {column} <= {e:g} THEN '<= {e:g}'" for e in edges) + f" ELSE '> {edges[-1]:g}' END"
+
+
+@query("g4_coverage_report", _COVER + f""", gp AS (SELECT area, round(1 - share, 9) AS gap_share, round(area * (1 - share), 9) AS gap FROM cv)
+SELECT 'share' AS kind, {_bins('gap_share', P.GAP_SHARES)} AS bin, count(*) AS n, round(sum(gap), 4) AS value FROM gp WHERE gap > 0.05 GROUP BY ALL
+UNION ALL SELECT 'area', {_bins('gap', P.GAP_AREAS)}, count(*), round(sum(gap), 4) FROM gp WHERE gap > 0.05 GROUP BY ALL UNION ALL SELECT 'all', '', count(*), round(sum(gap) / sum(area), 4) FROM gp""")
+def g4_report(spark, sf_dir):
+    rows = _boxes(spark, sf_dir)
+    return P.coverage_report(P.covered(rows.where("category = 'floor'"), rows.where("category = 'ceiling'"))).withColumn("value", F.round("value", 4))
+
+
+# rooms of one story and one third of a building's floors; a room counts where all its floors overlap in a chain, found here by spreading the least number
+_ROOM = _BOX + f""", fl AS (SELECT uuid, room, seq, xa, xb, za, zb FROM bx WHERE category = 'floor' AND xb > xa AND zb > za),
+tc AS (SELECT a.uuid, a.room, a.seq AS s, b.seq AS t FROM fl a JOIN fl b ON a.uuid = b.uuid AND a.room = b.room AND (least(a.xb, b.xb) - greatest(a.xa, b.xa) > 0 AND least(a.zb, b.zb) - greatest(a.za, b.za) >= 0 OR least(a.xb, b.xb) - greatest(a.xa, b.xa) >= 0 AND least(a.zb, b.zb) - greatest(a.za, b.za) > 0)),
+rc AS (WITH RECURSIVE go AS (SELECT uuid, room, s, t FROM tc UNION SELECT go.uuid, go.room, go.s, tc.t FROM go JOIN tc ON go.uuid = tc.uuid AND go.room = tc.room AND go.t = tc.s) SELECT uuid, room, s, min(t) AS component FROM go GROUP BY ALL),
+whole AS (SELECT uuid, room FROM rc GROUP BY uuid, room HAVING count(DISTINCT component) = 1),
+tops AS (SELECT uuid, room, max(y + h) AS top FROM sf WHERE category = 'wall' GROUP BY uuid, room),
+ce AS (SELECT uuid, room, unnest(range(CAST(xa * 2 AS BIGINT), CAST(xb * 2 AS BIGINT))) AS i, za, zb FROM fl JOIN whole USING (uuid, room)),
+cf AS (SELECT DISTINCT uuid, room, i, j FROM ce, LATERAL (SELECT unnest(range(CAST(za * 2 AS BIGINT), CAST(zb * 2 AS BIGINT))) AS j)),
+cv AS (SELECT cf.uuid, cf.room, count(DISTINCT (i, j)) * 0.25 AS area, count(DISTINCT CASE WHEN c.seq IS NOT NULL THEN (i, j) END) * 0.25 AS over FROM cf LEFT JOIN tops USING (uuid, room)
+ LEFT JOIN bx c ON c.uuid = cf.uuid AND c.category = 'ceiling' AND (top IS NULL OR c.y + c.h >= top - 0.5) AND i >= c.xa * 2 AND i < c.xb * 2 AND j >= c.za * 2 AND j < c.zb * 2 GROUP BY ALL)
+SELECT uuid, room, 'ceiling_coverage_gap' AS rule, CASE WHEN over / area < 0.2 THEN 'high' ELSE 'med' END AS severity, round(area, 6) AS floor_area, round(over / area, 6) AS evidence FROM cv WHERE area >= 1 AND over / area < 0.5"""
+
+
+@query("r8_ceiling_coverage_gap", _ROOM)
 def r8(spark, sf_dir):
     rows = _boxes(spark, sf_dir)
-    return P.coverage_gaps(rows.where("category = 'floor'"), rows.where("category = 'ceiling'"), 0.5)
+    return P.coverage_gaps(rows.where("category = 'floor'"), rows.where("category = 'ceiling'"), surfaces(spark, sf_dir).where("category = 'wall'"))
 
 
-@query("r7_ceiling_below_floor", _BOX + """, h AS (SELECT a.uuid, a.seq, a.locator_id, a.y + a.h AS top, arg_min(b.y, (a.story <> b.story, b.seq)) AS floor_y FROM bx a JOIN bx b ON a.uuid = b.uuid AND b.category = 'floor' AND (a.xa + a.xb) / 2 >= b.xa AND (a.xa + a.xb) / 2 < b.xb AND (a.za + a.zb) / 2 >= b.za AND (a.za + a.zb) / 2 < b.zb WHERE a.category = 'ceiling' GROUP BY ALL)
-SELECT uuid, seq, locator_id, 'ceiling_below_floor' AS rule, round(floor_y - top, 6) AS evidence FROM h WHERE top < floor_y - 0.05""")
+@query("r7_ceiling_below_floor", _BOX + """, bands AS (SELECT uuid, story, min(y) AS low, max(y + h) AS high FROM sf WHERE category = 'wall' GROUP BY ALL),
+h AS (SELECT a.uuid, a.seq, a.locator_id, a.y + a.h AS top, arg_min(b.y + b.h, (NOT coalesce(a.y + a.h / 2 BETWEEN low - 0.5 AND high + 0.5, false), b.seq)) AS floor_y FROM bx a JOIN bx b ON a.uuid = b.uuid AND b.category = 'floor'
+ AND (a.xa + a.xb) / 2 + 0.013 BETWEEN b.xa AND b.xb AND (a.za + a.zb) / 2 + 0.017 BETWEEN b.za AND b.zb AND b.xb > b.xa LEFT JOIN bands ON bands.uuid = b.uuid AND bands.story = b.story WHERE a.category = 'ceiling' AND a.xb > a.xa GROUP BY ALL)
+SELECT uuid, seq, locator_id, 'ceiling_below_floor' AS rule, 'high' AS severity, round(floor_y - top, 6) AS evidence FROM h WHERE top < floor_y - 0.05""")
 def r7(spark, sf_dir):
-    shift = F.transform("corners", lambda p: F.struct(p["x"].alias("x"), p["y"].alias("y"), p["z"].alias("z")))
-    rows = _boxes(spark, sf_dir).withColumn("corners", shift).where("size(corners) < 3 or corners[0].x < greatest(corners[1].x, corners[2].x)")
-    return P.ceiling_below_floor(rows.where("category = 'ceiling'"), rows.where("category = 'floor'"))
+    rows = _boxes(spark, sf_dir, turn=False)
+    aside = F.transform("corners", lambda p: F.struct((p["x"] + 0.013).alias("x"), p["y"].alias("y"), (p["z"] + 0.017).alias("z")))
+    ceilings = rows.where("category = 'ceiling'").withColumn("corners", turned(aside, ANGLE))
+    floors = rows.where("category = 'floor'").withColumn("corners", turned(F.col("corners"), ANGLE))
+    return P.ceiling_below_floor(ceilings, floors, surfaces(spark, sf_dir))
 
 
 @query("p6_coplanar_groups", None)
@@ -79,7 +122,18 @@ def p5(spark, sf_dir):
     return P.edge_pairs(_boxes(spark, sf_dir).where("category in ('floor', 'gap')"))
 
 
-@query("r9_out_of_envelope", None)
+_WIDE = _BOX + f""", fl AS (SELECT uuid, seq, xa - 0.5 AS xa, xb + 0.5 AS xb, za - 0.5 AS za, zb + 0.5 AS zb FROM bx WHERE category = 'floor' AND xb > xa AND zb > za),
+tc AS (SELECT a.uuid, a.seq AS s, b.seq AS t FROM fl a JOIN fl b ON a.uuid = b.uuid AND {_OVER} > 0),
+rc AS (WITH RECURSIVE go AS (SELECT uuid, s, t FROM tc UNION SELECT go.uuid, go.s, tc.t FROM go JOIN tc ON go.uuid = tc.uuid AND go.t = tc.s) SELECT uuid, s AS seq, min(t) AS part FROM go GROUP BY ALL),
+ce AS (SELECT DISTINCT uuid, part, i, j FROM (SELECT uuid, part, unnest(range(CAST(xa * 2 AS BIGINT), CAST(xb * 2 AS BIGINT))) AS i, za, zb FROM fl JOIN rc USING (uuid, seq)), LATERAL (SELECT unnest(range(CAST(za * 2 AS BIGINT), CAST(zb * 2 AS BIGINT))) AS j)),
+best AS (SELECT uuid, arg_min(part, (-n, part)) AS part FROM (SELECT uuid, part, count(*) AS n FROM ce GROUP BY ALL) GROUP BY uuid),
+inn AS (SELECT ce.* FROM ce JOIN best USING (uuid, part)),
+ow AS (SELECT uuid, seq, i, j FROM (SELECT uuid, seq, unnest(range(CAST(xa * 2 AS BIGINT), CAST(xb * 2 AS BIGINT))) AS i, za, zb FROM bx WHERE category IN ('wall', 'ceiling', 'gap', 'knee_wall', 'dormer_face') AND xb > xa), LATERAL (SELECT unnest(range(CAST(za * 2 AS BIGINT), CAST(zb * 2 AS BIGINT))) AS j)),
+ot AS (SELECT o.uuid, o.seq, count(*) * 0.25 AS area, count(*) FILTER (WHERE inn.i IS NULL) * 0.25 AS outside FROM ow o JOIN best USING (uuid) LEFT JOIN inn ON inn.uuid = o.uuid AND inn.i = o.i AND inn.j = o.j GROUP BY ALL)
+SELECT uuid, seq, 'out_of_envelope' AS rule, CASE WHEN outside / area > 0.5 OR outside > 5 THEN 'high' ELSE 'med' END AS severity, round(outside, 6) AS outside, round(outside / area, 6) AS share FROM ot WHERE outside >= 0.25 AND outside / area >= 0.05"""
+
+
+@query("r9_out_of_envelope", _WIDE)
 def r9(spark, sf_dir):
     rows = _boxes(spark, sf_dir)
-    return P.out_of_envelope(rows.where("category = 'ceiling'"), rows.where("category = 'floor'"))
+    return P.out_of_envelope(rows.where("category in ('wall', 'ceiling', 'gap', 'knee_wall', 'dormer_face')"), rows.where("category = 'floor'"))

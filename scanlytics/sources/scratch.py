@@ -6,7 +6,7 @@ import re
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _OWN: dict[str, str] = {}
 
@@ -19,3 +19,21 @@ def new_folder(spark: SparkSession, label: str) -> str:
             raise ValueError("spark.checkpoint.dir is unset")
         base = _OWN.setdefault(spark.sparkContext.applicationId, "file://" + tempfile.mkdtemp(prefix="spark-files-"))
     return f"{base.rstrip('/')}/scanlytics-files/{label}-{uuid.uuid4().hex}"
+
+
+def written(rows: DataFrame, label: str) -> DataFrame:
+    """Writes rows to a new folder and reads them back: what follows does not work them out again, and lost executors cost nothing."""
+    path = new_folder(rows.sparkSession, label)
+    rows.write.parquet(path)
+    table = rows.sparkSession.read.schema(rows.schema).parquet(path)
+    table.written_at = path
+    return table
+
+
+def deleted(*tables: DataFrame | None) -> None:
+    """Deletes tables that ``written`` made and nothing reads any more."""
+    for table in tables:
+        path = getattr(table, "written_at", None)
+        if path:
+            folder = table.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(table.sparkSession._jsc.hadoopConfiguration()).delete(folder, True)

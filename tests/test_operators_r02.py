@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from scanlytics.operators import cohorts as C
 from scanlytics.operators import models as M
 from scanlytics.operators import spatial as P
-from scanlytics.plans import model_queries, registry, spatial_queries
+from scanlytics.plans import model_queries, registry
 from scanlytics.plans.surface_queries import surfaces
 from scanlytics.sources import scans as S
 
@@ -49,16 +49,6 @@ def test_edge_pairs(spark):
     assert not any(4 in (a, b) for a, _, b, _ in got) and not any({a, b} == {1, 5} for a, _, b, _ in got)
 
 
-def test_out_of_envelope(spark):
-    def box(seq, x, w):
-        return ("u", seq, [(float(a), 0.0, float(b)) for a, b in ((x, 0), (x + w, 0), (x + w, 2), (x, 2))], [])
-
-    df = spark.createDataFrame([box(1, 0, 4), box(2, 1, 2), box(3, 3, 4), box(4, 4, 0.5)], "uuid string, seq int, corners array<struct<x:double,y:double,z:double>>, openings array<array<struct<x:double,y:double,z:double>>>")
-    got = {r.seq: (r.outside, r.share) for r in P.out_of_envelope(df, df.where("seq = 1")).collect()}
-    assert got == {3: (5.0, 0.625)}
-    assert registry.queries()["r9_out_of_envelope"](spark, D).count() >= 0 and spatial_queries.surfaces is surfaces
-
-
 def test_models_on_rows_they_did_not_see(spark):
     rows = M.oof_scores(M.prepare(model_queries.features(spark, D), ["size", "day"], ["status", "priority"]), 3).collect()
     assert len(rows) == model_queries.features(spark, D).count()
