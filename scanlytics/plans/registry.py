@@ -21,7 +21,7 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def _load() -> None:
-    from . import capture_queries, cohort_queries, event_queries, feature_queries, model_queries, report_queries, review_queries, source_queries, spatial_queries, surface_queries  # noqa: F401
+    from . import capture_queries, cohort_queries, event_queries, feature_queries, model_queries, report_queries, review_queries, roof_queries, source_queries, spatial_queries, surface_queries  # noqa: F401
 
 
 def queries() -> dict[str, Query]:
