@@ -9,7 +9,9 @@ histogram with at most ``capacity`` counts, whatever its size. The plan:
    programming with column generation (an integer knapsack finds each new
    column) and rounded down; what is left is packed by best fit, decreasing.
 3. Actual lengths take the places of the rounded ones.
-4. Small lengths, longest first, go to the fullest sequence that has room.
+4. The loosest sequences are taken apart again. What they held and all small lengths, longest first, go to the fullest
+   sequence that has room. Of several limits of looseness the one with the fewest sequences counts; the last limit takes
+   everything apart, so there are never more sequences than best fit alone would make.
 
 Sequences with equal contents are planned once, with a count. So the plan is a
 short table: of the documents of one length, those of rank ``lo`` to ``hi`` go
@@ -34,7 +36,8 @@ from .tokens import encoder
 
 SLICE_BYTES = 4 << 20
 GROUPS = 64
-RANK_BUCKETS = 256
+LOOSE = (256, 128, 64, 32, 16, 8, 4, 2, 1, 0, -1)  # room of sequences that are taken apart and filled again
+RANK_ROWS = 50_000  # pieces of one length that are ranked together, about
 _PIECES = pa.schema([("doc", pa.int64()), ("key", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
 
 
@@ -122,14 +125,7 @@ def plan(histogram: dict[int, int], capacity: int = 1024, groups: int = GROUPS)
             if times > 0 and column.any():
                 chosen.append((column.tolist(), times))
                 left = [max(0, a - times * b) for a, b in zip(left, column.tolist(), strict=True)]
-    runs: dict[int, list[dict]] = {}
-    rooms: list[int] = []
-
-    def add(run: dict) -> None:
-        room = capacity - sum(x for x, _ in run["slots"])
-        if room not in runs:
-            insort(rooms, room)
-        runs.setdefault(room, []).append(run)
+    filled: list[dict] = []
 
     def pull(q: list[list[int]], n: int) -> list[tuple[int, int, int]]:
         out = []
@@ -156,15 +152,16 @@ def plan(histogram: dict[int, int], capacity: int = 1024, groups: int = GROUPS)
                         slots.append((x, rank + a - done))
                     done += k
             if slots:
-                add({"n": b - a, "slots": slots})
-    for q in queues:
-        for x, rank, n in q:
-            _fit(runs, rooms, x, rank, n, capacity)
-    for x in sorted((x for x in counts if x <= capacity // 8), reverse=True):
-        _fit(runs, rooms, x, 0, counts[x], capacity)
+                filled.append({"n": b - a, "slots": slots})
+    rest = [(x, rank, n) for q in queues for x, rank, n in q] + [(x, 0, n) for x, n in counts.items() if x <= capacity // 8]
+    best: dict[int, list[dict]] | None = None
+    for loosest in (capacity, *LOOSE):
+        runs = _refilled(filled, rest, loosest, capacity)
+        if best is None or _size(runs) < _size(best):
+            best = runs
     rows, base = [], 0
-    for room in sorted(runs):
-        for run in runs[room]:
+    for room in sorted(best):
+        for run in best[room]:
             offset = 0
             for x, rank in run["slots"]:
                 rows.append((x, rank, rank + run["n"], base, offset))
@@ -173,6 +170,28 @@ def plan(histogram: dict[int, int], capacity: int = 1024, groups: int = GROUPS)
     return rows
 
 
+def _size(runs: dict[int, list[dict]]) -> int:
+    return sum(r["n"] for same in runs.values() for r in same)
+
+
+def _refilled(filled: list[dict], rest: list[tuple[int, int, int]], loosest: int, capacity: int) -> dict[int, list[dict]]:
+    """Runs of sequences by room: those with more room than ``loosest`` are taken apart again, and what they held and all the rest goes, longest first, to the fullest sequence that has room."""
+    runs: dict[int, list[dict]] = {}
+    rooms: list[int] = []
+    loose = list(rest)
+    for run in filled:
+        room = capacity - sum(x for x, _ in run["slots"])
+        if room > loosest:
+            loose += [(x, rank, run["n"]) for x, rank in run["slots"]]
+            continue
+        if room not in runs:
+            insort(rooms, room)
+        runs.setdefault(room, []).append(run)
+    for x, rank, n in sorted(loose, key=lambda p: (-p[0], p[1])):
+        _fit(runs, rooms, x, rank, n, capacity)
+    return runs
+
+
 def _cutter(tokenizer: str, end_id: int, capacity: int, with_ids: bool, added_tokens: bool):
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tool = encoder(tokenizer, added_tokens)
@@ -208,10 +227,11 @@ def pack(cut: DataFrame, capacity: int = 1024, groups: int = GROUPS) -> DataFram
     table stays empty. ``cut`` is read several times: give a written table.
     """
     spark = cut.sparkSession
-    bucket = F.pmod(F.xxhash64("doc", "key", "piece"), F.lit(RANK_BUCKETS)).cast("int")
-    rows = cut.withColumn("__bucket", bucket)
-    counts = rows.groupBy("length", "__bucket").agg(F.count("*").alias("__n"))
     histogram = {r["length"]: r["n"] for r in cut.groupBy("length").agg(F.count("*").alias("n")).limit(capacity + 1).collect()}
+    # one length may be that of a third of all pieces, so the ranks are counted in as many parts as the most frequent length needs
+    buckets = max(1, -(-max(histogram.values(), default=0) // RANK_ROWS))
+    rows = cut.withColumn("__bucket", F.pmod(F.xxhash64("doc", "key", "piece"), F.lit(buckets)).cast("int"))
+    counts = rows.groupBy("length", "__bucket").agg(F.count("*").alias("__n"))
     if any(not 1 <= x <= capacity for x in histogram):
         raise ValueError(f"pieces must have 1 to {capacity} ids")
     table = spark.createDataFrame(plan(histogram, capacity, groups), "length long, __lo long, __hi long, __base long, offset long")

@@ -92,6 +92,27 @@ def test_plan_is_whole_and_tight(seed):
         assert at <= 1024
     least = -(-sum(x * n for x, n in histogram.items()) // 1024)
     assert len(where) <= 1.03 * least + 3
+    runs, rooms = {}, []
+    for x in sorted(histogram, reverse=True):
+        packing._fit(runs, rooms, x, 0, histogram[x], 1024)
+    assert len(where) <= packing._size(runs)
+
+
+@pytest.mark.parametrize("sf", ["sf0.01", "sf0.1"])
+def test_no_more_sequences_than_best_fit(spark, sf):
+    cut = packing.token_pieces(spark.read.parquet(f"/root/testdata/{sf}/documents.parquet"), public_tokenizer())
+    histogram = {r["length"]: r["count"] for r in cut.groupBy("length").count().collect()}
+    runs, rooms = {}, []
+    for x in sorted(histogram, reverse=True):
+        packing._fit(runs, rooms, x, 0, histogram[x], 1024)
+    assert max(base + hi - lo for _, lo, hi, base, _ in packing.plan(histogram)) <= packing._size(runs)
+
+
+def test_ranks_of_a_frequent_length(spark, monkeypatch):
+    monkeypatch.setattr(packing, "RANK_ROWS", 7)
+    cut = spark.createDataFrame([(i, i * 31, 0, 1024 if i % 3 else 40 + i % 5) for i in range(300)], "doc long, key long, piece int, length long")
+    out = packing.pack(cut).collect()
+    assert len(out) == 300 and len({(r.sequence_id, r.offset) for r in out}) == 300
 
 
 def test_packing_of_a_table(spark, plain):
