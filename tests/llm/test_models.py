@@ -157,3 +157,53 @@ def test_counts_query_against_brute_force(spark):
             n[1] += len(tool.encode(r.text, add_special_tokens=False).ids) + 1
     got = {(r.source, r.lang): [r.n_docs, r.n_tokens] for r in op6_token_counts(spark, "/root/testdata/sf0.001").collect()}
     assert got == want
+
+
+def test_rollup_survives_a_stop_at_every_step(spark, monkeypatch):
+    changes = spark.createDataFrame([("s", "en", "v", 1, 10)], "source string, lang string, tokenizer string, n_docs long, n_tokens long")
+    total = lambda r: [tuple(x)[3:] for x in r.totals().collect()]
+
+    class Stop(Exception):
+        pass
+
+    def stopping(at, step):
+        """``step`` with a stop at its ``at``-th call of the file system."""
+        count = [0]
+        real = token_counts._fs
+
+        def fs(session, path):
+            count[0] += 1
+            if count[0] > at:
+                raise Stop
+            return real(session, path)
+
+        monkeypatch.setattr(token_counts, "_fs", fs)
+        try:
+            step()
+            return True
+        except Stop:
+            return False
+        finally:
+            monkeypatch.setattr(token_counts, "_fs", real)
+
+    rollup = token_counts.TokenRollup(spark)
+    assert rollup.commit("one", changes)
+    for at in range(9):
+        stopping(at, lambda: rollup.commit(f"two-{at}", changes))
+        rollup.commit(f"two-{at}", changes)
+        assert total(rollup) == [(at + 2, 10 * (at + 2))]
+    fs, place = token_counts._fs(spark, rollup.path)
+    for torn in (b"", b"rows-12"):
+        out = fs.create(place(f"{rollup.path}/torn{len(torn)}.commit"), False)
+        out.write(bytearray(torn))
+        out.close()
+        assert f"torn{len(torn)}" not in rollup.batches() and rollup.commit(f"torn{len(torn)}", changes) and not rollup.commit(f"torn{len(torn)}", changes)
+    assert total(rollup) == [(12, 120)]
+    for at in range(9):
+        stopping(at, rollup.compact)
+        assert total(rollup) == [(12 + at, 120 + 10 * at)]
+        assert rollup.commit(f"three-{at}", changes) and not rollup.commit("one", changes)
+    while rollup.compact():
+        pass
+    assert total(rollup) == [(21, 210)] and len(rollup.batches()) == 21 and rollup._files(".commit") == [] and not rollup.commit("torn0", changes)
+    assert token_counts.TokenRollup(spark).totals().collect() == [] and not token_counts.TokenRollup(spark).compact()
