@@ -7,9 +7,13 @@ more component that makes all norms equal; the nearest by Euclidean distance is
 then the largest by inner product. A vector is written to its nearest list and,
 near a border, to those whose centroids are at most ``closeness`` times as far
 as the nearest one, ``copies`` at most. Centroids are searched by best-first walks on a neighbour
-graph held in memory by each task. A query scans the lists whose centroids are
+graph held in memory by each task; searches for very many centroids measure them all. A query scans the lists whose centroids are
 within ``ratio`` of the nearest one's distance, ``probes`` at most.
 
+How many lists that must be depends on the table: in vectors without structure the nearest ones lie in many
+lists. So ``probes`` and ``ratio`` are measured: for a few queries the true neighbours are found by a scan of all rows, and
+the limits are set such that the lists that hold them would have been asked as often as ``recall`` demands. ``exact`` asks all lists.
+
 Lists are cut into blocks of bounded size, and so are the queries of a list, so
 neither a hot list nor a repeated vector meets in one task.
 """
@@ -32,6 +36,8 @@ BLOCK = 2048
 QUERY_BLOCK = 1024
 DEGREE = 24
 ENTRIES = 8
+WALK = 128  # lists that a walk keeps at most; for more, all centroids are measured
+TUNED = 48  # queries whose true neighbours set the limits
 
 
 def usable(vector: Column) -> Column:
@@ -121,13 +127,66 @@ def graph_search(x: np.ndarray, centres: np.ndarray, graph: np.ndarray, width: i
     return np.take_along_axis(met, order, 1), np.sqrt(np.maximum(d2, 0))
 
 
+def all_lists(x: np.ndarray, centres: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """The ``most`` nearest lists of each row and their distances, nearest first, by measuring all centroids."""
+    away = (centres**2).sum(1) - 2 * x @ centres.T
+    most = min(most, len(centres))
+    near = np.argpartition(away, most - 1, axis=1)[:, :most] if most < len(centres) else np.broadcast_to(np.arange(len(centres)), away.shape)
+    d = np.take_along_axis(away, near, 1)
+    order = np.argsort(d, axis=1, kind="stable")
+    return np.take_along_axis(near, order, 1), np.sqrt(np.maximum(np.take_along_axis(d, order, 1) + (x**2).sum(1)[:, None], 0))
+
+
+def _best_of_all(asked: np.ndarray, own: list[tuple[int, int]], k: int):
+    """The ``k`` best rows of each batch for a few queries."""
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            v, ids, keys = _matrix(batch.column("v")), batch.column("id").to_numpy(), batch.column("key").to_numpy()
+            score = asked @ v.T
+            for i, (doc, key) in enumerate(own):
+                score[i, (ids == doc) & (keys == key)] = -np.inf
+            n = min(k, score.shape[1])
+            best = np.argpartition(-score, n - 1, axis=1)[:, :n]
+            row = np.repeat(np.arange(len(score)), n)
+            yield pa.RecordBatch.from_pydict({"asked": row.astype(np.int32), "id": ids[best.ravel()], "key": keys[best.ravel()], "score": score[row, best.ravel()]})
+
+    return scan
+
+
+def _limits(wanted: DataFrame, rows: DataFrame, posted: DataFrame, centres: np.ndarray, k: int, recall: float) -> tuple[int, float]:
+    """``probes`` and ``ratio`` that a few queries need for ``recall``."""
+    some = wanted.orderBy(F.xxhash64("id", "key", F.lit(1)), "id").limit(TUNED).select("id", "key", F.col("v")).toArrow()
+    if not some.num_rows:
+        return 1, 1.0
+    x = _matrix(some.column("v").combine_chunks())
+    own = list(zip(some.column("id").to_pylist(), some.column("key").to_pylist(), strict=True))
+    best = rows.select("id", "key", "v").mapInArrow(_best_of_all(x, own, k), "asked int, id long, key long, score double").where("score > double('-infinity')")
+    place = F.row_number().over(Window.partitionBy("asked").orderBy(F.desc("score"), "id", "key"))
+    true = best.withColumn("place", place).where(F.col("place") <= k).select("asked", "id", "key")  # TUNED times k rows
+    held = posted.select("list", "id", "key").join(F.broadcast(true), ["id", "key"]).select("asked", "id", "key", "list").toArrow()
+    if not held.num_rows:
+        return 1, 1.0
+    away = np.sqrt(np.maximum((centres**2).sum(1) - 2 * np.c_[x, np.zeros(len(x))] @ centres.T + (x**2).sum(1)[:, None], 0))
+    rank = np.argsort(np.argsort(away, axis=1, kind="stable"), axis=1, kind="stable")
+    asked, lists = held.column("asked").to_numpy(), held.column("list").to_numpy()
+    need: dict[tuple, list[float]] = {}
+    for q, doc, key, r, d in zip(asked.tolist(), held.column("id").to_pylist(), held.column("key").to_pylist(), rank[asked, lists].tolist(), (away[asked, lists] / np.maximum(away.min(axis=1)[asked], 1e-12)).tolist(), strict=True):
+        have = need.setdefault((q, doc, key), [r, d])
+        have[0], have[1] = min(have[0], r), min(have[1], d)
+    ranks, ratios = np.array(list(need.values())).T
+    share = (1 + recall) / 2  # each limit may lose half of what may be lost
+    return int(np.quantile(ranks, share, method="higher")) + 1, float(np.quantile(ratios, share, method="higher")) + 1e-9
+
+
 def _matrix(column: pa.Array) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
 
 
 def chosen_lists(away: np.ndarray, most: int, limit: float) -> np.ndarray:
     """Which of the lists found, nearest first, a query asks or a vector is written to: ``most``, within ``limit`` times the nearest one's distance."""
-    keep = (away <= limit * away[:, :1] + 1e-12) & np.isfinite(away)
+    keep = ((away <= limit * away[:, :1] + 1e-12) if np.isfinite(limit) else np.ones(away.shape, bool)) & np.isfinite(away)
     keep[:, most:] = False
     return keep
 
@@ -142,7 +201,7 @@ def _to_lists(index, most: int, limit: float, query: bool):
                 batch = whole.slice(a, 512)
                 v = _matrix(batch.column("v"))
                 more = np.zeros(len(v)) if query else np.sqrt(np.maximum(top * top - (v**2).sum(1), 0))
-                near, away = graph_search(np.c_[v, more], centres, graph, most + 8)
+                near, away = graph_search(np.c_[v, more], centres, graph, most + 8) if most + 8 <= WALK else all_lists(np.c_[v, more], centres, most)
                 row, rank = np.nonzero(chosen_lists(away, most, limit))
                 edges = np.arange(0, len(row) * v.shape[1] + 1, v.shape[1], dtype=np.int32)
                 same = [batch.column(c).take(pa.array(row)) for c in ("id", "key", "c")]
@@ -197,7 +256,7 @@ def _scanned(asked: DataFrame, posted: DataFrame, k: int) -> DataFrame:
     return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(_scan(k), _FOUND)
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 20, lists: int | None = None, copies: int = 4, probes: int = 96, ratio: float = 1.15, closeness: float = 1.03) -> DataFrame:
+def nearest(vectors: DataFrame, queries: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 20, lists: int | None = None, copies: int = 4, probes: int | None = None, ratio: float | None = None, closeness: float = 1.03, recall: float = 0.96, exact: bool = False) -> DataFrame:
     """The ``k`` nearest found of each row of ``queries`` among all rows of ``vectors`` but its own: ``query_id, rank, vec_id, score``.
 
     ``score`` is the inner product in double precision; ties go to the smaller id. Vectors that are
@@ -205,7 +264,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, id_col: str = "vec_id", vect
     with a null id, take no part on either side. A query's own row is one of its id and vector; further rows of them, and rows of its id with other
     vectors, are candidates, and rows that are repeated in ``queries`` are answered each. Fewer candidates than ``k`` give fewer rows; an
     empty table gives none. Other columns are ignored, whatever their names. Every vector is indexed; only the centroids are fitted,
-    on at most ``SAMPLE`` vectors or four for each list.
+    on at most ``SAMPLE`` vectors or four for each list. Without ``probes`` and ``ratio`` these are measured for ``recall``; with ``exact`` all lists are asked.
     """
     spark = vectors.sparkSession
     kind = "query_id long, rank int, vec_id long, score double"
@@ -233,6 +292,11 @@ def nearest(vectors: DataFrame, queries: DataFrame, id_col: str = "vec_id", vect
     kinds = "list int, id long, key long, c long, v array<double>"
     posted = written(rows.mapInArrow(_to_lists(index, copies, closeness, False), kinds), "postings")
     wanted = written(counted(queries), "queries")
+    if exact:
+        probes, ratio = len(centres), float("inf")
+    elif probes is None or ratio is None:
+        measured = _limits(wanted, rows, posted, centres, k, recall)
+        probes, ratio = probes or measured[0], ratio or measured[1]
     asked = written(wanted.mapInArrow(_to_lists(index, probes, ratio, True), kinds), "probes")
     found = written(_scanned(asked, posted, k), "found")
     # queries whose lists held too few candidates: all lists, in the same blocks

@@ -1,6 +1,7 @@
 import os
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -47,6 +48,44 @@ def test_nearest_edges(spark):
     assert sorted(got) == [(0, 0, 7.0), (0, 0, 7.0), (0, 1, 4.5), (0, 1, 6.5)]
 
 
+@pytest.mark.parametrize(("n", "structured"), [(50_000, False), (200_000, False), (400_000, False), (50_000, True)])
+def test_recall_on_tables_made_here(spark, n, structured):
+    """Vectors without structure, and clustered ones: recall of at least 0.9, and lists are pruned."""
+    rng = np.random.default_rng(n)
+    x = rng.normal(size=(n, 64)).astype(np.float32)
+    if structured:
+        x = rng.normal(size=(300, 64)).astype(np.float32)[rng.integers(0, 300, n)] + 0.3 * x
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    table = pa.table({"vec_id": pa.array(np.arange(n)), "embedding": pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), 64).cast(pa.list_(pa.float32()))})
+    df = spark.createDataFrame(table)
+    asked = df.where(f"vec_id % {n // 200} = 7")
+    probes = []
+    real = ann._limits
+    ann._limits = lambda *a: probes.append(real(*a)) or probes[-1]
+    try:
+        found: dict = {}
+        for r in ann.nearest(df, asked).collect():
+            found.setdefault(r.query_id, set()).add(r.vec_id)
+    finally:
+        ann._limits = real
+    right = []
+    for i in range(7, n, n // 200):
+        s = x[i].astype(float) @ x.T.astype(float)
+        s[i] = -np.inf
+        right.append(len(found[i] & set(np.argpartition(-s, 20)[:20].tolist())) / 20)
+    print(n, structured, "recall", np.mean(right), "limits", probes)
+    assert np.mean(right) >= 0.9 and probes[0][0] < n // ann.LIST_ROWS
+
+
+def test_exact_search_of_all_lists(spark):
+    df = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet")
+    want = exact([(r.vec_id, r.embedding) for r in df.collect()], 20)
+    got: dict = {}
+    for r in ann.nearest(df, df.where("vec_id % 20 = 0"), lists=40, exact=True).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append(r.vec_id)
+    assert got == {q: [v for v, _ in w[:20]] for q, w in want.items()}
+
+
 @pytest.mark.skipif(not os.path.isdir(LARGE), reason="needs a table of 50,000 vectors")
 def test_recall_where_lists_are_pruned(spark):
     df = spark.read.parquet(LARGE)
