@@ -14,6 +14,9 @@ How many lists that must be depends on the table: in vectors without structure t
 lists. So ``probes`` and ``ratio`` are measured: for a few queries the true neighbours are found by a scan of all rows, and
 the limits are set such that the lists that hold them would have been asked as often as ``recall`` demands. ``exact`` asks all lists.
 
+The nearest lists are scanned first. What a query has found there bounds what the further lists need to give: only candidates at least as near as
+its ``k``-th so far, so that asking many lists does not make many rows.
+
 Lists are cut into blocks of bounded size, and so are the queries of a list, so
 neither a hot list nor a repeated vector meets in one task.
 """
@@ -37,6 +40,7 @@ QUERY_BLOCK = 1024
 DEGREE = 24
 ENTRIES = 8
 WALK = 128  # lists that a walk keeps at most; for more, all centroids are measured
+FIRST = 16  # lists that a query scans before it has a bound
 TUNED = 48  # queries whose true neighbours set the limits
 
 
@@ -192,7 +196,7 @@ def chosen_lists(away: np.ndarray, most: int, limit: float) -> np.ndarray:
 
 
 def _to_lists(index, most: int, limit: float, query: bool):
-    kind = pa.schema([("list", pa.int32()), ("id", pa.int64()), ("key", pa.int64()), ("c", pa.int64()), ("v", pa.list_(pa.float64()))])
+    kind = pa.schema([("place", pa.int32()), ("list", pa.int32()), ("id", pa.int64()), ("key", pa.int64()), ("c", pa.int64()), ("v", pa.list_(pa.float64()))])
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         centres, graph, top = index.value
@@ -205,7 +209,7 @@ def _to_lists(index, most: int, limit: float, query: bool):
                 row, rank = np.nonzero(chosen_lists(away, most, limit))
                 edges = np.arange(0, len(row) * v.shape[1] + 1, v.shape[1], dtype=np.int32)
                 same = [batch.column(c).take(pa.array(row)) for c in ("id", "key", "c")]
-                yield pa.RecordBatch.from_arrays([pa.array(near[row, rank].astype(np.int32)), *same, pa.ListArray.from_arrays(pa.array(edges), pa.array(v[row].ravel()))], schema=kind)
+                yield pa.RecordBatch.from_arrays([pa.array(rank.astype(np.int32)), pa.array(near[row, rank].astype(np.int32)), *same, pa.ListArray.from_arrays(pa.array(edges), pa.array(v[row].ravel()))], schema=kind)
 
     return assign
 
@@ -222,13 +226,14 @@ def _scan(k: int):
         queries, rows = queries.combine_chunks(), rows.combine_chunks()
         q, v = (_matrix(t.column("v").combine_chunks()) for t in (queries, rows))
         (qid, qkey, qc), (vid, vkey, vc) = ([t.column(c).to_numpy() for c in ("id", "key", "c")] for t in (queries, rows))
+        bound = queries.column("bound").to_numpy()
         out: list[list[np.ndarray]] = [[] for _ in kind]
         for a in range(0, len(q), 128):
             score = q[a : a + 128] @ v.T
             own = (qid[a : a + 128, None] == vid[None, :]) & (qkey[a : a + 128, None] == vkey[None, :])
             score[own & (vc == 1)[None, :]] = -np.inf
             n = min(k, score.shape[1])
-            least = np.partition(score, score.shape[1] - n, axis=1)[:, score.shape[1] - n]
+            least = np.maximum(np.partition(score, score.shape[1] - n, axis=1)[:, score.shape[1] - n], bound[a : a + 128])
             slack = 1e-12 * np.sqrt((q[a : a + 128] ** 2).sum(1)) * np.sqrt((v**2).sum(1).max())
             for i in range(len(score)):
                 some = np.flatnonzero((score[i] >= least[i] - slack[i]) & (score[i] > -np.inf))
@@ -250,12 +255,19 @@ def _scanned(asked: DataFrame, posted: DataFrame, k: int) -> DataFrame:
     cut = F.broadcast(cuts)
     block, part = F.pmod(F.xxhash64("id", "key"), F.col("blocks")).cast("int"), F.pmod(F.xxhash64("id", "key"), F.col("parts")).cast("int")
     upto = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
-    left = asked.join(cut, "list").select("list", part.alias("part"), upto("blocks").alias("block"), "id", "key", "c", "v")
+    left = asked.join(cut, "list").select("list", part.alias("part"), upto("blocks").alias("block"), "id", "key", "c", "v", "bound")
     right = posted.join(cut, "list").select("list", upto("parts").alias("part"), block.alias("block"), "id", "key", "c", "v")
     keys = ["list", "part", "block"]
     return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(_scan(k), _FOUND)
 
 
+def _best(found: DataFrame, k: int) -> DataFrame:
+    """The ``k`` best different candidates of each query."""
+    best = found.groupBy("query_id", "query_key", "vec_id", "key").agg(F.max("score").alias("score"), F.max("c").alias("c"), F.max("query_c").alias("query_c"))
+    window = Window.partitionBy("query_id", "query_key").orderBy(F.desc("score"), "vec_id", "key")
+    return best.withColumn("before", F.row_number().over(window)).where(F.col("before") <= k).select("query_id", "query_key", "query_c", "vec_id", "key", "c", "score")
+
+
 def nearest(vectors: DataFrame, queries: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 20, lists: int | None = None, copies: int = 4, probes: int | None = None, ratio: float | None = None, closeness: float = 1.03, recall: float = 0.96, exact: bool = False) -> DataFrame:
     """The ``k`` nearest found of each row of ``queries`` among all rows of ``vectors`` but its own: ``query_id, rank, vec_id, score``.
 
@@ -289,7 +301,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, id_col: str = "vec_id", vect
     base = _matrix(sample.column("v").combine_chunks())
     centres = fit_centroids(np.c_[base, np.sqrt(np.maximum(facts["top"] ** 2 - (base**2).sum(1), 0))], count)
     index = spark.sparkContext.broadcast((centres, neighbour_graph(centres), facts["top"]))
-    kinds = "list int, id long, key long, c long, v array<double>"
+    kinds = "place int, list int, id long, key long, c long, v array<double>"
     posted = written(rows.mapInArrow(_to_lists(index, copies, closeness, False), kinds), "postings")
     wanted = written(counted(queries), "queries")
     if exact:
@@ -298,18 +310,20 @@ def nearest(vectors: DataFrame, queries: DataFrame, id_col: str = "vec_id", vect
         measured = _limits(wanted, rows, posted, centres, k, recall)
         probes, ratio = probes or measured[0], ratio or measured[1]
     asked = written(wanted.mapInArrow(_to_lists(index, probes, ratio, True), kinds), "probes")
-    found = written(_scanned(asked, posted, k), "found")
+    none = F.lit(float("-inf")).alias("bound")
+    near = written(_best(_scanned(asked.where(F.col("place") < FIRST).select("list", "id", "key", "c", "v", none), posted, k), k), "near")
+    bound = near.groupBy(F.col("query_id").alias("id"), F.col("query_key").alias("key")).agg(F.when(F.count("*") >= k, F.min("score")).alias("bound"))
+    further = asked.where(F.col("place") >= FIRST).join(bound, ["id", "key"], "left").select("list", "id", "key", "c", "v", F.coalesce("bound", none).alias("bound"))
+    found = written(near.unionByName(_scanned(further, posted, k)), "found")
     # queries whose lists held too few candidates: all lists, in the same blocks
     need = min(k, facts["rows"] - 1)
     different = found.groupBy("query_id", "query_key", "vec_id", "key").agg(F.max("c").alias("c"))
     known = different.groupBy("query_id", "query_key").agg(F.sum("c").alias("n")).where(F.col("n") >= need).select(F.col("query_id").alias("id"), F.col("query_key").alias("key"))
     short = written(wanted.join(known, ["id", "key"], "left_anti"), "short")
     if not short.isEmpty():
-        rest = short.select(F.explode(F.sequence(F.lit(0), F.lit(len(centres) - 1))).alias("list"), "id", "key", "c", "v")
+        rest = short.select(F.explode(F.sequence(F.lit(0), F.lit(len(centres) - 1))).alias("list"), "id", "key", "c", "v", none)
         found = found.unionByName(_scanned(rest, posted, k))
-    best = found.groupBy("query_id", "query_key", "vec_id", "key").agg(F.max("score").alias("score"), F.max("c").alias("c"), F.max("query_c").alias("query_c"))
-    window = Window.partitionBy("query_id", "query_key").orderBy(F.desc("score"), "vec_id", "key")
-    best = best.withColumn("before", F.row_number().over(window)).where(F.col("before") <= k)
+    best = _best(found, k)
     # repeated rows are so many candidates, and so many queries
     best = best.withColumn("copy", F.explode(F.sequence(F.lit(1), F.least("c", F.lit(k).cast("long")).cast("int"))))
     again = Window.partitionBy("query_id", "query_key").orderBy(F.desc("score"), "vec_id", "key", "copy")
