@@ -5,9 +5,11 @@ Surfaces are turned about the origin, each building by another angle, so areas,
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import geometry as G
+from ..operators import edges as E
 from ..operators import heights as H
 from ..operators import neighbours as N
 from ..operators import obliques as B
@@ -15,7 +17,7 @@ from ..operators import overlaps as L
 from ..operators import rotations as R
 from ..sources import payloads as P
 from ..sources.scratch import new_folder
-from .capture_queries import rooms
+from .capture_queries import _KEYS, rooms
 from .registry import query
 from .spatial_queries import _BOX, _OVER, ANGLE, _boxes, turned
 from .surface_queries import _PK, _SF, surfaces
@@ -267,3 +269,103 @@ def c8(spark, sf_dir):
 def c8_floors(spark, sf_dir):
     all_ = rooms(spark, sf_dir).withColumnRenamed("floor_type", "floor")
     return R.rotation_summary(all_, R.floor_rotation_groups(all_))[1]
+
+
+_TOPS = _SF + """, wl AS (SELECT * FROM sf WHERE category = 'wall' AND NOT few), ce AS (SELECT * FROM sf WHERE category IN ('ceiling', 'dormer_face') AND NOT few AND w > 0),
+tp AS (SELECT uuid, room, x, z, y FROM (SELECT uuid, room, x0 + w AS x, z0 AS z, y + h AS y FROM wl UNION ALL SELECT uuid, room, x0 + w, z0 + d, y + h FROM wl) t),
+sg AS (SELECT uuid, room, x0 + w AS ax, z0 AS az, y + h AS ay, x0 + w AS bx, z0 + d AS bz, y + h AS by_ FROM wl WHERE h > 0 UNION ALL
+ SELECT uuid, room, q.ax, q.az, y, q.bx, q.bz, y FROM wl, LATERAL (VALUES (x0, z0, x0, z0 + d), (x0, z0 + d, x0 + w, z0), (x0 + w, z0, x0 + w, z0 + d), (x0 + w, z0 + d, x0, z0)) q(ax, az, bx, bz) WHERE h = 0),
+pt AS (SELECT uuid, room, seq, i, x, y, z FROM (SELECT uuid, room, seq, unnest([{'i': 0, 'x': x0, 'y': y, 'z': z0}, {'i': 1, 'x': x0 + w, 'y': y + h, 'z': z0}, {'i': 2, 'x': x0 + w, 'y': y + h, 'z': z0 + d}, {'i': 3, 'x': x0, 'y': y, 'z': z0 + d}], recursive := true) FROM ce)),
+pj AS (SELECT p.uuid, p.room, seq, i, x, y, z, ax, ay, az, bx, by_, bz, (bx - ax) * (bx - ax) + (by_ - ay) * (by_ - ay) + (bz - az) * (bz - az) AS sq, (bx - ax) * (x - ax) + (by_ - ay) * (y - ay) + (bz - az) * (z - az) AS dt FROM pt p JOIN sg s ON s.uuid = p.uuid AND s.room = p.room),
+pk AS (SELECT *, CASE WHEN sq > 1e-12 THEN greatest(0, least(1, dt / sq)) ELSE 0 END AS t FROM pj),
+ds AS (SELECT uuid, room, seq, i, min(sqrt(pow(x - ax - t * (bx - ax), 2) + pow(y - ay - t * (by_ - ay), 2) + pow(z - az - t * (bz - az), 2))) AS dist FROM pk GROUP BY ALL)"""
+_TRUST = "count(*) AS n_corners, round(quantile_cont(dist, 0.5), 6) AS p50, round(quantile_cont(dist, 0.95), 6) AS p95, round(count(*) FILTER (WHERE round(dist, 9) <= 0.3) / count(*), 6) AS trust FROM ds GROUP BY ALL"
+
+
+def _rounded(rows):
+    return rows.select(*[F.round(c, 6).alias(c) if c in ("p50", "p95", "trust") else c for c in rows.columns])
+
+
+def _trust(spark, sf_dir):
+    rows = surfaces(spark, sf_dir)
+    sound = rows.where("category in ('ceiling', 'dormer_face') and size(corners) >= 3 and corners[0].x < greatest(corners[1].x, corners[2].x)")
+    return E.wall_top_trust(sound, rows.where("category = 'wall'"))
+
+
+@query("g27_wall_top_trust", _TOPS + " SELECT uuid, room, seq, " + _TRUST)
+def g27(spark, sf_dir):
+    return _rounded(_trust(spark, sf_dir)[0])
+
+
+@query("g27_room_trust", _TOPS + " SELECT uuid, room, " + _TRUST)
+def g27_rooms(spark, sf_dir):
+    return _rounded(_trust(spark, sf_dir)[1])
+
+
+@query("r10_dormer_without_host", _SF + """, oc AS (SELECT *, w / size AS up FROM sf WHERE category = 'ceiling' AND NOT few AND w > 0 AND w / size <= 0.95),
+df AS (SELECT * FROM sf WHERE category = 'dormer_face' AND (few OR w > 0)),
+ds AS (SELECT f.uuid, f.seq, f.locator_id, min(greatest(sqrt(pow(greatest(0, f.x0 - o.x0 - o.w, o.x0 - f.x0 - f.w), 2) + pow(greatest(0, f.z0 - o.z0 - o.d, o.z0 - f.z0 - f.d), 2)), greatest(0, f.y - o.y - o.h, o.y - f.y - f.h))) AS dist FROM df f JOIN oc o ON o.uuid = f.uuid WHERE NOT f.few GROUP BY ALL)
+SELECT uuid, seq, locator_id, 'dormer_without_host_slope' AS rule, 'med' AS severity, round(dist, 6) AS evidence FROM ds WHERE round(dist, 9) > 0.3
+UNION ALL SELECT uuid, seq, locator_id, 'dormer_without_host_slope', 'med', NULL FROM df ANTI JOIN oc ON oc.uuid = df.uuid""")
+def r10(spark, sf_dir):
+    rows = surfaces(spark, sf_dir).where("size(corners) < 3 or corners[0].x < greatest(corners[1].x, corners[2].x)").withColumn("corners", turned(F.col("corners"), ANGLE))
+    return E.dormer_without_host_slope(rows.where("category = 'dormer_face'"), rows.where("category = 'ceiling'"))
+
+
+_WALLS = _SF + """, wr AS (SELECT uuid, story, seq, y + h AS top, y AS bottom, CASE WHEN part % 2 = 0 THEN w ELSE d END AS span, CASE WHEN part % 2 = 0 THEN 1.0 ELSE 0.0 END AS ax, CASE WHEN part % 2 = 0 THEN 0.0 ELSE 1.0 END AS az,
+ CASE WHEN part % 2 = 0 THEN x0 + w / 2 ELSE x0 END AS mx, CASE WHEN part % 2 = 0 THEN z0 ELSE z0 + d / 2 END AS mz FROM (SELECT *, 0.1 * (supp % 4) AS off FROM (SELECT uuid % 500 AS uuid, seq + 100 * (uuid // 500) AS seq, story, x0, z0, w, d, part, supp, 0.05 * (part % 2) AS y, 2.4 + 0.1 * (supp % 4) + CASE WHEN supp % 7 = 0 THEN 0.45 ELSE 0 END AS h FROM sf WHERE w > 0))),
+tg AS (SELECT uuid, story, round(top, 9) AS top, sum(span) AS span FROM wr GROUP BY ALL), tn AS (SELECT *, CASE WHEN round(top - lag(top) OVER w, 9) <= 0.05 THEN 0 ELSE 1 END AS new FROM tg WINDOW w AS (PARTITION BY uuid, story ORDER BY top)),
+ti AS (SELECT *, sum(new) OVER (PARTITION BY uuid, story ORDER BY top) AS g FROM tn), gr AS (SELECT uuid, story, g, sum(span) AS weight, sum(top * span) / sum(span) AS centre FROM ti GROUP BY ALL),
+co AS (SELECT uuid, story, arg_min(centre, (-round(weight, 9), g)) AS dominant_y, max(weight) / sum(weight) AS coverage, sum(weight) AS perimeter FROM gr GROUP BY ALL),
+lb AS (SELECT r.uuid, r.story, round(bottom, 9) AS bottom, sum(span) AS span FROM wr r JOIN co USING (uuid, story) WHERE round(abs(top - dominant_y), 9) <= 0.05 GROUP BY ALL),
+lf AS (SELECT uuid, story, min(bottom) AS cohort_floor FROM (SELECT *, sum(span) OVER (PARTITION BY uuid, story ORDER BY bottom) AS so_far, sum(span) OVER (PARTITION BY uuid, story) AS total FROM lb) WHERE round(so_far, 9) >= round(total / 2, 9) GROUP BY ALL)"""
+
+
+def _wall_rows(spark, sf_dir):
+    """Upright walls along either axis, in larger buildings than the others, turned by building."""
+    part, supp = F.col("part"), F.col("supp")
+    base = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    n = F.row_number().over(Window.partitionBy("l_orderkey").orderBy(*_KEYS))
+    rows = base.withColumn("n", n).select(
+        (F.col("l_orderkey") % 500).alias("uuid"), (F.col("n") + 100 * F.floor(F.col("l_orderkey") / 500)).alias("seq"), (F.col("l_linenumber") % 3).alias("story"), (F.col("l_partkey") % 6).cast("double").alias("x0"), (F.col("l_suppkey") % 6).cast("double").alias("z0"),
+        F.when(F.col("l_suppkey") % 31 == 0, 0.0).otherwise(1 + F.col("l_quantity") / 10).alias("w"), (1 + F.round(F.col("l_discount") * 10)).alias("d"), F.col("l_partkey").alias("part"), F.col("l_suppkey").alias("supp"),
+    ).where("w > 0")
+    y = F.lit(0.05) * (part % 2)
+    top = y + 2.4 + F.lit(0.1) * (supp % 4) + F.when(supp % 7 == 0, 0.45).otherwise(0.0)
+    x1, z1 = F.when(part % 2 == 0, F.col("x0") + F.col("w")).otherwise(F.col("x0")), F.when(part % 2 == 0, F.col("z0")).otherwise(F.col("z0") + F.col("d"))
+    point = lambda x, h, z: F.struct(x.alias("x"), h.cast("double").alias("y"), z.alias("z"))
+    c = F.array(point(F.col("x0"), y, F.col("z0")), point(x1, y, z1), point(x1, top, z1), point(F.col("x0"), top, F.col("z0")))
+    return E.wall_records(rows.select("uuid", "story", "seq", turned(c, ANGLE).alias("corners")))
+
+
+@query("g31_dominant_height", _WALLS + " SELECT uuid, story, round(dominant_y, 6) AS dominant_y, round(coverage + 1e-7, 4) AS coverage, round(perimeter, 4) AS perimeter, round(cohort_floor, 6) AS cohort_floor FROM co LEFT JOIN lf USING (uuid, story)")
+def g31(spark, sf_dir):
+    out = E.dominant_height(_wall_rows(spark, sf_dir), reach=0.05)
+    return out.select("uuid", "story", F.round("dominant_y", 6).alias("dominant_y"), F.round(F.col("coverage") + 1e-7, 4).alias("coverage"), F.round("perimeter", 4).alias("perimeter"), F.round("cohort_floor", 6).alias("cohort_floor"))
+
+
+@query("g31_low_walls", _WALLS + """, al AS (SELECT r.*, dominant_y, perimeter, cohort_floor, dominant_y - top AS delta FROM wr r JOIN co USING (uuid, story) LEFT JOIN lf USING (uuid, story)),
+rw AS (SELECT *, coalesce(round(abs(bottom - cohort_floor), 9) <= 0.1, false) AS floor_pass FROM al WHERE round(delta, 9) BETWEEN 0.1 AND 0.4 AND round(span - 0.25 * perimeter, 9) <= 0),
+ok AS (SELECT DISTINCT t.uuid, t.story, t.seq FROM rw t JOIN al o ON o.uuid = t.uuid AND o.story = t.story AND o.seq <> t.seq WHERE t.floor_pass AND round(abs(o.delta), 9) <= 0.05 AND abs(t.ax * o.ax + t.az * o.az) > 0.99
+ AND round(abs((o.mz - t.mz) * t.ax - (o.mx - t.mx) * t.az), 9) <= 0.15 AND round(abs((o.mx - t.mx) * t.ax + (o.mz - t.mz) * t.az) - (t.span + o.span) / 2, 9) <= 0.8)
+SELECT rw.uuid, rw.story, rw.seq, round(delta, 6) AS delta, floor_pass, ok.seq IS NOT NULL AS all_pass FROM rw LEFT JOIN ok ON ok.uuid = rw.uuid AND ok.story = rw.story AND ok.seq = rw.seq""")
+def g31_low(spark, sf_dir):
+    records = _wall_rows(spark, sf_dir)
+    out = E.low_walls(records, E.dominant_height(records, reach=0.05), reach=0.05)
+    return out.withColumn("delta", F.round("delta", 6))
+
+
+_EDGES = _SF + """, pl2 AS (SELECT *, w / size AS lift, h / size AS tilt FROM sf WHERE category IN ('ceiling', 'dormer_face', 'floor') AND NOT few AND w > 0 AND degrees(acos(least(1.0, w / size))) < 80),
+eg AS (SELECT uuid, story, seq, lift, tilt, d AS length, x0 AS x, z0 AS za, z0 + d AS zb, y AS y FROM pl2 UNION ALL SELECT uuid, story, seq, lift, tilt, d, x0 + w, z0, z0 + d, y + h FROM pl2),
+fl2 AS (SELECT uuid, story, seq, lift, tilt, x0, x0 + w AS x1, z0 AS z, y FROM pl2 WHERE h = 0 UNION ALL SELECT uuid, story, seq, lift, tilt, x0, x0 + w, z0 + d, y FROM pl2 WHERE h = 0),
+mt AS (SELECT a.uuid, a.story, a.seq, a.x, arg_min(b.seq, (-round(degrees(acos(least(1.0, abs(a.lift * b.lift + a.tilt * b.tilt)))), 9), b.seq)) AS partner, round(max(degrees(acos(least(1.0, abs(a.lift * b.lift + a.tilt * b.tilt))))), 4) AS partner_angle FROM eg a JOIN eg b ON a.uuid = b.uuid AND a.story = b.story AND a.seq <> b.seq
+ AND abs(a.x - b.x) <= 0.3 AND abs(a.y - b.y) <= 0.2 AND abs(a.za - b.za) <= 0.3 AND abs(a.zb - b.zb) <= 0.3 AND round(degrees(acos(least(1.0, abs(a.lift * b.lift + a.tilt * b.tilt)))), 9) >= 10 GROUP BY ALL)"""
+
+
+@query("g26_ridges", _EDGES + " SELECT mt.uuid, mt.story, mt.seq, round(e.length, 6) AS length, round(e.y, 6) AS y_mid, 'ridge_or_hip' AS label, partner, partner_angle FROM mt JOIN eg e ON e.uuid = mt.uuid AND e.story = mt.story AND e.seq = mt.seq AND e.x = mt.x")
+def g26(spark, sf_dir):
+    """Ridges among planes that rise along one axis: no other edge of a sloped plane is level, and level planes have no ridge along the rise."""
+    rows = surfaces(spark, sf_dir).where("category in ('ceiling', 'dormer_face', 'floor') and (size(corners) < 3 or corners[0].x < greatest(corners[1].x, corners[2].x))")
+    rows = rows.withColumn("corners", turned(F.col("corners"), ANGLE))
+    out = E.edge_classes(rows, rows.limit(0).select("uuid", "corners")).where("label = 'ridge_or_hip'")
+    return out.select("uuid", "story", "seq", F.round("length", 6).alias("length"), F.round("y_mid", 6).alias("y_mid"), "label", "partner", F.round("partner_angle", 4).alias("partner_angle"))
