@@ -53,9 +53,9 @@ def room_time_gaps(rooms: DataFrame, large_min: float = 10.0, eps: float = 2.0)
     """Each room against the one created before it; ``large`` looks at the rounded gap."""
     order = _by("uuid").orderBy("created", "seq")
     rows = rooms.withColumns({"from_seq": F.lag("seq").over(order), "gap": F.col("created") - F.lag("created").over(order), "turn": F.abs(F.col("yaw") - F.lag("yaw").over(order))})
-    rows = rows.where("from_seq is not null").withColumn("gap_min", F.round(F.col("gap") / 60, 1))
+    rows = rows.where("from_seq is not null").withColumn("gap_min", F.bround(F.col("gap") / 60, 1))
     same = (F.col("turn") < eps) | (F.abs(F.col("turn") - 360) < eps)
-    return rows.select("uuid", "from_seq", "seq", "gap_min", F.round("turn", 1).alias("yaw_change"), same.alias("same_session"), (F.col("gap_min") > large_min).alias("large"))
+    return rows.select("uuid", "from_seq", "seq", "gap_min", F.bround("turn", 1).alias("yaw_change"), same.alias("same_session"), (F.col("gap_min") > large_min).alias("large"))
 
 
 def story_y_spread(sessions: DataFrame, limit_m: float = 1.0) -> DataFrame:
@@ -107,9 +107,9 @@ def story_ranges(rooms: DataFrame, small: float = 0.5, large: float = 6.0) -> Da
 
 
 def distinct_yaws(rooms: DataFrame) -> DataFrame:
-    """Distinct yaws of a building in radians, rounded to two decimals."""
-    yaw = F.round(F.radians("yaw"), 2)
-    return rooms.groupBy("uuid").agg(F.count_distinct(yaw).alias("n_yaws"), F.round(F.max("yaw") - F.min("yaw"), 6).alias("range_deg"))
+    """Distinct yaws of a building in radians, rounded half to even to two decimals: how many, and their values in order."""
+    yaw = F.bround(F.radians("yaw"), 2) + 0.0
+    return rooms.groupBy("uuid").agg(F.count_distinct(yaw).alias("n_yaws"), F.array_sort(F.collect_set(yaw)).alias("yaws"), F.round(F.max("yaw") - F.min("yaw"), 6).alias("range_deg"))
 
 
 def centroid_outliers(rooms: DataFrame) -> DataFrame:

@@ -82,8 +82,8 @@ def c2(spark, sf_dir):
     return C.session_summary(_sessions(spark, sf_dir))
 
 
-@query("c3_room_time_gaps", _ROOMS + """, d AS (SELECT uuid, seq, lag(seq) OVER w AS from_seq, round((created - lag(created) OVER w) / 60, 1) AS gap_min, abs(yaw - lag(yaw) OVER w) AS turn FROM r WINDOW w AS (PARTITION BY uuid ORDER BY created, seq))
-SELECT uuid, from_seq, seq, gap_min, round(turn, 1) AS yaw_change, turn < 2 OR abs(turn - 360) < 2 AS same_session, gap_min > 10 AS large FROM d WHERE from_seq IS NOT NULL""")
+@query("c3_room_time_gaps", _ROOMS + """, d AS (SELECT uuid, seq, lag(seq) OVER w AS from_seq, round_even((created - lag(created) OVER w) / 60, 1) AS gap_min, abs(yaw - lag(yaw) OVER w) AS turn FROM r WINDOW w AS (PARTITION BY uuid ORDER BY created, seq))
+SELECT uuid, from_seq, seq, gap_min, round_even(turn, 1) AS yaw_change, turn < 2 OR abs(turn - 360) < 2 AS same_session, gap_min > 10 AS large FROM d WHERE from_seq IS NOT NULL""")
 def c3(spark, sf_dir):
     return C.room_time_gaps(rooms(spark, sf_dir))
 
@@ -121,9 +121,9 @@ def s2(spark, sf_dir):
     return C.story_ranges(rooms(spark, sf_dir))
 
 
-@query("s4_distinct_yaws", _ROOMS + " SELECT uuid, count(DISTINCT round(radians(yaw), 2)) AS n_yaws, round(max(yaw) - min(yaw), 6) AS range_deg FROM r GROUP BY uuid")
+@query("s4_distinct_yaws", _ROOMS + " SELECT uuid, count(DISTINCT rad) AS n_yaws, (SELECT string_agg(printf('%.2f', v), ',') FROM (SELECT unnest(list_sort(list(DISTINCT rad))) AS v)) AS yaws, round(max(yaw) - min(yaw), 6) AS range_deg FROM (SELECT *, round_even(radians(yaw), 2) + 0.0 AS rad FROM r) GROUP BY uuid")
 def s4(spark, sf_dir):
-    return C.distinct_yaws(rooms(spark, sf_dir))
+    return C.distinct_yaws(rooms(spark, sf_dir)).withColumn("yaws", F.array_join(F.transform("yaws", lambda v: F.format_string("%.2f", v)), ","))
 
 
 @query("s5_centroid_outliers", _ROOMS + """, d AS (SELECT uuid, seq, sqrt((x - mx) * (x - mx) + (z - mz) * (z - mz)) AS dist FROM (SELECT *, avg(x) OVER b AS mx, avg(z) OVER b AS mz FROM r WINDOW b AS (PARTITION BY uuid))),

@@ -42,24 +42,28 @@ def scan_address(name: Column) -> Column:
 def read_events(spark: SparkSession, path: str, names: tuple[str, ...] | None = KNOWN) -> DataFrame:
     """An event log in CSV as ``ts, seq`` and its columns: known events with a home, all events with ``names=None``.
 
-    ``seq`` goes up with the order of the lines; times that cannot be read are null.
+    ``seq`` goes up with the names of the files, and with the lines of each file; times that cannot be read are null.
     """
     if not _there(spark, path):
         return spark.createDataFrame([], f"seq long, ts timestamp, {EVENTS.replace('timestamp string, ', '')}")
-    rows = spark.read.schema(EVENTS).csv(path, header=True, escape='"', multiLine=False).withColumn("seq", F.monotonically_increasing_id())
+    rows = spark.read.schema(EVENTS).csv(path, header=True, escape='"', multiLine=False).withColumns({"__file": F.col("_metadata.file_path"), "__at": F.col("_metadata.file_block_start") + F.expr("monotonically_increasing_id() & 8589934591")})
+    files = spark.read.format("binaryFile").load(path).select(F.col("_metadata.file_path").alias("__file")).distinct().withColumn("__n", F.row_number().over(Window.orderBy("__file")))  # names only, no content
+    # a block that is not a file's last fills its partition alone, so lines counted from its start stay before the next block
+    rows = rows.join(F.broadcast(files), "__file").withColumn("seq", F.col("__n") * F.lit(1 << 44) + F.col("__at")).drop("__file", "__at", "__n")
     rows = rows.select("seq", F.col("timestamp").try_cast("timestamp").alias("ts"), *[c for c in rows.columns if c not in ("seq", "timestamp")])
     return rows if names is None else rows.where(F.col("event").isin(*names) & F.col("home_id").isNotNull())
 
 
 def read_metric_export(spark: SparkSession, path: str, metrics: list[str], key: str = "home_id") -> DataFrame:
-    """One row per home with ``metrics`` as text. Numbered columns ``x.0, x.1`` make one, joined with `` | ``; of several rows for a home the last wins."""
+    """One row per home with ``metrics`` as text. Numbered columns ``x.0, x.1`` make one, joined with `` | ``; of several rows for a home the last wins, by the name of the file and the line in it."""
     empty = ", ".join(f"`{c}` string" for c in (key, *metrics))
     if not _there(spark, path):
         return spark.createDataFrame([], empty)
     rows = spark.read.csv(path, header=True, escape='"')
     parts = {m: sorted((c for c in rows.columns if c == m or (c.startswith(m + ".") and c[len(m) + 1 :].isdigit())), key=lambda c: int(c.rpartition(".")[2]) if c != m else -1) for m in metrics}
     made = [F.concat_ws(" | ", *[F.nullif(F.col(f"`{c}`"), F.lit("")) for c in cs]).alias(m) if cs else F.lit("").alias(m) for m, cs in parts.items()]
-    rows = rows.withColumn("__line", F.monotonically_increasing_id()).where(F.col(key).isNotNull())
+    place = F.struct(F.col("_metadata.file_path").alias("f"), F.col("_metadata.file_block_start").alias("b"), F.monotonically_increasing_id().alias("i"))
+    rows = rows.withColumn("__line", place).where(F.col(key).isNotNull())
     last = rows.groupBy(key).agg(F.max_by(F.struct(*made), "__line").alias("m"))
     return last.select(key, "m.*")
 

@@ -99,3 +99,29 @@ def test_readers_on_odd_files(spark, tmp_path):
 def test_folder_names(spark, name):
     got = spark.range(1).select(S.scan_uuid(F.lit(name)).alias("u"), S.scan_address(F.lit(name)).alias("a")).first()
     assert tuple(got) == ((None, None) if name == "no name" else ("0123abcd-0000-1111-2222-333344445555", "Main St 1"))
+
+
+def test_readers_follow_names_and_lines_of_files(spark, tmp_path):
+    """The larger file comes second by name; Spark reads it first."""
+    head = "event,timestamp,home_id,lead_id,room_id,story_id,distinct_id,error_text\n"
+    line = lambda home, i: f"roomScanStarted,2024-01-01T10:00:00Z,{home},l,{i},,d,\n"
+    (tmp_path / "log").mkdir()
+    (tmp_path / "log" / "a.csv").write_text(head + "".join(line("a", i) for i in range(3)))
+    (tmp_path / "log" / "b.csv").write_text(head + "".join(line("b", i) for i in range(4000)))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "40000")
+    try:
+        got = [(r.home_id, int(r.room_id)) for r in S.read_events(spark, f"file://{tmp_path}/log").orderBy("seq").collect()]
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert got == [("a", i) for i in range(3)] + [("b", i) for i in range(4000)]
+    (tmp_path / "x").mkdir()
+    (tmp_path / "x" / "1.csv").write_text("home_id,n\nh,old\n")
+    (tmp_path / "x" / "2.csv").write_text("home_id,n\n" + "other,0\n" * 500 + "h,new\nh,newest\n")
+    assert {r.home_id: r.n for r in S.read_metric_export(spark, f"file://{tmp_path}/x", ["n"]).collect()} == {"h": "newest", "other": "0"}
+
+
+def test_gaps_round_half_to_even(spark):
+    from scanlytics.operators import captures
+
+    df = spark.createDataFrame([("u", i, t, 0.0) for i, t in enumerate((0.0, 15.0, 60.0, 66.0))], "uuid string, seq int, created double, yaw double")
+    assert [r.gap_min for r in captures.room_time_gaps(df).orderBy("seq").collect()] == [0.2, 0.8, 0.1]
