@@ -5,12 +5,15 @@ Surfaces are turned about the origin, each building by another angle, so areas,
 
 from __future__ import annotations
 
-from pyspark.sql import Window
+from functools import reduce
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geometry as G
 from ..operators import edges as E
 from ..operators import heights as H
+from ..operators import invariants as I
 from ..operators import neighbours as N
 from ..operators import obliques as B
 from ..operators import overlaps as L
@@ -369,3 +372,37 @@ def g26(spark, sf_dir):
     rows = rows.withColumn("corners", turned(F.col("corners"), ANGLE))
     out = E.edge_classes(rows, rows.limit(0).select("uuid", "corners")).where("label = 'ridge_or_hip'")
     return out.select("uuid", "story", "seq", F.round("length", 6).alias("length"), F.round("y_mid", 6).alias("y_mid"), "label", "partner", F.round("partner_angle", 4).alias("partner_angle"))
+
+
+def _built(spark, sf_dir):
+    """Buildings of which some have another version or no tier, and their surfaces with kinds; areas are not turned here."""
+    rows = surfaces(spark, sf_dir).withColumn("kind", F.when(F.col("part") % 3 == 0, "gap_floor").when(F.col("part") % 3 == 1, "stitch_ceil").otherwise("wall"))
+    rows = rows.where("size(corners) < 3 or corners[0].x < greatest(corners[1].x, corners[2].x)").withColumn("openings", F.when(F.col("category").isin("floor", "gap"), F.col("openings")).otherwise(F.array().cast("array<array<struct<x:double,y:double,z:double>>>")))
+    about = rows.groupBy("uuid").agg(F.lit(1)).select("uuid", F.when(F.col("uuid") % 7 != 0, (1 + (F.col("uuid") % 11 == 0).cast("int")).cast("string")).alias("schema_version"), (F.col("uuid") % 10).cast("int").alias("tier"))
+    return about, rows
+
+
+@query("r17_piece_invariants", _SF + """, al AS (SELECT *, supp % 8 = 0 AS large, supp % 4 = 0 AS holed, locator_id AS path FROM sf WHERE few OR w > 0), b AS (SELECT DISTINCT uuid FROM al),
+lid AS (SELECT * FROM al WHERE category = 'floor' OR category = 'gap' AND part % 3 IN (0, 1)), p1 AS (SELECT * FROM pl WHERE category = 'ceiling' AND (few OR w > 0))
+SELECT uuid, 'schema_version' AS path, 'schema_version' AS rule, CASE WHEN uuid % 7 <> 0 THEN CASE WHEN uuid % 11 = 0 THEN '2' ELSE '1' END END AS actual FROM b WHERE uuid % 7 = 0 OR uuid % 11 = 0
+UNION ALL SELECT uuid, 'classification.tier', 'tier', CAST(uuid % 10 AS VARCHAR) FROM b WHERE uuid % 10 IN (0, 9)
+UNION ALL SELECT uuid, path, 'corners', '2' FROM al WHERE few AND (category NOT IN ('floor', 'gap') OR category = 'floor' OR part % 3 IN (0, 1))
+UNION ALL SELECT uuid, path, 'level', printf('%.1f', h) FROM lid WHERE NOT few AND h > 0
+UNION ALL SELECT uuid, path, 'faces_up', printf('%.4f', -2 * w * d) FROM lid WHERE NOT few AND h = 0 AND under
+UNION ALL SELECT uuid, path || '.holes[0]', 'hole_level', printf('%.1f', h * CASE WHEN large THEN 1.5 ELSE 0.5 END) FROM lid WHERE NOT few AND holed AND h > 0
+UNION ALL SELECT uuid, path || '.holes[0]', 'hole_height', printf('%.2f', y + h * CASE WHEN large THEN 0.75 ELSE 0.25 END) FROM lid WHERE NOT few AND holed AND h > 0
+UNION ALL SELECT uuid, path || '.holes[0]', 'hole_inside', printf('%.4f', 1.25 * w * d) FROM lid WHERE NOT few AND holed AND large
+UNION ALL SELECT uuid, locator_id, 'upright_plane', 'low' FROM p1 WHERE abs(b) < 0.087""")
+def r17_pieces(spark, sf_dir):
+    """Heights and areas are given to one, two or four decimals."""
+    about, rows = _built(spark, sf_dir)
+    out = reduce(DataFrame.unionByName, I.piece_violations(about, rows))
+    number = F.col("actual").try_cast("double")
+    said = F.when(F.col("rule").isin("level", "hole_level"), F.format_string("%.1f", number)).when(F.col("rule") == "faces_up", F.format_string("%.4f", number)).when(F.col("rule") == "hole_height", F.format_string("%.2f", number)).when(F.col("rule") == "hole_inside", F.format_string("%.4f", number)).when(F.col("rule") == "upright_plane", "low").otherwise(F.col("actual"))
+    return out.select("uuid", "path", "rule", said.alias("actual"))
+
+
+@query("r17_overlap_invariants", None)
+def r17_overlaps(spark, sf_dir):
+    """Surfaces on one plane that overlap; a test plants one of each kind and sound ones beside them."""
+    return reduce(DataFrame.unionByName, I.overlap_violations(_built(spark, sf_dir)[1]))
