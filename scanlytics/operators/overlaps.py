@@ -79,7 +79,7 @@ def overlap_findings(surfaces: DataFrame, side: float = SIDE) -> DataFrame:
     gaps = outline(surfaces.where("category = 'gap' and (kind like '%stitch%' or kind like '%gap%')"))
     allowed = F.greatest(F.lit(GAP_M2), GAP_SHARE * G.area_xz(F.col("l.corners")))
     hits = [areas_between(gaps, beds, F.col("r.room"), side), areas_between(gaps, outline(ceilings), F.col("r.seq"), side)]
-    closed = reduce(DataFrame.unionByName, [h.withColumn("key", F.col("key").cast("string")) for h in hits]).where(F.col("area") > allowed)
+    closed = reduce(DataFrame.unionByName, [h.withColumn("key", F.col("key").cast("string")) for h in hits]).where(F.round(F.col("area") - allowed, 9) > 0)
     closed = closed.select("uuid", F.lit(CLASSES[5]).alias("class"), F.col("l.seq").alias("seq"), F.lit(0).alias("then"), F.col("l.locator_id").alias("said")).distinct()
     kinds = [r.select("uuid", "class", F.struct(F.col("seq").cast("long").alias("seq"), F.col("then").cast("long").alias("then")).alias("place"), F.col("said").cast("string").alias("said")) for r in (spans, copies, walls, floors, under, closed)]
     return reduce(DataFrame.unionByName, kinds)

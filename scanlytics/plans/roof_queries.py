@@ -351,11 +351,11 @@ def g31(spark, sf_dir):
 rw AS (SELECT *, coalesce(round(abs(bottom - cohort_floor), 9) <= 0.1, false) AS floor_pass FROM al WHERE round(delta, 9) BETWEEN 0.1 AND 0.4 AND round(span - 0.25 * perimeter, 9) <= 0),
 ok AS (SELECT DISTINCT t.uuid, t.story, t.seq FROM rw t JOIN al o ON o.uuid = t.uuid AND o.story = t.story AND o.seq <> t.seq WHERE t.floor_pass AND round(abs(o.delta), 9) <= 0.05 AND abs(t.ax * o.ax + t.az * o.az) > 0.99
  AND round(abs((o.mz - t.mz) * t.ax - (o.mx - t.mx) * t.az), 9) <= 0.15 AND round(abs((o.mx - t.mx) * t.ax + (o.mz - t.mz) * t.az) - (t.span + o.span) / 2, 9) <= 0.8)
-SELECT rw.uuid, rw.story, rw.seq, round(delta, 6) AS delta, floor_pass, ok.seq IS NOT NULL AS all_pass FROM rw LEFT JOIN ok ON ok.uuid = rw.uuid AND ok.story = rw.story AND ok.seq = rw.seq""")
+SELECT rw.uuid, rw.story, rw.seq, round(delta + 1e-8, 5) AS delta, floor_pass, ok.seq IS NOT NULL AS all_pass FROM rw LEFT JOIN ok ON ok.uuid = rw.uuid AND ok.story = rw.story AND ok.seq = rw.seq""")
 def g31_low(spark, sf_dir):
     records = _wall_rows(spark, sf_dir)
     out = E.low_walls(records, E.dominant_height(records, reach=0.05), reach=0.05)
-    return out.withColumn("delta", F.round("delta", 6))
+    return out.withColumn("delta", F.round(F.col("delta") + 1e-8, 5))
 
 
 _EDGES = _SF + """, pl2 AS (SELECT *, w / size AS lift, h / size AS tilt FROM sf WHERE category IN ('ceiling', 'dormer_face', 'floor') AND NOT few AND w > 0 AND degrees(acos(least(1.0, w / size))) < 80),
