@@ -22,7 +22,7 @@ from ..sources import payloads as P
 from ..sources.scratch import new_folder
 from .capture_queries import _KEYS, rooms
 from .registry import query
-from .spatial_queries import _BOX, _OVER, ANGLE, _boxes, turned
+from .spatial_queries import _BOX, _OVER, _boxes, angle, turned
 from .surface_queries import _PK, _SF, surfaces
 
 
@@ -77,10 +77,10 @@ _RESOLVED = "SELECT uuid, point, round(arg_min(y, (round({0}, 9), seq)), 6) AS y
 def _heights(spark, sf_dir):
     rows = surfaces(spark, sf_dir).where("size(corners) < 3 or corners[0].x < greatest(corners[1].x, corners[2].x)").withColumn("wing", F.col("part") % 2)
     at = lambda p: F.struct((p["x"] + 0.27).alias("x"), p["y"].alias("y"), (p["z"] + 0.31).alias("z"))
-    points = surfaces(spark, sf_dir).where("category = 'wall'").withColumn("p", turned(F.array(at(F.col("corners")[0])), ANGLE)[0]).select("uuid", F.col("seq").alias("point"), "p.x", "p.z")
-    rows = rows.withColumns({"corners": turned(F.col("corners"), ANGLE), "plane": F.when(F.col("plane").isNotNull(), _turned_plane(F.col("plane"), ANGLE))})
+    points = surfaces(spark, sf_dir).where("category = 'wall'").withColumn("p", turned(F.array(at(F.col("corners")[0])), angle())[0]).select("uuid", F.col("seq").alias("point"), "p.x", "p.z")
+    rows = rows.withColumns({"corners": turned(F.col("corners"), angle()), "plane": F.when(F.col("plane").isNotNull(), _turned_plane(F.col("plane"), angle()))})
     outline = lambda a, b, c, d: F.array(*[F.struct(F.lit(x).alias("x"), F.lit(0.0).alias("y"), F.lit(z).alias("z")) for x, z in ((a, c), (b, c), (b, d), (a, d))])
-    wings = points.select("uuid").distinct().withColumn("w", F.explode(F.array(*[F.struct(F.lit(w).alias("wing"), outline(*box).alias("corners")) for w, *box in _WINGS]))).select("uuid", "w.wing", turned(F.col("w.corners"), ANGLE).alias("corners"))
+    wings = points.select("uuid").distinct().withColumn("w", F.explode(F.array(*[F.struct(F.lit(w).alias("wing"), outline(*box).alias("corners")) for w, *box in _WINGS]))).select("uuid", "w.wing", turned(F.col("w.corners"), angle()).alias("corners"))
     return points, rows.where("category in ('ceiling', 'dormer_face') and size(corners) >= 3"), rows.where("category = 'floor'"), wings
 
 
@@ -129,7 +129,7 @@ SELECT u.uuid, c.class, count(pc.uuid) AS n, coalesce(string_agg(said, ';' ORDER
 
 @query("p8_overlap_classes", _CLASSES)
 def p8(spark, sf_dir):
-    plane = F.when(F.col("plane").isNotNull() & (F.col("category") == "ceiling"), _turned_plane(F.col("plane"), ANGLE)).otherwise(F.col("plane"))
+    plane = F.when(F.col("plane").isNotNull() & (F.col("category") == "ceiling"), _turned_plane(F.col("plane"), angle())).otherwise(F.col("plane"))
     kind = F.when(F.col("part") % 2 == 0, "gap_stitch").otherwise("lid")
     lowered = F.when(F.col("category") == "floor", F.transform("corners", lambda p: F.struct(p["x"].alias("x"), (p["y"] - 3).alias("y"), p["z"].alias("z")))).otherwise(F.col("corners"))
     rows = _boxes(spark, sf_dir).withColumns({"plane": plane, "kind": kind, "story": F.col("room") % 2, "corners": lowered})
@@ -154,7 +154,7 @@ def r13(spark, sf_dir):
     rows = _boxes(spark, sf_dir).where("category = 'ceiling'")
     outline = lambda a, b: F.array(*[F.struct(F.lit(x).alias("x"), F.lit(0.0).alias("y"), F.lit(z).alias("z")) for x, z in ((a, -1.0), (b, -1.0), (b, 40.0), (a, 40.0))])
     wings = rows.select("uuid").distinct().withColumn("w", F.explode(F.array(*[F.struct(F.lit(i).alias("wing"), outline(*ab).alias("corners")) for i, ab in enumerate(((-1.0, 3.5), (3.5, 40.0)))])))
-    out = L.across_wings(rows, wings.select("uuid", "w.wing", turned(F.col("w.corners"), ANGLE).alias("corners")), "room", "roof_cross_extension")
+    out = L.across_wings(rows, wings.select("uuid", "w.wing", turned(F.col("w.corners"), angle()).alias("corners")), "room", "roof_cross_extension")
     return out.withColumn("wings", F.array_join(F.transform("wings", lambda w: w.cast("string")), ","))
 
 
@@ -311,7 +311,7 @@ ds AS (SELECT f.uuid, f.seq, f.locator_id, min(greatest(sqrt(pow(greatest(0, f.x
 SELECT uuid, seq, locator_id, 'dormer_without_host_slope' AS rule, 'med' AS severity, round(dist, 6) AS evidence FROM ds WHERE round(dist, 9) > 0.3
 UNION ALL SELECT uuid, seq, locator_id, 'dormer_without_host_slope', 'med', NULL FROM df ANTI JOIN oc ON oc.uuid = df.uuid""")
 def r10(spark, sf_dir):
-    rows = surfaces(spark, sf_dir).where("size(corners) < 3 or corners[0].x < greatest(corners[1].x, corners[2].x)").withColumn("corners", turned(F.col("corners"), ANGLE))
+    rows = surfaces(spark, sf_dir).where("size(corners) < 3 or corners[0].x < greatest(corners[1].x, corners[2].x)").withColumn("corners", turned(F.col("corners"), angle()))
     return E.dormer_without_host_slope(rows.where("category = 'dormer_face'"), rows.where("category = 'ceiling'"))
 
 
@@ -338,7 +338,7 @@ def _wall_rows(spark, sf_dir):
     x1, z1 = F.when(part % 2 == 0, F.col("x0") + F.col("w")).otherwise(F.col("x0")), F.when(part % 2 == 0, F.col("z0")).otherwise(F.col("z0") + F.col("d"))
     point = lambda x, h, z: F.struct(x.alias("x"), h.cast("double").alias("y"), z.alias("z"))
     c = F.array(point(F.col("x0"), y, F.col("z0")), point(x1, y, z1), point(x1, top, z1), point(F.col("x0"), top, F.col("z0")))
-    return E.wall_records(rows.select("uuid", "story", "seq", turned(c, ANGLE).alias("corners")))
+    return E.wall_records(rows.select("uuid", "story", "seq", turned(c, angle()).alias("corners")))
 
 
 @query("g31_dominant_height", _WALLS + " SELECT uuid, story, round(dominant_y, 6) AS dominant_y, round(coverage + 1e-7, 4) AS coverage, round(perimeter, 4) AS perimeter, round(cohort_floor, 6) AS cohort_floor FROM co LEFT JOIN lf USING (uuid, story)")
@@ -369,7 +369,7 @@ mt AS (SELECT a.uuid, a.story, a.seq, a.x, arg_min(b.seq, (-round(degrees(acos(l
 def g26(spark, sf_dir):
     """Ridges among planes that rise along one axis: no other edge of a sloped plane is level, and level planes have no ridge along the rise."""
     rows = surfaces(spark, sf_dir).where("category in ('ceiling', 'dormer_face', 'floor') and (size(corners) < 3 or corners[0].x < greatest(corners[1].x, corners[2].x))")
-    rows = rows.withColumn("corners", turned(F.col("corners"), ANGLE))
+    rows = rows.withColumn("corners", turned(F.col("corners"), angle()))
     out = E.edge_classes(rows, rows.limit(0).select("uuid", "corners")).where("label = 'ridge_or_hip'")
     return out.select("uuid", "story", "seq", F.round("length", 6).alias("length"), F.round("y_mid", 6).alias("y_mid"), "label", "partner", F.round("partner_angle", 4).alias("partner_angle"))
 

@@ -16,7 +16,8 @@ def turned(corners, by):
     return F.transform(corners, lambda p: F.struct((p["x"] * c - p["z"] * s).alias("x"), p["y"].alias("y"), (p["x"] * s + p["z"] * c).alias("z")))
 
 
-ANGLE = F.col("uuid") % 17 * 0.37
+def angle():
+    return F.col("uuid") % 17 * 0.37
 
 
 def _boxes(spark, sf_dir, turn=True):
@@ -24,7 +25,7 @@ def _boxes(spark, sf_dir, turn=True):
     half = F.transform("corners", lambda p: F.struct((F.floor(p["x"] * 2) / 2).alias("x"), p["y"].alias("y"), p["z"].alias("z")))
     rows = surfaces(spark, sf_dir).withColumns({"corners": half, "openings": F.array().cast("array<array<struct<x:double,y:double,z:double>>>")})
     rows = rows.where("size(corners) < 3 or corners[0].x < greatest(corners[1].x, corners[2].x)")
-    return rows.withColumn("corners", turned(F.col("corners"), ANGLE)) if turn else rows
+    return rows.withColumn("corners", turned(F.col("corners"), angle())) if turn else rows
 
 
 _BOX = _SF + ", bx AS (SELECT *, x0 AS xa, floor((x0 + w) * 2) / 2 AS xb, z0 AS za, z0 + d AS zb FROM sf WHERE NOT few AND w > 0)"
@@ -34,7 +35,7 @@ _OVER = "greatest(0, least(a.xb, b.xb) - greatest(a.xa, b.xa)) * greatest(0, lea
 @query("f13_point_in_polygon", _BOX + " SELECT uuid, seq, 3.25 > xa AND 3.25 < xb AND 4.25 > za AND 4.25 < zb AS inside FROM bx")
 def f13(spark, sf_dir):
     rows = _boxes(spark, sf_dir).where("size(corners) >= 3")
-    x, z = 3.25 * F.cos(ANGLE) - 4.25 * F.sin(ANGLE), 3.25 * F.sin(ANGLE) + 4.25 * F.cos(ANGLE)
+    x, z = 3.25 * F.cos(angle()) - 4.25 * F.sin(angle()), 3.25 * F.sin(angle()) + 4.25 * F.cos(angle())
     return rows.select("uuid", "seq", P.point_in_polygon(F.col("corners"), x, z).alias("inside"))
 
 
@@ -48,7 +49,7 @@ def p1(spark, sf_dir):
 def p2(spark, sf_dir):
     rows = _boxes(spark, sf_dir)
     at = lambda p: F.struct((p["x"] + 0.25).alias("x"), p["y"].alias("y"), (p["z"] + 0.25).alias("z"))
-    points = surfaces(spark, sf_dir).where("category = 'wall'").withColumn("p", turned(F.array(at(F.col("corners")[0])), ANGLE)[0]).select("uuid", F.col("seq").alias("point"), "p.x", "p.z")
+    points = surfaces(spark, sf_dir).where("category = 'wall'").withColumn("p", turned(F.array(at(F.col("corners")[0])), angle())[0]).select("uuid", F.col("seq").alias("point"), "p.x", "p.z")
     return P.point_lookup(points, rows.where("category = 'floor'"))
 
 
@@ -101,8 +102,8 @@ SELECT uuid, seq, locator_id, 'ceiling_below_floor' AS rule, 'high' AS severity,
 def r7(spark, sf_dir):
     rows = _boxes(spark, sf_dir, turn=False)
     aside = F.transform("corners", lambda p: F.struct((p["x"] + 0.013).alias("x"), p["y"].alias("y"), (p["z"] + 0.017).alias("z")))
-    ceilings = rows.where("category = 'ceiling'").withColumn("corners", turned(aside, ANGLE))
-    floors = rows.where("category = 'floor'").withColumn("corners", turned(F.col("corners"), ANGLE))
+    ceilings = rows.where("category = 'ceiling'").withColumn("corners", turned(aside, angle()))
+    floors = rows.where("category = 'floor'").withColumn("corners", turned(F.col("corners"), angle()))
     return P.ceiling_below_floor(ceilings, floors, surfaces(spark, sf_dir))
 
 
