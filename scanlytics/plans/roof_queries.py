@@ -341,7 +341,7 @@ def _wall_rows(spark, sf_dir):
     return E.wall_records(rows.select("uuid", "story", "seq", turned(c, angle()).alias("corners")))
 
 
-@query("g31_dominant_height", _WALLS + " SELECT uuid, story, round(dominant_y, 6) AS dominant_y, round(coverage + 1e-7, 4) AS coverage, round(perimeter, 4) AS perimeter, round(cohort_floor, 6) AS cohort_floor FROM co LEFT JOIN lf USING (uuid, story)")
+@query("g31_dominant_height", _WALLS + " SELECT uuid, story, round(dominant_y, 6) AS dominant_y, round(coverage + 1e-7, 4) AS coverage, round(perimeter, 4) AS perimeter, CAST(round(cohort_floor, 6) AS DOUBLE) AS cohort_floor FROM co LEFT JOIN lf USING (uuid, story)")
 def g31(spark, sf_dir):
     out = E.dominant_height(_wall_rows(spark, sf_dir), reach=0.05)
     return out.select("uuid", "story", F.round("dominant_y", 6).alias("dominant_y"), F.round(F.col("coverage") + 1e-7, 4).alias("coverage"), F.round("perimeter", 4).alias("perimeter"), F.round("cohort_floor", 6).alias("cohort_floor"))

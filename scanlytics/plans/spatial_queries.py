@@ -86,7 +86,7 @@ ce AS (SELECT uuid, room, unnest(range(CAST(xa * 2 AS BIGINT), CAST(xb * 2 AS BI
 cf AS (SELECT DISTINCT uuid, room, i, j FROM ce, LATERAL (SELECT unnest(range(CAST(za * 2 AS BIGINT), CAST(zb * 2 AS BIGINT))) AS j)),
 cv AS (SELECT cf.uuid, cf.room, count(DISTINCT (i, j)) * 0.25 AS area, count(DISTINCT CASE WHEN c.seq IS NOT NULL THEN (i, j) END) * 0.25 AS over FROM cf LEFT JOIN tops USING (uuid, room)
  LEFT JOIN bx c ON c.uuid = cf.uuid AND c.category = 'ceiling' AND (top IS NULL OR c.y + c.h >= top - 0.5) AND i >= c.xa * 2 AND i < c.xb * 2 AND j >= c.za * 2 AND j < c.zb * 2 GROUP BY ALL)
-SELECT uuid, room, 'ceiling_coverage_gap' AS rule, CASE WHEN over / area < 0.2 THEN 'high' ELSE 'med' END AS severity, round(area, 6) AS floor_area, round(over / area, 6) AS evidence FROM cv WHERE area >= 1 AND over / area < 0.5"""
+SELECT uuid, room, 'ceiling_coverage_gap' AS rule, CASE WHEN over / area < 0.2 THEN 'high' ELSE 'med' END AS severity, CAST(round(area, 6) AS DOUBLE) AS floor_area, CAST(round(over / area, 6) AS DOUBLE) AS evidence FROM cv WHERE area >= 1 AND over / area < 0.5"""
 
 
 @query("r8_ceiling_coverage_gap", _ROOM)
@@ -131,7 +131,7 @@ best AS (SELECT uuid, arg_min(part, (-n, part)) AS part FROM (SELECT uuid, part,
 inn AS (SELECT ce.* FROM ce JOIN best USING (uuid, part)),
 ow AS (SELECT uuid, seq, i, j FROM (SELECT uuid, seq, unnest(range(CAST(xa * 2 AS BIGINT), CAST(xb * 2 AS BIGINT))) AS i, za, zb FROM bx WHERE category IN ('wall', 'ceiling', 'gap', 'knee_wall', 'dormer_face') AND xb > xa), LATERAL (SELECT unnest(range(CAST(za * 2 AS BIGINT), CAST(zb * 2 AS BIGINT))) AS j)),
 ot AS (SELECT o.uuid, o.seq, count(*) * 0.25 AS area, count(*) FILTER (WHERE inn.i IS NULL) * 0.25 AS outside FROM ow o JOIN best USING (uuid) LEFT JOIN inn ON inn.uuid = o.uuid AND inn.i = o.i AND inn.j = o.j GROUP BY ALL)
-SELECT uuid, seq, 'out_of_envelope' AS rule, CASE WHEN outside / area > 0.5 OR outside > 5 THEN 'high' ELSE 'med' END AS severity, round(outside, 6) AS outside, round(outside / area, 6) AS share FROM ot WHERE outside >= 0.25 AND outside / area >= 0.05"""
+SELECT uuid, seq, 'out_of_envelope' AS rule, CASE WHEN outside / area > 0.5 OR outside > 5 THEN 'high' ELSE 'med' END AS severity, CAST(round(outside, 6) AS DOUBLE) AS outside, CAST(round(outside / area, 6) AS DOUBLE) AS share FROM ot WHERE outside >= 0.25 AND outside / area >= 0.05"""
 
 
 @query("r9_out_of_envelope", _WIDE)
