@@ -233,9 +233,10 @@ def class_summary(findings: DataFrame, buildings: DataFrame, classes: list[str])
 
 def longest_chord(corners: Column) -> Column:
     """``dx, dz, length`` of the longest line between two corners, seen from above; of equal ones the first."""
-    pairs = F.flatten(F.transform(corners, lambda p, i: F.transform(F.slice(corners, i + 2, F.size(corners)), lambda q: F.struct((q["x"] - p["x"]).alias("dx"), (q["z"] - p["z"]).alias("dz")))))
-    sized = F.transform(pairs, lambda e: F.struct(e["dx"].alias("dx"), e["dz"].alias("dz"), F.sqrt(e["dx"] * e["dx"] + e["dz"] * e["dz"]).alias("length")))
-    return F.aggregate(sized, F.get(sized, F.lit(0)), lambda a, e: F.when(e["length"] > a["length"], e).otherwise(a))
+    pairs = lambda c: F.flatten(F.transform(c, lambda p, i: F.transform(F.slice(c, i + 2, F.size(c)), lambda q: F.struct((q["x"] - p["x"]).alias("dx"), (q["z"] - p["z"]).alias("dz")))))
+    sized = lambda c: F.transform(pairs(c), lambda e: F.struct(e["dx"].alias("dx"), e["dz"].alias("dz"), F.sqrt(e["dx"] * e["dx"] + e["dz"] * e["dz"]).alias("length")))
+    longest = lambda s: F.aggregate(s, F.get(s, F.lit(0)), lambda a, e: F.when(e["length"] > a["length"], e).otherwise(a))
+    return G.once(G.once(corners, sized), longest)
 
 
 def principal_axis(walls: DataFrame, least: float = 0.2, tolerance: float = 12.0) -> DataFrame:
