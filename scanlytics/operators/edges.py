@@ -1,6 +1,6 @@
 """Edges and tops of surfaces: nearest segments, classes of ceiling edges, trust in wall tops, dormers without a slope, walls that end below their story's height.
 
-Nearest distances are found by rings: points and segments meet in squares of a grid whose side is the reach, and what has found nothing within it goes on with four times the reach.
+Nearest distances among few are found directly, among more than ``CROWD`` rows by rings: points and segments meet in squares of a grid whose side is the reach, and what has found nothing within it goes on with four times the reach.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..functions import geometry as G
 from ..functions import overlay as O
 from ..sources.scratch import written
-from .spatial import SIDE, SLIVER, tiles
+from .spatial import SIDE, SLIVER, by_crowd, tiles
 
 NEAR = 1.0  # metres of the first ring
 
@@ -44,6 +44,18 @@ def _rings(asked: DataFrame, keys: list[str], ids: list[str], pairs: Callable[[D
 
 def nearest_segment(points: DataFrame, segments: DataFrame, keys: list[str], ids: list[str], axes: str = "xz") -> DataFrame:
     """``keys, ids, distance`` from each point (``keys, ids, p``) to the nearest segment (``keys, a, b``) of its keys. Points without any have no row."""
+    segments = written(segments, "segments")  # read in each ring
+    found = []
+    for many, (some, lines) in by_crowd(points, segments, keys=tuple(keys)):
+        if many:
+            found.append(_nearest_by_rings(some, lines, keys, ids, axes))
+        else:
+            met = some.join(lines, keys).withColumn("distance", to_segment(F.col("p"), F.col("a"), F.col("b"), axes))
+            found.append(met.groupBy(*keys, *ids).agg(F.min("distance").alias("distance")))
+    return found[0] if len(found) == 1 else found[0].unionByName(found[1])
+
+
+def _nearest_by_rings(points: DataFrame, segments: DataFrame, keys: list[str], ids: list[str], axes: str) -> DataFrame:
     have = segments.select(*keys).distinct()
 
     def pairs(left: DataFrame, reach: float) -> DataFrame:
@@ -62,8 +74,7 @@ def wall_top_segments(walls: DataFrame, slack: float = 0.10) -> DataFrame:
     """``uuid, room, a, b``: the lines between a wall's corners within ``slack`` of its top, in the order of x and z and back to the first."""
     tops = F.filter("corners", lambda p: F.abs(p["y"] - F.col("top")) <= slack)
     rows = walls.where("size(corners) >= 3").withColumn("top", G.high(F.col("corners"))).select("uuid", "room", F.array_sort(F.transform(tops, lambda p: F.struct(p["x"].alias("x"), p["z"].alias("z"), p["y"].alias("y")))).alias("t")).where("size(t) >= 2")
-    pair = F.transform("t", lambda p, i: F.struct(p.alias("a"), F.get("t", (i + 1) % F.size("t")).alias("b")))
-    return rows.select("uuid", "room", F.inline(pair))
+    return rows.select("uuid", "room", F.inline(G.sides(F.col("t"), "a", "b")))
 
 
 def wall_top_trust(ceilings: DataFrame, walls: DataFrame, trusted: float = 0.30) -> tuple[DataFrame, DataFrame]:
@@ -84,14 +95,15 @@ def dormer_without_host_slope(dormers: DataFrame, ceilings: DataFrame, most: flo
     ``evidence`` is the distance to the nearest, null without one. A face or ceiling without an area seen from above takes no part.
     """
     faces = dormers.select("uuid", "seq", "locator_id", "corners")
-    slopes = ceilings.where("size(corners) >= 3").withColumn("up", G.unit_normal(F.col("corners"))["y"]).where((F.abs("up") <= level) & (G.area_xz(F.col("corners")) >= SLIVER)).select("uuid", F.col("corners").alias("slope"))
-    slopes = slopes.withColumns({"slope_low": G.low(F.col("slope")), "slope_high": G.high(F.col("slope"))})
+    slopes = ceilings.where("size(corners) >= 3").withColumns({"up": G.unit_normal(F.col("corners"))["y"], "__area": G.area_xz(F.col("corners"))})
+    slopes = G.settled(slopes, "up", "__area").where((F.abs("up") <= level) & (F.col("__area") >= SLIVER)).select("uuid", F.col("corners").alias("slope"))
+    slopes = written(slopes.withColumns({"slope_low": G.low(F.col("slope")), "slope_high": G.high(F.col("slope"))}), "slopes")  # read in each ring
     some = slopes.select("uuid").distinct()
     asked = faces.where("size(corners) >= 3").where(G.area_xz(F.col("corners")) >= SLIVER).join(some, "uuid", "left_semi")
-    sides = lambda c: F.transform(c, lambda p, i: F.struct(p.alias("a"), F.get(c, (i + 1) % F.size(c)).alias("b")))
+    sides = lambda c: G.sides(c, "a", "b")
     apart = lambda points, lines: F.array_min(F.transform(points, lambda p: F.array_min(F.transform(lines, lambda s: to_segment(p, s["a"], s["b"])))))
 
-    def pairs(left: DataFrame, reach: float) -> DataFrame:
+    def met(left: DataFrame, reach: float) -> DataFrame:
         grid = max(side, reach)
         own = tiles(left, side=grid)
         for k in "xz":  # a face looks round itself as far as the reach
@@ -101,14 +113,22 @@ def dormer_without_host_slope(dormers: DataFrame, ceilings: DataFrame, most: flo
             own = own.withColumn(f"i{k}", F.explode(F.sequence(F.floor((F.col(f"{k}0") - reach) / grid), F.floor((F.col(f"{k}1") + reach) / grid))))
         own = own.drop("x0", "x1", "z0", "z1")
         other = tiles(slopes, F.col("slope"), grid).drop("x0", "x1", "z0", "z1")
-        both = own.join(other, ["uuid", "ix", "iz"]).drop("ix", "iz").distinct()
+        return own.join(other, ["uuid", "ix", "iz"]).drop("ix", "iz").distinct()
+
+    def measured(both: DataFrame) -> DataFrame:
         both = both.withColumns({"lines": sides(F.col("corners")), "others": sides(F.col("slope"))})
         shared = O.overlaid(F.array(O.rings(F.col("corners"))), F.array(O.rings(F.col("slope"))))["both"]
         flat = F.when(F.col("shared") > SLIVER, 0.0).otherwise(F.least(apart(F.col("corners"), F.col("others")), apart(F.col("slope"), F.col("lines"))))
         height = F.greatest(F.lit(0.0), F.greatest(G.low(F.col("corners")), F.col("slope_low")) - F.least(G.high(F.col("corners")), F.col("slope_high")))
         return both.withColumn("shared", shared).withColumn("distance", F.greatest(flat, height))
 
-    found = _rings(asked, ["uuid"], ["seq"], pairs)
+    near = []
+    for many, (some_faces, some_slopes) in by_crowd(asked, slopes):
+        if many:
+            near.append(_rings(some_faces, ["uuid"], ["seq"], lambda left, reach: measured(met(left, reach))))
+        else:
+            near.append(measured(some_faces.join(some_slopes, "uuid")).groupBy("uuid", "seq").agg(F.min("distance").alias("distance")))
+    found = near[0] if len(near) == 1 else near[0].unionByName(near[1])
     far = faces.join(found, ["uuid", "seq"]).where(F.round("distance", 9) > most).select("uuid", "seq", "locator_id", F.round("distance", 6).alias("evidence"))
     none = faces.join(some, "uuid", "left_anti").select("uuid", "seq", "locator_id", F.lit(None).cast("double").alias("evidence"))
     return far.unionByName(none).select("uuid", "seq", "locator_id", F.lit("dormer_without_host_slope").alias("rule"), F.lit("med").alias("severity"), "evidence")
@@ -117,7 +137,7 @@ def dormer_without_host_slope(dormers: DataFrame, ceilings: DataFrame, most: flo
 def ceiling_edges(planes: DataFrame, shortest: float = 0.2, level: float = 0.05, steepest: float = 80.0) -> DataFrame:
     """``uuid, story, seq, side, a, b, normal, length, dy, horizontal`` of the edges of ceiling planes (``uuid, story, seq, corners``) that are not upright."""
     rows = planes.where("size(corners) >= 3").withColumn("normal", G.unit_normal(F.col("corners"))).where(F.col("normal").isNotNull() & (F.degrees(F.acos(F.least(F.lit(1.0), F.abs("normal.y")))) < steepest))
-    pair = F.transform("corners", lambda p, i: F.struct(p.alias("a"), F.get("corners", (i + 1) % F.size("corners")).alias("b")))
+    pair = G.sides(F.col("corners"), "a", "b")
     out = rows.select("uuid", "story", "seq", "normal", F.posexplode(pair).alias("side", "e")).select("uuid", "story", "seq", "side", "e.a", "e.b", "normal")
     size = F.sqrt(sum(((F.col(f"b.{k}") - F.col(f"a.{k}")) ** 2 for k in "xyz"), F.lit(0.0)))
     out = out.withColumns({"length": size, "dy": F.abs(F.col("b.y") - F.col("a.y"))}).where(F.col("length") >= shortest)
@@ -142,7 +162,7 @@ def edge_classes(planes: DataFrame, footprints: DataFrame, flat: float = 0.30, h
     dot = sum((F.col(f"normal.{k}") * F.col(f"turn.{k}") for k in "xyz"), F.lit(0.0))
     met = met.withColumn("by", F.degrees(F.acos(F.least(F.lit(1.0), F.abs(dot))))).where(F.round("by", 9) >= angle)
     ridge = met.groupBy("uuid", "story", "seq", "side").agg(F.min_by(F.struct("partner", "by"), F.struct(-F.round("by", 9), F.col("partner"))).alias("r"))
-    lines = footprints.where("size(corners) >= 2").select("uuid", F.inline(F.transform("corners", lambda p, i: F.struct(p.alias("a"), F.get("corners", (i + 1) % F.size("corners")).alias("b")))))
+    lines = footprints.where("size(corners) >= 2").select("uuid", F.inline(G.sides(F.col("corners"), "a", "b")))
     middle = F.struct(*[((F.col(f"a.{k}") + F.col(f"b.{k}")) / 2).alias(k) for k in "xyz"])
     points = edges.select("uuid", "story", "seq", "side", F.explode(F.array("a", "b", middle)).alias("p")).withColumns({f"i{k}": F.floor(F.col(f"p.{k}") / eave) for k in "xz"})
     for k in "xz":
@@ -168,8 +188,9 @@ def wall_records(walls: DataFrame) -> DataFrame:
     from .cohorts import longest_chord
 
     rows = walls.where("size(corners) >= 3").withColumns({"top": G.high(F.col("corners")), "bottom": G.low(F.col("corners"))})
-    rows = rows.withColumn("low", F.filter("corners", lambda p: p["y"] < F.col("bottom") + 0.01)).where("size(low) >= 2 and round(top - bottom, 9) >= 0.1").withColumn("c", longest_chord(F.col("low")))
-    rows = rows.where(F.round("c.length", 9) >= 0.05)
+    rows = G.settled(rows, "top", "bottom").withColumn("low", F.filter("corners", lambda p: p["y"] < F.col("bottom") + 0.01))
+    rows = G.settled(rows, "low").where("size(low) >= 2 and round(top - bottom, 9) >= 0.1")
+    rows = G.settled(rows.withColumn("c", longest_chord(F.col("low"))), "c").where(F.round("c.length", 9) >= 0.05)
     mean = lambda k: F.aggregate("low", F.lit(0.0), lambda s, p: s + p[k]) / F.size("low")
     rows = rows.select("uuid", "story", "seq", "top", "bottom", F.col("c.length").alias("span"), (F.col("c.dx") / F.col("c.length")).alias("ax"), (F.col("c.dz") / F.col("c.length")).alias("az"), mean("x").alias("mx"), mean("z").alias("mz"))
     return written(rows, "walls")  # all pairs of corners are tried once, not in every step that reads this
