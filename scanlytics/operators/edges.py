@@ -148,17 +148,24 @@ def edge_classes(planes: DataFrame, footprints: DataFrame, flat: float = 0.30, h
     """Level edges of ceiling planes as ``ridge_or_hip``, ``eave`` or ``isolated``: ``uuid, story, seq, side, length, y_mid, label, partner, partner_angle``.
 
     A ridge or hip has a level edge of another plane of the story whose ends lie at its ends, in either direction, within ``flat`` m seen from above and ``height`` m, and whose normal differs by ``angle``
-    degrees or more; of several the one with the largest angle, then the least ``seq``. Ends meet in cells of these sizes. An eave has an end or its middle within ``eave`` m of the footprint (``uuid, corners``).
+    degrees or more; of several the one with the largest angle, then the least ``seq``. Stories of many edges have their ends meet in cells of these sizes. An eave has an end or its middle within ``eave`` m of the footprint (``uuid, corners``).
     """
     edges = written(ceiling_edges(planes).where("horizontal").drop("horizontal", "dy"), "edges")
     cell = lambda p, k: F.floor(F.col(f"{p}.{k}") / (height if k == "y" else flat))
-    own = edges.withColumns({f"i{k}": cell("a", k) for k in "xyz"})
     both_ways = edges.unionByName(edges.withColumns({"a": F.col("b"), "b": F.col("a")}))
-    other = both_ways.select("uuid", "story", F.col("seq").alias("partner"), F.col("a").alias("c"), F.col("b").alias("d"), F.col("normal").alias("turn"))
-    for k in "xyz":
-        other = other.withColumn(f"i{k}", F.explode(F.array(*[cell("c", k) + i for i in (-1, 0, 1)])))
-    close = lambda p, q: (F.round(F.hypot(F.col(f"{p}.x") - F.col(f"{q}.x"), F.col(f"{p}.z") - F.col(f"{q}.z")), 9) <= flat) & (F.round(F.abs(F.col(f"{p}.y") - F.col(f"{q}.y")), 9) <= height)
-    met = own.join(other, ["uuid", "story", "ix", "iy", "iz"]).where((F.col("seq") != F.col("partner")) & close("a", "c") & close("b", "d"))
+    named = lambda rows: rows.select("uuid", "story", F.col("seq").alias("partner"), F.col("a").alias("c"), F.col("b").alias("d"), F.col("normal").alias("turn"))
+
+    def cells(some: DataFrame, others: DataFrame) -> DataFrame:
+        other = named(others)
+        for k in "xyz":
+            other = other.withColumn(f"i{k}", F.explode(F.array(*[cell("c", k) + i for i in (-1, 0, 1)])))
+        return some.withColumns({f"i{k}": cell("a", k) for k in "xyz"}).join(other, ["uuid", "story", "ix", "iy", "iz"]).drop("ix", "iy", "iz")
+
+    close = lambda p, q: (F.hypot(F.col(f"{p}.x") - F.col(f"{q}.x"), F.col(f"{p}.z") - F.col(f"{q}.z")) <= flat) & (F.abs(F.col(f"{p}.y") - F.col(f"{q}.y")) <= height)
+    near = []
+    for many, (some, others) in by_crowd(edges, both_ways, keys=("uuid", "story")):
+        near.append((cells(some, others) if many else some.join(named(others), ["uuid", "story"])).where((F.col("seq") != F.col("partner")) & close("a", "c") & close("b", "d")))
+    met = near[0] if len(near) == 1 else near[0].unionByName(near[1])
     dot = sum((F.col(f"normal.{k}") * F.col(f"turn.{k}") for k in "xyz"), F.lit(0.0))
     met = met.withColumn("by", F.degrees(F.acos(F.least(F.lit(1.0), F.abs(dot))))).where(F.round("by", 9) >= angle)
     ridge = met.groupBy("uuid", "story", "seq", "side").agg(F.min_by(F.struct("partner", "by"), F.struct(-F.round("by", 9), F.col("partner"))).alias("r"))

@@ -92,3 +92,11 @@ def test_walls_below_their_height(spark):
     got = {r.seq: (r.floor_pass, r.all_pass) for r in E.low_walls(records, E.dominant_height(records, least=0.7)).collect()}
     assert got == {3: (True, True), 4: (True, False), 5: (False, False), 8: (True, True), 9: (True, False)}
     assert E.dominant_height(records, least=0.8).collect() == [] and E.low_walls(records.limit(0), E.dominant_height(records)).collect() == []
+
+
+def test_ends_just_beyond_the_limit_make_no_ridge(spark):
+    plane = lambda x0, x1, y1: [(x0, 3.0, 0.0), (x0, 3.0, 1.0), (x1, y1, 1.0), (x1, y1, 0.0)]
+    # 1.3 - 1.0 is above 0.3 in doubles, 2.3 - 2.0 below
+    rows = spark.createDataFrame([("u", 0, 1, plane(1.3, 4.0, 6.0)), ("u", 0, 2, plane(1.0, -3.0, 9.0)), ("v", 0, 1, plane(2.3, 5.0, 6.0)), ("v", 0, 2, plane(2.0, -3.0, 9.0))], f"uuid string, story int, seq int, corners {POLYGON}")
+    got = {(r.uuid, r.seq, r.partner) for r in E.edge_classes(rows, rows.limit(0).select("uuid", "corners")).where("label = 'ridge_or_hip'").collect()}
+    assert got == {("v", 1, 2), ("v", 2, 1)}
