@@ -5,6 +5,7 @@ Nearest distances among few are found directly, among more than ``CROWD`` rows b
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
@@ -16,6 +17,7 @@ from ..sources.scratch import written
 from .spatial import SIDE, SLIVER, by_crowd, tiles
 
 NEAR = 1.0  # metres of the first ring
+_SHAPE = ("span", "ax", "az", "mx", "mz")
 
 
 def to_segment(p: Column, a: Column, b: Column, axes: str = "xz") -> Column:
@@ -225,21 +227,38 @@ def low_walls(records: DataFrame, cohorts: DataFrame, reach: float = 0.15, short
     """``uuid, story, seq, delta, floor_pass, all_pass`` of walls that end below their story's height by ``short`` m and are no longer than ``share`` of the story.
 
     ``floor_pass`` asks that the wall stands on the cohort's floor, ``all_pass`` besides that a wall of the cohort goes on along its line: turned by at most ``angle`` degrees, ``offset`` m aside, and ``gap`` m
-    away along it. Walls meet in squares of a grid along which they may go on.
+    away along it. Walls whose middles stand in one small square and whose directions are in one small class go on along each other and are not tried; the others are tried once for each
+    shape (span, direction and middle) of a story, with the shapes of the cohort that they meet in squares of a grid.
     """
-    rows = records.join(cohorts, ["uuid", "story"]).withColumn("delta", F.col("dominant_y") - F.col("top"))
+    rows = records.join(written(cohorts, "cohorts"), ["uuid", "story"]).withColumn("delta", F.col("dominant_y") - F.col("top"))
     raw = rows.where(F.round("delta", 9).between(*short) & (F.round(F.col("span") - share * F.col("perimeter"), 9) <= 0))
-    raw = raw.withColumn("floor_pass", F.coalesce(F.round(F.abs(F.col("bottom") - F.col("cohort_floor")), 9) <= floor, F.lit(False)))
-    high = rows.where(F.round(F.abs("delta"), 9) <= reach).select("uuid", "story", *[F.col(c).alias(f"o_{c}") for c in ("seq", "span", "ax", "az", "mx", "mz")])
+    raw = written(raw.withColumn("floor_pass", F.coalesce(F.round(F.abs(F.col("bottom") - F.col("cohort_floor")), 9) <= floor, F.lit(False))), "low")
+    high = written(rows.where(F.round(F.abs("delta"), 9) <= reach).select("uuid", "story", "seq", *_SHAPE), "high")
+    seen = [F.min("seq").alias("first"), F.max("seq").alias("last")]
+    another = (F.col("first") != F.col("seq")) | (F.col("last") != F.col("seq"))  # a wall does not go on along itself
+    small = max(min(offset, gap) / 2, 1e-10)  # two middles in one square are nearer than the offset and the gap
+    spot = {"px": F.floor(F.col("mx") / small), "pz": F.floor(F.col("mz") / small), "way": F.floor(F.pmod(F.degrees(F.atan2("az", "ax")), F.lit(180.0)) / (angle / 2))}
+    here = high.withColumns(spot).groupBy("uuid", "story", *spot).agg(*seen)
+    target = raw.where("floor_pass").select("uuid", "story", "seq", *_SHAPE).withColumns(spot).join(here, ["uuid", "story", *spot], "left")
+    target = written(target.select("uuid", "story", "seq", *_SHAPE, F.coalesce(another, F.lit(False)).alias("near")), "targets")
+    rest = target.where("not near").drop("near")
     ends = lambda p, more: [F.struct(*[(F.col(f"{p}m{k}") + s * F.col(f"{p}a{k}") * (F.col(f"{p}span") / 2 + more)).alias(k) for k in "xz"]) for s in (-1, 1)]
-    # middles may stand aside and lines be turned, so boxes are widened by the offset; grids of SIDE metres
-    target = tiles(raw.where("floor_pass"), F.array(*ends("", gap + offset)), SIDE).select("uuid", "story", "seq", "span", "ax", "az", "mx", "mz", "ix", "iz")
-    for k in "xz":
-        target = target.withColumn(f"i{k}", F.explode(F.array(*[F.col(f"i{k}") + i for i in (-1, 0, 1)])))
-    other = tiles(high, F.array(*ends("o_", 0.0)), SIDE).drop("x0", "x1", "z0", "z1")
-    both = target.join(other, ["uuid", "story", "ix", "iz"]).where("seq != o_seq")
+    box = [F.col(f"{k}{i}") for k in "xz" for i in (0, 1)]
+    own = tiles(rest.select("uuid", "story", *_SHAPE).distinct(), F.array(*ends("", gap)), SIDE).withColumn("box", F.struct(*box)).drop("x0", "x1", "z0", "z1")
+    other = high.groupBy("uuid", "story", *[F.col(k).alias(f"o_{k}") for k in _SHAPE]).agg(*seen)
+    # a turned wall that goes on stands aside by the offset and by its turn over half its span at most
+    aside = offset + 1e-6 + (math.sin(math.radians(min(angle, 90.0))) + 1 - math.cos(math.radians(min(angle, 90.0)))) * F.col("o_span") / 2
+    wide = [F.struct(*[(e[k] + s * aside).alias(k) for k in "xz"]) for e in ends("o_", 0.0) for s in (-1, 1)]
+    other = tiles(other, F.array(*wide), SIDE).withColumn("o_box", F.struct(*box)).drop("x0", "x1", "z0", "z1")
+    both = own.join(other, ["uuid", "story", "ix", "iz"])
+    for k in "xz":  # a pair counts in the square of the least corner that the boxes share
+        low, top = F.greatest(f"box.{k}0", f"o_box.{k}0"), F.least(f"box.{k}1", f"o_box.{k}1")
+        both = both.where((low <= top) & (F.floor(low / SIDE) == F.col(f"i{k}")))
     turn = F.degrees(F.acos(F.least(F.lit(1.0), F.abs(F.col("ax") * F.col("o_ax") + F.col("az") * F.col("o_az")))))
     dx, dz = F.col("o_mx") - F.col("mx"), F.col("o_mz") - F.col("mz")
-    line = (F.round(turn, 9) <= angle) & (F.round(F.abs(dz * F.col("ax") - dx * F.col("az")), 9) <= offset) & (F.round(F.abs(dx * F.col("ax") + dz * F.col("az")) - (F.col("span") + F.col("o_span")) / 2, 9) <= gap)
-    goes_on = both.where(line).select("uuid", "story", "seq", F.lit(True).alias("all_pass")).distinct()
+    along = F.round(F.abs(dx * F.col("ax") + dz * F.col("az")) - (F.col("span") + F.col("o_span")) / 2, 9) <= gap
+    both = both.where(F.round(F.abs(dz * F.col("ax") - dx * F.col("az")), 9) <= offset).where(along).where(F.round(turn, 9) <= angle)
+    met = both.groupBy("uuid", "story", *_SHAPE).agg(F.min("first").alias("first"), F.max("last").alias("last"))
+    tried = rest.join(met, ["uuid", "story", *_SHAPE]).where(another)
+    goes_on = target.where("near").select("uuid", "story", "seq").unionByName(tried.select("uuid", "story", "seq")).withColumn("all_pass", F.lit(True))
     return raw.join(goes_on, ["uuid", "story", "seq"], "left").select("uuid", "story", "seq", "delta", "floor_pass", F.coalesce("all_pass", F.lit(False)).alias("all_pass"))

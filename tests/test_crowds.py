@@ -1,5 +1,6 @@
 """Buildings with few rows meet without a grid and without rounds; the answers are those of the grid and of the rounds."""
 
+import math
 import random
 
 from conftest import SMALL
@@ -80,3 +81,35 @@ def test_corners_are_worked_out_once_a_row(spark):
     rows = surfaces(spark, SMALL).select("uuid", G.area_xz(F.col("corners")), G.unit_normal(F.col("corners")), G.box(F.col("corners"))).where("uuid > 0")
     plan = rows._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("% 29") == 1
+
+
+def test_walls_on_one_place_are_tried_once(spark, monkeypatch):
+    from scanlytics.operators import edges as E
+
+    rng, shapes, rows = random.Random(7), [], []
+    for i in range(40):
+        by = rng.choice([0.0, 5.0, 90.0]) * math.pi / 180
+        shapes.append((rng.choice([0.5, 1.0, 3.0]), math.cos(by), math.sin(by), rng.uniform(0, 6), rng.uniform(0, 6)))
+    for seq in range(1500):
+        shape = shapes[rng.randrange(40)] if seq % 50 else (1.0, 1.0, 0.0, 20.0 + seq, 0.0)
+        rows.append(("u", 0, seq, 2.7 if seq % 3 else 2.5, 0.0, *shape))
+    records = spark.createDataFrame(rows, "uuid string, story int, seq int, top double, bottom double, span double, ax double, az double, mx double, mz double")
+    cohorts = spark.createDataFrame([("u", 0, 2.7, 1.0, 1e6, 0.0)], "uuid string, story int, dominant_y double, coverage double, perimeter double, cohort_floor double")
+    dealt, tiles = [], E.tiles
+
+    def counted(part, *more, **options):
+        dealt.append(part.count())
+        return tiles(part, *more, **options)
+
+    monkeypatch.setattr(E, "tiles", counted)
+    got = {r.seq: r.all_pass for r in E.low_walls(records, cohorts).collect()}
+
+    def goes_on(t, o):
+        (_, _, _, _, _, span, ax, az, mx, mz), (*_, o_span, bx, bz, ox, oz) = t, o
+        dx, dz = ox - mx, oz - mz
+        turned = math.degrees(math.acos(min(1.0, abs(ax * bx + az * bz))))
+        return turned <= 8 and abs(dz * ax - dx * az) <= 0.15 and abs(dx * ax + dz * az) - (span + o_span) / 2 <= 0.8
+
+    want = {t[2]: any(goes_on(t, o) for o in rows if o[3] == 2.7) for t in rows if t[3] == 2.5}
+    assert got == want and len(set(want.values())) == 2
+    assert max(dealt) <= 80  # 40 shapes and 30 walls of their own, not 1,500 walls
