@@ -93,6 +93,7 @@ def nested_floors(surfaces: DataFrame, side: float = SIDE) -> DataFrame:
     beds = written(room_floors(surfaces.where("category = 'floor'"), side).select("uuid", "seq", "room", "story", "corners", "region"), "beds")
     sizes = shared_area(beds.select("uuid", "room", "region"), None, ["room"], side=side)
     wide = beds.select("uuid", "room", "story", "region", O.buffered(F.col("corners"), TOUCH).alias("wide")).select("uuid", "room", "story", F.col("region").alias("own"), F.col("wide").alias("region"))
+    wide = written(wide, "wide")  # meets itself
     meet = near_pairs(wide, wide, side).where("l.room != r.room").groupBy("uuid", F.col("l.room").alias("room_a"), F.col("r.room").alias("room_b"), F.col("l.story").eqNullSafe(F.col("r.story")).alias("same")).agg(*[F.flatten(F.collect_set(f"{s}.{c}")).alias(f"{s}_{c}") for s in "lr" for c in ("own", "region")])
     meet = meet.withColumns({"both": O.overlaid(F.col("l_own"), F.col("r_own"))["both"], "close": O.overlaid(F.col("l_region"), F.col("r_own"))["both"]})
     for s in "ab":
@@ -106,16 +107,23 @@ def overlap_violations(surfaces: DataFrame, side: float = SIDE) -> list[DataFram
 
     Pieces of the attic, of rooms whose floors hold one another, and walls over each other or of rooms that only touch are allowed. Surfaces of one plane meet in squares of a grid in that plane.
     """
-    allowed = nested_floors(surfaces, side)
-    keyed = lambda rows, plane: rows.withColumn("k", G.plane_key(plane)).select("uuid", "seq", "category", "locator_id", "room", "source", F.concat_ws(":", *[F.col(f"k.{c}").cast("string") for c in "abcd"]).alias("key"), "corners", "openings")
+    allowed = written(nested_floors(surfaces, side), "allowed")  # read for both rules
+    keyed = lambda rows, plane: G.settled(G.settled(rows.withColumn("plane", plane), "plane").withColumn("k", G.plane_key(F.col("plane"))), "k").select("uuid", "seq", "category", "locator_id", "room", "source", F.concat_ws(":", *[F.col(f"k.{c}").cast("string") for c in "abcd"]).alias("key"), "corners", "openings")
     ceilings = keyed(surfaces.where("category = 'ceiling' and plane is not null and size(corners) >= 3").withColumn("plane", F.when(~_odd_plane(), F.col("plane"))).where("plane is not null"), F.col("plane"))
-    upright = surfaces.where("category in ('wall', 'knee_wall', 'dormer_face') and size(corners) >= 3").withColumn("n", G.unit_normal(F.col("corners"))).where("n is not null")
+    upright = surfaces.where("category in ('wall', 'knee_wall', 'dormer_face') and size(corners) >= 3").withColumn("n", G.unit_normal(F.col("corners")))
+    upright = G.settled(upright, "n").where("n is not null")
     mean = {k: F.aggregate(F.col(f"corners.{k}"), F.lit(0.0), lambda s, v: s + v) / F.size("corners") for k in "xyz"}
     fitted = F.struct(F.col("n.x").alias("a"), F.col("n.y").alias("b"), F.col("n.z").alias("c"), (F.col("n.x") * mean["x"] + F.col("n.y") * mean["y"] + F.col("n.z") * mean["z"]).alias("d"))
-    walls = keyed(upright, fitted).withColumns({"low": G.low(F.col("corners")), "high": G.high(F.col("corners"))}).withColumn("corners", flattened(F.col("corners"))).withColumn("openings", F.array().cast(O.RINGS))
+    walls = keyed(upright, fitted)
     out = []
     for name, rows, least, extra in (("ceiling_overlap", ceilings, CEILING_M2, ()), ("wall_overlap", walls, WALL_M2, ("low", "high"))):
+        rows = written(rows, "planes")
+        shared = rows.groupBy("uuid", "key").agg(F.count("*").alias("n")).where("n > 1").select("uuid", "key")
+        rows = rows.join(shared, ["uuid", "key"], "left_semi")  # what is alone on its plane overlaps nothing
+        if extra:
+            rows = rows.withColumns({"low": G.low(F.col("corners")), "high": G.high(F.col("corners"))}).withColumn("corners", flattened(F.col("corners"))).withColumn("openings", F.array().cast(O.RINGS))
         own = regions(rows, "uuid", "seq", "category", "locator_id", "room", "source", "key", *extra)
+        own = written(own.drop("corners"), name)  # both sides read it, and the counts of buildings
         pairs = near_pairs(own, own, side).where("l.key = r.key and l.seq > r.seq").withColumn("o", O.overlaid(F.col("l.region"), F.col("r.region"))).where(F.col("o.both") > least)
         if extra:
             over = (F.col("l.high") <= F.col("r.low") + APART) | (F.col("r.high") <= F.col("l.low") + APART)

@@ -52,3 +52,16 @@ def test_each_kind_is_found(spark):
         ("floor23.holes[1]", "hole_level"), ("floor23.holes[2]", "hole_height"), ("floor23.holes[3]", "hole_inside"), ("ceiling24", "upright_plane"), ("ceiling25", "finite_plane"), ("gap26", "sliver_gap"), ("ceiling27", "ceiling_overlap"), ("knee_wall28", "wall_overlap"),
     ] + [("ceiling27", "ceiling_overlap")] * (got.count(("ceiling27", "ceiling_overlap")) - 1))
     assert 1 <= got.count(("ceiling27", "ceiling_overlap")) <= 3
+
+
+def test_what_is_alone_on_its_plane_meets_nothing(spark, monkeypatch):
+    met, near_pairs = [], I.near_pairs
+
+    def counted(left, right, *more):
+        met.append(left.count())
+        return near_pairs(left, right, *more)
+
+    monkeypatch.setattr(I, "near_pairs", counted)
+    rows = [surface(i, "wall", wall(0, 3, z=float(i)), 1) for i in range(20)] + [surface(20, "wall", wall(1, 3, z=3.0), 2)]
+    got = found(spark, rows, [])
+    assert got == [("wall20", "wall_overlap")] and met[1:] == [0, 2]
