@@ -14,7 +14,7 @@ import functools
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .decontaminate import WORDS_ANY_CASE, folded_words
+from .decontaminate import folded_words, word_count
 from .shared import text_key
 
 BASE = {"gnu general public license": "gpl", "apache license": "apache", "cc by": "cc-by", "mit license": "mit"}
@@ -177,7 +177,7 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     has empty labels, null places and score 0; equal rows get equal results; other columns are ignored.
     """
     base = docs.select(F.col(id_col).cast("long").alias("doc"), text_key(F.col(text_col)).alias("key"), F.col(text_col).alias("text"))
-    counted = base.select("doc", "key", F.coalesce(F.regexp_count("text", F.lit(WORDS_ANY_CASE)), F.lit(0)).cast("long").alias("n_words"))
+    counted = base.select("doc", "key", word_count(F.col("text")).alias("n_words"))
     low = F.lower("text")
     looked = functools.reduce(lambda a, w: a | F.contains(low, F.lit(w)), GATE_WORDS[1:], F.contains(low, F.lit(GATE_WORDS[0])))
     gated = base.where(looked & F.col("text").rlike(GATE)).select("doc", "key", F.concat(F.lit(" "), F.array_join(folded_words(F.col("text")), " "), F.lit(" ")).alias("norm"))

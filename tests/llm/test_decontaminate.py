@@ -52,3 +52,12 @@ def test_edges(spark):
     assert ours(spark, docs, items) == brute(docs, items)
     assert ours(spark, docs, []) == brute(docs, [])
     assert ours(spark, [], items) == []
+
+
+def test_words_are_counted_without_matching_each(spark):
+    texts = [None, "", " ", "a", "--a--", "A1 b_C\tÉa'é 𝔘x\x7fy", "x" * 50, "a\u0085b c d", "1,234.5", "日本 語\n"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    out = decontaminate.contamination(docs, spark.createDataFrame([("i", "not in any")], "item_id string, text string"))
+    word = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
+    assert {r.doc: r.n_words for r in out.collect()} == {i: len(word.findall(t or "")) for i, t in enumerate(texts)}
+    assert "regexp_extract_all" not in out._jdf.queryExecution().optimizedPlan().toString().lower()
