@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .shared import shuffle_partitions, small_batches, text_key, written
-from .textops import BLANK, Words, grams, mix, pieces, runs, sliding_min
+from .textops import BLANK, Words, grams, mix, pieces, runs, sliding_min, trimmed
 
 SLICE_BYTES = 6 << 20
 BUCKETS_PER_PARTITION = 6
@@ -94,47 +94,55 @@ def _counter(k: int, m: int):
 def _cutter(k: int, m: int, buckets: int, heavy: np.ndarray):
     """Documents to packed super-k-mers, by bucket."""
 
+    def one(batch: pa.RecordBatch) -> pa.RecordBatch | None:
+        rows: dict[str, list] = {"bucket": [], "packed": []}
+        known = batch.column("doc").is_valid().to_numpy(zero_copy_only=False)
+        ids = batch.column("doc").fill_null(0).to_numpy().astype("<i8")
+        keys = batch.column("key").to_numpy().astype("<i8")
+        words = Words(batch.column("text"), fold=BLANK)
+        if len(words) < k:
+            return None
+        hashes, begin, low = _windows(words, k, m, known, heavy)
+        if not len(begin):
+            return None
+        new = _run_starts(words, begin, low)
+        lead, tail, low = begin[new], begin[np.r_[new[1:], len(begin)] - 1] + k, low[new]
+        row = words.row[lead]
+        text, byte, stop = words.buf.tobytes(), words.start[lead], words.end[tail - 1]
+        # a fingerprint of each run, from sums of word hashes that stand in the same order
+        power = np.cumprod(np.full(len(hashes) + 1, 0xD1342543DE82EF95, np.uint64))
+        total = np.r_[np.uint64(0), np.cumsum(hashes * power[:-1])]
+        back = np.cumprod(np.full(len(hashes) + 1, pow(0xD1342543DE82EF95, -1, 2**64), np.uint64))
+        print_ = mix((total[tail] - total[lead]) * back[lead] + (tail - lead).astype(np.uint64))
+        del hashes, power, total, back, begin
+        order = np.lexsort((lead, ids[row], print_))
+        edge = runs(print_[order])
+        best = np.repeat(order[edge], np.diff(np.r_[edge, len(order)]))
+        later = ids[row[order]] > ids[row[best]]
+        same = np.fromiter((text[byte[a] : stop[a]] == text[byte[b] : stop[b]] for a, b in zip(order[later], best[later], strict=True)), bool, int(later.sum()))
+        done = order[np.flatnonzero(later)[same]]
+        keep = np.ones(len(lead), bool)
+        keep[done] = False
+        settled = (ids[row[done]], keys[row[done]], lead[done] - words.first[row[done]], tail[done] - words.first[row[done]])
+        to = (mix(low) % np.uint64(buckets)).astype(np.int32)
+        sent = np.flatnonzero(keep)
+        sent = sent[np.argsort(to[sent], kind="stable")]
+        edge = runs(to[sent])
+        for a, b in zip(edge, np.r_[edge[1:], len(sent)], strict=True):
+            part = sent[a:b]
+            rows["bucket"].append(int(to[part[0]]))
+            strings = [text[x:y] for x, y in zip(byte[part], stop[part], strict=True)]
+            rows["packed"].append(_pack(ids[row[part]], keys[row[part]], lead[part] - words.first[row[part]], strings, settled))
+            settled = None
+        return pa.RecordBatch.from_pydict(rows, schema=_BLOBS)
+
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, "text", SLICE_BYTES):
-            rows: dict[str, list] = {"bucket": [], "packed": []}
-            known = batch.column("doc").is_valid().to_numpy(zero_copy_only=False)
-            ids = batch.column("doc").fill_null(0).to_numpy().astype("<i8")
-            keys = batch.column("key").to_numpy().astype("<i8")
-            words = Words(batch.column("text"), fold=BLANK)
-            if len(words) < k:
-                continue
-            hashes, begin, low = _windows(words, k, m, known, heavy)
-            if not len(begin):
-                continue
-            new = _run_starts(words, begin, low)
-            lead, tail, low = begin[new], begin[np.r_[new[1:], len(begin)] - 1] + k, low[new]
-            row = words.row[lead]
-            text, byte, stop = words.buf.tobytes(), words.start[lead], words.end[tail - 1]
-            # a fingerprint of each run, from sums of word hashes that stand in the same order
-            power = np.cumprod(np.full(len(hashes) + 1, 0xD1342543DE82EF95, np.uint64))
-            total = np.r_[np.uint64(0), np.cumsum(hashes * power[:-1])]
-            back = np.cumprod(np.full(len(hashes) + 1, pow(0xD1342543DE82EF95, -1, 2**64), np.uint64))
-            print_ = mix((total[tail] - total[lead]) * back[lead] + (tail - lead).astype(np.uint64))
-            order = np.lexsort((lead, ids[row], print_))
-            edge = runs(print_[order])
-            best = np.repeat(order[edge], np.diff(np.r_[edge, len(order)]))
-            later = ids[row[order]] > ids[row[best]]
-            same = np.fromiter((text[byte[a] : stop[a]] == text[byte[b] : stop[b]] for a, b in zip(order[later], best[later], strict=True)), bool, int(later.sum()))
-            done = order[np.flatnonzero(later)[same]]
-            keep = np.ones(len(lead), bool)
-            keep[done] = False
-            settled = (ids[row[done]], keys[row[done]], lead[done] - words.first[row[done]], tail[done] - words.first[row[done]])
-            to = (mix(low) % np.uint64(buckets)).astype(np.int32)
-            sent = np.flatnonzero(keep)
-            sent = sent[np.argsort(to[sent], kind="stable")]
-            edge = runs(to[sent])
-            for a, b in zip(edge, np.r_[edge[1:], len(sent)], strict=True):
-                part = sent[a:b]
-                rows["bucket"].append(int(to[part[0]]))
-                strings = [text[x:y] for x, y in zip(byte[part], stop[part], strict=True)]
-                rows["packed"].append(_pack(ids[row[part]], keys[row[part]], lead[part] - words.first[row[part]], strings, settled))
-                settled = None
-            yield pa.RecordBatch.from_pydict(rows, schema=_BLOBS)
+            # a slice's arrays are gone before the next slice makes its own, and their memory is the system's again
+            made = one(batch)
+            trimmed()
+            if made is not None:
+                yield made
 
     return cut
 

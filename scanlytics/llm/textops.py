@@ -6,6 +6,7 @@ given by a 256-entry table, so multi-byte characters need no decoding.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,6 +30,14 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def trimmed() -> None:
+    """Gives memory that is free but still held by this process back to the system."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def pieces(batches: Iterator[pa.RecordBatch], column: str, limit: int) -> Iterator[pa.RecordBatch]:
     """Batches cut between rows so that each holds about ``limit`` bytes of text (a longer row stands alone)."""
     for batch in batches:

@@ -4,6 +4,7 @@ import re
 import pytest
 from pyspark.sql import types as T
 
+from scanlytics.llm import substring_dedup
 from scanlytics.llm.substring_dedup import dedup_substrings
 
 SCHEMA = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("text", T.StringType())])
@@ -54,3 +55,23 @@ def test_kept_text_and_other_columns(spark):
 
 def test_empty(spark):
     assert ours(spark, []) == []
+
+
+def test_a_slice_is_gone_before_the_next_one(monkeypatch):
+    import weakref
+
+    import numpy as np
+    import pyarrow as pa
+
+    seen, alive = [], []
+
+    class Counted(substring_dedup.Words):
+        def __init__(self, *args, **options):
+            alive.append(sum(w() is not None for w in seen))
+            super().__init__(*args, **options)
+            seen.append(weakref.ref(self))
+
+    monkeypatch.setattr(substring_dedup, "Words", Counted)
+    batch = lambda i: pa.RecordBatch.from_pydict({"doc": [i], "key": [i], "text": [" ".join(f"w{j}" for j in range(40))]})
+    out = list(substring_dedup._cutter(13, 2, 4, np.zeros(0, np.uint64))(batch(i) for i in range(3)))
+    assert len(out) == 3 and alive == [0, 0, 0]
