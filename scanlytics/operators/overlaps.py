@@ -11,24 +11,24 @@ from ..functions import geometry as G
 from ..functions import overlay as O
 from ..sources.scratch import written
 from .graph import connected
-from .spatial import SIDE, SLIVER, near_pairs, parts, regions, shared_area
+from .spatial import SIDE, SLIVER, Crowds, near_pairs, parts, regions, shared_area
 
 # fixed values: classes of overlap, m2 and metres
 CLASSES = ("ceiling_spans_rooms", "ceiling_floor_dup", "shared_wall_unmerged", "floor_overlap", "roof_vs_top_ceiling", "gap_closure_overlap")
 CEILING_M2, FLOOR_M2, GAP_M2, GAP_SHARE, STORY_M, FLAT = 0.01, 0.30, 0.01, 0.10, 0.30, 0.996
 
 
-def areas_between(left: DataFrame, right: DataFrame, by: Column, side: float = SIDE) -> DataFrame:
+def areas_between(left: DataFrame, right: DataFrame, by: Column, side: float = SIDE, crowds: Crowds | None = None) -> DataFrame:
     """``uuid, l, key, area``: for each row of ``left`` (struct ``l``, told apart by ``l.seq``) and each key ``by`` (of the structs ``l`` and ``r``) the area that it shares with the union of the regions of ``right``."""
-    pairs = near_pairs(left, right, side).withColumn("key", by)
+    pairs = near_pairs(left, right, side, crowds=crowds).withColumn("key", by)
     union = pairs.groupBy("uuid", F.col("l.seq").alias("seq"), "key").agg(F.first("l").alias("l"), F.flatten(F.collect_list("r.region")).alias("over"))
     return union.withColumn("area", O.overlaid(F.col("l.region"), F.col("over"))["both"]).where(F.col("area") > SLIVER).select("uuid", "l", "key", "area")
 
 
-def room_floors(floors: DataFrame, side: float = SIDE) -> DataFrame:
+def room_floors(floors: DataFrame, side: float = SIDE, crowds: Crowds | None = None) -> DataFrame:
     """``uuid, room, story, seq, corners, region, floor_y`` of the pieces that make a room's floor: all, or the first one where they do not hang together; ``floor_y`` is the mean over the room's pieces of their corners' mean."""
     own = regions(floors.where("room is not null"), "uuid", "room", "story", "seq")
-    label = parts(own, ["room"], side=side).groupBy("uuid", "room").agg(F.count_distinct("component").alias("n"), F.min("seq").alias("first"))
+    label = parts(own, ["room"], side=side, crowds=crowds).groupBy("uuid", "room").agg(F.count_distinct("component").alias("n"), F.min("seq").alias("first"))
     mean = F.aggregate("corners", F.lit(0.0), lambda s, p: s + p["y"]) / F.size("corners")
     height = floors.where("room is not null and size(corners) > 0").groupBy("uuid", "room").agg(F.avg(mean).alias("floor_y"))
     return own.join(label, ["uuid", "room"]).where("n = 1 or seq = first").join(height, ["uuid", "room"]).drop("n", "first")
@@ -53,32 +53,33 @@ def overlap_findings(surfaces: DataFrame, side: float = SIDE) -> DataFrame:
     that it lies over; walls of two rooms on parallel planes at most 0.6 m apart; floors of two rooms of a story that overlap, but do not hold one another; a level ceiling under a sloped one; and a
     gap or stitch that lies over a ceiling or a floor by more than a tenth of its own area.
     """
-    rooms = room_floors(surfaces.where("category = 'floor'"), side)
+    crowds = Crowds(surfaces)
+    rooms = written(room_floors(surfaces.where("category = 'floor'"), side, crowds), "floors")  # read by four of the classes
     beds = rooms.select("uuid", "seq", "room", "story", "floor_y", "region")
     outline = lambda rows, *keep: regions(rows.drop("openings"), "uuid", "seq", "locator_id", *keep)
     ceilings = surfaces.where("category = 'ceiling'")
     level = F.abs(F.coalesce("plane.b", F.lit(0.0))) >= FLAT
-    over = areas_between(regions(ceilings, "uuid", "seq", "locator_id"), beds, F.col("r.room"), side).where(F.col("area") > CEILING_M2)
+    over = areas_between(regions(ceilings, "uuid", "seq", "locator_id"), beds, F.col("r.room"), side, crowds).where(F.col("area") > CEILING_M2)
     spans = over.groupBy("uuid", F.col("l.seq").alias("seq"), F.col("l.locator_id").alias("said")).agg(F.count("*").alias("n")).where("n > 1").select("uuid", F.lit(CLASSES[0]).alias("class"), "seq", F.lit(0).alias("then"), "said")
     flat = outline(ceilings.where(F.col("plane").isNotNull() & level).withColumn("c", _centre(F.col("corners"))).withColumn("at", G.plane_y_at(F.col("plane"), F.col("c.x"), F.col("c.z"))).drop("c"), "at")
-    on = areas_between(flat, beds, F.struct("r.room", "r.floor_y"), side).where((F.col("area") > CEILING_M2) & (F.abs(F.col("key.floor_y") - F.col("l.at")) <= STORY_M))
+    on = areas_between(flat, beds, F.struct("r.room", "r.floor_y"), side, crowds).where((F.col("area") > CEILING_M2) & (F.abs(F.col("key.floor_y") - F.col("l.at")) <= STORY_M))
     copies = on.select("uuid", F.lit(CLASSES[1]).alias("class"), F.col("l.seq").alias("seq"), F.lit(0).alias("then"), F.col("l.locator_id").alias("said")).distinct()
     from .surfaces import shared_wall_pairs
 
     names = surfaces.select("uuid", F.col("seq").alias("seq_a"), F.col("locator_id").alias("said"))
     walls = shared_wall_pairs(surfaces.where("category = 'wall'")).join(names, ["uuid", "seq_a"]).select("uuid", F.lit(CLASSES[2]).alias("class"), F.col("seq_a").alias("seq"), F.col("seq_b").alias("then"), "said")
-    sizes = shared_area(beds, None, ["room"], side=side).select("uuid", "room", F.col("area").alias("size"))
-    meet = near_pairs(beds, beds, side).where("l.story <=> r.story and l.room < r.room").groupBy("uuid", F.col("l.room").alias("a"), F.col("r.room").alias("b"), F.col("l.story").alias("story")).agg(F.flatten(F.collect_set("l.region")).alias("x"), F.flatten(F.collect_set("r.region")).alias("y"))
+    sizes = shared_area(beds, None, ["room"], side=side, crowds=crowds).select("uuid", "room", F.col("area").alias("size"))
+    meet = near_pairs(beds, beds, side, crowds=crowds).where("l.story <=> r.story and l.room < r.room").groupBy("uuid", F.col("l.room").alias("a"), F.col("r.room").alias("b"), F.col("l.story").alias("story")).agg(F.flatten(F.collect_set("l.region")).alias("x"), F.flatten(F.collect_set("r.region")).alias("y"))
     meet = meet.withColumn("area", O.overlaid(F.col("x"), F.col("y"))["both"]).where(F.col("area") > FLOOR_M2)
     meet = meet.join(sizes.select("uuid", F.col("room").alias("a"), F.col("size").alias("size_a")), ["uuid", "a"]).join(sizes.select("uuid", F.col("room").alias("b"), F.col("size").alias("size_b")), ["uuid", "b"])
     apart = meet.where(F.col("area") < F.least("size_a", "size_b") - 1e-6)
     text = F.concat_ws("|", F.concat(F.lit("room "), F.col("a")), F.concat(F.lit("story="), F.col("story")), F.concat(F.lit("area="), F.format_string("%.2f", "area"), F.lit("m2")))
     floors = apart.select("uuid", F.lit(CLASSES[3]).alias("class"), F.col("a").alias("seq"), F.col("b").alias("then"), text.alias("said"))
     sloped = outline(ceilings.where(F.col("plane").isNotNull() & ~level))
-    under = areas_between(flat.drop("at"), sloped, F.col("r.seq"), side).where(F.col("area") > CEILING_M2).select("uuid", F.lit(CLASSES[4]).alias("class"), F.col("l.seq").alias("seq"), F.lit(0).alias("then"), F.col("l.locator_id").alias("said")).distinct()
+    under = areas_between(flat.drop("at"), sloped, F.col("r.seq"), side, crowds).where(F.col("area") > CEILING_M2).select("uuid", F.lit(CLASSES[4]).alias("class"), F.col("l.seq").alias("seq"), F.lit(0).alias("then"), F.col("l.locator_id").alias("said")).distinct()
     gaps = outline(surfaces.where("category = 'gap' and (kind like '%stitch%' or kind like '%gap%')"))
     allowed = F.greatest(F.lit(GAP_M2), GAP_SHARE * G.area_xz(F.col("l.corners")))
-    hits = [areas_between(gaps, beds, F.col("r.room"), side), areas_between(gaps, outline(ceilings), F.col("r.seq"), side)]
+    hits = [areas_between(gaps, beds, F.col("r.room"), side, crowds), areas_between(gaps, outline(ceilings), F.col("r.seq"), side, crowds)]
     closed = reduce(DataFrame.unionByName, [h.withColumn("key", F.col("key").cast("string")) for h in hits]).where(F.round(F.col("area") - allowed, 9) > 0)
     closed = closed.select("uuid", F.lit(CLASSES[5]).alias("class"), F.col("l.seq").alias("seq"), F.lit(0).alias("then"), F.col("l.locator_id").alias("said")).distinct()
     kinds = [r.select("uuid", "class", F.struct(F.col("seq").cast("long").alias("seq"), F.col("then").cast("long").alias("then")).alias("place"), F.col("said").cast("string").alias("said")) for r in (spans, copies, walls, floors, under, closed)]
@@ -88,12 +89,11 @@ def overlap_findings(surfaces: DataFrame, side: float = SIDE) -> DataFrame:
 def overlap_classes(surfaces: DataFrame, samples: int = 3, side: float = SIDE) -> DataFrame:
     """``uuid, class, n, samples`` for every building and each of the six classes (0 where there is none), with the first ``samples`` locators."""
     surfaces = written(surfaces.select("uuid", "seq", "category", "story", "room", "locator_id", "kind", "plane", "corners", "openings"), "surfaces")  # read many times below
-    found = overlap_findings(surfaces, side)
     place = F.row_number().over(Window.partitionBy("uuid", "class").orderBy("place"))
-    few = found.withColumn("at", place).where(F.col("at") <= samples).groupBy("uuid", "class").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "said"))), lambda s: s["said"]).alias("samples"))
-    counts = found.groupBy("uuid", "class").agg(F.count("*").alias("n"))
+    found = overlap_findings(surfaces, side).withColumn("at", place).groupBy("uuid", "class")  # the findings are worked out once, for numbers and samples
+    counts = found.agg(F.count("*").alias("n"), F.transform(F.array_sort(F.collect_list(F.when(F.col("at") <= samples, F.struct("at", "said")))), lambda s: s["said"]).alias("samples"))
     every = surfaces.select("uuid").distinct().withColumn("class", F.explode(F.array(*map(F.lit, CLASSES))))
-    rows = every.join(counts, ["uuid", "class"], "left").join(few, ["uuid", "class"], "left")
+    rows = every.join(counts, ["uuid", "class"], "left")
     return rows.select("uuid", "class", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("samples", F.array().cast("array<string>")).alias("samples"))
 
 
