@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from ..sources.scratch import written
 
-BLOCK = 4096  # rows in a block
+BLOCK = 16384  # rows in a block
+AT_ONCE = 1 << 20  # distances that are worked out at the same time
 
 
 def _squares(vectors: np.ndarray) -> np.ndarray:
@@ -31,24 +32,30 @@ def standardised(rows: DataFrame, key: str, features: list[str]) -> DataFrame:
 def nearest(rows: DataFrame, k: int = 10, block: int = BLOCK) -> DataFrame:
     """``key, rank, other, distance``: the ``k`` nearest other rows of every row (``key, vector``), by distance, then the smaller key. Exact.
 
-    Rows are dealt to blocks by a hash; every two blocks meet in one task, which keeps the ``k`` nearest that one block has for the other; the best of all blocks
-    remain. The work grows with the square of the rows, as an exact search without structure must; memory does not.
+    Rows are dealt to blocks by a hash; every two blocks meet once, in one task, which keeps the ``k`` nearest that either has for the other; the best of all blocks
+    remain and are written, as all that follows reads them several times. The work grows with the square of the rows, as an exact search without structure must; memory does not.
     """
     table = written(rows.select("key", "vector"), "vectors")
     n = max(1, -(-table.count() // block))
     table = table.withColumn("home", F.pmod(F.xxhash64("key"), F.lit(n)).cast("int"))
-    every = F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    asked, held = table.withColumnRenamed("home", "asked").withColumn("held", every), table.withColumnRenamed("home", "held").withColumn("asked", every)
+    asked = table.withColumnRenamed("home", "asked").withColumn("held", F.explode(F.sequence("asked", F.lit(n - 1))))
+    held = table.withColumnRenamed("home", "held").where("held > 0").withColumn("asked", F.explode(F.sequence(F.lit(0), F.col("held") - 1)))
     kind = f"key {table.schema['key'].dataType.simpleString()}, other {table.schema['key'].dataType.simpleString()}, distance double"
 
-    def meet(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+    def meet(pair: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        if pair[0] == pair[1]:
+            return best_of(left, left)
+        return pd.concat([best_of(left, right), best_of(right, left)])
+
+    def best_of(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left) or not len(right):
             return pd.DataFrame({"key": left.key[:0], "other": left.key[:0], "distance": np.zeros(0)})
+        step = max(1, AT_ONCE // len(right))
         right = right.sort_values("key", kind="stable")
         b, names, out = np.stack(right.vector.to_numpy()), right.key.to_numpy(), []
         size = _squares(b)
-        for i in range(0, len(left), 256):
-            part = left.iloc[i : i + 256]
+        for i in range(0, len(left), step):
+            part = left.iloc[i : i + step]
             a = np.stack(part.vector.to_numpy())
             near = _squares(a)[:, None] + size - 2 * a @ b.T
             near[part.key.to_numpy()[:, None] == names] = np.inf
@@ -66,7 +73,7 @@ def nearest(rows: DataFrame, k: int = 10, block: int = BLOCK) -> DataFrame:
     found = asked.groupBy("asked", "held").cogroup(held.groupBy("asked", "held")).applyInPandas(meet, kind)
     order = F.struct(F.round("distance", 9).alias("by"), F.col("other"), F.col("distance"))
     best = found.groupBy("key").agg(F.slice(F.array_sort(F.collect_list(order)), 1, k).alias("n"))  # k rows of each block
-    return best.select("key", F.posexplode("n").alias("rank", "n")).select("key", (F.col("rank") + 1).alias("rank"), "n.other", "n.distance")
+    return written(best.select("key", F.posexplode("n").alias("rank", "n")).select("key", (F.col("rank") + 1).alias("rank"), "n.other", "n.distance"), "neighbours")
 
 
 def knn_features(neighbours: DataFrame, labels: DataFrame, quantile: float = 0.9) -> DataFrame:
