@@ -27,13 +27,16 @@ def read_documents(spark: SparkSession, path: str, whole_files: bool = False) ->
     return rows.where("uuid is not null").select("uuid", "payload"), rows.where("uuid is null").select("value", F.when(F.col("payload").isNull(), "not JSON").otherwise("no uuid").alias("reason"))
 
 
+def _floor_pieces(floor: Column) -> Column:
+    several = F.transform(_get(floor, "$", "array<variant>"), lambda v: _get(v, "$", PIECE))
+    return F.filter(F.coalesce(several, F.array(_get(floor, "$", PIECE))), lambda p: p.isNotNull())
+
+
 def payload_rooms(documents: DataFrame) -> DataFrame:
     """``uuid, room, room_locator, story, floors, walls``; ``room`` counts from 0. A floor may be one piece or a list of pieces; entries that are no pieces are left out."""
     rooms = documents.select("uuid", F.posexplode(_get(F.col("payload"), "$.rooms", "array<variant>")).alias("room", "v"))
     room = rooms.select("uuid", "room", _get(F.col("v"), "$", ROOM).alias("r"))
-    floor = F.col("r.floor")
-    several = F.transform(_get(floor, "$", "array<variant>"), lambda v: _get(v, "$", PIECE))
-    pieces = F.filter(F.coalesce(several, F.array(_get(floor, "$", PIECE))), lambda p: p.isNotNull())
+    pieces = _floor_pieces(F.col("r.floor"))
     return room.where("r is not null").select("uuid", "room", F.col("r.locator_id").alias("room_locator"), "r.story", pieces.alias("floors"), F.filter("r.walls", lambda p: p.isNotNull()).alias("walls"))
 
 
@@ -43,17 +46,27 @@ def payload_surfaces(documents: DataFrame) -> DataFrame:
     ``idx`` counts from 0 in the list that held the piece. ``openings`` are a ceiling's holes, a wall's or a face's cutouts, else none. Missing fields and lists are
     null or empty; pieces without corners have an empty list of them.
     """
-    rooms = payload_rooms(documents)
     none = F.array().cast(RINGS)
-    made = []
-    for column, category in (("floors", "floor"), ("walls", "wall")):
-        made.append(rooms.select("uuid", F.lit(category).alias("category"), "story", "room", "room_locator", F.posexplode(column).alias("idx", "p")))
-    for name, category in LISTS.items():
-        listed = documents.select("uuid", F.posexplode(_get(F.col("payload"), f"$.{name}", "array<variant>")).alias("idx", "v")).select("uuid", "idx", _get(F.col("v"), "$", PIECE).alias("p")).where("p is not null")
-        made.append(listed.select("uuid", F.lit(category).alias("category"), F.lit(None).cast("int").alias("story"), F.lit(None).cast("int").alias("room"), F.lit(None).cast("string").alias("room_locator"), "idx", "p"))
-    rows = made[0]
-    for more in made[1:]:
-        rows = rows.unionByName(more)
+    kind = f"array<struct<category:string,story:int,room:int,room_locator:string,idx:int,p:{PIECE}>>"
+    empty = F.array().cast(kind)
+
+    def entry(category, story, room, locator, idx, p):
+        return F.struct(F.lit(category).alias("category"), story.cast("int").alias("story"), room.cast("int").alias("room"), locator.cast("string").alias("room_locator"), idx.alias("idx"), p.alias("p"))
+
+    def inside(x):
+        """The floors and walls of a room."""
+        def listed(category, pieces):
+            return F.coalesce(F.transform(pieces, lambda p, i: entry(category, x["r"]["story"], x["room"], x["r"]["locator_id"], i, p)).cast(kind), empty)
+
+        return F.concat(listed("floor", _floor_pieces(x["r"]["floor"])), listed("wall", F.filter(x["r"]["walls"], lambda p: p.isNotNull())))
+
+    def beside(name, category):
+        listed = _get(F.col("payload"), f"$.{name}", "array<variant>")
+        return F.coalesce(F.transform(listed, lambda v, i: entry(category, F.lit(None), F.lit(None), F.lit(None), i, _get(v, "$", PIECE))).cast(kind), empty)
+
+    rooms = F.filter(F.transform(_get(F.col("payload"), "$.rooms", "array<variant>"), lambda v, i: F.struct(i.alias("room"), _get(v, "$", ROOM).alias("r"))), lambda x: x["r"].isNotNull())
+    every = F.concat(F.coalesce(F.flatten(F.transform(rooms, inside)), empty), *[beside(name, category) for name, category in LISTS.items()])
+    rows = documents.select("uuid", F.inline(every)).where("p is not null")  # a document is parsed once, not once for each list
     cut = F.when(F.col("category") == "ceiling", F.col("p.holes")).when(F.col("category").isin("wall", "dormer_face"), F.col("p.cutouts"))
     whole = {"corners": F.coalesce("p.corners", F.array().cast(f"array<{POINT}>")), "openings": F.coalesce(cut, none)}
     return rows.select(*[whole[c].alias(c) if c in whole else F.col(f"p.{c}").alias(c) if c in ("locator_id", "adjacency", "source", "kind", "plane", "support_quality") else F.col(c) for c in ANSWERS])
