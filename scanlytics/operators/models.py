@@ -13,26 +13,30 @@ from pyspark.ml.regression import IsotonicRegression, LinearRegression
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.scratch import written
 from .cohorts import group_folds
 
 LEAKS = ("label", "decision")  # columns, and prefixes with a dot or underscore, that would tell the label
 
 
 def prepare(rows: DataFrame, numbers: list[str], names: list[str], building: str = "building_uuid") -> DataFrame:
-    """``building, label, weight, features``: numbers with the median in gaps, codes of names, and a weight of 1 over a building's rows."""
+    """``building, label, weight, features``: numbers with the median in gaps, codes of names, and a weight of 1 over a building's rows. Rows without a building only count for medians and codes."""
     kept = [c for c in numbers if c not in LEAKS and not any(c.startswith((f"{x}_", f"{x}.")) for x in LEAKS)]
     rows = rows.select(building, F.col("label").cast("double").alias("label"), *[F.col(c).cast("double").alias(c) for c in kept], *names)
-    counts = rows.groupBy(building).agg((1.0 / F.count("*")).alias("weight"))
     steps = [Imputer(strategy="median", inputCols=kept, outputCols=[f"{c}__full" for c in kept])]
     steps += [StringIndexer(inputCol=c, outputCol=f"{c}__code", handleInvalid="keep") for c in names]
     steps.append(VectorAssembler(inputCols=[f"{c}__full" for c in kept] + [f"{c}__code" for c in names], outputCol="features", handleInvalid="keep"))
     full = Pipeline(stages=steps).fit(rows).transform(rows)
-    return full.join(counts, building).select(building, "label", "weight", "features")
+    share = (1.0 / F.count("*").over(Window.partitionBy(building))).alias("weight")  # not joined: counts of all buildings would be broadcast from the driver
+    return full.where(F.col(building).isNotNull()).select(building, "label", share, "features")
 
 
 def oof_scores(rows: DataFrame, folds: int = 5, building: str = "building_uuid", rounds: int = 10) -> DataFrame:
-    """Every row with ``fold, boosted, tree``: the probabilities of models that were fitted without its fold; a building lies in one fold."""
-    rows = group_folds(rows, building, folds).cache()
+    """Every row with ``fold, boosted, tree``: the probabilities of models that were fitted without its fold; a building lies in one fold.
+
+    Rows are written and read back in large splits: each of a fit's many jobs sends the driver one result a split.
+    """
+    rows = written(group_folds(rows, building, folds), "folds")
     out = []
     for k in range(folds):
         rest, mine = rows.where(F.col("fold") != k), rows.where(F.col("fold") == k)
