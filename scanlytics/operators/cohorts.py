@@ -233,22 +233,37 @@ def class_summary(findings: DataFrame, buildings: DataFrame, classes: list[str])
 
 def longest_chord(corners: Column) -> Column:
     """``dx, dz, length`` of the longest line between two corners, seen from above; of equal ones the first."""
-    pairs = lambda c: F.flatten(F.transform(c, lambda p, i: F.transform(F.slice(c, i + 2, F.size(c)), lambda q: F.struct((q["x"] - p["x"]).alias("dx"), (q["z"] - p["z"]).alias("dz")))))
-    sized = lambda c: F.transform(pairs(c), lambda e: F.struct(e["dx"].alias("dx"), e["dz"].alias("dz"), F.sqrt(e["dx"] * e["dx"] + e["dz"] * e["dz"]).alias("length")))
+    line = lambda p, q: F.struct((q["x"] - p["x"]).alias("dx"), (q["z"] - p["z"]).alias("dz"))
+    size = lambda e: F.sqrt(e["dx"] * e["dx"] + e["dz"] * e["dz"])
+    pairs = lambda c: F.flatten(F.transform(c, lambda p, i: F.transform(F.slice(c, i + 2, F.size(c)), lambda q: line(p, q))))
+    sized = lambda c: F.transform(pairs(c), lambda e: F.struct(e["dx"].alias("dx"), e["dz"].alias("dz"), size(e).alias("length")))
     longest = lambda s: F.aggregate(s, F.get(s, F.lit(0)), lambda a, e: F.when(e["length"] > a["length"], e).otherwise(a))
-    return G.once(G.once(corners, sized), longest)
+
+    def listed(points):
+        lines = []
+        for i, p in enumerate(points):
+            for q in points[i + 1 :]:
+                dx, dz = q["x"] - p["x"], q["z"] - p["z"]
+                lines.append(F.struct(F.sqrt(dx * dx + dz * dz).alias("length"), F.lit(-len(lines)).alias("place"), dx.alias("dx"), dz.alias("dz")))
+        best = F.when(lines[0]["length"].isNull(), lines[0]).otherwise(F.greatest(*lines)) if len(lines) > 1 else lines[0]
+        return F.struct(best["dx"].alias("dx"), best["dz"].alias("dz"), best["length"].alias("length"))
+
+    return G._few(corners, listed, (4, 2, 3), G.once(G.once(corners, sized), longest))
 
 
 def principal_axis(walls: DataFrame, least: float = 0.2, tolerance: float = 12.0) -> DataFrame:
-    """``uuid, axis, coverage``: the direction (modulo 90) of most wall length, in bins of 2 degrees that lend half to their neighbours, and the share of length within ``tolerance`` of it. Equal bins: the smaller."""
-    rows = walls.where(F.size("corners") >= 2).select("uuid", longest_chord(F.col("corners")).alias("c")).where(F.col("c.length") >= least)
-    rows = rows.select("uuid", F.pmod(F.round(F.degrees(F.atan2("c.dz", "c.dx")), 9), F.lit(90.0)).alias("az"), "c.length")
+    """``uuid, axis, coverage``: the direction (modulo 90) of most wall length, in bins of 2 degrees that lend half to their neighbours, and the share of length within ``tolerance`` of it. Equal bins: the smaller.
+
+    Walls are dealt to tasks by building once, and what follows are windows over a building.
+    """
+    rows = G.settled(walls.where("uuid is not null and size(corners) >= 2").select("uuid", longest_chord(F.col("corners")).alias("c")), "c").where(F.col("c.length") >= least)
+    rows = rows.select("uuid", F.pmod(F.round(F.degrees(F.atan2("c.dz", "c.dx")), 9), F.lit(90.0)).alias("az"), "c.length").repartition("uuid")
     near = F.explode(F.array(*[F.struct(F.lit(o).alias("by"), F.lit(w).alias("w")) for o, w in ((0, 1.0), (1, 0.5), (-1, 0.5))]))
-    bins = rows.select("uuid", F.bround(F.col("az") / 2, 0).cast("int").alias("bin"), "length", near.alias("n"))
-    bins = bins.groupBy("uuid", F.pmod(F.col("bin") + F.col("n.by"), F.lit(45)).alias("bin")).agg(F.sum(F.col("length") * F.col("n.w")).alias("weight"))
-    axis = bins.groupBy("uuid").agg(F.min_by("bin", F.struct(-F.round("weight", 6), F.col("bin"))).alias("bin")).select("uuid", (F.col("bin") * 2.0).alias("axis"))
+    bins = rows.select("uuid", "az", "length", near.alias("n")).withColumn("bin", F.pmod(F.bround(F.col("az") / 2, 0).cast("int") + F.col("n.by"), F.lit(45)))
+    bins = bins.withColumn("weight", F.sum(F.col("length") * F.col("n.w")).over(Window.partitionBy("uuid", "bin")))
+    bins = bins.withColumn("axis", F.min_by("bin", F.struct(-F.round("weight", 6), F.col("bin"))).over(Window.partitionBy("uuid")) * 2.0)
     away = K.circular_difference(F.col("az"), F.col("axis"), 90.0)
-    return rows.join(axis, "uuid").groupBy("uuid", "axis").agg((F.sum(F.when(away <= tolerance, F.col("length")).otherwise(0.0)) / F.sum("length")).alias("coverage"))
+    return bins.where("n.by = 0").groupBy("uuid", "axis").agg((F.sum(F.when(away <= tolerance, F.col("length")).otherwise(0.0)) / F.sum("length")).alias("coverage"))
 
 
 def irregular_footprint(walls: DataFrame, least: float = 0.70) -> DataFrame:
