@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry as G
 from ..sources.scratch import written
-from .spatial import SIDE, regions, shared_area
+from .spatial import SIDE, by_crowd, regions, shared_area
 
 # fixed values: degrees, metres, and the least number of planes that each type of roof needs
 PARTNER_AZIMUTH, PARTNER_SLOPE, CLASS_AZIMUTH, CLASS_SLOPE, TIER_GAP, APEX = 40.0, 10.0, 30.0, 10.0, 20.0, 0.25
@@ -72,6 +72,50 @@ def oblique_surfaces(pieces: DataFrame, side: float = SIDE) -> DataFrame:
     return made.join(area, ["uuid", "source_idx"]).select("uuid", F.col("source_idx").alias("seq"), "m.azimuth", "m.incl", "area", "n_pieces", "low", "high", "m.locator_id")
 
 
+def _marked(planes: DataFrame) -> DataFrame:
+    """Planes with ``n`` and ``apex`` (planes of the building and the middle one of their tops), ``largest`` (``seq``), and whether each has a ``partner``, one ``in_tier``, and is ``crossing``: as ``opposing_pairs``,
+    ``pitch_tiers`` and ``crossing_pairs`` say, in one pass.
+
+    Planes meet once, within the widest limits; all else are windows over a building, so rows are dealt by building once and not joined back.
+    """
+    whole = Window.partitionBy("uuid")
+    slopes, tops = whole.orderBy("incl", "seq"), whole.orderBy("high", "seq")
+    rows = planes.where("uuid is not null").withColumns({"place": F.row_number().over(slopes), "gap": F.round(F.lead("incl").over(slopes) - F.col("incl"), 9)})
+    rows = rows.withColumns({"cut": F.max(F.when(F.col("gap").isNotNull(), F.struct("gap", "place", "incl", "seq"))).over(whole), "top": F.row_number().over(tops), "n": F.count("*").over(whole)})
+    rows = rows.withColumns({"apex": F.max(F.when(F.expr("top = n div 2 + 1"), F.col("high"))).over(whole), "largest": F.min_by("seq", F.struct(-F.round("area", 9), F.col("seq"))).over(whole)})
+    rows = rows.withColumns({"cut_incl": F.when(F.col("cut.gap") >= TIER_GAP, F.col("cut.incl")), "cut_seq": F.when(F.col("cut.gap") >= TIER_GAP, F.col("cut.seq"))}).drop("gap", "cut", "top")
+    steep = lambda incl, seq: F.coalesce((F.col(incl) > F.col("cut_incl")) | ((F.col(incl) == F.col("cut_incl")) & (F.col(seq) > F.col("cut_seq"))), F.lit(False))
+    others = planes.where("azimuth is not null and incl is not null").select("uuid", F.col("seq").alias("other"), F.col("azimuth").alias("turn"), F.col("incl").alias("slope"))
+    width = max(PARTNER_AZIMUTH, CLASS_AZIMUTH)
+    off = F.round(F.abs(F.abs(F.pmod(F.col("azimuth") - F.col("turn") + 180.0, F.lit(360.0)) - 180.0) - 180.0), 9)
+    apart = F.round(F.abs(F.col("incl") - F.col("slope")), 9)
+    near = (F.col("seq") != F.col("other")) & (off <= width) & (apart <= max(PARTNER_SLOPE, CLASS_SLOPE))
+    met = []
+    for many, (own, with_) in by_crowd(rows, others):
+        if many:  # in sectors of the circle, as in ``opposing_pairs``
+            own, with_ = own.withColumn("sector", _sector(F.col("azimuth"), width)), with_.withColumn("sector2", F.explode(F.array_distinct(F.array(*[_sector(F.col("turn") + 180.0, width, i) for i in (-1, 0, 1)]))))
+        with_ = with_.withColumnRenamed("uuid", "building")
+        same = F.col("uuid") == F.col("building")
+        met.append(own.join(with_, same & near & (F.col("sector") == F.col("sector2")) if many else same & near, "left").drop("building", "sector", "sector2"))
+    both = met[0] if len(met) == 1 else met[0].unionByName(met[1])
+    paired, classed = (off <= PARTNER_AZIMUTH) & (apart <= PARTNER_SLOPE), (off <= CLASS_AZIMUTH) & (apart <= CLASS_SLOPE)
+    axis = F.round(F.pmod(F.when(F.col("seq") < F.col("other"), F.col("azimuth")).otherwise(F.col("turn")), F.lit(180.0)), 9)  # that of the pair's first plane
+    both = both.withColumns({"partner": paired, "in_tier": paired & (steep("incl", "seq") == steep("slope", "other")), "axis": F.when(classed, F.round(axis * 1e9).cast("long"))})
+    # axes are under 180 degrees apart, so those across an axis are further up or down it by a right angle, give or take; in whole billionths of a degree
+    ends = [int(round((90.0 + sign * CLASS_AZIMUTH) * 1e9)) for sign in (-1, 1)]
+    line = whole.orderBy("axis")
+    across = (F.count("axis").over(line.rangeBetween(*ends)) > 0) | (F.count("axis").over(line.rangeBetween(-ends[1], -ends[0])) > 0)
+    both = both.withColumn("crossing", F.col("axis").isNotNull() & across)
+    kept = [c for c in both.columns if c not in ("uuid", "place", "other", "turn", "slope", "axis", "cut_incl", "cut_seq", "partner", "in_tier", "crossing")]
+    return both.groupBy("uuid", "place").agg(*[F.first(c).alias(c) for c in kept], *[F.coalesce(F.max(c), F.lit(False)).alias(c) for c in ("partner", "in_tier", "crossing")])
+
+
+def _sector(azimuth: Column, width: float, more: int = 0) -> Column:
+    """Which of equal sectors of at least ``width`` degrees holds a direction, and ``more`` sectors on."""
+    n = max(1, int(360.0 / max(width, 1.0)))
+    return F.pmod(F.floor(F.pmod(azimuth, F.lit(360.0)) / (360.0 / n)) + more, F.lit(n)).cast("int")
+
+
 def oblique_priors(planes: DataFrame, roofs: DataFrame) -> DataFrame:
     """Planes (``uuid, seq, azimuth, incl, area, high``) with ``keep_a`` and ``keep_b``: what the type of their roof (``uuid, roof_type``) lets stand.
 
@@ -79,26 +123,16 @@ def oblique_priors(planes: DataFrame, roofs: DataFrame) -> DataFrame:
     opposing plane of their tier, pyramids a top near the middle one, sheds the largest plane only, complex roofs an opposing plane or 4 m2; none and flat let nothing stand, other types everything. A building with fewer
     planes than its type needs, or of which nothing would be left, keeps all.
     """
-    planes = written(planes, "planes")  # read many times below
+    planes = planes if hasattr(planes, "written_at") else written(planes, "planes")  # read many times below
     kind = F.lower(F.coalesce("roof_type", F.lit("")))
-    rows = planes.join(roofs.select("uuid", kind.alias("roof_type")), "uuid", "left").fillna("", ["roof_type"])
-    mark = lambda found, name: found.select("uuid", "seq").distinct().withColumn(name, F.lit(True))
-    tiers = pitch_tiers(planes)
-    paired = opposing_pairs(planes)
-    tiered = opposing_pairs(planes.join(tiers, ["uuid", "seq"]), keys=("uuid", "tier"))
-    rows = rows.join(mark(_members(paired, "uuid"), "partner"), ["uuid", "seq"], "left").join(mark(crossing_pairs(planes), "crossing"), ["uuid", "seq"], "left").join(mark(_members(tiered, "uuid"), "in_tier"), ["uuid", "seq"], "left")
-    rows = rows.fillna(False, ["partner", "crossing", "in_tier"])
-    tops = planes.withColumns({"place": F.row_number().over(Window.partitionBy("uuid").orderBy("high", "seq")), "n": F.count("*").over(Window.partitionBy("uuid"))})
-    middle = tops.where("place = n div 2 + 1").select("uuid", F.col("high").alias("apex"), "n")
-    largest = planes.groupBy("uuid").agg(F.min_by("seq", F.struct(-F.round("area", 9), F.col("seq"))).alias("largest"))
-    rows = rows.join(middle, "uuid").join(largest, "uuid")
+    rows = _marked(planes).join(roofs.select("uuid", kind.alias("roof_type")), "uuid", "left").fillna("", ["roof_type"])
     t = F.col("roof_type")
     stays = F.when(t.isin("none", "flat"), F.lit(False)).when(t == "shed", F.col("seq") == F.col("largest")).when(t == "gable", F.col("partner")).when(t.isin("hip", "cross_gable"), F.col("crossing") | (F.col("partner") & (F.col("area") > 1.0)))
     stays = stays.when(t == "mansard", F.col("in_tier")).when(t == "pyramid", (F.col("n") >= 3) & (F.round(F.abs(F.col("high") - F.col("apex")), 9) <= APEX * 4)).when(t == "complex", F.col("partner") | (F.col("area") >= 4.0)).otherwise(F.lit(True))
     needed = reduce(lambda w, kv: w.when(t == kv[0], kv[1]), list(NEEDED.items())[1:], F.when(t == "gable", NEEDED["gable"])).otherwise(0)
     rows = rows.withColumns({"keep_a": (t != "gable") | (F.col("n") < 2) | F.col("partner"), "keep_b": (F.col("n") < needed) | stays})
-    left = rows.groupBy("uuid").agg(F.max("keep_a").alias("any_a"), F.max("keep_b").alias("any_b"))
-    rows = rows.join(left, "uuid").withColumns({"keep_a": F.col("keep_a") | ~F.col("any_a"), "keep_b": F.col("keep_b") | (~F.col("any_b") & ~t.isin("none", "flat"))})
+    rows = rows.withColumns({f"any_{f}": F.max(f"keep_{f}").over(Window.partitionBy("uuid")) for f in "ab"})
+    rows = rows.withColumns({"keep_a": F.col("keep_a") | ~F.col("any_a"), "keep_b": F.col("keep_b") | (~F.col("any_b") & ~t.isin("none", "flat"))})
     return rows.select(*planes.columns, "roof_type", "keep_a", "keep_b")
 
 
