@@ -33,6 +33,7 @@ SAMPLES_PER_BUCKET = 48
 SAMPLE_EACH = 4  # splitters come from one document of so many for each partition
 WINDOW, GRAM = 100, 24
 WINDOWS_AT_ONCE = 1 << 20
+LEVEL = 6  # of zstd for the strings, most of what is shuffled
 _BLOBS = pa.schema([("bucket", pa.int32()), ("packed", pa.binary())])
 _FOUND = pa.schema([("bucket", pa.int32()), ("packed", pa.binary()), ("doc", pa.int64()), ("key", pa.int64()), ("start", pa.int32()), ("stop", pa.int32())])
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1342543DE82EF95)
@@ -76,7 +77,7 @@ def _pack(strings: tuple, text: bytes, settled: tuple | None = None) -> bytes:
     settled = settled or tuple(np.zeros(0, t) for t in _OF_SPAN)
     parts = [struct.pack("<II", len(strings[0]), len(settled[0]))]
     parts += [np.asarray(a).astype(t).tobytes() for a, t in zip((*strings, *settled), _OF_STRING + _OF_SPAN, strict=True)]
-    return zstandard.ZstdCompressor(level=3).compress(b"".join([*parts, text]))
+    return zstandard.ZstdCompressor(level=LEVEL).compress(b"".join([*parts, text]))
 
 
 def _unpack(blobs: list[bytes]) -> tuple[list[np.ndarray], list[np.ndarray], np.ndarray]:
@@ -329,28 +330,37 @@ def repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 _CLEAN = pa.schema([("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("kept", pa.binary())])
 
 
+def _packed_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts, each packed for itself: Spark's own compression of the shuffle takes off much less."""
+    packer = zstandard.ZstdCompressor(level=3)
+    for batch in pieces(batches, "text", SLICE_BYTES):
+        packed = [None if x is None else packer.compress(x) for x in batch.column("text").to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column("doc"), batch.column("key"), pa.array(packed, pa.binary())], names=["doc", "key", "packed"])
+
+
 def _cleaner(with_kept: bool):
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches, "text", SLICE_BYTES):
-            data, edges = _bytes(batch.column("text"))
-            raw, rows = data.tobytes(), []
+        opener = zstandard.ZstdDecompressor()
+        for batch in pieces(batches, "packed", SLICE_BYTES):
+            texts, rows = batch.column("packed"), []
             spans = batch.column("spans")
             count = np.diff(np.asarray(spans.offsets))
             start, stop = (spans.flatten().field(i).to_numpy() for i in range(2))
             at = 0
             for i in range(batch.num_rows):
-                lo, hi, end, parts, gone, n = int(edges[i]), int(edges[i + 1]), 0, [], 0, 0
+                raw = opener.decompress(texts[i].as_py()) if texts[i].is_valid else b""
+                end, parts, gone, n = 0, [], 0, 0
                 if count[i]:
                     by = np.argsort(start[at : at + count[i]], kind="stable") + at
                     a, b = start[by].astype(np.int64), np.maximum.accumulate(stop[by].astype(np.int64))
                     new = np.flatnonzero(np.r_[True, a[1:] > b[:-1]])
                     for x, y in zip(a[new].tolist(), b[np.r_[new[1:], len(a)] - 1].tolist(), strict=True):
-                        parts.append(raw[lo + end : lo + x])
+                        parts.append(raw[end:x])
                         gone, n, end = gone + y - x, n + 1, y
                     at += count[i]
-                parts.append(raw[lo + end : hi])
+                parts.append(raw[end:])
                 kept = b"".join(parts)
-                rows.append((hi - lo, gone, n, hashlib.sha256(kept).hexdigest(), kept if with_kept else None))
+                rows.append((len(raw), gone, n, hashlib.sha256(kept).hexdigest(), kept if with_kept else None))
             made = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), _CLEAN.types, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("doc"), *made], names=["doc", *_CLEAN.names])
 
@@ -367,5 +377,6 @@ def dedup_suffixes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     spans = repeated_bytes(docs, id_col, text_col, buckets).groupBy("doc", "key").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
     text = F.col(f"`{text_col}`").cast("string")
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc"), text_key(text).alias("key"), text.cast("binary").alias("text"))
-    both = rows.join(spans, ["doc", "key"], "left").select("doc", "text", F.coalesce("spans", F.expr("cast(array() as array<struct<start:int,stop:int>>)")).alias("spans"))
+    rows = rows.mapInArrow(_packed_texts, "doc long, key long, packed binary")
+    both = rows.join(spans, ["doc", "key"], "left").select("doc", "packed", F.coalesce("spans", F.expr("cast(array() as array<struct<start:int,stop:int>>)")).alias("spans"))
     return both.mapInArrow(_cleaner(kept), "doc long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
