@@ -14,7 +14,11 @@ document of every region. The pivots are therefore chosen as follows.
    shingles and to no others (a prefix filter). Members of a region are compared
    only inside the windows that their sizes (their distances to the empty set)
    and their places in the order allow.
-2. A region of more than ``REGION`` members gets its median set c as its pivot: the
+2. Members of a region of more than ``REGION`` are told apart by parity bits of each
+   set, which differ in no more places than |A ^ B|: they fall into groups that no link
+   leaves. Groups of all these regions that share a member are one new region, so a set is in one
+   of them, however many frequent shingles it has, and sets without any near one in none.
+3. A new region of more than ``REGION`` members gets its median set c as its pivot: the
    shingles of more than half of the members. With D = A ^ c, the distance to the
    pivot is |D|. By the triangle inequality A and B are linked where
    f(A) + f(B) <= 0 with f(A) = (100 + p) |D| - (100 - p) |A|: this ball round the
@@ -26,9 +30,8 @@ document of every region. The pivots are therefore chosen as follows.
    ends: all members of the region of e have e in common, which the next pivot
    takes out of every D.
 
-Small regions are sifted by parity bits of each set, which differ in no more
-places than |A ^ B|; they get the sets of the members that are left, once each, and
-are joined whole in one task each, exactly. Equal sets are one node throughout, so groups of copies
+Small regions are sifted by parity bits too; they get the sets of the members that are
+left, once each, and are joined whole in one task each, exactly. Equal sets are one node throughout, so groups of copies
 never make pairs.
 """
 
@@ -274,6 +277,73 @@ def _sifter(percent: int):
     return sift
 
 
+def _grouper(percent: int):
+    """Rows ``region, node, size, bits`` sorted by region, size and node: links ``a, b`` that connect all members of a region that may be linked, by their parity bits."""
+
+    def grouped(rows: pa.Table) -> tuple[list[np.ndarray], list[np.ndarray]]:
+        node, size = rows.column("node").to_numpy(), rows.column("size").to_numpy().astype(np.int64)
+        bits = rows.column("bits").combine_chunks().flatten().to_numpy().view(np.uint64)
+        wide = _width(size)
+        begin, tables = np.cumsum(wide) - wide, {}
+        for w in np.unique(wide).tolist():  # larger sets have no narrower bits
+            a, b = np.searchsorted(wide, [w, w + 1]).tolist()
+            tables[w] = a, b, {w: bits[begin[a] : begin[a] + (b - a) * w].reshape(b - a, w)}
+
+        def folded(w: int, to: int) -> np.ndarray:
+            have = tables[w][2]
+            if to not in have:
+                twice = folded(w, 2 * to)
+                have[to] = twice[:, :to] ^ twice[:, to:]
+            return have[to]
+
+        low, high = np.searchsorted(100 * size, percent * size).tolist(), np.searchsorted(percent * size, 100 * size, "right").tolist()
+        left, out = np.ones(len(node), bool), ([], [])
+        for seed in range(len(node)):
+            front = [seed] if left[seed] else []
+            left[seed] = False
+            while front:
+                i = front.pop()
+                v = int(wide[i])
+                for w, (a, b, _) in tables.items():
+                    a, b = max(a, low[i]), min(b, high[i])
+                    if a >= b:
+                        continue
+                    these, to = np.flatnonzero(left[a:b]) + a, min(v, w)
+                    if not len(these):
+                        continue
+                    own, table = folded(v, to)[i - tables[v][0]], folded(w, to)
+                    for part in np.array_split(these, len(these) * to // 400_000 + 1):
+                        differ = np.bitwise_count(table[part - tables[w][0]] ^ own).sum(1, dtype=np.int64)
+                        more = part[(100 + percent) * differ <= (100 - percent) * (size[i] + size[part])]
+                        left[more] = False
+                        out[0].append(np.full(len(more), node[i]))
+                        out[1].append(node[more])
+                        front += more.tolist()
+        return out
+
+    def group(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def said(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+            a, b = (np.concatenate([np.zeros(0, np.int64), *x]) for x in grouped(pa.Table.from_batches(held).combine_chunks()))
+            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], schema=_LINKS)
+
+        held, last = [], None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            region = batch.column("region").to_numpy()
+            edge = [*runs(region).tolist(), len(region)]
+            for a, b in zip(edge, edge[1:], strict=False):
+                if held and region[a] != last:
+                    yield said(held)
+                    held = []
+                last = region[a]
+                held.append(batch.slice(a, b - a))
+        if held:
+            yield said(held)
+
+    return group
+
+
 def _lister(n: int, bits: int, known):
     def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, "text", SLICE_BYTES):
@@ -421,7 +491,14 @@ def linked_nodes(docs: DataFrame, nodes: DataFrame, known, n: int, percent: int,
     large = near.where("b is null").select(F.col("cell").alias("region"), F.col("a").alias("node"))
     rest = None
     if not large.isEmpty():
-        rest = written(with_sets(written(large.join(nodes.select("node", "size", "ref"), "node"), "members")), "filled")
+        large = large.join(nodes.select("node", "size", "bits"), "node").select("region", "node", "size", "bits").repartition("region").sortWithinPartitions("region", "size", "node")
+        close = written(large.mapInArrow(_grouper(percent), "a long, b long").distinct(), "close")
+        groups = components(close).withColumnRenamed("component", "region")
+        filled = written(with_sets(written(groups.join(nodes.select("node", "size", "ref"), "node"), "groups")), "filled")
+        crowded = written(filled.groupBy("region").agg(F.count("*").alias("m")).where(F.col("m") > REGION).select("region"), "crowded")
+        links.append(written(_regions_joined(filled.join(_few(crowded, SEND_REGIONS), "region", "left_anti"), percent), "links"))
+        rest = filled.join(_few(crowded, SEND_REGIONS), "region", "left_semi")
+        discard(close)
     discard(near, met, small)
     while rest is not None and not rest.isEmpty():
         ball, few, rest = _divided(rest, percent)
